@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from tickweave.llm.mixing import op7_mixing
+from tickweave.llm.packing import op4_best_fit_packing
 from tickweave.llm.secrets import op9_secret_scans
+from tickweave.llm.sharding import op3_sharding
 from tickweave.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_sharding": op3_sharding,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_mixing": op7_mixing,
     "op9_secret_scans": op9_secret_scans,
 }
 SQL = {"op1_url_filters": OP1_SQL}
