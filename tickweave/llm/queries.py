@@ -6,6 +6,7 @@ from tickweave.llm.mixing import op7_mixing
 from tickweave.llm.packing import op4_best_fit_packing
 from tickweave.llm.secrets import op9_secret_scans
 from tickweave.llm.sharding import op3_sharding
+from tickweave.llm.simhash import op10_simhash_dedup
 from tickweave.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_mixing": op7_mixing,
     "op9_secret_scans": op9_secret_scans,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 SQL = {"op1_url_filters": OP1_SQL}
