@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tickweave.llm.langid import op6_language_id
 from tickweave.llm.mixing import op7_mixing
 from tickweave.llm.packing import op4_best_fit_packing
 from tickweave.llm.secrets import op9_secret_scans
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_sharding": op3_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op9_secret_scans": op9_secret_scans,
     "op10_simhash_dedup": op10_simhash_dedup,
