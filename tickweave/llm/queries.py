@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickweave.llm.langid import op6_language_id
+from tickweave.llm.media import op5_media_columns
 from tickweave.llm.mixing import op7_mixing
 from tickweave.llm.packing import op4_best_fit_packing
 from tickweave.llm.secrets import op9_secret_scans
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_sharding": op3_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_media_columns": op5_media_columns,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op9_secret_scans": op9_secret_scans,
