@@ -6,6 +6,7 @@ from tickweave.llm.langid import op6_language_id
 from tickweave.llm.media import op5_media_columns
 from tickweave.llm.mixing import op7_mixing
 from tickweave.llm.packing import op4_best_fit_packing
+from tickweave.llm.pii import op2_pii
 from tickweave.llm.secrets import op9_secret_scans
 from tickweave.llm.sharding import op3_sharding
 from tickweave.llm.simhash import op10_simhash_dedup
@@ -13,6 +14,7 @@ from tickweave.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_media_columns": op5_media_columns,
