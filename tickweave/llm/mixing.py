@@ -18,6 +18,9 @@ one source; documents of equal hash are ordered by doc_id, then by text hash; re
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -103,6 +106,23 @@ def mix(dealt: DataFrame) -> DataFrame:
     return each.select(*[c for c in each.columns if c != "_deal"], "_deal.pass", "_deal.finish", "_deal.take").orderBy("finish", "source", "doc_id", "pass")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word; null stays null."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        done = []
+        for t, k in zip(texts, counts):
+            end = 0
+            for _, m in zip(range(int(k)), word.finditer(t or "")):
+                end = m.end()
+            done.append(None if t is None else t[:end])
+        return pd.Series(done, dtype=object)
+
+    return cut(text, n)
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # texts are read for their sizes and go no further
