@@ -162,7 +162,7 @@ def judge_urls(
     glob_rules: list[tuple[str, str]] = GLOB_RULES,
     default: str = DEFAULT_VERDICT,
 ) -> DataFrame:
-    """Add host, path, rule (the longest host rule that fits, else null), glob (the first glob that fits where no
+    """Add host, path, rule (the longest host rule that fits, else null), glob_rule (the first glob that fits where no
     host rule does, else null) and verdict. Rules of equal length rank in the order given. No shuffle."""
     ranked = sorted(host_rules, key=lambda r: -len(r[1] + r[2]))
     automaton = ShiftAnd.compile([host_rule_glob(h, p) for _, h, p in ranked] + [g for _, g in glob_rules])
@@ -170,7 +170,7 @@ def judge_urls(
     verdicts = [v for v, *_ in ranked] + [v for v, _ in glob_rules]
     hosts = len(ranked)
 
-    @F.pandas_udf("rule string, glob string, verdict string")
+    @F.pandas_udf("rule string, glob_rule string, verdict string")
     def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for urls in batches:
             fits = automaton.fits(urls.tolist())
@@ -178,21 +178,21 @@ def judge_urls(
             yield pd.DataFrame(
                 {
                     "rule": pd.Series([names[k] if 0 <= k < hosts else None for k in first], dtype=object),
-                    "glob": pd.Series([names[k] if k >= hosts else None for k in first], dtype=object),
+                    "glob_rule": pd.Series([names[k] if k >= hosts else None for k in first], dtype=object),
                     "verdict": pd.Series([verdicts[k] if k >= 0 else default for k in first], dtype=object),
                 }
             )
 
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "glob", "verdict")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "glob_rule", "verdict")]
     split = pages.select(*kept, host_column(url).alias("host"), path_column(url).alias("path"))
     judged = split.withColumn("_judged", decide(F.concat(F.lit("."), "host", "path")))
-    return judged.select(*kept, "host", "path", *[F.col(f"_judged.{c}").alias(c) for c in ("rule", "glob", "verdict")])
+    return judged.select(*kept, "host", "path", *[F.col(f"_judged.{c}").alias(c) for c in ("rule", "glob_rule", "verdict")])
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages).select("page_id", "host", "path", "rule", "glob", "verdict")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "glob_rule", "verdict")
 
 
 OP1_SQL = r"""
@@ -212,9 +212,9 @@ WITH cut AS (
   SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
     WHEN contains('.' || host, '.spam-') AND path <> '' THEN '*.spam-*/**'
     WHEN ends_with(path, '.exe') THEN '**/*.exe'
-    WHEN contains('.' || host, '.ads.') AND path <> '' THEN '*.ads.*/**' END AS glob FROM judged
+    WHEN contains('.' || host, '.ads.') AND path <> '' THEN '*.ads.*/**' END AS glob_rule FROM judged
 )
-SELECT page_id, host, path, rule, glob,
-       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, glob_rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR glob_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM globs
 """
