@@ -59,7 +59,7 @@ def sample_ticks(raw: DataFrame, sessions: tuple[tuple[str, str], ...], freq: st
     """OP-14 to OP-20: raw ticks (day, security_id, UpdateTime, file_line, values) on the grid of their day."""
     timed = raw.withColumn("ts", parse_time(F.col("day"), F.col("UpdateTime"))).filter("ts is not null")
     ticks = keep_last(timed, ["day", "security_id", "ts"], F.col("file_line"))
-    grid = session_grid(raw.select("day", "security_id").distinct(), sessions, freq)
+    grid = session_grid(timed.select("day", "security_id").distinct(), sessions, freq)
     values = [c for c in ticks.columns if c not in ("Date", "file_line")]
     sampled = as_of(grid.withColumnRenamed("ts", "grid_ts"), ticks.select(values), ["day", "security_id"], "grid_ts", "ts")
     date = F.concat_ws("-", F.substring("day", 1, 4), F.substring("day", 5, 2), F.substring("day", 7, 2))
@@ -67,7 +67,7 @@ def sample_ticks(raw: DataFrame, sessions: tuple[tuple[str, str], ...], freq: st
 
 
 def resample_summary(sampled: DataFrame, raw_rows: DataFrame, by: list[str], threshold: float = 60.0, gap: str = "gap_sec") -> DataFrame:
-    """OP-21: one row for each of by; raw_rows (by, RawRows) counts the ticks left after parsing and deduplication."""
+    """OP-21: one row for each of by; raw_rows (by, RawRows) counts the ticks left after parsing and deduplication, and may be 0."""
     agg = sampled.groupBy(*by).agg(
         F.count("*").alias("SampleRows"),
         F.bround(F.max(gap), 1).alias("MaxGapSec"),
@@ -77,7 +77,7 @@ def resample_summary(sampled: DataFrame, raw_rows: DataFrame, by: list[str], thr
     )
     rows = F.coalesce("RawRows", F.lit(0))
     status = F.when(rows == 0, "NO_VALID_TIME").when(F.col("_max") <= threshold, "OK").otherwise("LARGE_GAP")
-    return agg.join(raw_rows, by, "left").select(*by, rows.alias("RawRows"), "SampleRows", "MaxGapSec", "MeanGapSec", "PctGapGt60", status.alias("Status"))
+    return agg.join(raw_rows, by, "full").select(*by, rows.alias("RawRows"), F.coalesce("SampleRows", F.lit(0)).alias("SampleRows"), "MaxGapSec", "MeanGapSec", "PctGapGt60", status.alias("Status"))
 
 
 # ---- screening
@@ -94,7 +94,7 @@ def tick_class(market: Column, status: Column) -> Column:
 
 def suspended_days(ticks: DataFrame, by: list[str], market: Column, status: Column) -> DataFrame:
     """OP-23: (by, all_suspended): whether a day has nothing but suspended ticks; without a status column (market UNK) it has not."""
-    quiet = (tick_class(market, status) == "SuspendLike") & (market != "UNK")
+    quiet = (tick_class(market, status) == "SuspendLike") & ~flag(market == "UNK")
     return ticks.groupBy(*by).agg(flag(F.bool_and(flag(quiet))).alias("all_suspended"), F.count("*").alias("rows"))
 
 
