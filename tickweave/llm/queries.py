@@ -10,6 +10,7 @@ from tickweave.llm.pii import op2_pii
 from tickweave.llm.secrets import op9_secret_scans
 from tickweave.llm.sharding import op3_sharding
 from tickweave.llm.simhash import op10_simhash_dedup
+from tickweave.llm.topk import OP8_SQL, op8_top_k
 from tickweave.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
@@ -20,7 +21,8 @@ QUERIES = {
     "op5_media_columns": op5_media_columns,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
+    "op8_top_k": op8_top_k,
     "op9_secret_scans": op9_secret_scans,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-SQL = {"op1_url_filters": OP1_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op8_top_k": OP8_SQL}
