@@ -16,8 +16,11 @@ are read whole; an empty table gives an empty result; further columns are not ca
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +36,23 @@ END_ID = 2
 TOKENS = 1024
 BUCKET_ROWS = 40_000
 WEIGHTS = (1.0, 0.01, 0.01)
-KEPT_WORDS = 300_000  # words whose ids a worker remembers
+LOW = 0x240
+KEPT_WORDS = 500_000  # words whose ids a worker remembers
+
+
+@cache
+def _split_pattern() -> re.Pattern:
+    """The tokenizer's pattern for texts below U+0240, with its classes of characters spelled out."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(LOW) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers, white = of("L"), of("N"), "\\t-\\r\\x20\\x85\\xa0"
+    parts = ["'(?:s|t|re|ve|m|ll|d)", f" ?[{letters}]++", f" ?[{numbers}]++", f" ?[^{white}{letters}{numbers}]++", f"[{white}]+(?![^{white}])", f"[{white}]+"]
+    return re.compile("|".join(parts))
+
+
+@cache
+def encoder(name: str) -> Encoder:
+    """One for each worker process, which keeps its memory of words from task to task."""
+    return Encoder(name)
 
 
 class Encoder:
@@ -45,12 +64,10 @@ class Encoder:
 
     def __init__(self, name: str = TOKENIZER):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        white = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-        self.split = regex.compile(white).findall
+        self.split = _split_pattern().findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         encode = lambda w: tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
 
@@ -77,11 +94,11 @@ def token_pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        ids_of = encoder(tokenizer).ids
         for batch in batches:
             row, piece, start, length, crc, ids_out = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                ids = np.append(encoder.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(ids_of(text.as_py()), np.uint32(end_id)).astype("<u4")
                 first = (len(ids) - 1) % tokens + 1
                 bounds = [0, *range(first, len(ids) + 1, tokens)]
                 for j, (a, b) in enumerate(zip(bounds, bounds[1:])):
