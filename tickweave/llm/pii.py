@@ -175,9 +175,10 @@ def span_text(spans: Column) -> Column:
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[number(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
     )
