@@ -163,10 +163,9 @@ def rigidity(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
     df = _prepared(df, by, order, _p=F.when(F.col("CanUsePrice"), F.col("Price")))
     df = df.withColumn("_z", F.col("_p") - F.first("_p", ignorenulls=True).over(growing(by, order)))
     valid, j = F.col("_z").isNotNull(), F.col("_pos").cast("long")
-    power = lambda k: F.when(valid, add_product([j] * k) if k else F.lit(1)).cast("long")
-    add_product = lambda xs: xs[0] if len(xs) == 1 else xs[0] * add_product(xs[1:])
-    inputs = {f"_x{k}": (power(k), ws) for k in range(5)}
-    inputs |= {f"_z{k}": (F.col("_z") * (add_product([j] * k) if k else F.lit(1)), ws) for k in range(3)}
+    powers = [F.lit(1).cast("long"), j, j * j, j * j * j, j * j * j * j]
+    inputs = {f"_x{k}": (F.when(valid, p), ws) for k, p in enumerate(powers)}
+    inputs |= {f"_z{k}": (F.col("_z") * p, ws) for k, p in enumerate(powers[:3])}
     inputs |= {"_zz": (F.col("_z") * F.col("_z"), ws), "_n": (count_of(F.col("CanUsePrice")), ws), "_l": (count_of(F.col("_limit")), ws)}
     df = rolling_sums(df, by, order, inputs)
     out = {}

@@ -382,6 +382,7 @@ SQL["composite_cum_daily"] = f"WITH {SCORED}{_curves(G10, 'g1')} SELECT factor_c
 SQL["view_available_dates"] = f"WITH {PANEL} SELECT DISTINCT date FROM panel"
 SQL["view_ic_summary"] = f"WITH {STATS} SELECT {STAT_COLUMNS} FROM stats WHERE ret = 'ret_1' AND session = 'am'"
 SQL["view_ic_trend"] = f"WITH {DAILY} SELECT date, ret, session, factor_col, {r6s('ic', 'rankic')} FROM daily WHERE factor_col = 'alpha_2m' AND session = 'all' AND ret = 'ret_1'"
+SQL["view_quantile_day"] = f"WITH {BUCKETS} SELECT date, sample_time, factor_col, {r6s(*G5)}, n_valid FROM buckets WHERE factor_col = 'alpha_1m' AND date = '1997'"
 SQL["view_plot_lines"] = f"""WITH {STATS} SELECT ret, factor_col, factor_window, 'IC ' || session AS line, {r6('ic_mean', 'mean')}, {r6('icir', 'ir')} FROM stats
 UNION ALL SELECT ret, factor_col, factor_window, 'RankIC ' || session, {r6('rankic_mean', 'mean')}, {r6('rankic_ir', 'ir')} FROM stats"""
 SQL["view_monotonicity"] = f"""WITH {CURVES} SELECT factor_col, {r6('CASE WHEN abs(g2 - g4) >= 1e-12 THEN (g1 - g5) / (g2 - g4) END', 'monotonicity')}

@@ -304,6 +304,7 @@ def _(spark, d):
 QUERIES["view_available_dates"] = lambda spark, d: V.available(A.panel(spark, d), "date")
 QUERIES["view_ic_summary"] = lambda spark, d: rounded(V.ic_summary(_stats(spark, d), "ret_1", "am", "alpha"))
 QUERIES["view_ic_trend"] = lambda spark, d: rounded(V.trend(_daily(spark, d), "alpha_2m", "date", session="all", ret="ret_1"))
+QUERIES["view_quantile_day"] = lambda spark, d: rounded(V.trend(_buckets(spark, d), "alpha_1m", "sample_time", date="1997"))
 QUERIES["view_plot_lines"] = lambda spark, d: rounded(V.plot_lines(_stats(spark, d)))
 QUERIES["view_monotonicity"] = lambda spark, d: rounded(V.monotonicity(_cum(spark, d)[1], "date"))
 QUERIES["view_pnl"] = lambda spark, d: rounded(V.pnl_stats(_cum(spark, d)[1], "date"))
