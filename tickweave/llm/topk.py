@@ -31,7 +31,7 @@ from tickweave.llm.common import checkpointed, partitions_for, table
 SCALE = 256
 QUERY_BLOCK = 4096  # queries at once
 HEAD = 2048  # vectors the first thresholds come from
-SAMPLE = 8192  # vectors that the rotation is fitted on, about
+SAMPLE = 4096  # vectors that the rotation is fitted on, about
 CHUNK = 512  # vectors at once
 PARTITION_ROWS = 20_000
 LEAD = 0.25  # part of the coordinates in a partial sum
@@ -116,12 +116,19 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
     rows = checkpointed(rows.withColumn("norm", norm))
     total, width = rows.agg(F.count("*"), F.max(F.size("q"))).first()
     width = width or 0
-    lists = lambda found: padded(pa.array([r["q"] for r in found], pa.list_(pa.int64())), width)
+
+    def fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of a bounded number of rows."""
+        got = df.select("vec_id", "q").toArrow()
+        lists = got["q"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
+        return got["vec_id"].to_numpy(), padded(lists, width)
+
     chance = min(1.0, SAMPLE / max(total, 1))
     sample = rows if chance == 1.0 else rows.filter(F.xxhash64("vec_id", F.lit(8)) < F.lit(int((2 * chance - 1) * 2**63)))
-    rotation = np.linalg.svd(lists(sample.select("q").collect()).astype(float), full_matrices=True)[2].T if width and total else np.zeros((0, 0))
-    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "q").collect()
-    head_ids, head = np.array([r["vec_id"] for r in longest], np.int64), lists(longest)
+    fitted = fetched(sample)[1].astype(float)
+    # the right singular vectors, largest first, from the width x width product
+    rotation = np.linalg.eigh(fitted.T @ fitted)[1][:, ::-1]
+    head_ids, head = fetched(rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD))
     banded = rows.repartitionByRange(partitions_for(total, PARTITION_ROWS), F.desc("norm")).sortWithinPartitions(F.desc("norm")).select("vec_id", "q")
 
     asking = checkpointed(rows.filter("asks").groupBy("vec_id").agg(F.min("q").alias("q")))
@@ -129,8 +136,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
     asking = asking.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(blocks)))
     context, found = rows.sparkSession.sparkContext, []
     for b in range(blocks):
-        asked = asking.filter(F.col("block") == b).collect()  # about QUERY_BLOCK / 2 queries
-        block = Block(np.array([r["vec_id"] for r in asked], np.int64), lists(asked), rotation, k)
+        block = Block(*fetched(asking.filter(F.col("block") == b)), rotation, k)  # about QUERY_BLOCK / 2 queries
         block.scan(head_ids, head)
         block.floor = block.threshold.copy()
         block.reset()
