@@ -34,6 +34,7 @@ HEAD = 2048  # vectors the first thresholds come from
 SAMPLE = 4096  # vectors that the rotation is fitted on, about
 CHUNK = 512  # vectors at once
 PARTITION_ROWS = 20_000
+DENSE = 0.02  # of a chunk's pairs: from there on a product of matrices costs less than products of pairs
 LEAD = 0.25  # part of the coordinates in a partial sum
 
 
@@ -69,6 +70,7 @@ class Block:
         rotated = vectors @ rotation
         self.head, self.rest = rotated[:, : self.lead], np.sqrt((rotated[:, self.lead :] ** 2).sum(1))
         self.norm = np.sqrt((vectors.astype(float) ** 2).sum(1))
+        self.largest = float(np.abs(vectors).max(initial=0))
         self.floor = np.full(len(ids), -np.inf)  # nothing below can be among the k best
         self.reset()
 
@@ -88,7 +90,14 @@ class Block:
             rotated = x @ self.rotation
             rest = np.sqrt((rotated[:, self.lead :] ** 2).sum(1))
             bound = self.head[live] @ rotated[:, : self.lead].T + np.outer(self.rest[live], rest) + margin[live, None]
-            q, c = np.nonzero((bound >= self.threshold[live, None]) & (self.ids[live][:, None] != own[None, :]))
+            left = bound >= self.threshold[live, None]
+            if self.largest * float(np.abs(x).max(initial=0)) * max(x.shape[1], 1) < 2**53 and left.mean() > DENSE:
+                # many pairs are left: one product of matrices, exact in doubles
+                full = self.vectors[live].astype(float) @ x.T.astype(float)
+                q, c = np.nonzero((full >= self.threshold[live, None]) & (self.ids[live][:, None] != own[None, :]))
+                self._merge(live[q], own[c], full[q, c].astype(np.int64))
+                continue
+            q, c = np.nonzero(left & (self.ids[live][:, None] != own[None, :]))
             for part in range(0, len(q), 65536):  # of a chunk's pairs
                 row, col = live[q[part : part + 65536]], c[part : part + 65536]
                 score = exact(self.vectors[row], x[col])
