@@ -73,7 +73,7 @@ def test_pairs_and_components_over_shards(spark):
     points = clustered(900, rnd)
     signed = np.array(points, np.uint64).view(np.int64).tolist()
     df = checkpointed(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3))
-    for size in (60, 5):
+    for size in (60, 5, 1):
         roots = {r.node: r.root for r in components(near_pairs(df, 3, size)).collect()}
         expected = brute_components(points)
         label = {}
@@ -82,6 +82,21 @@ def test_pairs_and_components_over_shards(spark):
         assert all(len(v) == 1 for v in label.values()) and len({min(v) for v in label.values()}) == len(label)
 
 
+def test_a_crowded_shard_is_cut(spark):
+    rnd = random.Random(4)
+    points = {0}
+    while len(points) < 500:  # one ball, which a tree can't part well
+        points.add(sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))))
+    points = sorted(points)
+    signed = np.array(points, np.uint64).view(np.int64).tolist()
+    df = checkpointed(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    roots = {r.node: r.root for r in components(near_pairs(df, 3, 10, 16)).collect()}
+    label = {}
+    for p, e in zip(signed, brute_components(points)):
+        label.setdefault(e, set()).add(roots.get(p, p))
+    assert all(len(v) == 1 for v in label.values())
+
+
 def test_documents(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import checkpointed, table, text_or_empty
+from tickweave.llm.common import checkpointed, small_batches, table, text_or_empty
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 SHARD_FINGERPRINTS = 16_384  # residents of a shard, about
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), of(text_or_empty(text_col)).alias("fp"))
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), of(text_or_empty(text_col)).alias("fp"))
 
 
 # A tree is a node: ("leaf", number or fingerprints) or ("node", vantage point, boundary, inner, outer);
@@ -173,14 +173,11 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHAR
             yield pd.DataFrame({"shard": to.astype(np.int32), "fp": p[rows].view(np.int64), "resident": to == home[rows]})
 
     sent = checkpointed(distinct.select("fp").mapInPandas(send, "shard int, fp long, resident boolean"))
-    homes = {r["shard"]: r["n"] for r in sent.filter("resident").groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a shard
-    parts = {s: -(-n // (4 * shard_size)) for s, n in homes.items()}
-    crowded = {s: k for s, k in parts.items() if k > 1}
-    split = F.lit(1)
-    for s, k in crowded.items():
-        split = F.when(F.col("shard") == s, F.lit(k)).otherwise(split)
-    own = F.pmod(F.xxhash64("fp", F.lit(12)), split).cast("int")
-    dealt = sent.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), split - 1)))
+    # parts of a crowded shard; a shard without residents has nothing to find
+    parts = sent.filter("resident").groupBy("shard").agg(F.ceil(F.count("*") / (4 * shard_size)).cast("int").alias("parts"))
+    cut = sent.join(parts.withColumnRenamed("shard", "of"), F.col("shard") == F.col("of"))
+    own = F.pmod(F.xxhash64("fp", F.lit(12)), F.col("parts")).cast("int")
+    dealt = cut.select("shard", "fp", "resident", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = dealt.select("shard", "part", "fp", (F.col("resident") & (F.col("own") == F.col("part"))).alias("resident"))
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
