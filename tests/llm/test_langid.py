@@ -23,7 +23,7 @@ def test_cases(spark):
     train_rows = [(i, t, l) for i in range(12) for t, l in (("the house and the tree", "en"), ("das haus und der baum", "de"))] + [(99, None, "en"), (98, "nichts", None)]
     model = train(spark.createDataFrame(train_rows, "doc_id long, text string, lang string"))
     assert model.languages == ["de", "en"]
-    df = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "12 _ !", 1.0), (4, "der und", 1.0), (5, "trees", 1.0), (6, "the and " * 50000, 1.0), (4, "der und", 1.0)], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "12 _ ! ½ ²", 1.0), (4, "der und", 1.0), (5, "trees", 1.0), (6, "the and " * 50000, 1.0), (4, "der und", 1.0)], "doc_id long, text string, score double")
     got = [(r.doc_id, r.lang_pred, r.score) for r in predict(df, model).collect()]
     assert [g[1] for g in got] == ["und", "und", "und", "de", "en", "en", "de"] and got[0][2] == 0.0 and got[3] == got[6]
     assert predict(df.limit(0), model).count() == 0

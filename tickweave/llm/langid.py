@@ -17,11 +17,10 @@ the language that comes first; a null id is never held out and never trained on;
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tickweave.llm.common import checkpointed, table, text_or_empty
+from tickweave.llm.common import checkpointed, small_batches, table, text_or_empty
 
 SAMPLE_ROWS = 8_000
 LANGUAGES = 64
@@ -38,7 +37,7 @@ GRAMS = 5_000
 ORDERS = (4, 3, 2, 1)
 LEAST_WORD_COUNT = 3
 EVIDENCE = 12
-KEPT_WORDS = 400_000  # words whose scores a worker remembers
+KEPT_WORDS = 150_000  # words whose scores a worker remembers
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -54,39 +53,45 @@ class Model:
     words: dict[str, int]  # row of `table`
     grams: dict[int, dict[str, int]]
     table: np.ndarray  # log frequencies, a column for each language
-    orders: tuple[int, ...] = ORDERS
-    memo: dict = field(default_factory=dict)
 
     def word_scores(self, word: str) -> np.ndarray:
-        row = self.words.get(word)
-        if row is not None:
-            return self.table[row]
-        marked, total, n = f"^{word}$", np.zeros(len(self.languages)), 0
+        """An unseen word: at each place the longest n-gram known."""
+        marked, rows = f"^{word}$", []
         for at in range(len(marked)):
-            for order in self.orders:
+            for order in ORDERS:
                 row = self.grams[order].get(marked[at : at + order]) if at + order <= len(marked) else None
                 if row is not None:
-                    total = total + self.table[row]
-                    n += 1
+                    rows.append(row)
                     break
-        return total / n if n else total
+        return self.table[rows].mean(0) if rows else np.zeros(len(self.languages), np.float32)
+
+
+class Predictor:
+    """A model with a memory of KEPT_WORDS unseen words and their scores."""
+
+    def __init__(self, model: Model):
+        self.model, self.languages = model, model.languages
+        self.index = dict(model.words)
+        self.used = len(model.table)
+        self.table = np.vstack([model.table, np.zeros((KEPT_WORDS, len(model.languages)), np.float32)])
 
     def predict(self, text: str) -> tuple[str, float]:
         counts = Counter(LETTERS.findall(text.lower()))
-        if not counts or not self.languages:
+        # a run may be of numerals alone, like superscripts: a text needs a letter
+        if not self.languages or not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
-        total, n, memo = np.zeros(len(self.languages)), 0, self.memo
-        scores = []
-        for word in counts:
-            s = memo.get(word)
-            if s is None:
-                s = self.word_scores(word)
-                if len(memo) < KEPT_WORDS:
-                    memo[word] = s
-            scores.append(s)
+        words, get = list(counts), self.index.get
+        rows = np.array([get(w, -1) for w in words])
+        scores = self.table[rows]
+        for k in np.flatnonzero(rows < 0).tolist():
+            scores[k] = self.model.word_scores(words[k])
+            if self.used < len(self.table):
+                self.table[self.used] = scores[k]
+                self.index[words[k]] = self.used
+                self.used += 1
         often = np.fromiter(counts.values(), np.float64, len(counts))
-        total, n = often @ np.array(scores), float(often.sum())
-        level = total / n * min(n, EVIDENCE)
+        n = often.sum()
+        level = often @ scores / n * min(n, EVIDENCE)
         odds = np.exp(level - level.max())
         best = int(np.argmax(odds))
         return self.languages[best], float(odds[best] / odds.sum())
@@ -94,7 +99,7 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows with a language; the rows given are those that may be learnt from."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    rows = small_batches(docs).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     n = rows.select("lang").count()
@@ -152,15 +157,19 @@ def _model(languages: list[str], counts: list[tuple[str, int, str, int]]) -> Mod
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add lang_pred and score. The model goes to each executor once. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        model_here = shared.value
+        if not hasattr(model_here, "predictor"):  # a worker's copy keeps its memory of words from task to task
+            model_here.predictor = Predictor(model_here)
+        own = model_here.predictor
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_judged", judge(text_or_empty(text_col))).select(
+    # declared nondeterministic so that no plan has it twice, for a filter and for its result
+    return docs.withColumn("_judged", judge.asNondeterministic()(text_or_empty(text_col))).select(
         *[c for c in docs.columns if c not in ("lang_pred", "score")], "_judged.lang_pred", "_judged.score"
     )
 
