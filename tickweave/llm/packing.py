@@ -19,9 +19,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import bucketed_prefix, checkpointed, partitions_for, table, text_or_empty
+from tickweave.llm.common import bucketed_prefix, checkpointed, partitions_for, small_batches, table, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -37,7 +37,7 @@ TOKENS = 1024
 BUCKET_ROWS = 40_000
 WEIGHTS = (1.0, 0.01, 0.01)
 LOW = 0x240
-KEPT_WORDS = 500_000  # words whose ids a worker remembers
+KEPT_WORDS = 300_000  # words whose ids a worker remembers
 
 
 @cache
@@ -69,11 +69,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.split = _split_pattern().findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        encode = lambda w: tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
+        encode = self.tokenizer.encode
 
-        class Words(dict):
+        class Words(dict):  # ids as bytes: a third of the room of tuples of numbers
             def __missing__(self, word):
-                ids = encode(word)
+                ids = array("I", encode(word, add_special_tokens=False).ids).tobytes()
                 if len(self) < KEPT_WORDS and len(word) <= 64:
                     self[word] = ids
                 return ids
@@ -84,7 +84,7 @@ class Encoder:
         raw = np.frombuffer(text.encode(), np.uint8)
         if (len(raw) and raw.max() >= 0xC9) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, self.split(text))), np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.uint32)
 
 
 def token_pieces(
@@ -113,7 +113,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(cut, out)
+    return small_batches(docs).select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(cut, out)
 
 
 def vector_best_fit(
