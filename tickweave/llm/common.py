@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,40 @@ def partitions_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session hand texts to Python in batches of bounded size, so that a worker's memory doesn't follow the length of its texts."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(f"spark.sql.execution.arrow.{key}")).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def span_text(spans: Column) -> Column:
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def byte_runs(sizes: list[int], limit: int) -> Iterator[range]:
+    """Runs of neighbouring rows whose sizes add up to about `limit`, one row at least: what a task works on at once."""
+    begin = total = 0
+    for k, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield range(begin, k)
+            begin, total = k, 0
+        total += n
+    if begin < len(sizes):
+        yield range(begin, len(sizes))
+
+
 def bucketed_prefix(
     df: DataFrame, groups: list[str], bucket: str, order: list[Column], weight: str | None, out: str
 ) -> DataFrame:

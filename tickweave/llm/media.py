@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import table, text_or_empty
+from tickweave.llm.common import byte_runs, small_batches, table, text_or_empty
 
 UNIT = 576  # nine blocks
 WIDE = 3  # blocks in a row, unless the image would be too high
@@ -392,18 +392,6 @@ def restore(image: Image) -> bytes:
 # ---- Spark
 
 
-def _batches(sizes: list[int]) -> Iterator[range]:
-    """Runs of rows of about BATCH_BYTES together, one row at least."""
-    begin = total = 0
-    for k, n in enumerate(sizes):
-        if total and total + n > BATCH_BYTES:
-            yield range(begin, k)
-            begin, total = k, 0
-        total += n
-    if begin < len(sizes):
-        yield range(begin, len(sizes))
-
-
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text as UTF-8, filled up with bytes 255 to a positive multiple of 576, as a JPEG. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -411,12 +399,12 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [t.as_py().encode() for t in batch.column(1)]
-            for part in _batches([len(r) for r in raw]):
+            for part in byte_runs([len(r) for r in raw], BATCH_BYTES):
                 payloads = [raw[k] + b"\xff" * (max(UNIT, -(-len(raw[k]) // UNIT) * UNIT) - len(raw[k])) for k in part]
                 ids = batch.column(0).slice(part.start, len(part))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(raw[k]) for k in part], pa.int64()), pa.array(store(payloads), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(put, f"doc_id {kind}, n_bytes long, media binary")
+    return small_batches(docs).select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(put, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
@@ -427,7 +415,7 @@ def media_features(stored: DataFrame) -> DataFrame:
         for batch in batches:
             media = [m.as_py() for m in batch.column(2)]
             rows = []
-            for part in _batches([len(m) for m in media]):
+            for part in byte_runs([len(m) for m in media], BATCH_BYTES):
                 for k, image in zip(part, decode([media[k] for k in part])):
                     payload, small = restore(image), image.thumbnail()
                     feature = f"{image.width}x{image.height}:{small.shape[1]}x{small.shape[0]}:{thumbnail_hash(small)}"

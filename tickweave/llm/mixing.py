@@ -73,7 +73,7 @@ def deal(
     dealt: an array of (pass, finish, take): the virtual finish time of each deal that begins before time 1 and the words it takes.
     """
     text = text_or_empty("text")
-    sized = docs.withColumns(
+    sized = docs.drop("source_size", "target", "dealt").withColumns(
         {
             "size": word_count(text) if size is None else size,
             "_order": F.xxhash64(F.col("doc_id"), F.lit(seed)),

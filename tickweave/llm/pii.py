@@ -19,11 +19,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tickweave.llm.common import checkpointed, table, text_or_empty
+from tickweave.llm.common import checkpointed, small_batches, span_text, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, SMOOTH, CONFIDENT, SUPPORT = 3, 0.5, 0.8, 3.0
@@ -127,7 +127,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rows.append([{"kind": k, "start": s, "end": e, "pattern": pattern_before(text, s), "instance": text[s:e]} for k, s, e in spans])
         return pd.Series(rows)
 
-    seen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), see(text_or_empty(text_col)).alias("seen"))
+    seen = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), see(text_or_empty(text_col)).alias("seen"))
     return checkpointed(seen)
 
 
@@ -169,10 +169,6 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select("doc_id", "base", every.alias("spans"))
 
 
-def span_text(spans: Column) -> Column:
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-
-
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

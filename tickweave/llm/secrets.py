@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.automata import Automaton
-from tickweave.llm.common import table, text_or_empty
+from tickweave.llm.common import byte_runs, small_batches, span_text, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,7 @@ MORE_RULES = [
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 ]
+AT_ONCE = 4_000_000  # characters laid out together; a longer text is laid out alone
 PIECE = 256  # bytes; pieces are cut at the first possible place after this many
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -60,6 +61,9 @@ class Scanner:
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """For each text (kind, start, end) in code points, by start, then in the order of the rules."""
+        return [found for run in byte_runs([len(t) for t in texts], AT_ONCE) for found in self._spans(texts[run.start : run.stop])]
+
+    def _spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         raw = [t.encode() for t in texts]
         out: list[list] = [[] for _ in texts]
         data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)  # this byte is in no text and in no rule
@@ -94,31 +98,22 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: list[Rule] | No
             spans = scanner.spans(texts.tolist())
             yield pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans])
 
-    return docs.withColumn(out, scan(text_or_empty(text_col)))
+    # declared nondeterministic so that no plan has it twice, for a filter and for its result
+    return small_batches(docs).withColumn(out, scan.asNondeterministic()(text_or_empty(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "secrets") -> DataFrame:
-    """Put [kind] in place of every span; spans that overlap count as one, named after the first. Other texts stay as they are."""
-
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        done = []
-        for text, found in zip(texts, spans):
-            parts, at = [], 0
-            for s in sorted(found, key=lambda s: s["start"]):
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], f"[{s['kind']}]"]
-                at = max(at, s["end"])
-            done.append("".join(parts) + text[at:])
-        return pd.Series(done, dtype=object)
-
-    new = F.when(F.size(spans_col) > 0, rewrite(text_or_empty(text_col), F.col(spans_col))).otherwise(F.col(text_col))
-    return docs.withColumn(text_col, new)
-
-
-def span_text(spans: Column) -> Column:
-    """kind:start:end, comma-joined."""
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    """Put [kind] in place of every span; spans that overlap count as one, named after the first. spans_col is by start; texts without spans stay as they are."""
+    text = text_or_empty(text_col)
+    part = lambda low, high: text.substr((low + 1).cast("int"), (high - low).cast("int"))
+
+    def step(done: Column, s: Column) -> Column:
+        new = F.concat(done["out"], part(done["at"], s["start"]), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.when(s["start"] >= done["at"], new).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    new = F.aggregate(spans_col, begin, step, lambda done: F.concat(done["out"], part(done["at"], F.length(text).cast("long"))))
+    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, new).otherwise(F.col(text_col)))
 
 
 def op9_secret_scans(spark, sf_dir: str) -> DataFrame:

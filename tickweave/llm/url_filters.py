@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import table
+from tickweave.llm.common import small_batches, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -185,7 +185,7 @@ def judge_urls(
 
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "glob_rule", "verdict")]
-    split = pages.select(*kept, host_column(url).alias("host"), path_column(url).alias("path"))
+    split = small_batches(pages).select(*kept, host_column(url).alias("host"), path_column(url).alias("path"))
     judged = split.withColumn("_judged", decide(F.concat(F.lit("."), "host", "path")))
     return judged.select(*kept, "host", "path", *[F.col(f"_judged.{c}").alias(c) for c in ("rule", "glob_rule", "verdict")])
 
