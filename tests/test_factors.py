@@ -168,3 +168,20 @@ def test_registry_and_summary(spark):
     del FACTORS["twice"]
     with pytest.raises(KeyError):
         run_factor(df, "none")
+
+
+@pytest.mark.parametrize("n, w", [(12_000, 40), (9_200, 4_500)])
+def test_rigidity_in_long_partitions_and_windows(spark, n, w):
+    p = make(n, gaps=0.02)
+    got = run(spark, p, "rigidity", {"w": w})["rigidity_w"]
+    for t in (w - 1, w, 2 * w - 1, 2 * w, n - 2, n - 1):
+        y = p.Price.astype(float)[t - w + 1 : t + 1].to_numpy()
+        x = np.arange(w)[~np.isnan(y)]
+        y = y[~np.isnan(y)]
+        if 10 * (w - len(y)) > w:
+            assert pd.isna(got[t])
+            continue
+        c, b, a = np.polyfit(x, y, 2)
+        r2 = 1 - ((y - a - b * x - c * x * x) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+        want = b * r2 * math.log(1 / (abs(c) + 1e-8))
+        assert abs(got[t] - want) < 1e-5 * max(1.0, abs(want))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -154,25 +155,53 @@ def amp_slice(df: DataFrame, windows: Windows, by: By, order: str, group: int =
 # ---- shape of the price path (OP-48)
 
 
+def _block_sums(df: DataFrame, w: int, by: By, order: str) -> DataFrame:
+    """Add _place, the row in its block of w rows, and over the last w rows the sums _x0.._x4 of the powers of the valid rows' places and _z0.._z2, those times _z.
+
+    The last w rows are this block's so far and the end of the block before, whose places are less by w.
+    """
+    whole = "long" if w <= 4000 else "decimal(38,0)"
+    df = df.withColumns({"_block": F.col("_pos") - F.col("_pos") % w, "_place": (F.col("_pos") % w).cast(whole)})
+    power = [F.lit(1).cast(whole)]
+    for _ in range(4):
+        power.append(power[-1] * F.col("_place"))
+    values = {f"_x{k}": F.when(F.col("_z").isNotNull(), p).otherwise(F.lit(0).cast(whole)) for k, p in enumerate(power)}
+    values |= {f"_z{k}": F.coalesce(F.col("_z") * p, F.lit(0.0)) for k, p in enumerate(power[:3])}
+    block = [*by, "_block"]
+    df = df.withColumns({f"_so{k}": F.sum(v).over(growing(block, order)) for k, v in values.items()})
+    df = df.withColumns({f"_rest{k}": F.sum(v).over(W.partitionBy(*block)) - F.col(f"_so{k}") for k, v in values.items()})
+    df = df.withColumns({f"_end{k}": F.coalesce(F.lag(f"_rest{k}", w).over(rows_of(by, order)), F.lit(0)) for k in values})
+    back = F.lit(-w).cast(whole)
+    for c, most in (("x", 4), ("z", 2)):
+        for k in range(most + 1):
+            moved = add_up(*[F.lit(comb(k, i)) * _power(back, k - i) * F.col(f"_end_{c}{i}") for i in range(k + 1)])
+            df = df.withColumn(f"_{c}{k}", F.col(f"_so_{c}{k}") + moved)
+    return df
+
+
+def _power(value: Column, k: int) -> Column:
+    out = F.lit(1)
+    for _ in range(k):
+        out = out * value
+    return out
+
+
 def rigidity(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
     """OP-48: b R^2 ln(1 / (|c| + 1e-8)) of the fit P = a + b x + c x^2 over the valid ticks, x the row in the window.
 
-    Running sums of the row number's powers are whole numbers, exact for partitions of up to 5,000 rows; prices are taken less the first one.
+    Powers count rows from the start of a block of w rows, so their sums stay small in partitions of any length: whole numbers, exact as
+    longs for windows of up to 4,000 rows and as decimals beyond. Prices are taken less the first one.
     """
     before, ws = df.columns, list(windows.values())
     df = _prepared(df, by, order, _p=F.when(F.col("CanUsePrice"), F.col("Price")))
     df = df.withColumn("_z", F.col("_p") - F.first("_p", ignorenulls=True).over(growing(by, order)))
-    valid, j = F.col("_z").isNotNull(), F.col("_pos").cast("long")
-    powers = [F.lit(1).cast("long"), j, j * j, j * j * j, j * j * j * j]
-    inputs = {f"_x{k}": (F.when(valid, p), ws) for k, p in enumerate(powers)}
-    inputs |= {f"_z{k}": (F.col("_z") * p, ws) for k, p in enumerate(powers[:3])}
-    inputs |= {"_zz": (F.col("_z") * F.col("_z"), ws), "_n": (count_of(F.col("CanUsePrice")), ws), "_l": (count_of(F.col("_limit")), ws)}
-    df = rolling_sums(df, by, order, inputs)
+    df = rolling_sums(df, by, order, {"_zz": (F.col("_z") * F.col("_z"), ws), "_n": (count_of(F.col("CanUsePrice")), ws), "_l": (count_of(F.col("_limit")), ws)})
     out = {}
     for label, w in windows.items():
-        s = (F.col("_pos") - (w - 1)).cast("long")
-        t = {k: F.col(f"_x{k}_{w}") for k in range(5)}
-        y = {k: F.col(f"_z{k}_{w}") for k in range(3)}
+        df = _block_sums(df, w, by, order)
+        s = F.col("_place") - (w - 1)
+        t = {k: F.col(f"_x{k}") for k in range(5)}
+        y = {k: F.col(f"_z{k}") for k in range(3)}
         # powers of x = j - s
         n = t[0]
         x1 = t[1] - s * t[0]
