@@ -105,3 +105,14 @@ def test_views_f26(spark):
     assert [r.a for r in V.search(meta, "PRESS|xyz").collect()] == ["bap"]
     names = spark.createDataFrame([("bap_15m",), ("bap_5m",), ("x",)], "n string")
     assert [r.n for r in names.orderBy(V.natural_order(F.col("n"))).collect()] == ["x", "bap_5m", "bap_15m"]
+
+
+def test_returns_come_from_the_first_table_that_has_them(spark):
+    from tickweave.operators.quantiles import with_returns
+
+    one = spark.createDataFrame([("d1", "s", 0.1, 1.0)], "date string, security_id string, r double, f double")
+    two = spark.createDataFrame([("d1", "s", 0.9, 2.0), ("d2", "s", 0.2, 3.0)], "date string, security_id string, r double, g double")
+    three = spark.createDataFrame([("d3", "s", 0.3, 4.0), ("d2", "s", 0.8, 5.0)], "date string, security_id string, r double, h double")
+    got = with_returns([one, two, three], ["date", "security_id"], ["r"])
+    assert sorted(got.columns) == ["date", "f", "g", "h", "r", "security_id"]
+    assert {x.date: (x.r, x.f, x.g, x.h) for x in got.collect()} == {"d1": (0.1, 1.0, 2.0, None), "d2": (0.2, None, 3.0, 5.0), "d3": (0.3, None, None, 4.0)}

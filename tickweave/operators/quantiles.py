@@ -135,8 +135,11 @@ def composite_deciles(scored: DataFrame, ret: str, at: list[str], security: str,
 
 
 def with_returns(factors: list[DataFrame], keys: list[str], returns: list[str]) -> DataFrame:
-    """OP-77: factor tables side by side on their keys; returns come from the first."""
+    """OP-77: factor tables side by side on their keys; returns come from the first table, in their order, that has them."""
     out = factors[0]
     for df in factors[1:]:
-        out = out.join(df.drop(*[c for c in df.columns if c in returns or (c in out.columns and c not in keys)]), keys, "full")
+        df = df.drop(*[c for c in df.columns if c in out.columns and c not in [*keys, *returns]])
+        both = [c for c in returns if c in df.columns and c in out.columns]
+        df = df.withColumnsRenamed({c: f"_later_{c}" for c in both})
+        out = out.join(df, keys, "full").withColumns({c: F.coalesce(c, f"_later_{c}") for c in both}).drop(*[f"_later_{c}" for c in both])
     return out
