@@ -114,3 +114,30 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     rows = sorted(spark.table("bars").collect(), key=lambda r: r.start)
     assert [(r.open, r.high, r.low, r.close, r.ticks) for r in rows] == [(0.0, 3.0, 0.0, 3.0, 4), (4.0, 7.0, 4.0, 7.0, 4), (8.0, 9.0, 8.0, 9.0, 2)]
+
+
+def test_all_horizons_and_kinds(spark, raw, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    run = Run(spark, root, PARAMS, factor="bap", windows={"4t": 4, "8t": 8})
+    run.sample(str(raw))
+    for stage in ("clean", "base", "factors", "cs_ic", "ts_ic", "ic_stats", "cs_quantile"):
+        getattr(run, stage)()
+    rets = {"ret_fwd_1", "ret_fwd_2"}
+    sums = {}
+    for table in ("", "_daily", "_summary", "_cum_tick", "_cum_daily"):
+        df = run.read(f"quantile_bap{table}", True)
+        assert {r.ret: r.n for r in df.groupBy("ret").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(rets, df.count() // 2)
+    for ret in rets:  # the second horizon's portfolios are its own
+        sums[ret] = run.read("quantile_bap", True).filter(F.col("ret") == ret).agg(F.sum("g1")).first()[0]
+    assert len(set(sums.values())) == 2 and None not in sums.values()
+    monkeypatch.setattr(cli, "Run", lambda spark, root, days, factor: Run(spark, root, PARAMS, days, factor))
+    for stage in ("ic_plot", "cs_quantile_chart"):
+        assert cli.main([stage, "--root", root]) == 0
+    chart = run.read("cs_quantile_chart_bap", True)
+    assert {(r.ret, r["count"]) for r in chart.groupBy("ret").count().collect()} == {(r, 200) for r in rets}
+    assert chart.filter("x > 99").count() == 0
+    lines = run.read("ic_plot_bap", True)
+    assert {(r.ic_type, r.ret, r["count"]) for r in lines.groupBy("ic_type", "ret").count().collect()} == {(k, r, 12) for k in ("CS", "TS") for r in rets}
+    run.multi_factor_quantile(0.0)
+    for ret in rets:
+        assert run.read(f"composite_{ret}_chart", True).count() == 100

@@ -11,6 +11,9 @@ from tickweave.plans.stages import Run
 
 STAGES = ["sample", "clean", "base", "factors", "cs_ic", "ts_ic", "ic_stats", "ic_plot", "cs_quantile", "cs_quantile_chart", "multi_factor_quantile"]
 
+#: Stages whose method of that name gives one part; the command line writes all parts.
+WHOLE = {"ic_plot": "ic_plots", "cs_quantile_chart": "cs_quantile_charts"}
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tickweave", description="Tick factors from raw snapshots to evaluated portfolios.")
@@ -30,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     builder = SparkSession.builder.appName(f"tickweave {a.stage}").config("spark.sql.session.timeZone", "UTC")
     spark = (builder.master(f"local[{a.workers}]") if a.workers else builder).getOrCreate()
     run = Run(spark, a.root, days=[a.date] if a.date else None, factor=a.factor)
-    stage = getattr(run, a.stage)
+    stage = getattr(run, WHOLE.get(a.stage, a.stage))
     arguments = {"sample": (a.raw,), "clean": (a.overrides,), "multi_factor_quantile": (a.threshold,)}.get(a.stage, ())
     out = stage(*arguments)
     if out is not None:

@@ -6,6 +6,9 @@ Tables are Parquet, by date where they have one; a stage replaces only the days
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ AT = ["date", "sample_time"]
 META = ["date", "sample_time", "security_id", "market", "tick_idx"]
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 class Run:
     def __init__(self, spark: SparkSession, root: str, params: Params = Params(), days: list[str] | None = None, factor: str = "bap", windows: dict | None = None):
         self.spark, self.root, self.p, self.days, self.factor, self.windows = spark, root, params, days, factor, windows
@@ -103,27 +110,47 @@ class Run:
         stats = self.read("cs_ic_stats").filter(F.col("factor_name") == self.factor)
         return V.plot_lines(stats)
 
+    def ic_plots(self) -> DataFrame:
+        """OP-91 for both kinds of coefficients, told apart by ic_type."""
+        kinds = [self.read(f"{k}_ic_stats").filter(F.col("factor_name") == self.factor) for k in ("cs", "ts")]
+        return union_all([V.plot_lines(df).withColumn("ic_type", F.lit(k)) for df, k in zip(kinds, ("CS", "TS"))])
+
     # ---- quantiles and composites
 
     def _curves(self, buckets: DataFrame, name: str, q: int, count: str | None = None) -> None:
-        self.write(Q.daily_means(buckets, "date", q), f"{name}_daily", [])
-        self.write(Q.overall_means(Q.daily_means(buckets, "date", q), q), f"{name}_summary", [])
-        self.write(Q.cumulative_ticks(buckets, "date", "sample_time", q), f"{name}_cum_tick")
-        self.write(Q.cumulative_days(buckets, "date", q, count), f"{name}_cum_daily", [])
+        def each(of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            if "ret" not in buckets.columns:
+                return of(buckets)
+            return self._each_ret(lambda ret: of(buckets.filter(F.col("ret") == ret).drop("ret")))
+
+        self.write(each(lambda b: Q.daily_means(b, "date", q)), f"{name}_daily", [])
+        self.write(each(lambda b: Q.overall_means(Q.daily_means(b, "date", q), q)), f"{name}_summary", [])
+        self.write(each(lambda b: Q.cumulative_ticks(b, "date", "sample_time", q)), f"{name}_cum_tick")
+        self.write(each(lambda b: Q.cumulative_days(b, "date", q, count)), f"{name}_cum_daily", [])
 
     def cs_quantile(self) -> None:
+        """One table for all horizons, told apart by ret."""
         df = self.read(f"factor_{self.factor}")
-        ret = f"ret_fwd_{self.p.horizons[0]}"
-        name = f"quantile_{self.factor}"
-        self.write(Q.bucket_returns(df, factor_columns(df, self.factor), ret, AT, "security_id", self.p.quantiles), name)
+        name, factors = f"quantile_{self.factor}", factor_columns(df, self.factor)
+        self.write(self._each_ret(lambda ret: Q.bucket_returns(df, factors, ret, AT, "security_id", self.p.quantiles)), name)
         self._curves(self.read(name, True), name, self.p.quantiles)
 
-    def cs_quantile_chart(self, q: int | None = None) -> DataFrame:
-        """OP-72, OP-92: what the charts show."""
-        name = f"quantile_{self.factor}"
-        q = q or self.p.quantiles
-        stitched = Q.stitched_ticks(self.read(f"{name}_cum_tick", True), self.read(f"{name}_cum_daily", True), "date", "sample_time", q)
-        return Q.chart_curve(stitched, "date", "sample_time")
+    def cs_quantile_chart(self, q: int | None = None, ret: str | None = None) -> DataFrame:
+        """OP-72, OP-92: what the charts of one horizon show, the first by default."""
+        ret = ret or f"ret_fwd_{self.p.horizons[0]}"
+        return self._chart(f"quantile_{self.factor}", q or self.p.quantiles, ret)
+
+    def cs_quantile_charts(self, q: int | None = None) -> DataFrame:
+        """The charts of all horizons, told apart by ret."""
+        return self._each_ret(lambda ret: self.cs_quantile_chart(q, ret))
+
+    def _each_ret(self, of: Callable[[str], DataFrame]) -> DataFrame:
+        return union_all([of(ret).withColumn("ret", F.lit(ret)) for ret in (f"ret_fwd_{h}" for h in self.p.horizons)])
+
+    def _chart(self, name: str, q: int, ret: str | None = None) -> DataFrame:
+        of_ret = lambda df: df.filter(F.col("ret") == ret).drop("ret") if ret else df
+        ticks, days = of_ret(self.read(f"{name}_cum_tick", True)), of_ret(self.read(f"{name}_cum_daily", True))
+        return Q.chart_curve(Q.stitched_ticks(ticks, days, "date", "sample_time", q), "date", "sample_time")
 
     def multi_factor_quantile(self, threshold: float | None = None) -> None:
         threshold = self.p.ic_threshold if threshold is None else threshold
@@ -141,3 +168,4 @@ class Run:
             name = f"composite_{ret}"
             self.write(deciles.withColumn("factor_col", F.lit("composite")), name)
             self._curves(self.read(name, True), name, self.p.deciles, "g1")
+            self.write(self._chart(name, self.p.deciles), f"{name}_chart", [])
