@@ -9,10 +9,10 @@ import duckdb
 import numpy as np
 import pytest
 
+import test_packing
 import test_pii
 import test_secrets
 import test_simhash
-from tickweave.llm.packing import Encoder
 from tickweave.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -53,13 +53,13 @@ def test_op3(spark, texts):
 
 
 def test_op4(spark, texts):
-    e, seen, fill = Encoder(), defaultdict(list), Counter()
+    seen, fill = defaultdict(list), Counter()
     rows = rows_of(spark, "op4_")
     for r in rows:
         seen[r.doc_id].append(r)
         fill[r.sequence_id] += r.length
     for i, t in texts.items():
-        ids = np.append(e.ids(t), 2).astype("<u4")
+        ids = np.append(test_packing.plain_ids(t), 2).astype("<u4")
         at = 0
         for r in sorted(seen[i], key=lambda r: r.piece):
             assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())

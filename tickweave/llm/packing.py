@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences under several capacities.
 
 Tokenizing: each document's ids and an end id; longer ones than a sequence are cut, the short piece first. Each piece is a vector:
-its tokens, one piece, and its attention cost (tokens squared).
+its tokens, one piece, and its attention cost (tokens squared). By default a sequence may hold as many pieces and as much attention as its
+tokens allow (the query wants as few sequences as can be), so tokens bind alone; pack() takes tighter capacities.
 
 Vector best-fit: pieces in order of falling length; each goes to the open sequence that it fits into under every
 capacity and whose residual, after it, is best: least weighted norm (`norm`), or largest weighted dot product of piece and
@@ -16,89 +17,125 @@ are read whole; an empty table gives an empty result; further columns are not ca
 
 from __future__ import annotations
 
-import re
-import unicodedata
+import base64
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import bucketed_prefix, checkpointed, partitions_for, small_batches, table, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"  # the same vocabulary
 END_ID = 2
 TOKENS = 1024
 BUCKET_ROWS = 40_000
 WEIGHTS = (1.0, 0.01, 0.01)
-LOW = 0x240
-KEPT_WORDS = 300_000  # words whose ids a worker remembers
+LONG_WORD = 1000  # bytes from which a word goes to the tokenizer alone
+#: White space as the tokenizer's pattern has it, and the separators \x1C to \x1F, which only make the tests below stricter.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space around a space (or before one that ends the text): there the pattern does not begin a new part at the space.
+JOINED = rf"{WHITE}\x20(?:{WHITE}|\z)"
 
 
 @cache
-def _split_pattern() -> re.Pattern:
-    """The tokenizer's pattern for texts below U+0240, with its classes of characters spelled out."""
-    of = lambda kind: "".join(re.escape(chr(c)) for c in range(LOW) if unicodedata.category(chr(c))[0] == kind)
-    letters, numbers, white = of("L"), of("N"), "\\t-\\r\\x20\\x85\\xa0"
-    parts = ["'(?:s|t|re|ve|m|ll|d)", f" ?[{letters}]++", f" ?[{numbers}]++", f" ?[^{white}{letters}{numbers}]++", f"[{white}]+(?![^{white}])", f"[{white}]+"]
-    return re.compile("|".join(parts))
-
-
-@cache
-def encoder(name: str) -> Encoder:
-    """One for each worker process, which keeps its memory of words from task to task."""
-    return Encoder(name)
+def encoder(name: str, ranks: str) -> Encoder:
+    """One for each worker process."""
+    return Encoder(name, ranks)
 
 
 class Encoder:
-    """ids as the tokenizer gives them, with a memory of words.
+    """ids as the tokenizer gives them, for a batch of texts at once.
 
-    The tokenizer splits a text by a pattern and merges within each part, so parts seen before need no merging. That way is taken for
-    texts below U+0240 without special tokens, where the pattern means the same here; all others go to the tokenizer whole.
+    The tokenizer's pattern begins a new part at every space, but where there is white space on both sides of it (JOINED), and merges only
+    within parts. So a text's ids are those of its words (what lies between spaces), each with the space before it. The distinct words of a
+    batch are encoded in one go, by the same vocabulary's ranks, and gathered by array operations. Texts with joined spaces or special tokens, and
+    very long words, go to the tokenizer itself.
     """
 
-    def __init__(self, name: str = TOKENIZER):
+    def __init__(self, name: str = TOKENIZER, ranks: str = RANKS):
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.split = _split_pattern().findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        encode = self.tokenizer.encode
-
-        class Words(dict):  # ids as bytes: a third of the room of tuples of numbers
-            def __missing__(self, word):
-                ids = array("I", encode(word, add_special_tokens=False).ids).tobytes()
-                if len(self) < KEPT_WORDS and len(word) <= 64:
-                    self[word] = ids
-                return ids
-
-        self.words = Words()
-
-    def ids(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        if (len(raw) and raw.max() >= 0xC9) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.uint32)
+        with open(public_tokenizers.path(ranks)) as lines:
+            table_ = {base64.b64decode(token): int(rank) for token, rank in map(str.split, lines)}
+        self.by_ranks = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
+        self.opens = np.zeros(max(table_.values()) + 1, bool)  # tokens that begin with a space: only the first one of a word
+        self.opens[[rank for token, rank in table_.items() if token[:1] == b" "]] = True
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, each with a space before it, where a word begins, how many it has)."""
+        # a word that begins with white space could join with the space before it and what ends the word before
+        apart = pc.or_(pc.match_substring_regex(words, rf"\A(?:{WHITE}|\z)"), pc.greater(pc.binary_length(words), LONG_WORD)).to_numpy(zero_copy_only=False)
+        rest = words.filter(pa.array(~apart))
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest), " ")[0].as_py()
+        ids = np.array(self.by_ranks.encode_ordinary(f" {line}") if len(rest) else [], np.uint32)
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = np.flatnonzero(self.opens[ids])
+        begin[~apart], size[~apart] = at, np.diff(np.append(at, len(ids)))
+        odd = self._alone([f" {w}" for w in words.filter(pa.array(apart)).to_pylist()])
+        size[apart] = [len(x) for x in odd]
+        begin[apart] = len(ids) + np.cumsum(size[apart]) - size[apart]
+        return np.concatenate([ids, *odd]), begin, size
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not len(texts):
+            return []
+        whole = pc.match_substring_regex(texts, JOINED)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        unique = split.flatten().dictionary_encode()
+        number, first = unique.indices.to_numpy(), (offsets - offsets[0])[:-1]
+        pool, begin, size = self._words(unique.dictionary)
+        begin, size = begin[number], size[number]
+        # the first words have no space before them
+        openings, place = np.unique(number[first], return_inverse=True)
+        opening = unique.dictionary.take(pa.array(openings)).to_pylist()
+        short = [len(w) <= LONG_WORD for w in opening]
+        long_ones = iter(self._alone([w for w, s in zip(opening, short) if not s]))
+        own = [np.array(self.by_ranks.encode_ordinary(w), np.uint32) if s else next(long_ones) for w, s in zip(opening, short)]
+        lengths = np.array([len(x) for x in own], np.int64)
+        begin[first], size[first] = (len(pool) + np.cumsum(lengths) - lengths)[place], lengths[place]
+        pool = np.concatenate([pool, *own])
+        ends = np.cumsum(size)
+        flat = pool[np.arange(int(ends[-1])) + np.repeat(begin - (ends - size), size)]
+        bound = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+        out = [flat[a:b] for a, b in zip(bound, bound[1:])]
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        for k, ids in zip(at, self._alone([texts[k].as_py() for k in at])):
+            out[k] = ids
+        return out
 
 
 def token_pieces(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, tokens: int = TOKENS, with_ids: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, ranks: str = RANKS, end_id: int = END_ID, tokens: int = TOKENS, with_ids: bool = False
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): a row for each piece; ids as little-endian unsigned 32-bit numbers. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer).ids
+        ids_of, end = encoder(tokenizer, ranks).ids, np.array([end_id], "<u4")
         for batch in batches:
             row, piece, start, length, crc, ids_out = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                ids = np.append(ids_of(text.as_py()), np.uint32(end_id)).astype("<u4")
+            for k, text_ids in enumerate(ids_of(batch.column(1))):
+                ids = np.concatenate([text_ids, end]).astype("<u4", copy=False)
                 first = (len(ids) - 1) % tokens + 1
                 bounds = [0, *range(first, len(ids) + 1, tokens)]
                 for j, (a, b) in enumerate(zip(bounds, bounds[1:])):
