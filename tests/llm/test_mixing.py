@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from tickweave.llm.mixing import deal, mix, op7_mixing, word_count
+from tickweave.llm.mixing import PACKETS, SEED, deal, mix, word_count
 from pyspark.sql import functions as F
 
 
@@ -20,23 +20,49 @@ def brute_targets(sizes):
         stopped |= set(over)
 
 
-def run(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, extra int")
-    got = deal(df).collect()
-    assert len(got) == len(rows)
+def brute_takes(spark, rows, parts=PACKETS, tie=None):
+    """Plain weighted fair queueing: {row: words} of the packets in order of finish time, up to the budget."""
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    sizes = defaultdict(int)
-    for _, t, s, *_ in rows:
-        sizes[s] += words(t)
-    targets = brute_targets(sizes) if rows else {}
-    taken = defaultdict(int)
+    df = spark.createDataFrame([(k, r[0], tie[k] if tie else r[1], r[2]) for k, r in enumerate(rows)], "k long, doc_id long, text string, source string")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    order = {r.k: (r.o, r.doc_id is not None, r.doc_id, r.t) for r in df.select("k", "doc_id", h.alias("t"), F.xxhash64("doc_id", h, F.lit(SEED)).alias("o")).collect()}
+    size = [words(r[1]) for r in rows]
+    sources = defaultdict(list)
+    for k, r in enumerate(rows):
+        sources[r[2]].append(k)
+    budget, all_packets = sum(size), []
+    target = brute_targets({s: sum(size[k] for k in ks) for s, ks in sources.items()})
+    packet = max(1, -(-budget // parts))
+    for s, ks in sources.items():
+        at = 0
+        for _ in range(3):
+            for k in sorted(ks, key=lambda k: order[k]):
+                for low in range(0, size[k], packet):
+                    n = min(packet, size[k] - low)
+                    all_packets.append(((at + n) / target[s], s is None, s or "", at, k, n))
+                    at += n
+    takes = [0] * len(rows)
+    for *_, k, n in sorted(all_packets):
+        n = min(n, budget)
+        takes[k] += n
+        budget -= n
+    return takes, target, packet
+
+
+def run(spark, rows, parts=PACKETS):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, extra int")
+    got = deal(df, parts=parts).collect()
+    takes, targets, packet = brute_takes(spark, rows, parts)
+    want = sorted(((r[0] or -1, r[2] or "", n) for r, n in zip(rows, takes)))
+    assert sorted((r.doc_id or -1, r.source or "", sum(d["take"] for d in r.dealt)) for r in got) == want
+    taken, sizes = defaultdict(int), defaultdict(int)
     for r in got:
-        assert r.size == words(r.text) and r.source_size == sizes[r.source]
-        assert abs(r.target - targets[r.source]) < 1e-9 * max(1, r.target)
-        assert sum(d["take"] for d in r.dealt) <= 3 * r.size and all(0 < d["take"] <= r.size for d in r.dealt)
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) and abs(r.target - targets[r.source]) < 1e-9 * max(1, r.target)
+        assert all(0 < d["take"] <= r.size for d in r.dealt)
         taken[r.source] += sum(d["take"] for d in r.dealt)
-    for s, t in targets.items():
-        assert abs(taken[s] - t) <= 0.5, (s, taken[s], t)
+        sizes[r.source] += r.size
+    assert sum(taken.values()) == sum(sizes.values()) and all(r.source_size == sizes[r.source] for r in got)
+    assert all(abs(taken[s] - t) <= packet * len(targets) for s, t in targets.items())
     return df, got
 
 
@@ -47,6 +73,7 @@ def test_targets_and_takes(spark):
         s = rnd.choice(["a", "b", "c", "d", "é", "\U0001f600", "￮", None, "tiny"]) if i % 3 else "hot"
         n = 1 if s == "tiny" else rnd.choice([0, 1, 3, 50, 400])
         rows.append((i, " \t".join("w" * (1 + k % 3) for k in range(n)) if n else rnd.choice([None, "", " \n"]), s, "clash", 1))
+    run(spark, rows, 100)
     df, got = run(spark, rows)
     order = [(r.doc_id, r["pass"], r.take) for r in mix(deal(df)).collect()]
     assert order == [(r.doc_id, r["pass"], r.take) for r in mix(deal(df.repartition(7))).collect()]

@@ -5,19 +5,23 @@ PASSES times its source's size, and what is left over is shared among the others
 the level L at which sum(min(PASSES * size, L * weight)) equals all words; in order of size / weight the sources that stop
 come first, so L comes from running sums over the table of sources.
 
-Queueing: each source deals its documents in a shuffled order (by hash), pass after pass. A document's virtual finish time is the
-words its source has dealt up to and with it, divided by the source's target (its rate). The mix is all deals in order of that
-time, truncated at the total budget; as the rates sum to the budget, that is virtual time 1, for every
-source at once. A deal that time 1 falls into is cut there, so each source gives its target to the word.
+Queueing: each source deals its documents in a shuffled order (by hash), pass after pass, in packets of at most a PACKETS-th part
+of the budget. A packet's virtual finish time is the words its source has dealt up to and with it, divided by the source's
+target. All packets are sorted by that time and truncated at the total budget, the packet where it falls is cut: what lies before is
+the mix. Packets of a source finish in order, so the mix has a beginning of each source's sequence, within a few packets of its target:
+at time 1 the sources have dealt their targets, which sum to the budget.
 
-The running sums come from bucket sums (common.bucketed_prefix), so no window holds a source.
+The order is by ranges: time runs evenly in words, so equal steps of it are buckets of about equal work. The sums of the buckets tell in
+which one the budget falls; later ones go no further. Running sums, of a source's words and of all packets, come from
+bucket sums (common.bucketed_prefix): no window holds a source or the mix.
 
 Cases: a null text has size 0; documents of size 0 are never dealt; a source with no words has target 0; null sources form
-one source; documents of equal hash are ordered by doc_id, then by text hash; repeated rows are dealt one by one; an empty table gives an empty result.
+one source; the shuffle is by a hash of doc_id and text, so only rows that repeat both stand together; they are dealt one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -30,6 +34,7 @@ from tickweave.llm.common import bucketed_prefix, checkpointed, partitions_for,
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 BUCKET_ROWS = 10_000
+PACKETS = 100_000  # a packet holds at most this part of the budget
 SEED = 7
 
 
@@ -65,39 +70,65 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     return opens.withColumn("level", level).select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _in_turn(sized: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
+    """Add what its source has dealt before each document in a pass (_before), and source_size and target of its source."""
+    # buckets of the hash's range: in order of the hash, so that order and running sum agree
+    bucket = F.floor((F.col("_order") / F.lit(float(2**63)) + 1) / 2 * partitions_for(rows, BUCKET_ROWS))
+    order = [F.col("_order"), F.col("doc_id"), F.col("_tie")]
+    summed = bucketed_prefix(sized.withColumn("_bucket", bucket), ["source"], "_bucket", order, "size", "_before").drop("_bucket")
+    return summed.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def packets(in_turn: DataFrame, packet: int, passes: int) -> DataFrame:
+    """(source, at, words, finish): every packet of every pass; at counts its source's words before it."""
+    starts = F.array(*[F.col("_before") + F.col("source_size") * k for k in range(passes)])
+    deals = in_turn.filter("size > 0").select("source", "size", "target", F.explode(starts).alias("_start"))
+    each = deals.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))).alias("_from"))
+    at, words = F.col("_start") + F.col("_from"), F.least(F.lit(packet).cast("long"), F.col("size") - F.col("_from"))
+    return each.select("source", at.alias("at"), words.alias("words"), ((at + words).cast("double") / F.col("target")).alias("finish"))
+
+
+def truncated(each: DataFrame, budget: int, buckets: int) -> DataFrame:
+    """packets -> those in the mix, with take: their words up to the budget, in order of finish time over all sources; ties to the source that comes first."""
+    each = each.withColumn("_bucket", F.floor(F.col("finish") * buckets))
+    so_far = F.sum("n").over(W.orderBy("_bucket"))  # a row a bucket
+    sums = each.groupBy("_bucket").agg(F.sum("words").alias("n")).withColumn("so_far", so_far)
+    last = sums.filter(F.col("so_far") >= budget).agg(F.min("_bucket")).first()[0]
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("at")]
+    running = bucketed_prefix(each.filter(F.col("_bucket") <= F.lit(last)), [], "_bucket", order, "words", "_ahead")
+    take = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget) - F.col("_ahead"))).cast("long")
+    return running.withColumn("take", take).filter("take > 0").drop("_bucket", "_ahead")
+
+
 def deal(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, seed: int = SEED, size: Column | None = None
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, seed: int = SEED, size: Column | None = None, parts: int = PACKETS
 ) -> DataFrame:
     """docs (doc_id, text, source, ...) -> all columns and size, source_size, target, dealt.
 
-    dealt: an array of (pass, finish, take): the virtual finish time of each deal that begins before time 1 and the words it takes.
+    dealt: an array of (pass, finish, take): the virtual finish time of each deal that is in the mix and the words it takes. The sort and the
+    truncation work on rows without texts; they tell how many words of each source are in.
     """
     text = text_or_empty("text")
-    sized = docs.drop("source_size", "target", "dealt").withColumns(
-        {
-            "size": word_count(text) if size is None else size,
-            "_order": F.xxhash64(F.col("doc_id"), F.lit(seed)),
-            "_tie": F.xxhash64(text),
-        }
-    )
-    sizes = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))  # a row a source
-    rows = sizes.agg(F.sum("n")).first()[0] or 0
-    buckets = partitions_for(rows, BUCKET_ROWS)
-    targets = source_targets(sizes.select("source", "source_size"), weights, passes).withColumnRenamed("source", "_source")
-    # buckets of the hash's range: in order of the hash, so that order and running sum agree
-    bucket = F.floor((F.col("_order") / F.lit(float(2**63)) + 1) / 2 * buckets)
-    summed = bucketed_prefix(sized.withColumn("_bucket", bucket), ["source"], "_bucket", [F.col("_order"), F.col("doc_id"), F.col("_tie")], "size", "_before")
-    joined = summed.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    whole = F.floor(F.col("target") + 0.5)
+    sized = docs.drop("source_size", "target", "dealt").withColumns({"size": word_count(text) if size is None else size, "_tie": F.xxhash64(text)})
+    sized = sized.withColumn("_order", F.xxhash64(F.col("doc_id"), F.col("_tie"), F.lit(seed)))
+    narrow = checkpointed(sized.select("source", "doc_id", "size", "_order", "_tie"))
+    sizes = checkpointed(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))  # a row a source
+    rows, budget = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("source_size")).first())
+    targets = checkpointed(source_targets(sizes.select("source", "source_size"), weights, passes))
+    in_turn = checkpointed(_in_turn(narrow, targets, rows).select("source", "size", "source_size", "target", "_before"))
+    each = packets(in_turn, max(1, math.ceil(budget / parts)), passes)
+    mixed = truncated(each, budget, partitions_for(rows + parts, BUCKET_ROWS))
+    words = mixed.groupBy("source").agg(F.sum("take").alias("_words")).withColumnRenamed("source", "_of")
+    told = checkpointed(targets.join(words, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of"))  # a row a source
 
     def one(k: int) -> Column:
         start = F.col("_before") + F.col("source_size") * k
-        take = F.greatest(F.lit(0), F.least(F.col("size"), whole - start)).cast("long")
+        take = F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("_words", F.lit(0)) - start)).cast("long")
         finish = F.try_divide((start + F.col("size")).cast("double"), F.col("target"))
         return F.struct(F.lit(k).alias("pass"), finish.alias("finish"), take.alias("take"))
 
     dealt = F.filter(F.array(*[one(k) for k in range(passes)]), lambda d: d["take"] > 0)
-    return joined.withColumn("dealt", dealt).drop("_order", "_tie", "_bucket", "_before")
+    return _in_turn(sized, told, rows).withColumn("dealt", dealt).drop("_order", "_tie", "_before", "_words")
 
 
 def mix(dealt: DataFrame) -> DataFrame:
