@@ -1,9 +1,8 @@
-import math
 import random
 import re
 from collections import defaultdict
 
-from tickweave.llm.pii import CONFIDENT, KINDS, ROUNDS, SMOOTH, SUPPORT, base_spans, candidates, find_personal_data, luhn, pattern_before
+from tickweave.llm.pii import CONFIDENT, KINDS, ROUNDS, SMOOTH, SUPPORT, WORD, Surroundings, base_spans, candidates, find_personal_data, held_back, luhn, patterns, tokens
 
 RULES = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -33,63 +32,95 @@ def test_base_against_finditer():
 
 
 def test_long_texts_take_linear_time():
-    for t in ("a" * 400000, "1" * 400000, "a@" * 100000, "1." * 200000, "+1" + ")" * 300000, "@" * 300000, "x1" * 200000):
+    for t in ("a" * 400000, "1" * 400000, "a@" * 100000, "1." * 200000, "+1" + ")" * 300000, "@" * 300000, "x1" * 200000, "@ " * 200000, "1 " * 200000, "a1 " * 200000, "1(((" * 100000 + " "):
         base_spans(t)
-        candidates(t, [])
+        near = Surroundings(t)
+        for s, e in candidates(t, []):
+            near.at(s, e)
 
 
-def brute_spans(texts):
+def brute_patterns(text, start, end):
+    words = ["^", "^", *(m.group() for m in WORD.finditer(text) if m.end() <= start)]
+    after = WORD.search(text, end)
+    return patterns(words[-2], words[-1], after.group() if after else "$", text[start:end])
+
+
+def test_surroundings():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["a", "é", "1", " ", " ", ".", "@", "x2", "-", "(", "9 8", "10.0.0.1", "a@b.c"]) for _ in range(rnd.randint(0, 25)))
+        base = base_spans(t)
+        places = sorted([(s, e) for _, s, e in base] + candidates(t, base))
+        near = Surroundings(t)
+        for s, e in places:
+            assert patterns(*near.at(s, e), t[s:e]) == brute_patterns(t, s, e), (t, s, e)
+        assert not any(s < e2 and e > s2 for s, e in candidates(t, base) for _, s2, e2 in base if e - s and (s, e) in tokens(t, base))
+
+
+def brute_spans(texts, hide=lambda instance: False):
     base = [brute(t or "") for t in texts]
     cand = [candidates(t or "", b) for t, b in zip(texts, base)]
-    edges = {}
+    seeds, of = {}, defaultdict(set)
     for t, b, c in zip(texts, base, cand):
         for k, s, e in [*b, *((None, s, e) for s, e in c)]:
-            key = (pattern_before(t, s), t[s:e])
-            edges[key] = min((x for x in (edges.get(key), k) if x), default=None)
-    size = defaultdict(int)
-    for p, _ in edges:
-        size[p] += 1
-    score = [(p, k, 1.0) for (p, _), k in edges.items() if k]
-    for turn in range(ROUNDS):
-        support = defaultdict(float)
-        for p, k, s in score:
-            support[p, k] += s
-        conf = {(p, k): v / (size[p] + SMOOTH) for (p, k), v in support.items() if v / (size[p] + SMOOTH) >= CONFIDENT / 2}
-        told = defaultdict(list)
-        for (p, i), seed in edges.items():
-            if not seed:
-                for k in KINDS:
-                    if (p, k) in conf:
-                        told[i, k].append(conf[p, k])
-        if turn < ROUNDS - 1:
-            score = [(p, k, 1.0) for (p, _), k in edges.items() if k]
-            score += [(p, k, 1 - math.prod(1 - c for c in told[i, k])) for (p, i), seed in edges.items() if not seed for k in KINDS if told[i, k]]
-    mark = {}
-    for (p, k), c in sorted(conf.items(), key=lambda x: (-x[1], KINDS.index(x[0][1]))):
-        if c >= CONFIDENT and support[p, k] >= SUPPORT:
-            mark.setdefault(p, k)
+            k = None if hide(t[s:e]) else k
+            for p in brute_patterns(t, s, e):
+                of[p].add(t[s:e])
+                seeds[p, t[s:e]] = min((x for x in (seeds.get((p, t[s:e])), k) if x), default=None)
+    found = {}
+    for _ in range(ROUNDS):
+        sure = {}
+        for p, instances in of.items():
+            sums = [sum(1.0 if seeds[p, i] == k else found[i][0] if not seeds[p, i] and i in found and found[i][2] == k else 0.0 for i in instances) for k in KINDS]
+            k = max(range(4), key=lambda j: (sums[j], -j))
+            if sums[k] / (len(instances) + SMOOTH) >= CONFIDENT and sums[k] >= SUPPORT:
+                sure[p] = (sums[k] / (len(instances) + SMOOTH), -k, KINDS[k])
+        found = {}
+        for (p, i), seed in seeds.items():
+            if not seed and p in sure:
+                found[i] = max(found.get(i, sure[p]), sure[p])
     out = []
     order = KINDS + [f"context_{k}" for k in KINDS]
     for t, b, c in zip(texts, base, cand):
-        more = [(f"context_{mark[p]}", s, e) for s, e in c if (p := pattern_before(t, s)) in mark]
-        out.append(sorted(b + more, key=lambda x: (x[1], order.index(x[0]))))
+        marks, done = [], -1
+        for s, e in sorted(c, key=lambda x: (x[0], -x[1])):
+            of_it = [sure[p] for p in brute_patterns(t, s, e) if p in sure]
+            if of_it and s >= done:
+                marks.append((f"context_{max(of_it)[2]}", s, e))
+                done = e
+        out.append(sorted(b + marks, key=lambda x: (x[1], order.index(x[0]))))
     return out
 
 
-def test_context_finds_unseen_identifiers(spark):
-    rnd = random.Random(11)
-    texts = [None, "", "no data here"]
-    for k in range(40):
+def made_up(rnd, n=40):
+    texts = [None, "", "no data here", "@ @ @", "a 1 2 3 4 5 6 7"]
+    for k in range(n):
         texts.append(f"please call me +1 (555) 555-{rnd.randrange(1000, 9999)} today, ref {k}A-12345")
         texts.append(f"my server at {rnd.randrange(1, 250)}.7.8.{k} and build v1.2.{k}.x9")
-    texts += ["please call me 555-0199x7 soon", "Please  call me: 555-0177x8.", "my server at 10.0.0.999 is up", "see room 1234567"] * 2
+        texts.append(f"write to user.{k}@mail{k % 7}.example.com please, room {k}")
+    # numbers that overlap are no base span: the phone's last run goes on into the address
+    texts += [f"{w} +1 (555) 555-{k}234 10.0.{k}.7 {w}" for k, w in enumerate(("then", "or", "und"))]
+    texts += ["please write to john.doe@localhost please", "please call me +1 (555) 555-01x9 today", "my server at 10.0.0.999 is up", "see room 1234567"] * 2
     rnd.shuffle(texts)
+    return texts
+
+
+def test_context_finds_unseen_identifiers(spark):
+    texts = made_up(random.Random(11))
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, row string")
     rows = {r.doc_id: r for r in find_personal_data(df.repartition(3)).collect()}
     want = brute_spans(texts)
     for i, t in enumerate(texts):
         assert [tuple(s) for s in rows[i].base] == brute(t or "")
         assert [tuple(s) for s in rows[i].spans] == want[i], t
-    marked = [s for r in rows.values() for s in r.spans if s.kind.startswith("context_")]
-    assert len([s for s in marked if s.kind == "context_phone"]) == 4
+    marked = {(s.kind, texts[i][s.start : s.end]) for i, r in rows.items() for s in r.spans if s.kind.startswith("context_")}
+    assert ("context_email", "john.doe@localhost") in marked and ("context_phone", "+1 (555) 555-1234") in marked and ("context_ip", "10.0.0.999") in marked
     assert find_personal_data(df.limit(0)).count() == 0
+
+
+def test_held_back_seeds_are_found(spark):
+    texts = made_up(random.Random(12), 150)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.kind: r for r in held_back(df).collect()}
+    assert all(rows[k].held > 3 and rows[k].found >= 0.9 * rows[k].held for k in ("email", "ip", "phone"))
+    assert all(r.marked >= r.found for r in rows.values())
