@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import hashlib
 import random
 import struct
@@ -182,3 +185,17 @@ def test_rows(spark):
 def test_thumbnail_hash_of_small_and_odd_sizes():
     for shape in ((1, 1), (3, 3), (100, 7)):
         assert len(thumbnail_hash(np.arange(shape[0] * shape[1], dtype=np.uint8).reshape(shape))) == 16
+
+
+def test_long_texts_take_bounded_memory():
+    """20 MB under 600 MB beside what the interpreter and its libraries take."""
+    code = """
+import resource
+from tickweave.llm import media
+used = int(open('/proc/self/statm').read().split()[0]) * resource.getpagesize()
+resource.setrlimit(resource.RLIMIT_AS, (used + 600_000_000, resource.RLIM_INFINITY))
+raw = (b'a very long document goes on and on, 0123456789. ' * 420_000)[: 576 * 35_000]
+assert media.restore(media.decode(media.store([raw]))[0]) == raw
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env={**os.environ, "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": root})

@@ -9,8 +9,11 @@ Storing a payload without loss: JPEG's lossy step is the quantisation, so bytes
 coefficients: each block holds 64 bytes, less 128, in zigzag order, the first as the DC coefficient with a step of 8 (so a thumbnail pixel is
 that byte). The payload's length is kept in a comment segment.
 
+Blocks are restart intervals, so both ways work on RUN blocks at a time: beside the text, its media and its coefficients (two bytes each)
+a task holds arrays of bounded size, about ten bytes for a byte of text in all.
+
 Cases: a null text is empty; an empty text is a payload of 576 bytes of 255; texts of any length are stored whole (the image grows wider once it would be
-higher than the format allows); repeated rows give equal results; an empty table gives an empty result; further columns are not carried along.
+higher than the format allows; the format ends at 65,535 x 65,535 samples, 4 GB); repeated rows give equal results; an empty table gives an empty result; further columns are not carried along.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from tickweave.llm.common import byte_runs, small_batches, table, text_or_empty
 UNIT = 576  # nine blocks
 WIDE = 3  # blocks in a row, unless the image would be too high
 HIGH = 8191  # rows of blocks at most
-BATCH_BYTES = 2_000_000  # of payload or of coefficients decoded at once
+BATCH_BYTES = 2_000_000  # of payload or of media taken together; a longer one is taken alone
+RUN = 16_384  # blocks encoded or decoded at once
 
 
 @dataclass
@@ -188,7 +192,13 @@ def store(payloads: list[bytes]) -> list[bytes]:
     wide = [max(WIDE, -(-n // HIGH)) for n in sizes]
     blank = [-n % w for n, w in zip(sizes, wide)]  # blocks of zeros that fill the last row
     data = np.frombuffer(b"".join(p + b"\x80" * (64 * b) for p, b in zip(payloads, blank)), np.uint8).reshape(-1, 64)
-    raw, begin = encode_coefficients(data.astype(np.int64) - 128)
+    runs, begin = [], np.zeros(len(data) + 1, np.int64)
+    for k in range(0, len(data), RUN):
+        coded, edges = encode_coefficients(data[k : k + RUN].astype(np.int64) - 128)
+        runs.append(coded)
+        begin[k + 1 : k + len(edges)] = begin[k] + edges[1:]
+    raw = np.concatenate(runs)
+    del runs, data
     out, at = [], 0
     # markers between the blocks of an image: two more bytes after each block but the last
     for payload, n, w, b in zip(payloads, sizes, wide, blank):
@@ -266,70 +276,100 @@ def parse(data: bytes) -> _Parsed:
             return _Parsed(width, height, [(h, v) for _, h, v, _ in frame], [steps[q] for *_, q in frame], tables, restart, rest, comment)
 
 
-def decode(images: list[bytes]) -> list[Image]:
-    """All restart intervals of all images at once."""
-    parsed = [parse(x) for x in images]
-    lookups: dict[tuple[bytes, bytes], int] = {}
-    number = lambda t: lookups.setdefault(t, len(lookups))
-    pieces, first_byte, size, cursor = [], [], [], 0
-    owner, blocks_in, start_block, patterns, layout, total_blocks = [], [], [], [], [], 0
+@dataclass
+class _Intervals:
+    """The restart intervals of some images: where their bits lie in data, and what they hold."""
+
+    data: np.ndarray
+    first: np.ndarray  # byte
+    size: np.ndarray  # bytes
+    owner: np.ndarray  # image
+    block: np.ndarray  # the first of its blocks among those of all images
+    blocks: np.ndarray
+
+
+def _intervals(parsed: list[_Parsed], units: list[tuple[int, int]], per_unit: list[int]) -> _Intervals:
+    pieces, columns, bytes_before, blocks_before = [], [], 0, 0
     for k, p in enumerate(parsed):
-        across, down = max(h for h, _ in p.factors), max(v for _, v in p.factors)
-        single = len(p.factors) == 1
-        unit = [(c, 0, 0) for c in range(1)] if single else [(c, x, y) for c, (h, v) in enumerate(p.factors) for y in range(v) for x in range(h)]
-        units = ((-(-p.width // 8), -(-p.height // 8)) if single else (-(-p.width // (8 * across)), -(-p.height // (8 * down))))
-        n = units[0] * units[1]
-        layout.append((unit, units, total_blocks))
-        patterns.append([(number(p.tables[c][0]), number(p.tables[c][1]), c) for c, *_ in unit])
-        scan = p.scan
-        mark = np.flatnonzero((scan[:-1] == 255) & (scan[1:] != 0))
+        n, scan = units[k][0] * units[k][1], p.scan
+        mark = np.flatnonzero(scan[:-1] == 255)
         follow = scan[mark + 1]
         is_restart = (follow >= 0xD0) & (follow <= 0xD7)
-        final = mark[~is_restart][0] if (~is_restart).any() else len(scan)
+        ends = mark[(follow != 0) & ~is_restart]
+        final = int(ends[0]) if len(ends) else len(scan)
         cuts = mark[is_restart & (mark < final)]
-        begin, end = np.concatenate([[0], cuts + 2]), np.concatenate([cuts, [final]])
         each = p.restart or n
         count = -(-n // each)
-        if len(begin) < count:
+        if len(cuts) + 1 < count:
             raise ValueError("restart markers are missing")
-        begin, end = begin[:count], end[:count]
-        keep = np.ones(int(final), bool)
-        stuffed = np.flatnonzero((scan[: max(int(final) - 1, 0)] == 255) & (scan[1:][: max(int(final) - 1, 0)] == 0)) + 1
-        keep[stuffed] = False
-        keep[cuts], keep[np.minimum(cuts + 1, int(final) - 1)] = False, False
-        place = np.concatenate([[0], np.cumsum(keep)])
-        pieces.append(scan[: int(final)][keep])
-        first_byte.append(cursor + place[begin])
-        size.append(place[end] - place[begin])
-        cursor += int(place[-1])
+        begin, end = np.append(0, cuts + 2)[:count], np.append(cuts, final)[:count]
+        gone = np.sort(np.concatenate([mark[(follow == 0) & (mark + 1 < final)] + 1, cuts, cuts + 1]))  # stuffing and markers
+        place = lambda x: x - np.searchsorted(gone, x)  # noqa: E731, B023
+        pieces.append(np.delete(scan[:final], gone))
         todo = np.full(count, each)
         todo[-1] = n - each * (count - 1)
-        owner.append(np.full(count, k))
-        start_block.append(total_blocks + np.arange(count) * each * len(unit))
-        blocks_in.append(todo * len(unit))
-        total_blocks += n * len(unit)
+        columns.append((bytes_before + place(begin), place(end) - place(begin), np.full(count, k), blocks_before + np.arange(count) * each * per_unit[k], todo * per_unit[k]))
+        bytes_before, blocks_before = bytes_before + len(pieces[-1]), blocks_before + n * per_unit[k]
+    return _Intervals(np.concatenate([*pieces, np.full(8, 255, np.uint8)]), *(np.concatenate(c).astype(np.int64) for c in zip(*columns)))
+
+
+def decode(images: list[bytes]) -> list[Image]:
+    """All restart intervals of all images in step, RUN blocks (or one interval) at a time."""
+    parsed = [parse(x) for x in images]
     if not parsed:
         return []
-    data = np.concatenate([*pieces, np.full(8, 255, np.uint8)])
-    words = np.zeros(len(data) - 7, np.uint64)  # the 64 bits from each byte on
-    for j in range(8):
-        words |= data[j : len(data) - 7 + j].astype(np.uint64) << np.uint64(56 - 8 * j)
-    bit = np.concatenate(first_byte).astype(np.int64) * 8
-    limit = bit + np.concatenate(size) * 8
-    owner, left, block = np.concatenate(owner), np.concatenate(blocks_in), np.concatenate(start_block)
+    lookups: dict[tuple[bytes, bytes], int] = {}
+    number = lambda t: lookups.setdefault(t, len(lookups))
+    patterns, layout = [], []
+    for p in parsed:
+        across, down = max(h for h, _ in p.factors), max(v for _, v in p.factors)
+        single = len(p.factors) == 1
+        unit = [0] if single else [c for c, (h, v) in enumerate(p.factors) for _ in range(v * h)]
+        layout.append((unit, (-(-p.width // 8), -(-p.height // 8)) if single else (-(-p.width // (8 * across)), -(-p.height // (8 * down)))))
+        patterns.append([(number(p.tables[c][0]), number(p.tables[c][1]), c) for c in unit])
     longest = max(len(p) for p in patterns)
     dc_table, ac_table, component = (np.zeros((len(parsed), longest), np.int64) for _ in range(3))
     for k, p in enumerate(patterns):
         for j, (d, a, c) in enumerate(p):
             dc_table[k, j], ac_table[k, j], component[k, j] = d, a, c
-    width = np.array([len(p) for p in patterns])[owner]
+    widths = np.array([len(p) for p in patterns])
     table_of = np.concatenate([_lookup(*t) for t in lookups])
-    out = np.zeros((total_blocks, 64), np.int32)
-    flat = out.ravel()
+    every = _intervals(parsed, [u for _, u in layout], [len(u) for u, _ in layout])
+    out = np.zeros((int(every.blocks.sum()), 64), np.int16)
+    total = np.cumsum(every.blocks)
+    low = 0
+    while low < len(total):
+        high = max(low + 1, int(np.searchsorted(total, total[low] - every.blocks[low] + RUN, side="right")))
+        _decode_run(every, slice(low, high), out.reshape(-1), dc_table, ac_table, component, widths, table_of)
+        low = high
+    result, base = [], 0
+    for p, (unit, units) in zip(parsed, layout):
+        n = units[0] * units[1] * len(unit)
+        mine = out[base : base + n].reshape(units[1], units[0], len(unit), 64)
+        base += n
+        planes = []
+        for c, (h, v) in enumerate(p.factors if len(p.factors) > 1 else [(1, 1)]):
+            own = mine[:, :, [j for j, u in enumerate(unit) if u == c], :] if len(unit) > 1 else mine
+            planes.append(own.reshape(units[1], units[0], v, h, 64).transpose(0, 2, 1, 3, 4).reshape(units[1] * v, units[0] * h, 64))
+        result.append(Image(p.width, p.height, p.factors if len(p.factors) > 1 else [(1, 1)], p.steps, planes, p.comment))
+    return result
+
+
+def _decode_run(
+    every: _Intervals, part: slice, flat: np.ndarray, dc_table: np.ndarray, ac_table: np.ndarray, component: np.ndarray, widths: np.ndarray, table_of: np.ndarray
+) -> None:
+    """Huffman-decode the intervals of a part into flat, one coefficient of each at a time."""
+    first, owner, left, block = every.first[part], every.owner[part], every.blocks[part].copy(), every.block[part].copy()
+    begin, end = int(first[0]), int((first + every.size[part]).max())
+    data = every.data[begin : end + 8]
+    words = np.zeros(len(data) - 7, np.uint64)  # the 64 bits from each byte on
+    for j in range(8):
+        words |= data[j : len(data) - 7 + j].astype(np.uint64) << np.uint64(56 - 8 * j)
+    bit = (first - begin) * 8
+    limit, width, uniform = bit + every.size[part] * 8, widths[owner], dc_table.shape[1] == 1
     m = len(bit)
     place, turn = np.zeros(m, np.int64), np.zeros(m, np.int64)  # coefficient, and block of the unit
     predictor = np.zeros((m, 4), np.int64)
-    uniform = longest == 1
     alive = np.arange(m)
     while len(alive):
         at = place[alive]
@@ -371,16 +411,6 @@ def decode(images: list[bytes]) -> list[Image]:
             if not uniform:
                 turn[i] = (turn[i] + 1) % width[i]
             alive = alive[left[alive] > 0]
-    result = []
-    for p, (unit, units, base) in zip(parsed, layout):
-        n = units[0] * units[1]
-        mine = out[base : base + n * len(unit)].reshape(units[1], units[0], len(unit), 64)
-        planes = []
-        for c, (h, v) in enumerate(p.factors if len(p.factors) > 1 else [(1, 1)]):
-            own = mine[:, :, [j for j, u in enumerate(unit) if u[0] == c], :].reshape(units[1], units[0], v, h, 64)
-            planes.append(own.transpose(0, 2, 1, 3, 4).reshape(units[1] * v, units[0] * h, 64))
-        result.append(Image(p.width, p.height, p.factors if len(p.factors) > 1 else [(1, 1)], p.steps, planes, p.comment))
-    return result
 
 
 def restore(image: Image) -> bytes:
