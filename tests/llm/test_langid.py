@@ -1,3 +1,7 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
 import zlib
 
 import duckdb
@@ -40,3 +44,63 @@ def test_sample_is_bounded_and_stable(spark):
 
 def test_null_id_is_not_held_out(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(held_out(F.col("doc_id"))).first()[0] is False
+
+
+def brute_model(rows):
+    """{order: {word: [count of each language]}} of (text, lang) rows, plainly; order 0 holds the words seen three times."""
+    languages = sorted({lang for _, lang in rows})
+    words = {lang: Counter(w for t, own in rows if own == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in languages}
+    tables = {o: defaultdict(lambda: [0] * len(languages)) for o in (0, 1, 2, 3, 4)}
+    for k, lang in enumerate(languages):
+        for w, n in words[lang].items():
+            if n >= 3:
+                tables[0][w][k] = n
+            for o in (1, 2, 3, 4):
+                for at in range(len(w) + 3 - o):
+                    tables[o][f"^{w}$"[at : at + o]][k] += n
+    return languages, tables
+
+
+def brute_predict(text, languages, tables):
+    total = {o: [sum(n[k] + 0.5 for n in t.values()) for k in range(len(languages))] for o, t in tables.items()}
+    log = lambda o, w: [math.log((n + 0.5) / s) for n, s in zip(tables[o][w], total[o])]
+    each = []
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in tables[0]:
+            each.append(log(0, w))
+            continue
+        marked, found = f"^{w}$", []
+        for at in range(len(marked)):
+            o = next((o for o in (4, 3, 2, 1) if at + o <= len(marked) and marked[at : at + o] in tables[o]), None)
+            if o:
+                found.append(log(o, marked[at : at + o]))
+        each.append([sum(c) / len(found) for c in zip(*found)] if found else [0.0] * len(languages))
+    if not each:
+        return "und", 0.0
+    level = [sum(c) / len(each) * min(len(each), 12) for c in zip(*each)]
+    odds = [math.exp(x - max(level)) for x in level]
+    best = max(range(len(odds)), key=lambda k: (odds[k], -k))
+    return languages[best], odds[best] / sum(odds)
+
+
+def test_against_a_plain_scorer(spark):
+    rnd = random.Random(6)
+    syllables = {f"l{k:02d}": [chr(97 + (k * 7 + j * 3) % 26) + "aeiou"[(k + j) % 5] for j in range(9)] for k in range(70)}
+    write = lambda lang, n: " ".join("".join(rnd.choice(syllables[lang]) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    rows = [(i, write(lang, rnd.choice([2, 20, 60])), lang) for i, lang in enumerate(sorted(syllables) * 5)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(syllables)  # seventy of them: none is left out
+    asked = [write(lang, n) for lang in ("l03", "l40", "l69") for n in (1, 3, 30)] + ["", "123", "zzzz unseen", "ÉÀ straße", rows[3][1]]
+    got = predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    plain = brute_model([r[1:] for r in rows])
+    for text, r in zip(asked, got):
+        lang, score = brute_predict(text, *plain)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4, text
+
+
+def test_sample_gives_each_language_its_share(spark):
+    rows = [(i, f"word{i}x common", "big") for i in range(3000)] + [(9000 + i, f"seltsam{i}y", "rare") for i in range(20)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100)
+    assert model.languages == ["big", "rare"] and "^sel" in model.grams[4]
+    small = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=1, grams=2)
+    assert len(small.words) <= 2 and all(len(g) <= 4 for g in small.grams.values())

@@ -4,9 +4,10 @@ A known word (seen often enough in training) scores each language by the log fre
 not known is scored by its character n-grams, longest first: at each place the longest known n-gram that starts there
 counts, so unseen words fall back to shorter and shorter n-grams.
 
-Training: word counts by language from a bounded sample of the labelled rows (SAMPLE_ROWS, by hash of the id, so that it does not depend on the layout);
-the tables keep the WORDS most frequent words of a language and the GRAMS most frequent n-grams of each order, and the LANGUAGES most frequent
-languages. So the model, which every task gets, has a bounded size whatever the corpus. Prediction reads whole texts of all documents.
+Training: word counts by language from a bounded sample of the labelled rows: SAMPLE_ROWS, shared equally among the languages, by hash of id and
+text, so that it does not depend on the layout and a rare language has its share. Every language, word and n-gram of the sample is learnt
+(words and grams can bound the model further), so the model, which every task gets, is as large as the sample's vocabulary. Prediction reads whole
+texts of all documents.
 
 Words are runs of letters, lower-cased. Score: the probability of the language predicted, from the mean log score of a word
 sharpened as if the text had at most EVIDENCE words (long texts would otherwise always score 1).
@@ -31,13 +32,10 @@ from pyspark.sql import Window as W
 from tickweave.llm.common import checkpointed, small_batches, table, text_or_empty
 
 SAMPLE_ROWS = 8_000
-LANGUAGES = 64
-WORDS = 20_000
-GRAMS = 5_000
 ORDERS = (4, 3, 2, 1)
-LEAST_WORD_COUNT = 3
+LEAST_WORD_COUNT = 3  # a word seen less often is unseen
 EVIDENCE = 12
-KEPT_WORDS = 150_000  # words whose scores a worker remembers
+KEPT_SCORES = 600_000  # scores of unseen words that a worker remembers
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -67,13 +65,14 @@ class Model:
 
 
 class Predictor:
-    """A model with a memory of KEPT_WORDS unseen words and their scores."""
+    """A model with a memory of the scores of unseen words."""
 
     def __init__(self, model: Model):
         self.model, self.languages = model, model.languages
         self.index = dict(model.words)
         self.used = len(model.table)
-        self.table = np.vstack([model.table, np.zeros((KEPT_WORDS, len(model.languages)), np.float32)])
+        room = KEPT_SCORES // max(1, len(model.languages))
+        self.table = np.vstack([model.table, np.zeros((room, len(model.languages)), np.float32)])
 
     def predict(self, text: str) -> tuple[str, float]:
         counts = Counter(LETTERS.findall(text.lower()))
@@ -97,16 +96,22 @@ class Predictor:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from the rows with a language; the rows given are those that may be learnt from."""
+def train(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, words: int | None = None, grams: int | None = None
+) -> Model:
+    """Learn from the rows with a language; the rows given are those that may be learnt from. words, grams: how many of each language (and
+    order) are kept, the most frequent; all by default."""
     rows = small_batches(docs).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    n = rows.select("lang").count()
-    chance = min(1.0, sample_rows / max(n, 1))
-    if chance < 1.0:
-        rows = rows.filter(F.xxhash64("id", F.lit(5)) < F.lit(int((2 * chance - 1) * 2**63)))
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    languages = sorted(sizes)
+    if not languages:
+        return _model([], pd.DataFrame({"lang": [], "order": [], "word": [], "n": []}))
+    chance = {lang: min(1.0, sample_rows / len(languages) / n) for lang, n in sizes.items()}
+    below = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(int((2 * chance[lang] - 1) * 2**63), 2**63 - 1))])
+    if min(chance.values()) < 1.0:
+        rows = rows.filter(F.xxhash64("id", "text", F.lit(5)) <= below[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # counts of a batch leave the task already summed
@@ -116,8 +121,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 found[lang].update(LETTERS.findall(text.lower()))
             yield pd.DataFrame([(l, w, c) for l, ws in found.items() for w, c in ws.items()], columns=["lang", "word", "n"])
 
-    words = rows.filter(F.col("lang").isin(languages)).mapInPandas(count, "lang string, word string, n long")
-    words = checkpointed(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counted = rows.mapInPandas(count, "lang string, word string, n long")
+    counted = checkpointed(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,30 +134,29 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                         found[lang, order, marked[at : at + order]] += n
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "order", "word", "n"])
 
-    grams = words.mapInPandas(grams_of, "lang string, order int, word string, n long").groupBy("lang", "order", "word").agg(F.sum("n").alias("n"))
-    known = words.filter(F.col("n") >= LEAST_WORD_COUNT).select("lang", F.lit(0).alias("order"), "word", "n")
-    each = W.partitionBy("lang", "order").orderBy(F.desc("n"), "word")
-    most = F.when(F.col("order") == 0, WORDS).otherwise(GRAMS)
-    kept = known.union(grams).withColumn("rank", F.row_number().over(each)).filter(F.col("rank") <= most)
-    counts = kept.select("lang", "order", "word", "n").collect()  # LANGUAGES x (WORDS + orders x GRAMS) rows at most
-    return _model(languages, [tuple(r) for r in counts])
-
-
-def _model(languages: list[str], counts: list[tuple[str, int, str, int]]) -> Model:
-    """Log frequencies, smoothed by half a count; each order is normed for itself."""
-    place = {l: k for k, l in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {o: {} for o in (0, *ORDERS)}
-    for lang, order, word, n in counts:
-        tables[order].setdefault(word, np.zeros(len(languages)))[place[lang]] = n
+    parts = counted.mapInPandas(grams_of, "lang string, order int, word string, n long").groupBy("lang", "order", "word").agg(F.sum("n").alias("n"))
+    known = counted.filter(F.col("n") >= LEAST_WORD_COUNT).select("lang", F.lit(0).alias("order"), "word", "n")
+    kept = known.union(parts)
+    if words is not None or grams is not None:
+        each = W.partitionBy("lang", "order").orderBy(F.desc("n"), "word")
+        most = F.when(F.col("order") == 0, F.lit(words)).otherwise(F.lit(grams))
+        kept = kept.withColumn("rank", F.row_number().over(each)).filter(most.isNull() | (F.col("rank") <= most)).drop("rank")
+    return _model(languages, kept.toArrow().to_pandas())  # the sample's vocabulary
+
+
+def _model(languages: list[str], counts: pd.DataFrame) -> Model:
+    """counts (lang, order: 0 for words, word, n) -> log frequencies, smoothed by half a count; each order is normed for itself."""
     index: dict[int, dict[str, int]] = {}
-    rows, at = [np.zeros((0, len(languages)))], 0
-    for order, found in tables.items():
-        index[order] = {w: at + k for k, w in enumerate(found)}
+    tables, at = [np.zeros((0, len(languages)), np.float32)], 0
+    for order in (0, *ORDERS):
+        own = counts[counts["order"] == order].sort_values(["word", "lang"])
+        place, found = pd.factorize(own["word"])
+        n = np.zeros((len(found), len(languages)))
+        n[place, np.searchsorted(np.array(languages, object), own["lang"].to_numpy(object))] = own["n"]
+        tables.append(np.log((n + 0.5) / (n + 0.5).sum(0)).astype(np.float32))
+        index[order] = dict(zip(found.tolist(), range(at, at + len(found))))
         at += len(found)
-        if found:
-            n = np.array(list(found.values())) + 0.5
-            rows.append(np.log(n / n.sum(0)))
-    return Model(languages, index[0], {o: index[o] for o in ORDERS}, np.vstack(rows).astype(np.float32))
+    return Model(languages, index[0], {o: index[o] for o in ORDERS}, np.vstack(tables))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
