@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -12,34 +13,44 @@ from pyspark.sql import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer splits than there are cores (a small table in one file) is dealt out to all of them first."""
+    """A table. One in fewer splits than there are cores (a small table in one file) is dealt out to all of them: a matter of layout alone,
+    no operator's result or method hangs on it, and a table of more splits is read as it lies."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a session on one machine (tests) may name none: it gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
 
-    The folder is the one the session names in spark.checkpoint.dir; only a session without one
-    (tests on one machine) gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and go on from there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def partitions_for(rows: int, each: int) -> int:
-    """Partitions of about `each` rows; at least the session's number of shuffle partitions is never forced."""
+    """Partitions of about `each` rows."""
     return max(1, math.ceil(rows / each))
 
 
-BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Have the session hand texts to Python in batches of bounded size, so that a worker's memory doesn't follow the length of its texts."""
+    """Have the session hand texts to Python in batches of bounded size, so that a worker's memory doesn't follow the length of its texts.
+
+    These settings are read when a plan runs, so they stay set in the session: larger ones are lowered, smaller ones are left.
+    """
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = str(conf.get(f"spark.sql.execution.arrow.{key}")).removesuffix("b")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import bucketed_prefix, checkpointed, partitions_for, small_batches, table, text_or_empty
+from tickweave.llm.common import bucketed_prefix, byte_runs, checkpointed, partitions_for, small_batches, table, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"  # the same vocabulary
@@ -38,6 +38,7 @@ END_ID = 2
 TOKENS = 1024
 BUCKET_ROWS = 40_000
 WEIGHTS = (1.0, 0.01, 0.01)
+AT_ONCE = 2_000_000  # bytes of text encoded at once, one text at least
 LONG_WORD = 1000  # bytes from which a word goes to the tokenizer alone
 #: White space as the tokenizer's pattern has it, and the separators \x1C to \x1F, which only make the tests below stricter.
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -134,7 +135,9 @@ def token_pieces(
         ids_of, end = encoder(tokenizer, ranks).ids, np.array([end_id], "<u4")
         for batch in batches:
             row, piece, start, length, crc, ids_out = [], [], [], [], [], []
-            for k, text_ids in enumerate(ids_of(batch.column(1))):
+            texts = batch.column(1)
+            runs = byte_runs(pc.binary_length(texts).to_pylist(), AT_ONCE)
+            for k, text_ids in enumerate(ids for run in runs for ids in ids_of(texts.slice(run.start, len(run)))):
                 ids = np.concatenate([text_ids, end]).astype("<u4", copy=False)
                 first = (len(ids) - 1) % tokens + 1
                 bounds = [0, *range(first, len(ids) + 1, tokens)]

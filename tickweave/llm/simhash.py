@@ -17,7 +17,7 @@ names none (a component of null ids alone has a null id); an empty table gives a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,21 +32,33 @@ SAMPLE = 65_536  # fingerprints in the sample for the shards' tree, at most abou
 LEAF = 128  # fingerprints in a leaf of a local tree
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def digests(text: str, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The XXH64 values of a text's shingles, repeats included, in runs of bounded size."""
     import xxhash
 
     words = text.encode().lower().split()  # bytes: lower-cases A-Z alone and splits at the six white bytes alone
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     begins = [0, *(ends[:-1] + 1).tolist()]
     last = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
-    digest, n, ones = xxhash.xxh64_intdigest, len(last), np.zeros(64, np.int64)
-    for k in range(0, n, 65536):
-        values = np.array([digest(joined[a:b], seed) for a, b in zip(begins[k : k + 65536], last[k : k + 65536])], ">u8")
-        ones += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    digest = xxhash.xxh64_intdigest
+    for k in range(0, len(last), 65536):
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(begins[k : k + 65536], last[k : k + 65536])], np.uint64)
+
+
+def majority(runs: Iterable[np.ndarray]) -> int:
+    """A bit for each that is set in over half of the values; 0 without values."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for values in runs:
+        n += len(values)
+        ones += np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(digests(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -191,10 +203,10 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHAR
     return dealt.groupBy("shard", "part").applyInPandas(search, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): root is the least node of the component. Large-star and small-star by turns, until neither changes an edge."""
     edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:  # a chain of n edges takes about log(n) rounds
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("at")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -207,7 +219,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         edges = after
         if same:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard_size: int = SHARD_FINGERPRINTS) -> DataFrame:
