@@ -9,7 +9,7 @@ from tickweave import cli
 from tickweave.config import Params
 from tickweave.operators.factors import FACTORS
 from tickweave.plans.stages import Run
-from tickweave.sources.readers import available_days, read_metadata, read_overrides, read_raw
+from tickweave.sources.readers import available_days, parse_raw, read_metadata, read_overrides, read_raw
 from tickweave.sources.sinks import export_csv
 from tickweave.streaming.days import bars, on_new_rows
 
@@ -52,6 +52,17 @@ def test_readers(spark, raw):
     assert [(r.day, r.security, r.reason) for r in read_overrides(spark, str(raw / "drop.csv")).collect()] == [("20240103", "2", "bad"), ("ALL", "600006", "gone")]
 
 
+def test_raw_dialects_quotes_and_blanks(spark):
+    sh = "\ufeffUpdateTime,LastPrice,InstruStatus\n9:30:00,1.5,TRADE\n\n9:30:03,x,TRADE,extra\n9:30:06"
+    sz = '"TradingPhaseCode","Volume","UpdateTime"\r\n"T""0","1,5"," 9:31:00 "\r\nT0,7,9:32:00\r\n'
+    files = spark.createDataFrame([("x/20240102/600001.csv", sh), ("x/20240102/000001.csv", sz), ("x/20240102/_summary.csv", sh), ("x/notaday/600001.csv", sh), ("x/20240102/000002.csv", ""), ("x/20240102/000003.csv", None)], "path string, content string")
+    rows = [(r.security_id, r.file_line, r.UpdateTime, r.LastPrice, r.volume, r.status, r.market) for r in parse_raw(files).orderBy("security_id", "file_line").collect()]
+    assert rows == [
+        ("000001", 1, "9:31:00", None, None, 'T"0', "SZ"), ("000001", 2, "9:32:00", None, 7.0, "T0", "SZ"),
+        ("600001", 1, "9:30:00", 1.5, None, "TRADE", "SH"), ("600001", 3, "9:30:03", None, None, "TRADE", "SH"), ("600001", 4, "9:30:06", None, None, None, "SH"),
+    ]
+
+
 def test_metadata(spark, tmp_path):
     cols = "factor_name,full_name,category,description,formula,formula_latex,windows_min,windows_ticks,inputs,validity_conditions,notes"
     (tmp_path / "m.csv").write_text(cols + '\nbap,"Book, ""pressure""",x,"two\nlines",f,l,1,2,i,v,n\n')
@@ -140,4 +151,8 @@ def test_all_horizons_and_kinds(spark, raw, tmp_path, monkeypatch):
     assert {(r.ic_type, r.ret, r["count"]) for r in lines.groupBy("ic_type", "ret").count().collect()} == {(k, r, 12) for k in ("CS", "TS") for r in rets}
     run.multi_factor_quantile(0.0)
     for ret in rets:
-        assert run.read(f"composite_{ret}_chart", True).count() == 100
+        assert run.read(f"composite_{ret}_chart", True).count() == 100 and run.read(f"composite_{ret}").filter("n_valid > 0").count() > 0
+    run.multi_factor_quantile(2.0)  # no factor reaches it: nothing of the run before stays
+    for ret in rets:
+        assert run.read(f"composite_{ret}").count() == 100 and run.read(f"composite_{ret}").filter("n_valid > 0").count() == 0
+        assert run.read(f"composite_{ret}_cum_daily", True).filter("n_ticks > 0").count() == 0

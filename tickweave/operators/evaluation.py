@@ -55,15 +55,20 @@ def cs_daily(ic: DataFrame, date: str, keys: list[str]) -> DataFrame:
     return ic.groupBy(date, *keys).agg(F.avg("ic").alias("ic"), F.avg("rankic").alias("rankic"))
 
 
-def ts_ic(panel: DataFrame, pairs: Pairs, by: list[str], time: str) -> DataFrame:
-    """OP-59, OP-60: (by, ret, factor_col, ts_ic, ts_rankic) over the rows of each of by (with session among them, if wanted).
+def ts_ic(panel: DataFrame, pairs: Pairs, by: list[str], time: str, sessions: tuple[str, str] | None = None) -> DataFrame:
+    """OP-59, OP-60: (by, [session,] ret, factor_col, ts_ic, ts_rankic) over the rows of each of by. sessions: (end of am, start of pm), if wanted.
 
     Where a factor's {name}_has_limit holds its value doesn't count. Pairs are matched first, then ranked, ties by time; two rows are needed.
+    The panel is dealt out once, wide, by `by`; rows for each session and pair are made, sorted and summed where they are.
     """
     masked = lambda f: F.when(~flag(F.col(f"{f}_has_limit")), F.col(f)) if f"{f}_has_limit" in panel.columns else F.col(f)
-    rows = F.array(*[F.struct(F.lit(r).alias("ret"), F.lit(f).alias("factor_col"), masked(f).cast("double").alias("f"), F.col(r).cast("double").alias("r")) for f, r in pairs])
+    factors, returns = (list(dict.fromkeys(names)) for names in zip(*pairs))
+    wide = panel.select(*by, time, *[masked(f).cast("double").alias(f) for f in factors], *[F.col(r).cast("double").alias(r) for r in returns]).repartition(*by)
+    if sessions:
+        wide, by = with_session(wide, time, *sessions), [*by, "session"]
+    rows = F.array(*[F.struct(F.lit(r).alias("ret"), F.lit(f).alias("factor_col"), F.col(f).alias("f"), F.col(r).alias("r")) for f, r in pairs])
     keys = [*by, "ret", "factor_col"]
-    long = panel.select(*by, time, F.inline(rows)).filter("f is not null and r is not null")
+    long = wide.select(*by, time, F.inline(rows)).filter("f is not null and r is not null")
     rank = lambda c: F.row_number().over(W.partitionBy(*keys).orderBy(c, time))
     ranked = long.withColumns({"_rf": rank("f"), "_rr": rank("r")})
     enough = lambda v: F.when(F.count("*") >= 2, v)

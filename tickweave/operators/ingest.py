@@ -29,18 +29,21 @@ def session_grid(days: DataFrame, sessions: tuple[tuple[str, str], ...], freq: s
 
 
 def keep_last(ticks: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """OP-16: one row for each key, the last in the given order."""
+    """OP-16: one row for each key, the last in the given order; Spark keeps only the last of each task before the exchange (WindowGroupLimit)."""
     last = W.partitionBy(*keys).orderBy(order.desc())
     return ticks.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
-def as_of(grid: DataFrame, ticks: DataFrame, by: list[str], grid_time: str = "ts", tick_time: str = "ts", gap: str = "gap_sec") -> DataFrame:
+def as_of(
+    grid: DataFrame, ticks: DataFrame, by: list[str], grid_time: str = "ts", tick_time: str = "ts", gap: str = "gap_sec", columns: list[str] | None = None
+) -> DataFrame:
     """OP-17, OP-18: each grid row with the last tick at or before it (or NULLs), and the seconds since.
 
     Both sides are put in one row of times and each grid row takes the latest tick as a whole, so a missing value of that tick stays
-    missing. One exchange and one sort; no pairs of grid and tick are made. by is the partition, at will.
+    missing. One exchange and one sort; no pairs of grid and tick are made. by is the partition, at will. columns: what is wanted of the tick
+    (all by default); nothing else goes through the exchange, which no later projection could spare.
     """
-    carried = [c for c in ticks.columns if c not in by]
+    carried = [c for c in ticks.columns if c not in by and (columns is None or c in columns or c == tick_time)]
     clash = [c for c in carried if c in grid.columns and c != tick_time]
     if clash:
         raise ValueError(f"columns on both sides: {clash}")

@@ -41,12 +41,12 @@ def bucket_returns(panel: DataFrame, factors: list[str], ret: str, at: list[str]
 
 def daily_means(buckets: DataFrame, date: str, q: int = 5) -> DataFrame:
     """OP-67."""
-    return buckets.groupBy("factor_col", date).agg(*[F.avg(g).alias(g) for g in groups(q)]).orderBy("factor_col", date)
+    return buckets.groupBy("factor_col", date).agg(*[F.avg(g).alias(g) for g in groups(q)])
 
 
 def overall_means(daily: DataFrame, q: int = 5) -> DataFrame:
     """OP-68."""
-    return daily.groupBy("factor_col").agg(*[F.avg(g).alias(g) for g in groups(q)]).orderBy("factor_col")
+    return daily.groupBy("factor_col").agg(*[F.avg(g).alias(g) for g in groups(q)])
 
 
 def _running(columns: list[str], rows) -> dict[str, Column]:
@@ -70,7 +70,7 @@ def cumulative_days(buckets: DataFrame, date: str, q: int = 5, count: str | None
     days = buckets.groupBy("factor_col", date).agg(*[F.sum(g).alias(g) for g in groups(q)], F.count(count).alias("n_ticks"))
     rows = W.partitionBy("factor_col").orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
     cum = days.withColumns(_running(groups(q), rows))
-    return cum.select("factor_col", date, *groups(q), (F.col(f"g{q}") - F.col("g1")).alias("long_short"), "n_ticks").orderBy("factor_col", date)
+    return cum.select("factor_col", date, *groups(q), (F.col(f"g{q}") - F.col("g1")).alias("long_short"), "n_ticks")
 
 
 def stitched_ticks(cum_ticks: DataFrame, cum_days: DataFrame, date: str, time: str, q: int = 5) -> DataFrame:
@@ -108,18 +108,25 @@ def percentile_score(value: str, keys: list[str], security: str) -> Column:
     return F.when(F.col(value).isNotNull(), div(F.row_number().over(rows) - 1, F.count(value).over(W.partitionBy(*keys))))
 
 
-def composite(panel: DataFrame, weights: dict[str, float], at: list[str], security: str) -> DataFrame:
+def composite(panel: DataFrame, weights: dict[str, float | Column], at: list[str], security: str) -> DataFrame:
     """OP-75: add composite, the weighted score over the factors that a row has, over the absolute weights of those.
 
-    weights has a number for each factor chosen: as many as there are factors.
+    weights has a number for each factor chosen, or a column (weight_columns): where that is NULL the factor isn't chosen.
     """
+    weights = {f: w if isinstance(w, Column) else F.lit(w) for f, w in weights.items()}
     scored = panel.withColumns({f"_score_{f}": percentile_score(f, at, security) for f in weights})
     score = lambda f: F.col(f"_score_{f}")
-    total = add_up(*[F.coalesce(F.lit(w) * score(f), F.lit(0.0)) for f, w in weights.items()])
-    under = add_up(*[F.when(score(f).isNotNull(), F.lit(abs(w))).otherwise(0.0) for f, w in weights.items()])
+    total = add_up(*[F.coalesce(w * score(f), F.lit(0.0)) for f, w in weights.items()])
+    under = add_up(*[F.when(score(f).isNotNull(), F.coalesce(F.abs(w), F.lit(0.0))).otherwise(0.0) for f, w in weights.items()])
     return scored.withColumn("composite", F.when(under > 1e-9, div(total, under))).drop(*[f"_score_{f}" for f in weights])
 
 
+def weight_columns(weights: DataFrame, factors: list[str]) -> dict[str, Column]:
+    """The weight of each factor, NULL if it isn't chosen, as a scalar subquery: one row, no job before the plan is run."""
+    row = weights.agg(F.struct(*[F.max(F.when(F.col("factor_col") == f, F.col("weight"))).alias(f) for f in factors]).alias("weights")).scalar()
+    return {f: row[f] for f in factors}
+
+
 def collected_weights(weights: DataFrame) -> dict[str, float]:
     """A row for each factor."""
     return {r["factor_col"]: r["weight"] for r in weights.select("factor_col", "weight").orderBy("factor_col").collect()}

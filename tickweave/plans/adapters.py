@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.exprs import div, flag, tidy
 from tickweave.operators.base import with_base
 from tickweave.operators.ingest import as_of
-from tickweave.sources.schemas import LEVELS
+from tickweave.sources.schemas import BOOK, LEVELS
 
 DAY = ("date", "security_id")
 ORDER = "tick_idx"
@@ -51,17 +51,17 @@ def hourly_grid(ticks: DataFrame) -> DataFrame:
     return securities.select("security_id", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))).alias("grid_ts"))
 
 
-def sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each hour with the latest tick; date, sample_time and tick_idx (the hour) as in a day of ticks."""
+def sampled_events(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """Each hour with the latest tick (or some columns of it); date, sample_time and tick_idx (the hour) as in a day of ticks."""
     ticks = event_ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    sampled = as_of(hourly_grid(ticks), ticks, ["security_id"], "grid_ts", "ts")
+    sampled = as_of(hourly_grid(ticks), ticks, ["security_id"], "grid_ts", "ts", columns=columns)
     return sampled.select(
         F.date_format("grid_ts", "yyyy-MM-dd").alias("date"), F.date_format("grid_ts", "HH:mm:ss").alias("sample_time"), F.hour("grid_ts").alias("tick_idx"), "*"
     ).withColumn("market", F.lit("SH"))
 
 
 def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_base(sampled_events(spark, sf_dir))
+    return with_base(sampled_events(spark, sf_dir, ["status", *BOOK]))
 
 
 # ---- S: a supplier's line items as one long row of ticks
@@ -80,6 +80,58 @@ def item_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.withColumn("Price", F.when(F.col("CanUsePrice"), F.col("Price")))
 
 
+# ---- L: the line items of ten groups of suppliers as ten long rows of ticks, with a book, for windows as they are shipped
+
+
+def long_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 2,500 rows there is a stretch of forty rows most of which cannot be used, else only single rows lack a side or a level of the book."""
+    security = F.col("l_suppkey") % 10
+    order = W.partitionBy("security_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    items = table(spark, sf_dir, "lineitem").withColumns({"security_id": security, "p": tidy(div(F.col("l_extendedprice"), F.col("l_quantity")))})
+    numbered = items.withColumns({"tick_idx": F.row_number().over(order) - 1, "CumVolume": F.sum("l_quantity").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    usable = ~((F.col("tick_idx") % 2500 < 40) & (F.col("l_partkey") % 3 != 0))
+    both = usable & (F.col("l_partkey") % 40 != 0)
+    book = {}
+    for i in LEVELS:
+        book[f"AskPrice{i}"] = F.col("p") + F.lit(0.01 * i) + (F.col("l_partkey") % (i + 3)) * F.lit(0.001)
+        book[f"BidPrice{i}"] = F.col("p") - F.lit(0.01 * i) - (F.col("l_orderkey") % (i + 2)) * F.lit(0.001)
+        book[f"AskVolume{i}"] = (1 + (F.col("l_orderkey") * 11 + i * 17) % 50).cast("double")
+        book[f"BidVolume{i}"] = (1 + (F.col("l_partkey") * 7 + i * 13) % 50).cast("double")
+    return numbered.select(
+        F.lit("all").alias("date"), "security_id", "tick_idx", "CumVolume", usable.alias("CanUsePrice"), both.alias("CanUseDoubleSideBook"),
+        (both & (F.col("l_orderkey") % 30 != 0)).alias("CanUseFiveLevelBook"), F.when(usable, F.col("p")).alias("Price"), *[c.alias(k) for k, c in book.items()],
+    )
+
+
+# ---- R: events as raw files of both markets
+
+
+RAW_HEADS = {
+    "SH": ["Date", "UpdateTime", "SecurityID", "LastPrice", "TradVolume", "InstruStatus", "AskPrice1", "BidVolume5"],
+    "SZ": ["SecurityID", "BidVolume5", "AskPrice1", "TradingPhaseCode", "Volume", "LastPrice", "UpdateTime", "Date"],
+}
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a file for each user and day, in either market's dialect; some times are no times, some lines come twice in changed form,
+    the second market's columns stand the other way round, in quotes, with a carriage return."""
+    e = table(spark, sf_dir, "events").withColumn("again", F.explode(F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    sh = F.col("user_id") % 2 == 1
+    day, security = F.date_format("ts", "yyyyMMdd"), F.lpad(F.col("user_id").cast("string"), 6, "0")
+    time = F.when(F.col("event_id") % 13 == 0, "nan").when(F.col("event_id") % 17 == 0, "24:00:00").otherwise(F.concat(F.lit(" "), F.date_format("ts", "HH:mm:ss.SSSSSS")))
+    status = F.when(sh, "TRADE").otherwise("T0")
+    price = (F.col("value") * 100).cast("long").cast("string")
+    cell = {"Date": day, "UpdateTime": time, "SecurityID": F.col("user_id").cast("string"), "LastPrice": F.when(F.col("again") == 1, F.lit("")).otherwise(price),
+            "Volume": (F.col("event_id") % 1000).cast("string"), "Status": status, "AskPrice1": F.concat(price, F.lit(".5")), "BidVolume5": F.lit("7,0")}
+    own = lambda c: cell["Volume" if "Vol" in c and c != "BidVolume5" else "Status" if c in ("InstruStatus", "TradingPhaseCode") else c]
+    line_sh = F.concat_ws(",", *[F.when(F.lit(c == "BidVolume5"), F.lit("70")).otherwise(own(c)) for c in RAW_HEADS["SH"]])
+    line_sz = F.concat(F.concat_ws(",", *[F.concat(F.lit('"'), own(c), F.lit('"')) for c in RAW_HEADS["SZ"]]), F.lit("\r"))
+    lines = e.select(sh.alias("sh"), day.alias("day"), security.alias("sec"), F.struct("ts", "event_id", "again", F.when(sh, line_sh).otherwise(line_sz).alias("line")).alias("l"))
+    files = lines.groupBy("sh", "day", "sec").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    head = F.when(F.col("sh"), F.lit("\ufeff" + ",".join(RAW_HEADS["SH"]))).otherwise(F.lit(",".join(RAW_HEADS["SZ"]) + "\r"))
+    return files.select(F.concat(F.lit("data/"), "day", F.lit("/"), "sec", F.lit(".csv")).alias("path"), F.concat(head, F.lit("\n"), F.concat_ws("\n", F.transform("ls", lambda x: x["line"])), F.lit("\n")).alias("content"))
+
+
 # ---- P: a monthly panel of suppliers
 
 

@@ -127,12 +127,16 @@ def limits(w: int) -> str:
 T_WINDOWS = (4, 6, 12)
 
 
-def mean_factor(name: str, raw: str) -> str:
+def means(name: str, windows: dict[str, int], digits: int = 6) -> str:
     out = []
-    for w in T_WINDOWS:
+    for label, w in windows.items():
         ok = full("raw IS NOT NULL", w)
-        out += [r6(f"CASE WHEN {ok} THEN avg(raw) OVER {frame(w)} END", f"{name}_{w}t"), f"{ok} AND {limits(w)} AS {name}_{w}t_has_limit"]
-    return f"WITH {BASE}, raws AS (SELECT *, {raw} AS raw FROM base) SELECT security_id, date, sample_time, {', '.join(out)} FROM raws"
+        out += [r6(f"CASE WHEN {ok} THEN avg(raw) OVER {frame(w)} END", f"{name}_{label}", digits), f"{ok} AND {limits(w)} AS {name}_{label}_has_limit"]
+    return ", ".join(out)
+
+
+def mean_factor(name: str, raw: str) -> str:
+    return f"WITH {BASE}, raws AS (SELECT *, {raw} AS raw FROM base) SELECT security_id, date, sample_time, {means(name, {f'{w}t': w for w in T_WINDOWS})} FROM raws"
 
 
 BAP = "CASE WHEN CanUseDoubleSideBook AND bv1 + av1 > 1e-12 THEN (bv1 - av1) / (bv1 + av1) END"
@@ -147,35 +151,47 @@ OFD = f"CASE WHEN CanUseFiveLevelBook AND b1 - b5 > 4e-12 AND a5 - a1 > 4e-12 AN
 SQL["factor_ofd"] = mean_factor("ofd", OFD)
 
 
-def momentum(windows: tuple[int, ...]) -> str:
+def momentum(windows: dict[str, int]) -> str:
     out = []
-    for w in windows:
+    for label, w in windows.items():
         v = f"CASE WHEN CanUsePrice AND lag(CanUsePrice, {w}) OVER ({DAY}) THEN ln(Price) - ln(lag(Price, {w}) OVER ({DAY})) END"
         hit = f"(CanUsePrice AND NOT CanUseDoubleSideBook) OR coalesce(lag(CanUsePrice AND NOT CanUseDoubleSideBook, {w}) OVER ({DAY}), false)"
-        out += [r6(v, f"mom_{w}t"), f"coalesce(({v}) IS NOT NULL AND ({hit}), false) AS mom_{w}t_has_limit"]
+        out += [r6(v, f"mom_{label}"), f"coalesce(({v}) IS NOT NULL AND ({hit}), false) AS mom_{label}_has_limit"]
+    return ", ".join(out)
+
+
+SQL["factor_mom"] = f"WITH {BASE} SELECT security_id, date, sample_time, {momentum({f'{w}t': w for w in T_WINDOWS})} FROM base"
+
+
+def acceleration(pairs: list[tuple[int, int]]) -> str:
+    out = []
+    for s, l in pairs:
+        near, far = f"lag(Price, {s}) OVER ({DAY})", f"lag(Price, {l}) OVER ({DAY})"
+        usable = f"CanUsePrice AND lag(CanUsePrice, {s}) OVER ({DAY}) AND lag(CanUsePrice, {l}) OVER ({DAY})"
+        v = f"CASE WHEN {usable} THEN ln(Price) - 2 * ln({near}) + ln({far}) END"
+        lim = lambda k: f"lag(CanUsePrice AND NOT CanUseDoubleSideBook, {k}) OVER ({DAY})"
+        out += [r6(v, f"acc_mom_{s}_{l}t"), f"coalesce(({v}) IS NOT NULL AND ((CanUsePrice AND NOT CanUseDoubleSideBook) OR {lim(s)} OR {lim(l)}), false) AS acc_mom_{s}_{l}t_has_limit"]
     return ", ".join(out)
 
 
-SQL["factor_mom"] = f"WITH {BASE} SELECT security_id, date, sample_time, {momentum(T_WINDOWS)} FROM base"
-_acc = []
-for _s, _l in ((2, 4), (4, 8)):
-    _near, _far = f"lag(Price, {_s}) OVER ({DAY})", f"lag(Price, {_l}) OVER ({DAY})"
-    _usable = f"CanUsePrice AND lag(CanUsePrice, {_s}) OVER ({DAY}) AND lag(CanUsePrice, {_l}) OVER ({DAY})"
-    _v = f"CASE WHEN {_usable} THEN ln(Price) - 2 * ln({_near}) + ln({_far}) END"
-    _lim = lambda k: f"lag(CanUsePrice AND NOT CanUseDoubleSideBook, {k}) OVER ({DAY})"
-    _acc += [r6(_v, f"acc_mom_{_s}_{_l}t"), f"coalesce(({_v}) IS NOT NULL AND ((CanUsePrice AND NOT CanUseDoubleSideBook) OR {_lim(_s)} OR {_lim(_l)}), false) AS acc_mom_{_s}_{_l}t_has_limit"]
-SQL["factor_acc_mom"] = f"WITH {BASE} SELECT security_id, date, sample_time, {', '.join(_acc)} FROM base"
+SQL["factor_acc_mom"] = f"WITH {BASE} SELECT security_id, date, sample_time, {acceleration([(2, 4), (4, 8)])} FROM base"
 
 _price = lambda s: f"({' + '.join(f'{s}{i} * {s}v{i}' for i in range(1, 6))}) / nullif({' + '.join(f'{s}v{i}' for i in range(1, 6))}, 0)"
-_rs = []
-for _k in T_WINDOWS:
-    _ok = full("CanUseFiveLevelBook", _k)
-    _same = f"min(x) OVER {frame(_k)} = max(x) OVER {frame(_k)}"
-    _n = f"count(x) OVER {frame(_k)}"
-    _under = f"({_n}) * var_pop(x) OVER {frame(_k)} * ({_n})"
-    _rs += [r6(f"CASE WHEN {_ok} AND {_n} >= 2 AND NOT {_same} AND {_under} > 1e-12 THEN regr_slope(y, x) OVER {frame(_k)} END", f"rsrs_{_k}t"), f"{_ok} AND {limits(_k)} AS rsrs_{_k}t_has_limit"]
-SQL["factor_rsrs"] = f"""WITH {BASE}, xy AS (SELECT *, CASE WHEN CanUseFiveLevelBook THEN {_price('b')} END AS x, CASE WHEN CanUseFiveLevelBook THEN {_price('a')} END AS y FROM base)
-SELECT security_id, date, sample_time, {', '.join(_rs)} FROM xy"""
+XY = f"xy AS (SELECT *, CASE WHEN CanUseFiveLevelBook THEN {_price('b')} END AS x, CASE WHEN CanUseFiveLevelBook THEN {_price('a')} END AS y FROM base)"
+
+
+def slopes(windows: dict[str, int], digits: int = 6) -> str:
+    out = []
+    for label, w in windows.items():
+        ok = full("CanUseFiveLevelBook", w)
+        same = f"min(x) OVER {frame(w)} = max(x) OVER {frame(w)}"
+        n = f"count(x) OVER {frame(w)}"
+        under = f"({n}) * var_pop(x) OVER {frame(w)} * ({n})"
+        out += [r6(f"CASE WHEN {ok} AND {n} >= 2 AND NOT {same} AND {under} > 1e-12 THEN regr_slope(y, x) OVER {frame(w)} END", f"rsrs_{label}", digits), f"{ok} AND {limits(w)} AS rsrs_{label}_has_limit"]
+    return ", ".join(out)
+
+
+SQL["factor_rsrs"] = f"WITH {BASE}, {XY} SELECT security_id, date, sample_time, {slopes({f'{w}t': w for w in T_WINDOWS})} FROM xy"
 
 SQL["factor_summary"] = f"""WITH f AS ({mean_factor('bap', BAP)})
 SELECT date, security_id, count(*) AS Rows, {', '.join(f'count(bap_{w}t) AS nnz_bap_{w}t' for w in T_WINDOWS)} FROM f GROUP BY 1, 2"""
@@ -191,20 +207,26 @@ numbered AS (
          sum(l_quantity) OVER (o ROWS UNBOUNDED PRECEDING) AS CumVolume
   FROM lineitem WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)
 ), base AS (SELECT *, CASE WHEN CanUsePrice THEN p END AS Price FROM numbered)"""
-SQL["factor_mom_items"] = f"WITH {ITEMS} SELECT security_id, tick_idx, {momentum((20, 120))} FROM base"
-
-_lists = []
-for _k in (60, 120, 300):
-    _top = max(1, _k // 50)
-    _ok = full("CanUsePrice", _k)
-    _cells = f"list({{'level': level, 'at': tick_idx, 'amp': amp}}) OVER (PARTITION BY security_id, tick_idx % 10 ORDER BY tick_idx ROWS BETWEEN {_k // 10 - 1} PRECEDING AND CURRENT ROW)"
-    _lists.append((_k, _top, _ok, _cells))
-SQL["factor_amp_slice"] = f"""WITH {ITEMS}, tens AS (
+SQL["factor_mom_items"] = f"WITH {ITEMS} SELECT security_id, tick_idx, {momentum({'20t': 20, '120t': 120})} FROM base"
+
+
+
+def amplitudes(base: str, windows: dict[str, int]) -> str:
+    lists = []
+    for label, w in windows.items():
+        ok = full("CanUsePrice", w)
+        cells = f"list({{'level': level, 'at': tick_idx, 'amp': amp}}) OVER (PARTITION BY security_id, tick_idx % 10 ORDER BY tick_idx ROWS BETWEEN {w // 10 - 1} PRECEDING AND CURRENT ROW)"
+        lists.append((label, w, max(1, w // 50), ok, cells))
+    mean = lambda cells: f"list_avg(list_transform({cells}, lambda x: x.amp))"
+    return f"""WITH {base}, tens AS (
   SELECT *, avg(Price) OVER {frame(10)} AS level, max(Price) OVER {frame(10)} / min(Price) OVER {frame(10)} - 1 AS amp FROM base
-), held AS (SELECT *, {', '.join(f"CASE WHEN {ok} THEN {cells} END AS c{k}, {ok} AND {limits(k)} AS h{k}" for k, _, ok, cells in _lists)} FROM tens)
+), held AS (SELECT *, {', '.join(f"CASE WHEN {ok} THEN list_sort({cells}) END AS c{w}, {ok} AND {limits(w)} AS h{w}" for _, w, _, ok, cells in lists)} FROM tens)
 SELECT security_id, tick_idx, {', '.join(
-    r6(f"CASE WHEN len(list_filter(c{k}, lambda x: x.level IS NOT NULL)) = {k // 10} THEN list_avg(list_transform(list_slice(list_sort(c{k}), -{top}, -1), lambda x: x.amp)) - list_avg(list_transform(list_slice(list_sort(c{k}), 1, {top}), lambda x: x.amp)) END", f"amp_slice_{k}t")
-    + f", h{k} AS amp_slice_{k}t_has_limit" for k, top, *_ in _lists)} FROM held"""
+        r6(f"CASE WHEN len(list_filter(c{w}, lambda x: x.level IS NOT NULL)) = {w // 10} THEN {mean(f'list_slice(c{w}, -{top}, -1)')} - {mean(f'list_slice(c{w}, 1, {top})')} END", f"amp_slice_{label}")
+        + f", h{w} AS amp_slice_{label}_has_limit" for label, w, top, *_ in lists)} FROM held"""
+
+
+SQL["factor_amp_slice"] = amplitudes(ITEMS, {"60t": 60, "120t": 120, "300t": 300})
 
 
 def _rigid(w: int) -> str:
@@ -227,29 +249,96 @@ near{w} AS (
 )"""
 
 
-SQL["factor_rigidity"] = f"""WITH {ITEMS}, gates AS (SELECT *, {', '.join(f"{full('CanUsePrice', w)} AS ok{w}, {limits(w)} AS h{w}" for w in (20, 60))} FROM base), {_rigid(20)}, {_rigid(60)}
-SELECT g.security_id, g.tick_idx, {', '.join(r6(f"CASE WHEN ok{w} THEN rigid{w}.v END", f"rigidity_{w}t", 3) + f", ok{w} AND h{w} AS rigidity_{w}t_has_limit" for w in (20, 60))}
-FROM gates g LEFT JOIN rigid20 ON g.security_id = rigid20.security_id AND g.tick_idx = rigid20.tick_idx
-LEFT JOIN rigid60 ON g.security_id = rigid60.security_id AND g.tick_idx = rigid60.tick_idx"""
+def rigidities(base: str, windows: dict[str, int], digits: int) -> str:
+    gates = ", ".join(f"{full('CanUsePrice', w)} AS ok{w}, {limits(w)} AS h{w}" for w in windows.values())
+    out = ", ".join(r6(f"CASE WHEN ok{w} THEN rigid{w}.v END", f"rigidity_{label}", digits) + f", ok{w} AND h{w} AS rigidity_{label}_has_limit" for label, w in windows.items())
+    joins = " ".join(f"LEFT JOIN rigid{w} ON g.security_id = rigid{w}.security_id AND g.tick_idx = rigid{w}.tick_idx" for w in windows.values())
+    return f"WITH {base}, gates AS (SELECT *, {gates} FROM base), {', '.join(_rigid(w) for w in windows.values())} SELECT g.security_id, g.tick_idx, {out} FROM gates g {joins}"
+
+
+SQL["factor_rigidity"] = rigidities(ITEMS, {"20t": 20, "60t": 60}, 6)
 
 _change = lambda c, w, more="": f"CASE WHEN CanUsePrice AND lag(CanUsePrice, {w}) OVER ({DAY}){more} THEN {c} / lag({c}, {w}) OVER ({DAY}) - 1 END"
-_ns = []
-for _k in (40, 100):
-    _ok = full("CanUsePrice", _k + 1)
-    _all = f"count(r) OVER {frame(_k)} = {_k}"
-    _v = f"CASE WHEN {_ok} AND {_all} THEN CASE WHEN min(r) OVER {frame(_k)} = max(r) OVER {frame(_k)} THEN 0.0 WHEN var_samp(r) OVER {frame(_k)} > 1e-14 THEN -(skewness(r) OVER {frame(_k)}) END END"
-    _ns += [r6(_v, f"neg_skew_{_k}t"), f"{_ok} AND {limits(_k + 1)} AS neg_skew_{_k}t_has_limit"]
-SQL["factor_neg_skew"] = f"WITH {ITEMS}, changes AS (SELECT *, {_change('Price', 1)} AS r FROM base) SELECT security_id, tick_idx, {', '.join(_ns)} FROM changes"
-
-_pv1, _pv2, _pv3 = [], [], []
-for _k in (10, 20):
-    _f = frame(2 * _k)
-    _pv1 += [f"{_change('Price', _k, f' AND lag(Price, {_k}) OVER ({DAY}) > 1e-12')} AS p{_k}", f"{_change('CumVolume', _k, f' AND lag(CumVolume, {_k}) OVER ({DAY}) > 1e-12')} AS v{_k}"]
-    _z = lambda c, k=_k, f=_f: f"CASE WHEN count({c}{k}) OVER {f} = {2 * k} AND min({c}{k}) OVER {f} < max({c}{k}) OVER {f} THEN ({c}{k} - avg({c}{k}) OVER {f}) / stddev_pop({c}{k}) OVER {f} END"
-    _pv2.append(f"CASE WHEN CanUsePrice THEN ({_z('p')}) * sign({_z('v')}) END AS raw{_k}")
-    _ok = full("CanUsePrice", 4 * _k)
-    _pv3 += [r6(f"CASE WHEN {_ok} THEN avg(raw{_k}) OVER {frame(_k)} END", f"pv_corr_{_k}t"), f"{_ok} AND {limits(4 * _k)} AS pv_corr_{_k}t_has_limit"]
-SQL["factor_pv_corr"] = f"WITH {ITEMS}, changes AS (SELECT *, {', '.join(_pv1)} FROM base), raws AS (SELECT *, {', '.join(_pv2)} FROM changes) SELECT security_id, tick_idx, {', '.join(_pv3)} FROM raws"
+
+
+def skews(base: str, windows: dict[str, int], lag: int, digits: int = 6) -> str:
+    out = []
+    for label, w in windows.items():
+        ok, every = full("CanUsePrice", w + lag), f"count(r) OVER {frame(w)} = {w}"
+        v = f"CASE WHEN {ok} AND {every} THEN CASE WHEN min(r) OVER {frame(w)} = max(r) OVER {frame(w)} THEN 0.0 WHEN var_samp(r) OVER {frame(w)} > 1e-14 THEN -(skewness(r) OVER {frame(w)}) END END"
+        out += [r6(v, f"neg_skew_{label}", digits), f"{ok} AND {limits(w + lag)} AS neg_skew_{label}_has_limit"]
+    return f"WITH {base}, changes AS (SELECT *, {_change('Price', lag)} AS r FROM base) SELECT security_id, tick_idx, {', '.join(out)} FROM changes"
+
+
+SQL["factor_neg_skew"] = skews(ITEMS, {"40t": 40, "100t": 100}, 1)
+
+
+def price_volume(base: str, windows: dict[str, int], digits: int = 6) -> str:
+    one, two, three = [], [], []
+    for label, w in windows.items():
+        f = frame(2 * w)
+        one += [f"{_change('Price', w, f' AND lag(Price, {w}) OVER ({DAY}) > 1e-12')} AS p{w}", f"{_change('CumVolume', w, f' AND lag(CumVolume, {w}) OVER ({DAY}) > 1e-12')} AS v{w}"]
+        z = lambda c: f"CASE WHEN count({c}{w}) OVER {f} = {2 * w} AND min({c}{w}) OVER {f} < max({c}{w}) OVER {f} THEN ({c}{w} - avg({c}{w}) OVER {f}) / stddev_pop({c}{w}) OVER {f} END"  # noqa: E731, B023
+        two.append(f"CASE WHEN CanUsePrice THEN ({z('p')}) * sign({z('v')}) END AS raw{w}")
+        ok = full("CanUsePrice", 4 * w)
+        three += [r6(f"CASE WHEN {ok} THEN avg(raw{w}) OVER {frame(w)} END", f"pv_corr_{label}", digits), f"{ok} AND {limits(4 * w)} AS pv_corr_{label}_has_limit"]
+    return f"WITH {base}, changes AS (SELECT *, {', '.join(one)} FROM base), raws AS (SELECT *, {', '.join(two)} FROM changes) SELECT security_id, tick_idx, {', '.join(three)} FROM raws"
+
+
+SQL["factor_pv_corr"] = price_volume(ITEMS, {"10t": 10, "20t": 20})
+
+#: Windows as shipped, over ten long rows of ticks.
+_long_book = ", ".join(
+    f"p + CAST({0.01 * i!r} AS DOUBLE) + (l_partkey % {i + 3}) * CAST(0.001 AS DOUBLE) AS a{i}, p - CAST({0.01 * i!r} AS DOUBLE) - (l_orderkey % {i + 2}) * CAST(0.001 AS DOUBLE) AS b{i}, "
+    f"CAST(1 + (l_orderkey * 11 + {i * 17}) % 50 AS DOUBLE) AS av{i}, CAST(1 + (l_partkey * 7 + {i * 13}) % 50 AS DOUBLE) AS bv{i}"
+    for i in range(1, 6)
+)
+LONG = f"""
+priced AS (SELECT *, l_suppkey % 10 AS security_id, round(l_extendedprice / l_quantity + 1e-10, 6) + 0.0 AS p FROM lineitem),
+numbered AS (
+  SELECT *, CAST(row_number() OVER o - 1 AS INT) AS tick_idx, sum(l_quantity) OVER (o ROWS UNBOUNDED PRECEDING) AS CumVolume
+  FROM priced WINDOW o AS (PARTITION BY security_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice)
+), usable AS (SELECT *, NOT (tick_idx % 2500 < 40 AND l_partkey % 3 <> 0) AS CanUsePrice FROM numbered),
+base AS (
+  SELECT 'all' AS date, security_id, tick_idx, CumVolume, CanUsePrice, CanUsePrice AND l_partkey % 40 <> 0 AS CanUseDoubleSideBook,
+         CanUsePrice AND l_partkey % 40 <> 0 AND l_orderkey % 30 <> 0 AS CanUseFiveLevelBook, CASE WHEN CanUsePrice THEN p END AS Price, {_long_book} FROM usable
+)"""
+MINUTES = lambda *values: {f"{v}m": 20 * v for v in values}
+_raws = lambda raw: f"WITH {LONG}, raws AS (SELECT *, {raw} AS raw FROM base) SELECT security_id, tick_idx, "
+SQL["factor_bap_shipped"] = f"{_raws(BAP)}{means('bap', MINUTES(15, 30, 45, 60, 75))} FROM raws"
+SQL["factor_oir_shipped"] = f"{_raws(OIR)}{means('oir', MINUTES(15, 30, 45, 60, 75))} FROM raws"
+SQL["factor_ofd_shipped"] = f"{_raws(OFD)}{means('ofd', MINUTES(15, 30, 45, 60, 75))} FROM raws"
+SQL["factor_mom_shipped"] = f"WITH {LONG} SELECT security_id, tick_idx, {momentum(MINUTES(5, 10, 20, 30, 45, 60, 90))} FROM base"
+_pairs_shipped = [(25, 50), (50, 100), (100, 200), (150, 300), (200, 400), (300, 600), (400, 800), (500, 1000), (600, 1200)]
+SQL["factor_acc_mom_shipped"] = f"WITH {LONG} SELECT security_id, tick_idx, {acceleration(_pairs_shipped)} FROM base"
+SQL["factor_rsrs_shipped"] = f"WITH {LONG}, {XY} SELECT security_id, tick_idx, {slopes(MINUTES(30, 45, 60, 75, 105))} FROM xy"
+SQL["factor_neg_skew_shipped"] = skews(LONG, MINUTES(15, 30, 45, 60), 20)
+SQL["factor_pv_corr_shipped"] = price_volume(LONG, {"100t": 100, "200t": 200, "300t": 300})
+SQL["factor_amp_slice_shipped"] = amplitudes(LONG, {"300t": 300, "900t": 900, "1500t": 1500})
+SQL["factor_rigidity_shipped"] = rigidities(LONG, MINUTES(10, 105), 6)
+
+RAW = """
+lines AS (
+  SELECT strftime(ts, '%Y%m%d') AS day, lpad(CAST(user_id AS VARCHAR), 6, '0') AS security_id, event_id, ts, user_id % 2 = 1 AS sh,
+         unnest(CASE WHEN event_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS again, CAST(trunc(value * 100) AS BIGINT) AS cents FROM events
+), raw AS (
+  SELECT *, row_number() OVER (PARTITION BY day, security_id ORDER BY ts, event_id, again) AS file_line,
+         CASE WHEN event_id % 13 = 0 THEN 'nan' WHEN event_id % 17 = 0 THEN '24:00:00' ELSE strftime(ts, '%H:%M:%S.%f') END AS UpdateTime,
+         CASE WHEN again = 0 THEN CAST(cents AS DOUBLE) END AS LastPrice, CAST(event_id % 1000 AS DOUBLE) AS volume, CASE WHEN sh THEN 'TRADE' ELSE 'T0' END AS status,
+         CASE WHEN sh THEN 'SH' ELSE 'SZ' END AS market, CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 THEN ts END AS good FROM lines
+)"""
+SQL["raw_parse"] = f"""WITH {RAW} SELECT day, security_id, file_line, day AS Date, UpdateTime, {r6('LastPrice')}, CAST(NULL AS DOUBLE) AS PreCloPrice, {r6('volume')}, status, market,
+  {r6("CAST(CAST(cents AS VARCHAR) || '.5' AS DOUBLE)", 'AskPrice1')}, CASE WHEN sh THEN CAST(70 AS DOUBLE) END AS BidVolume5 FROM raw"""
+SQL["raw_times"] = f"WITH {RAW} SELECT day, security_id, file_line, strftime(good, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM raw"
+SQL["raw_days"] = f"WITH {RAW} SELECT DISTINCT day || ' ' || market AS date FROM raw"
+SQL["raw_sampled"] = f"""WITH {RAW}, kept AS (
+  SELECT * FROM raw WHERE good IS NOT NULL QUALIFY row_number() OVER (PARTITION BY day, security_id, good ORDER BY file_line DESC) = 1
+), days AS (SELECT DISTINCT day, security_id FROM kept),
+times AS (SELECT unnest(generate_series(0, 7)) AS tick_idx),
+grid AS (SELECT day, security_id, CAST(tick_idx AS INT) AS tick_idx, strptime(day, '%Y%m%d') + to_minutes(CASE WHEN tick_idx < 4 THEN 570 + 30 * tick_idx ELSE 780 + 30 * (tick_idx - 4) END) AS slot FROM days, times)
+SELECT strftime(slot, '%Y-%m-%d') AS date, strftime(slot, '%H:%M:%S') AS sample_time, g.day, g.security_id, tick_idx, UpdateTime, {r6('LastPrice')}, {r6('volume')}, status, market,
+  {r6("date_diff('microsecond', good, slot) / 1e6", 'gap_sec')}
+FROM grid g ASOF LEFT JOIN kept k ON g.day = k.day AND g.security_id = k.security_id AND g.slot >= k.good"""
 
 
 # ---- evaluation

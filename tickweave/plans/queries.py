@@ -13,8 +13,9 @@ from tickweave.operators import ingest as I
 from tickweave.operators import quantiles as Q
 from tickweave.operators import views as V
 from tickweave.operators.base import base_summary, with_forward_returns
-from tickweave.operators.factors import factor_summary, run_factor, ticks
+from tickweave.operators.factors import FACTORS, factor_summary, run_factor, ticks
 from tickweave.plans import adapters as A
+from tickweave.sources.readers import available_days, parse_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,35 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[tidy(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+# ---- raw files, made of events
+
+
+@query("raw_parse")
+def _(spark, d):
+    raw = parse_raw(A.raw_files(spark, d))
+    return rounded(raw.select("day", "security_id", "file_line", "Date", "UpdateTime", "LastPrice", "PreCloPrice", "volume", "status", "market", "AskPrice1", "BidVolume5"))
+
+
+@query("raw_times")
+def _(spark, d):
+    raw = parse_raw(A.raw_files(spark, d))
+    return raw.select("day", "security_id", "file_line", F.date_format(I.parse_time(F.col("day"), F.col("UpdateTime")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+@query("raw_sampled")
+def _(spark, d):
+    sessions = (("09:30:00", "11:30:00"), ("13:00:00", "15:00:00"))
+    sampled = I.sample_ticks(parse_raw(A.raw_files(spark, d)), sessions, "30 minutes")
+    return rounded(sampled.select("date", "sample_time", "day", "security_id", "tick_idx", "UpdateTime", "LastPrice", "volume", "status", "market", "gap_sec"))
+
+
+@query("raw_days")
+def _(spark, d):
+    """The days there are files for, by market."""
+    raw = parse_raw(A.raw_files(spark, d))
+    return available_days(raw.select(F.concat_ws(" ", "day", "market").alias("date")))
+
+
 # ---- ingest, on events
 
 
@@ -60,14 +90,14 @@ def _(spark, d):
 
 @query("as_of_join")
 def _(spark, d):
-    s = A.sampled_events(spark, d)
+    s = A.sampled_events(spark, d, ["event_id", "value", "BidPrice1", "AskVolume3"])
     return rounded(s.select("security_id", "date", "sample_time", "tick_idx", "event_id", "value", "BidPrice1", "AskVolume3", "gap_sec"))
 
 
 @query("resample_summary")
 def _(spark, d):
     raw = A.event_ticks(spark, d).groupBy("security_id", F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("RawRows"))
-    return rounded(I.resample_summary(A.sampled_events(spark, d), raw, ["security_id", "date"], 36000.0))
+    return rounded(I.resample_summary(A.sampled_events(spark, d, []), raw, ["security_id", "date"], 36000.0))
 
 
 def _statuses(spark, d):
@@ -119,7 +149,7 @@ def _(spark, d):
 @query("gap_review")
 def _(spark, d):
     raw = A.event_ticks(spark, d).groupBy("security_id", F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("RawRows"))
-    summary = I.resample_summary(A.sampled_events(spark, d), raw, ["security_id", "date"], 36000.0)
+    summary = I.resample_summary(A.sampled_events(spark, d, []), raw, ["security_id", "date"], 36000.0)
     reason = F.when(F.col("security_id") % 3 == 0, "MANUAL_OVERRIDE")
     return rounded(I.gap_review(summary.select("security_id", "date", reason.alias("drop_reason")), summary, ["security_id", "date"], 36000.0))
 
@@ -169,11 +199,32 @@ for _name in ("bap", "oir", "ofd", "mom", "rsrs"):
 QUERIES["factor_acc_mom"] = _events_factor("acc_mom", {"2_4t": (2, 4), "4_8t": (4, 8)})
 QUERIES["factor_mom_items"] = _items_factor("mom", ticks(20, 120))
 QUERIES["factor_amp_slice"] = _items_factor("amp_slice", ticks(60, 120, 300))
-QUERIES["factor_rigidity"] = _items_factor("rigidity", ticks(20, 60), 3)  # running sums of x^2 z keep about six digits
+QUERIES["factor_rigidity"] = _items_factor("rigidity", ticks(20, 60))
 QUERIES["factor_neg_skew"] = _items_factor("neg_skew", ticks(40, 100), lag=1)
 QUERIES["factor_pv_corr"] = _items_factor("pv_corr", ticks(10, 20))
 
 
+#: Windows as shipped (in rows); of the costliest factors the shortest, one between and the longest.
+SHIPPED = {
+    **{name: FACTORS[name].windows for name in ("bap", "oir", "ofd", "mom", "acc_mom", "rsrs", "neg_skew", "pv_corr")},
+    "amp_slice": {k: FACTORS["amp_slice"].windows[k] for k in ("300t", "900t", "1500t")},
+    "rigidity": {k: FACTORS["rigidity"].windows[k] for k in ("10m", "105m")},
+}
+
+
+def _shipped_factor(name: str) -> Query:
+    def run(spark, d):
+        base = A.long_base(spark, d)
+        out = run_factor(base, name, A.DAY, A.ORDER, SHIPPED[name])
+        return rounded(out.select("security_id", "tick_idx", *[c for c in out.columns if c not in base.columns]))
+
+    return run
+
+
+for _name in SHIPPED:
+    QUERIES[f"factor_{_name}_shipped"] = _shipped_factor(_name)
+
+
 @query("factor_summary")
 def _(spark, d):
     return factor_summary(run_factor(A.event_base(spark, d), "bap", A.DAY, A.ORDER, T_WINDOWS), "bap")
@@ -215,8 +266,7 @@ def _stats(spark, d, compat=False):
 
 
 def _ts(spark, d):
-    p = E.with_session(A.panel(spark, d), "sample_time", A.AM_END, A.PM_START)
-    return E.ts_ic(p, PAIRS, ["date", "security_id", "session"], "sample_time")
+    return E.ts_ic(A.panel(spark, d), PAIRS, ["date", "security_id"], "sample_time", (A.AM_END, A.PM_START))
 
 
 QUERIES["cs_ic"] = lambda spark, d: rounded(_ic(spark, d))
@@ -273,9 +323,8 @@ def _weights(spark, d):
 
 def _scored(spark, d):
     # the weights are rounded, so that ranks of the composite don't hang on the last bits
-    w = {k: round(v, 6) for k, v in Q.collected_weights(_weights(spark, d).filter("ret = 'ret_1'")).items()}
-    p = A.panel(spark, d)
-    scored = Q.composite(p, w, AT, "security_id") if w else p.withColumn("composite", F.lit(None).cast("double"))
+    weights = _weights(spark, d).filter("ret = 'ret_1'").withColumn("weight", F.round("weight", 6))
+    scored = Q.composite(A.panel(spark, d), Q.weight_columns(weights, A.FACTORS), AT, "security_id")
     return scored.withColumn("composite", tidy(F.col("composite")))
 
 

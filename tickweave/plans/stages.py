@@ -19,7 +19,7 @@ from tickweave.operators import quantiles as Q
 from tickweave.operators import views as V
 from tickweave.operators.base import base_summary, with_base, with_forward_returns
 from tickweave.operators.factors import FACTORS, factor_columns, factor_summary, run_factor
-from tickweave.sources.readers import read_overrides, read_raw, read_table
+from tickweave.sources.readers import read_factor_stats, read_overrides, read_raw, read_table
 from tickweave.sources.sinks import write_table
 
 KEYS = ["date", "security_id"]
@@ -95,8 +95,7 @@ class Run:
 
     def ts_ic(self) -> None:
         df = self.read(f"factor_{self.factor}")
-        split = E.with_session(df, "sample_time", self.p.am_end, self.p.pm_start)
-        self.write(E.ts_ic(split, self._pairs(df), [*KEYS, "session"], "sample_time"), f"ts_ic_{self.factor}")
+        self.write(E.ts_ic(df, self._pairs(df), KEYS, "sample_time", (self.p.am_end, self.p.pm_start)), f"ts_ic_{self.factor}")
 
     def ic_stats(self) -> None:
         keys = ["ret", "session", "factor_col"]
@@ -154,17 +153,19 @@ class Run:
 
     def multi_factor_quantile(self, threshold: float | None = None) -> None:
         threshold = self.p.ic_threshold if threshold is None else threshold
-        weights = Q.ic_weights(self.read("cs_ic_stats"), threshold)
+        stats = read_factor_stats(self.spark, self.root)
+        weights = Q.ic_weights(stats, threshold)
         self.write(weights, "weights", [])
         for h in self.p.horizons:
             ret = f"ret_fwd_{h}"
             chosen = Q.collected_weights(weights.filter(F.col("ret") == ret))
             owners = sorted({n for n in FACTORS for c in chosen if c.startswith(f"{n}_") and not (n == "mom" and c.startswith("acc_"))})
-            if not chosen:
-                continue
+            if not chosen:  # no factor reaches the threshold: a composite without values, so that none of an earlier run stays
+                owners = [r["factor_name"] for r in stats.select("factor_name").distinct().orderBy("factor_name").limit(1).collect()]
             tables = [self.read(f"factor_{n}") for n in owners]
             panel = Q.with_returns([t.select(*AT, "security_id", ret, *[c for c in chosen if c in t.columns]) for t in tables], [*AT, "security_id"], [ret])
-            deciles = Q.composite_deciles(Q.composite(panel, chosen, AT, "security_id"), ret, AT, "security_id", self.p.deciles)
+            scored = Q.composite(panel, chosen, AT, "security_id") if chosen else panel.withColumn("composite", F.lit(None).cast("double"))
+            deciles = Q.composite_deciles(scored, ret, AT, "security_id", self.p.deciles)
             name = f"composite_{ret}"
             self.write(deciles.withColumn("factor_col", F.lit("composite")), name)
             self._curves(self.read(name, True), name, self.p.deciles, "g1")

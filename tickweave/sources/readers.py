@@ -2,42 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.functions.exprs import number
-from tickweave.sources.schemas import BOOK, METADATA
+from tickweave.sources.schemas import BOOK, METADATA, RAW_COLUMNS
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """OP-05: the header alone."""
-    return spark.read.option("header", True).csv(path, enforceSchema=False).columns
+def read_raw(spark: SparkSession, root: str, days: list[str] | None = None) -> DataFrame:
+    """Raw snapshots under root/yyyymmdd/secid.csv -> typed ticks of both markets."""
+    paths = [f"{root}/{d}" for d in days] if days else f"{root}/*"
+    return parse_raw(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
 
 
-def read_raw(spark: SparkSession, root: str, days: list[str] | None = None) -> DataFrame:
-    """Raw snapshots under root/yyyymmdd/secid.csv -> typed ticks of both markets.
+#: Commas that no quotes hold.
+COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
 
-    Columns are found by name: Spark parses each line and each file's header line (its first) says what is where, so files
-    of both dialects can lie side by side. day and security_id come from the path, so ids keep their zeros.
+def _cells(line: Column) -> Column:
+    plain = F.transform(F.split(line, COMMA, -1), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    return F.when(F.contains(line, F.lit('"')), plain).otherwise(F.split(line, ",", -1))
+
+
+def parse_raw(files: DataFrame) -> DataFrame:
+    """files (path, content), a row for each stock and day -> typed ticks (OP-01 to OP-05, OP-20); other files and sidecars (`_...`) are left out.
+
+    Columns are found by name in each file's own header (its first line with UpdateTime), so files of both dialects and any order of
+    columns can lie side by side, without a join: a file is one row until its lines are told apart. day and security_id come from the path, so ids
+    keep their zeros; file_line counts the file's lines.
     """
-    paths = [f"{root}/{d}" for d in days] if days else f"{root}/*"
-    lines = spark.read.text(paths, wholetext=False).withColumn("path", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
-    name = F.element_at(F.split("path", "/"), -1)
-    day = F.element_at(F.split("path", "/"), -2)
-    lines = lines.filter(name.endswith(".csv") & ~name.startswith("_") & day.rlike(r"^\d{8}$"))
-    cells = F.split(F.regexp_replace("value", r"\r$", ""), ",", -1)
-    header = lines.filter(F.col("value").contains("UpdateTime")).groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    header = header.withColumnRenamed("path", "of").withColumn("header", F.split(F.regexp_replace("header", r"^\uFEFF|\r$", ""), ","))
-    rows = lines.join(header, F.col("path") == F.col("of")).filter(~F.col("value").contains("UpdateTime"))
-    got = F.map_from_arrays("header", F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), F.size("header"))), F.lit(1), F.size("header")))
-    typed = rows.select(day.alias("day"), F.regexp_replace(name, r"\.csv$", "").alias("security_id"), F.col("at").alias("file_line"), got.alias("m"))
-    text = lambda c: F.nullif(F.trim(F.try_element_at("m", F.lit(c))), F.lit(""))
-    return typed.select(
-        "day", "security_id", "file_line", text("Date").alias("Date"), text("UpdateTime").alias("UpdateTime"),
+    name, day = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
+    named = files.select(name.alias("name"), day.alias("day"), F.split("content", r"\r?\n", -1).alias("lines"))
+    named = named.filter(F.col("name").endswith(".csv") & ~F.col("name").startswith("_") & F.col("day").rlike(r"^\d{8}$"))
+    head = F.regexp_replace(F.get(F.filter("lines", lambda x: F.contains(x, F.lit("UpdateTime"))), 0), "^\ufeff", "")
+    headed = named.withColumn("header", F.transform(_cells(head), lambda c: F.trim(c)))
+    places = F.struct(*[(F.array_position("header", c).cast("int") - 1).alias(c) for c in RAW_COLUMNS])
+    each = headed.select("day", "name", places.alias("at"), F.posexplode("lines").alias("file_line", "line"))
+    rows = each.filter((F.trim("line") != "") & ~F.contains("line", F.lit("UpdateTime"))).withColumn("cells", _cells(F.col("line")))
+    text = lambda c: F.nullif(F.trim(F.get("cells", F.col(f"at.{c}"))), F.lit(""))
+    there = lambda c: F.col(f"at.{c}") >= 0
+    return rows.select(
+        "day", F.regexp_replace("name", r"\.csv$", "").alias("security_id"), F.col("file_line").cast("long"), text("Date").alias("Date"), text("UpdateTime").alias("UpdateTime"),
         *[number(text(c)).alias(c) for c in ("PreCloPrice", "LastPrice", "Turnover")],
         number(F.coalesce(text("TradVolume"), text("Volume"))).alias("volume"),
         F.coalesce(text("InstruStatus"), text("TradingPhaseCode")).alias("status"),
-        F.when(F.map_contains_key("m", "InstruStatus"), "SH").when(F.map_contains_key("m", "TradingPhaseCode"), "SZ").otherwise("UNK").alias("market"),
+        F.when(there("InstruStatus"), "SH").when(there("TradingPhaseCode"), "SZ").otherwise("UNK").alias("market"),
         *[number(text(c)).alias(c) for c in BOOK],
     )
 

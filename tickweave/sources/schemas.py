@@ -8,11 +8,8 @@ LEVELS = range(1, 6)
 BOOK = [f"{side}{what}{i}" for side in ("Ask", "Bid") for what in ("Price", "Volume") for i in LEVELS]
 
 
-def raw_schema(market: str) -> T.StructType:
-    """The columns of a raw snapshot file: both markets name their volume and status differently."""
-    names = ["Date", "UpdateTime", "SecurityID", "PreCloPrice", "LastPrice", "Turnover"]
-    names += {"SH": ["TradVolume", "InstruStatus"], "SZ": ["Volume", "TradingPhaseCode"]}[market]
-    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, *BOOK]])
+#: The columns of a raw snapshot file; the markets name their volume and status differently: TradVolume and InstruStatus are SH's.
+RAW_COLUMNS = ["Date", "UpdateTime", "PreCloPrice", "LastPrice", "Turnover", "TradVolume", "InstruStatus", "Volume", "TradingPhaseCode", *BOOK]
 
 
 METADATA = T.StructType(
