@@ -2,9 +2,9 @@
 
 Documents of equal text are linked. Each group of linked documents is cut into cells (by a hash of doc_id, so that a
 very large group has many small cells and no task holds a group); a cell starts in a shard given by its hash. Then rounds of
-propagation: a cell asks to move to the shard with room where its group has most documents, its own shard included, and requests are
-granted by gain until the shard's room is used up. Room is kept by a table of request sizes by (shard, gain, lot), of
-bounded size. Documents without links do not move in the rounds; at the end they are what evens out the shards.
+propagation: a cell asks to move to the shard where its group has most documents, its own shard included. Requests between two shards are
+granted by gain: as much as goes the other way is a swap and needs no room, so that full shards exchange cells too; more is granted until the
+shard's room is used up. Both are read off a table of request sizes by (from, to, gain, lot), of bounded size. Documents without links do not move in the rounds; at the end they are what evens out the shards.
 
 Law `rows`: the shards' counts are at most one apart. After the rounds, shards above their quota give their
 last slots (documents without links come last) to the shards below; both are read off the slot
@@ -24,44 +24,64 @@ from tickweave.llm.common import bucketed_prefix, checkpointed, partitions_for,
 CELLS = 1024  # cells of a group at most
 LOTS = 64  # parts of the requests of one gain that can be granted separately
 GAINS = 32  # levels of gain (powers of two)
-ROUNDS = 5
+ROUNDS = 10  # at most; it ends when no cell moves
 SLOT_BUCKET_ROWS = 40_000
 
 
+def _granted(asked: list[tuple[int, int, int, int]], room: list[int]) -> dict[tuple[int, int], int]:
+    """asked (from, to, lot, documents) -> the last lot granted of each (from, to); lots of a pair are granted in order."""
+    lots: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b, lot, n in sorted(asked):
+        lots.setdefault((a, b), []).append((lot, n))
+    total = {k: sum(n for _, n in v) for k, v in lots.items()}
+    last, used, room = dict.fromkeys(lots, -1), dict.fromkeys(lots, 0), list(room)
+    for (a, b), own in lots.items():  # swaps
+        both, moved = min(total[a, b], total.get((b, a), 0)), 0
+        for lot, n in own:
+            if moved + n > both:
+                break
+            moved, last[a, b], used[a, b] = moved + n, lot, used[a, b] + 1
+        room[b] -= moved
+        room[a] += moved
+    full: set[tuple[int, int]] = set()
+    rest = sorted((lot, a, b, n) for (a, b), own in lots.items() for lot, n in own[used[a, b] :])
+    for lot, a, b, n in rest:
+        if (a, b) not in full and n <= room[b]:
+            last[a, b] = lot
+            room[b] -= n
+            room[a] += n
+        else:
+            full.add((a, b))
+    return last
+
+
 def _propagate(cells: DataFrame, shards: int, sizes: list[int], capacity: int, rounds: int) -> DataFrame:
     """cells (grp, cell, n, shard) -> the same with shards after the rounds. sizes: linked documents in each shard now.
 
     capacity bounds the linked documents of a shard; up to there, documents without links can even the shards out.
     """
     for _ in range(rounds):
-        room = [capacity - s for s in sizes]
         held = cells.groupBy("grp").agg(*[F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)).alias(f"h{s}") for s in range(shards)])
         # the best shard: most documents of the group; ties to the one that the group's hash comes to first
         turn = lambda s: F.pmod(F.lit(s) - F.xxhash64("grp"), F.lit(shards))
         score = lambda s: F.struct(F.col(f"h{s}").alias("held"), (-turn(s)).alias("turn"), F.lit(s).alias("to"))
-        joined = cells.join(held, "grp")
-        open_or_own = [F.when(F.lit(room[s] > 0) | (F.col("shard") == s), score(s)) for s in range(shards)]
         own = F.element_at(F.array(*[F.col(f"h{s}") for s in range(shards)]), F.col("shard") + 1)
-        wish = joined.withColumn("best", F.greatest(*open_or_own) if shards > 1 else score(0))
+        wish = cells.join(held, "grp").withColumn("best", F.greatest(*map(score, range(shards))) if shards > 1 else score(0))
         gain = F.least(F.floor(F.log2((F.col("best.held") - own + 1).cast("double"))), F.lit(GAINS - 1)).cast("int")
         turn_to = (GAINS - 1 - gain) * LOTS + F.pmod(F.xxhash64("grp", "cell"), F.lit(LOTS)).cast("int")  # the highest gain is served first
-        wish = wish.select("grp", "cell", "n", "shard", F.col("best.to").alias("to"), turn_to.alias("lot"))
-        asked = wish.filter("to <> shard").groupBy("to", "lot").agg(F.sum("n").alias("n")).collect()  # shards x GAINS x LOTS rows at most
-        last, full = [-1] * shards, [False] * shards  # the last lot granted
-        for r in sorted(asked, key=lambda r: r["lot"]):
-            to = r["to"]
-            full[to] |= r["n"] > room[to]
-            if not full[to]:
-                room[to] -= r["n"]
-                last[to] = r["lot"]
-        limit = F.element_at(F.array(*[F.lit(x) for x in last]), F.col("to") + 1)
-        moved = (F.col("to") != F.col("shard")) & (F.col("lot") <= limit)
-        cells = checkpointed(wish.select("grp", "cell", "n", "shard", F.when(moved, F.col("to")).otherwise(F.col("shard")).alias("now")))
-        change = cells.filter("now <> shard").groupBy("shard", "now").agg(F.sum("n").alias("n")).collect()  # shards x shards rows
-        for r in change:
-            sizes[r["shard"]] -= r["n"]
-            sizes[r["now"]] += r["n"]
-        cells = cells.select("grp", "cell", "n", F.col("now").alias("shard"))
+        wish = checkpointed(wish.select("grp", "cell", "n", "shard", F.col("best.to").alias("to"), turn_to.alias("lot")))
+        asked = wish.filter("to <> shard").groupBy("shard", "to", "lot").agg(F.sum("n").alias("n")).collect()  # shards x shards x GAINS x LOTS rows at most
+        if not asked:
+            break
+        last = _granted([tuple(r) for r in asked], [capacity - s for s in sizes])
+        limits = F.array(*[F.lit(last.get((a, b), -1)) for a in range(shards) for b in range(shards)])
+        moved = (F.col("to") != F.col("shard")) & (F.col("lot") <= F.element_at(limits, F.col("shard") * shards + F.col("to") + 1))
+        cells = wish.select("grp", "cell", "n", F.when(moved, F.col("to")).otherwise(F.col("shard")).alias("shard"))
+        change = sum(r["n"] for r in asked if r["lot"] <= last[r["shard"], r["to"]])
+        for r in asked:
+            if r["lot"] <= last[r["shard"], r["to"]]:
+                sizes[r["shard"]] -= r["n"]
+                sizes[r["to"]] += r["n"]
         if not change:
             break
     return cells
