@@ -8,9 +8,9 @@ PATTERNS = {
     "assign": (r"(?ai:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
-    "private_key": (MORE_RULES[0].exact, 0, 0),
-    "forge_token": (MORE_RULES[1].exact, 0, 0),
-    "chat_token": (MORE_RULES[2].exact, 0, 0),
+    "private_key": (r"-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH) )?PRIVATE KEY-----", 0, 0),
+    "forge_token": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    "chat_token": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
 }
 
 
@@ -24,13 +24,13 @@ def brute(text):
 def texts(n):
     rnd = random.Random(3)
     bits = ["password", "PASSWD", "Secret", "toKen", "api_key", "apikey", "\"", "'", " ", "  ", ":", "=", "abcdef", "AKIA", "AKIAAKIA", "Z9" * 9, "0123456789abcdef" * 2,
-            "é", "\n", ",", "ghp_" + "a1" * 18, "xoxb-12345-abcde", "-----BEGIN RSA PRIVATE KEY-----", "x", "ſ", "K", "日本", "fffff", "ABCDEF123456789", "|"]
+            "é", "\n", ",", "ghp_" + "a1" * 18, "xoxb-12345-abcde", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "xoxb-", "token=", "secret=toke", "x", "ſ", "K", "日本", "fffff", "ABCDEF123456789", "|"]
     return ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(n)]
 
 
 def test_spans_against_finditer():
     scanner = Scanner(BASE_RULES + MORE_RULES)
-    sample = texts(3000) + ["", "a" * 100000, "f" * 5000, "password=" + "p" * 3000, "token " * 3000 + "= abcdefg"]
+    sample = texts(6000) + ["", "a" * 100000, "f" * 5000, "password=" + "p" * 3000, "token " * 3000 + "= abcdefg", "secret=token: abcdef", "f" * 300000, "ghp_ghp_" + "a" * 40, "token=" * 9000]
     for t, got in zip(sample, scanner.spans(sample)):
         assert got == brute(t), t
     assert scanner.spans([]) == [] and scanner.spans([""]) == [[]]

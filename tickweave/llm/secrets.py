@@ -1,9 +1,12 @@
 """Secret scans: every rule at once by one deterministic automaton over the bytes.
 
-The rules are compiled together (automata.py: subset construction, minimisation, transition arrays). Each Arrow batch
-of whole texts is laid out as one byte array, cut after bytes that lead every state back to the first one (so that no match
-can lie across a cut), and all pieces run through the automaton in step, in one pass. Where a piece has a hit of a rule, that rule's exact
-expression gives the spans in that piece; all other pieces are done.
+A rule is a head and a run: the head is a regular expression with a telling end, the run a class of bytes that a span goes on in as far as it can.
+The heads are compiled together (automata.py: subset construction, minimisation, transition arrays). Each Arrow batch
+of whole texts is laid out as one byte array, cut after bytes that lead every state back to the first one (so that no head
+can lie across a cut), and all pieces run through the automaton in step, in one pass, which tells where heads end. From there the
+rule's backward automaton finds where the head begins, and the run where the span ends. (The runs are not in the automaton: counting several long ones at once multiplies its states.)
+
+Spans of a rule are leftmost and do not overlap. A rule that consumes drops a match whose run is too short and goes on behind it; any other looks for the next head.
 
 Cases: null texts count as empty; texts of any length are scanned whole; repeated rows give repeated results; an empty
 table gives an empty result; a column named like a result column is replaced.
@@ -11,7 +14,6 @@ table gives an empty result; a column named like a result column is replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,27 +28,27 @@ from tickweave.llm.common import byte_runs, small_batches, span_text, table, tex
 
 @dataclass(frozen=True)
 class Rule:
-    """detect: what the automaton looks for; it must be in every span (of a long rule the telling beginning:
-    counting several long runs at once multiplies the states). exact: the spans, of which those stay whose group has `least` characters."""
+    """head: a regular expression, of which the last `counted` bytes (0: all) are the first of those that must be `least` at least; run: the class that follows."""
 
     kind: str
-    detect: str
-    exact: str
-    group: int = 0
+    head: str
+    run: str = ""
+    counted: int = 0
     least: int = 0
     ignore_case: bool = False
+    consumes: bool = True
 
 
-ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?"
+VALUE = r"[A-Za-z0-9+/_.=-]"
 BASE_RULES = [
-    Rule("assign", ASSIGN + r"[A-Za-z0-9+/_.=-]{6}", rf"(?i:{ASSIGN})([A-Za-z0-9+/_.=-]+)", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]{24}", r"[0-9a-f]+", 0, 24),
+    Rule("assign", r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?" + VALUE, VALUE, 1, 6, True),
+    Rule("access", r"AKIA[A-Z0-9]", r"[A-Z0-9]", 0, 20),
+    Rule("hex", r"[0-9a-f]{24}", r"[0-9a-f]", 0, 24),
 ]
 MORE_RULES = [
-    Rule("private_key", r"-----BEGIN ((RSA|EC|DSA|OPENSSH) )?PRIVATE KEY-----", r"-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH) )?PRIVATE KEY-----"),
-    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("private_key", r"-----BEGIN ((RSA|EC|DSA|OPENSSH) )?PRIVATE KEY-----"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]", r"[A-Za-z0-9]", 1, 36, consumes=False),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]", r"[A-Za-z0-9-]", 1, 10, consumes=False),
 ]
 AT_ONCE = 4_000_000  # characters laid out together; a longer text is laid out alone
 PIECE = 256  # bytes; pieces are cut at the first possible place after this many
@@ -56,8 +58,10 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 class Scanner:
     def __init__(self, rules: list[Rule]):
         self.rules = rules
-        self.automaton = Automaton.compile([(r.detect, r.ignore_case) for r in rules])
-        self.exact = [re.compile(r.exact, re.ASCII) for r in rules]
+        self.automaton = Automaton.compile([(r.head, r.ignore_case) for r in rules])
+        self.backward = [Automaton.backward(r.head, r.ignore_case) for r in rules]
+        self.runs = [Automaton.compile([(r.run, False)]) if r.run else None for r in rules]
+        self.goes_on = [run.found[run.moves[0]][run.classes].astype(bool).tobytes() if run else bytes(256) for run in self.runs]
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """For each text (kind, start, end) in code points, by start, then in the order of the rules."""
@@ -65,27 +69,42 @@ class Scanner:
 
     def _spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         raw = [t.encode() for t in texts]
-        out: list[list] = [[] for _ in texts]
-        data = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)  # this byte is in no text and in no rule
+        joined = b"\xff".join(raw) + b"\xff"  # this byte is in no text and in no rule
+        data = np.frombuffer(joined, np.uint8)
         first = np.cumsum([0, *(len(r) + 1 for r in raw)])
-        whole = np.append(data[1:] & 0xC0 != 0x80, True)  # a cut never splits a character
-        cuts = np.flatnonzero(self.automaton.resets[data] & whole) + 1
+        cuts = np.flatnonzero(self.automaton.resets[data]) + 1
         wanted = np.searchsorted(cuts, np.arange(0, len(data), PIECE) + 1)
         begin = np.union1d(first[:-1], cuts[np.minimum(wanted, len(cuts) - 1)]) if len(cuts) else first[:-1]
         begin = begin[begin < len(data)]
-        end = np.append(begin[1:], len(data))
-        hits = self.automaton.scan(data, begin, end)
-        for k in np.flatnonzero(hits):
-            row = int(np.searchsorted(first, begin[k], side="right")) - 1
-            low, high = int(begin[k] - first[row]), int(end[k] - first[row])
-            piece = raw[row][low:high].decode()
-            before = len(raw[row][:low].decode())
-            for r, rule in enumerate(self.rules):
-                if int(hits[k]) >> r & 1:
-                    for m in self.exact[r].finditer(piece):
-                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                            out[row].append((before + m.start(), r, before + m.end()))
-        return [[(self.rules[r].kind, s, e) for s, r, e in sorted(found)] for found in out]
+        place, bits = self.automaton.ends(data, begin, np.append(begin[1:], len(data)))
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for r in range(len(self.rules)):
+            for row, start, end in self._of_rule(r, joined, place[bits >> np.uint64(r) & np.uint64(1) > 0] + 1, first):
+                found.setdefault(row, []).append((start, r, end))
+        out: list[list] = [[] for _ in texts]
+        for row, own in found.items():
+            low = int(first[row])
+            points = np.concatenate([[0], np.cumsum(data[low : low + len(raw[row])] & 0xC0 != 0x80)])
+            out[row] = [(self.rules[r].kind, int(points[s - low]), int(points[e - low])) for s, r, e in sorted(own)]
+        return out
+
+    def _of_rule(self, r: int, data: bytes, heads: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, start, end) of a rule's spans, from where its heads end."""
+        rule, goes_on, done, k = self.rules[r], self.goes_on[r], 0, 0
+        rows = np.searchsorted(first, heads - 1, side="right") - 1
+        while k < len(heads):
+            head, row = int(heads[k]), int(rows[k])
+            start = self.backward[r].start_of(data, max(done, int(first[row])), head)
+            end = head
+            if start is not None:
+                while goes_on[data[end]]:
+                    end += 1
+                enough = end - (head - rule.counted if rule.counted else start) >= rule.least
+                if enough:
+                    yield row, start, end
+                if enough or rule.consumes:
+                    done = end
+            k = max(k + 1, int(np.searchsorted(heads, done, side="right")))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, out: str = "secrets") -> DataFrame:
