@@ -127,7 +127,7 @@ def assign_shards(
     placed = placed.select(
         "doc_id", "size", "text_crc32", "grp",
         F.coalesce("to", "start").alias("shard"),
-        (linked_first * buckets + F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(buckets))).cast("long").alias("bucket"),
+        (linked_first * buckets + F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(3)), F.lit(buckets))).cast("long").alias("bucket"),
     )
     ranked = checkpointed(bucketed_prefix(placed, ["shard"], "bucket", [F.col("doc_id"), F.col("grp")], None, "slot"))
 
