@@ -12,6 +12,7 @@ from tickweave.llm.sharding import op3_sharding
 from tickweave.llm.simhash import op10_simhash_dedup
 from tickweave.llm.topk import OP8_SQL, op8_top_k
 from tickweave.llm.url_filters import OP1_SQL, op1_url_filters
+from tickweave.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_secret_scans": op9_secret_scans,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 SQL = {"op1_url_filters": OP1_SQL, "op8_top_k": OP8_SQL}
