@@ -10,6 +10,7 @@ from tickweave.llm.pii import op2_pii
 from tickweave.llm.secrets import op9_secret_scans
 from tickweave.llm.sharding import op3_sharding
 from tickweave.llm.simhash import op10_simhash_dedup
+from tickweave.llm.structure import op12_structure_repair
 from tickweave.llm.topk import OP8_SQL, op8_top_k
 from tickweave.llm.url_filters import OP1_SQL, op1_url_filters
 from tickweave.llm.whitening import op11_embedding_whitening
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_structure_repair": op12_structure_repair,
 }
 SQL = {"op1_url_filters": OP1_SQL, "op8_top_k": OP8_SQL}
