@@ -7,6 +7,7 @@ from tickweave.llm.media import op5_media_columns
 from tickweave.llm.mixing import op7_mixing
 from tickweave.llm.packing import op4_best_fit_packing
 from tickweave.llm.pii import op2_pii
+from tickweave.llm.quality import op13_quality
 from tickweave.llm.secrets import op9_secret_scans
 from tickweave.llm.sharding import op3_sharding
 from tickweave.llm.simhash import op10_simhash_dedup
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_structure_repair": op12_structure_repair,
+    "op13_quality": op13_quality,
 }
 SQL = {"op1_url_filters": OP1_SQL, "op8_top_k": OP8_SQL}
