@@ -7,13 +7,17 @@ from tickweave.llm.queries import QUERIES
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard int, spans string, fp int, band int, piece string"
 EMBEDDINGS = "vec_id long, embedding array<float>, label int, band string, score string"
+CONVERSATIONS = "conv_id long, turn long, role string, text string, copies string, kind double, letter int"
+LABELS = "doc_id long, quality int, toxic int, weight string, label string"
 PAGES = "page_id long, url string, html string, host int, verdict int"
 
 
-def write(spark, folder, documents, embeddings, pages):
+def write(spark, folder, documents, embeddings, pages, conversations, labels):
     spark.createDataFrame(documents, DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(embeddings, EMBEDDINGS).write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame(pages, PAGES).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(conversations, CONVERSATIONS).write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
 
 
 @pytest.fixture(scope="module")
@@ -25,15 +29,19 @@ def folders(spark, tmp_path_factory):
     documents += [documents[4]] * 3 + [(None, t, None, None, None, *more) for t in (None, "no id", "no id")]
     embeddings = [(i, [float(i % 7), 0.5, -1.0], 1, "b", "s") for i in range(120)] + [(50, [9.0, 9.0, 9.0], 1, None, None), (None, [1.0], 1, None, None), (100, None, 1, None, None), (150, [None, 1.0], 1, None, None)]
     pages = [(1, None, None, 1, 1), (2, "no scheme", "", 1, 1), (None, "http://www.example.com/en/x?y#z", None, 1, 1), (2, "HTTP://Sub.Example.NET/es/", None, 1, 1)]
+    turns = [(c, t, r, x) for c in range(30) for t, (r, x) in enumerate([("user", "Hi."), (None, None), ("assistant", "a\x00b?"), ("tool", long), ("user", "Hi."), ("", " ")][: c % 7])]
+    turns += [turns[5]] * 4 + [(None, None, None, None), (None, 3, "user", "x."), (7, None, "assistant", "late.")]
+    conversations = [(*t, "c", 1.5, 2) for t in turns]
+    labels = [(i, q, 0, "w", "l") for i, q in [(3, 1), (4, 0), (4, 0), (4, 1), (7, None), (None, 1), (6, 5), (9, 1), (77, 1), (5, 0)]]
     full, empty = (str(tmp_path_factory.mktemp(n)) for n in ("full", "empty"))
-    write(spark, full, documents, embeddings, pages)
-    write(spark, empty, [], [], [])
-    return full, empty, documents, pages
+    write(spark, full, documents, embeddings, pages, conversations, labels)
+    write(spark, empty, [], [], [], [], [])
+    return full, empty, documents, pages, conversations
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folders, name):
-    full, empty, documents, pages = folders
+    full, empty, documents, pages, conversations = folders
     rows = QUERIES[name](spark, full).collect()
     if name.startswith("op1_"):
         assert sorted(str(r.page_id) for r in rows) == sorted(str(p[0]) for p in pages)
@@ -41,6 +49,10 @@ def test_query(spark, folders, name):
         assert sorted(str(r.doc_id) for r in rows if r.piece == 0) == sorted(str(d[0]) for d in documents)
     elif name.startswith("op8_"):
         assert {r.query_id for r in rows} == {0, 50, 100} and all(r.query_id != r.vec_id for r in rows)
+    elif name.startswith("op11_"):
+        assert len(rows) == 3 * (120 + 1 + 1) and {r.component for r in rows} == {1, 2, 3}  # three components are as many as there are dimensions
+    elif name.startswith("op12_"):
+        assert sorted(str(r.conv_id) for r in rows) == sorted({str(c[0]) for c in conversations})
     else:
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(d[0]) for d in documents)
     if name.startswith(("op2_", "op9_")):
