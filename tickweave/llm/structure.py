@@ -37,8 +37,9 @@ ROLE = {"u": "user", "a": "assistant"}
 KEEP, REROLE, DELETE, INSERT, CUT_OFF = 0, 1, 2, 5, 5  # what edits cost; a cut off turn that stays costs more
 LETTERS = "sSuUaAoOd"
 SEGMENT = 65_536  # letters of a segment, at most
-RULES = 400  # rules of the grammar, at most: what they don't shorten is multiplied out
-LEAST_PAIRS = 4  # a pair seen less often gets no rule
+RULES = 200  # rules of the grammar, at most: what they don't shorten is multiplied out
+WORDS_A_TASK = 100_000
+LEAST_PAIRS, LEAST_SHARE = 4, 0.005  # a pair seen less often, or of less of all pairs, gets no rule
 ROWS_A_TASK = 200_000
 SPACES = "\t\n\x0b\x0c\r "
 
@@ -175,7 +176,9 @@ def pair_counts(words: str) -> Counter:
 
 
 def learn_rules(segments: DataFrame, column: str = "word", rules: int = RULES, least: int = LEAST_PAIRS) -> Rules:
-    """Re-Pair over all words. Each round counts the pairs of all words and replaces the most frequent ones, as many as share no symbol with one another."""
+    """Re-Pair over all distinct words. Each round counts the pairs of all words and replaces the most frequent ones, as many as share no symbol with one another."""
+    words = segments.select(column).distinct()
+    words = checkpointed(words.repartition(partitions_for(words.count(), WORDS_A_TASK)))
     found: Rules = []
     while len(found) < rules:
 
@@ -185,18 +188,15 @@ def learn_rules(segments: DataFrame, column: str = "word", rules: int = RULES, l
                 total.update(pair_counts(encode("\n".join(batch.column(0).to_pylist()), known)))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
 
-        counts = small_batches(segments.select(column)).mapInArrow(counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        counts = small_batches(words).mapInArrow(counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         taken: set[str] = set()
-        room = rules - len(found)
         chosen: Rules = []
-        most = None
-        for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "pair").limit(rules).collect():
-            most = most or r["n"]
-            if r["n"] * 8 < most or len(chosen) == room:
-                break
-            if not taken & set(r["pair"]):
-                taken |= set(r["pair"])
-                chosen.append((r["pair"], symbol(len(found) + len(chosen))))
+        pairs = sorted(((-r["n"], r["pair"]) for r in counts.collect()))  # of symbols: at most (9 + rules)^2
+        enough = max(least, LEAST_SHARE * -sum(n for n, _ in pairs))
+        for n, pair in pairs:
+            if -n >= enough and len(found) + len(chosen) < rules and not taken & set(pair):
+                taken |= set(pair)
+                chosen.append((pair, symbol(len(found) + len(chosen))))
         if not chosen:
             break
         found = [*found, *chosen]
@@ -264,6 +264,7 @@ def thin_rows(rows: DataFrame) -> DataFrame:
     state = F.when(last == "", "blank").when(last.isin(".", "!", "?"), "whole").otherwise("cut")
     rows = rows.select("conv_id", "turn", "role", F.unhex(F.sha2("text", 256)).alias("digest"), state.alias("state"), "copies")
     rows = rows.groupBy("conv_id", "turn", "role", "digest", "state").agg(F.sum("copies").alias("n"))
+    rows = checkpointed(rows)
     when = F.struct(F.col("turn").isNotNull(), "turn")
     first = rows.filter("n > 0").groupBy(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("digest").alias("_d")).agg(F.min(when).alias("_first"))
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("digest") == F.col("_d"))
