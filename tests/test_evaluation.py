@@ -76,7 +76,7 @@ def test_curves_f21(spark):
     b = spark.createDataFrame(rows, "factor_col string, date string, t string, " + ", ".join(f"g{k} double" for k in range(1, 6)))
     ticks, days = Q.cumulative_ticks(b, "date", "t"), Q.cumulative_days(b, "date")
     assert [r.g1 for r in ticks.filter("date = 'd1'").orderBy("t").collect()] == [1.0, 3.0, None]
-    assert [(r.date, r.g1, r.n_ticks, r.long_short) for r in days.orderBy("date").collect()] == [("d1", 3.0, 2, 0.0), ("d2", None, 0, None), ("d3", 8.0, 2, 0.0)]  # D-04
+    assert [(r.date, r.g1, r.n_ticks, r.long_short) for r in days.orderBy("date").collect()] == [("d1", 3.0, 2, 0.0), ("d2", None, 2, None), ("d3", 8.0, 4, 0.0)]  # D-04
     stitched = Q.stitched_ticks(ticks, days, "date", "t")
     assert [r.g1 for r in stitched.orderBy("date", "t").collect()] == [1.0, 3.0, None, None, None, None, 7.0, None, 8.0]
     chart = Q.chart_curve(stitched.withColumn("date", F.regexp_replace("date", "d", "2024-01-0")), "date", "t").orderBy("x").collect()
@@ -97,7 +97,7 @@ def test_weights_scores_composites_f23_to_f25(spark):
 
 
 def test_views_f26(spark):
-    days = spark.createDataFrame([("f", "d1", 9.0, 9.0, 9.0, 9.0, 9.0, 0.0, 5), ("f", "d2", 0.4, 0.3, 0.2, 0.1, 0.0, -0.4, 5)], "factor_col string, date string, g1 double, g2 double, g3 double, g4 double, g5 double, long_short double, n_ticks long")
+    days = spark.createDataFrame([("f", "d1", 9.0, 9.0, 9.0, 9.0, 9.0, 0.0, 5), ("f", "d2", 0.4, 0.3, 0.2, 0.1, 0.0, -0.4, 10)], "factor_col string, date string, g1 double, g2 double, g3 double, g4 double, g5 double, long_short double, n_ticks long")
     assert abs(V.monotonicity(days, "date").first().monotonicity - 2) < 1e-9
     p = V.pnl_stats(days, "date").first()
     assert p.total_ticks == 10 and abs(p.g1_per_tick - 0.04) < 1e-12

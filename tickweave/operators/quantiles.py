@@ -62,14 +62,14 @@ def cumulative_ticks(buckets: DataFrame, date: str, time: str, q: int = 5) -> Da
 
 
 def cumulative_days(buckets: DataFrame, date: str, q: int = 5, count: str | None = None) -> DataFrame:
-    """OP-70: each day's sum, summed over days; n_ticks counts the values of `count` (the last bucket). A day without values is missing and doesn't reset.
+    """OP-70: each day's sum, summed over days, and so is n_ticks, the number of values of `count` (the last bucket). A day without values is missing and doesn't reset.
 
     A day's sum is the last value of its cumulative curve that is there, so no curve is built.
     """
     count = count or f"g{q}"
     days = buckets.groupBy("factor_col", date).agg(*[F.sum(g).alias(g) for g in groups(q)], F.count(count).alias("n_ticks"))
     rows = W.partitionBy("factor_col").orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = days.withColumns(_running(groups(q), rows))
+    cum = days.withColumns({**_running(groups(q), rows), "n_ticks": F.sum("n_ticks").over(rows)})
     return cum.select("factor_col", date, *groups(q), (F.col(f"g{q}") - F.col("g1")).alias("long_short"), "n_ticks")
 
 

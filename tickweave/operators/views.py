@@ -48,11 +48,10 @@ def monotonicity(cum_days: DataFrame, date: str) -> DataFrame:
 
 
 def pnl_stats(cum_days: DataFrame, date: str, q: int = 5) -> DataFrame:
-    """OP-85: totals, ticks of all days, and totals for each tick."""
-    ticks = cum_days.groupBy("factor_col").agg(F.sum("n_ticks").alias("total_ticks"))
+    """OP-85: totals, ticks of all days (n_ticks runs over days, as the totals do), and totals for each tick."""
     names = [*[f"g{k}" for k in range(1, q + 1)], "long_short"]
-    joined = _last_day(cum_days, date).drop("n_ticks").join(ticks, "factor_col")
-    return joined.select("factor_col", *names, "total_ticks", *[div(F.col(c), F.col("total_ticks")).alias(f"{c}_per_tick") for c in names])
+    last = _last_day(cum_days, date).withColumnRenamed("n_ticks", "total_ticks")
+    return last.select("factor_col", *names, "total_ticks", *[div(F.col(c), F.col("total_ticks")).alias(f"{c}_per_tick") for c in names])
 
 
 def day_pnl(cum_ticks: DataFrame, date: str, time: str, q: int = 5) -> DataFrame:

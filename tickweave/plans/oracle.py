@@ -430,7 +430,7 @@ def _curves(gs: list[str], counted: str) -> str:
     return f""",
 cum0 AS (SELECT factor_col, date, sample_time, {run} FROM buckets), cum AS (SELECT *, {gs[-1]} - g1 AS long_short FROM cum0),
 day0 AS (SELECT factor_col, date, {', '.join(f'sum({g}) AS {g}' for g in gs)}, count({counted}) AS n_ticks FROM buckets GROUP BY 1, 2),
-day1 AS (SELECT factor_col, date, {days}, n_ticks FROM day0), days AS (SELECT *, {gs[-1]} - g1 AS long_short FROM day1),
+day1 AS (SELECT factor_col, date, {days}, CAST(sum(n_ticks) OVER (PARTITION BY factor_col ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_ticks FROM day0), days AS (SELECT *, {gs[-1]} - g1 AS long_short FROM day1),
 earlier AS (SELECT factor_col, date, {before} FROM days),
 stitched AS (SELECT *, {gs[-1]} - g1 AS long_short FROM (SELECT t.factor_col, t.date, t.sample_time, {on_top} FROM cum t JOIN earlier e ON t.factor_col = e.factor_col AND t.date = e.date))"""
 
@@ -477,7 +477,7 @@ UNION ALL SELECT ret, factor_col, factor_window, 'RankIC ' || session, {r6('rank
 SQL["view_monotonicity"] = f"""WITH {CURVES} SELECT factor_col, {r6('CASE WHEN abs(g2 - g4) >= 1e-12 THEN (g1 - g5) / (g2 - g4) END', 'monotonicity')}
 FROM days d WHERE date = (SELECT max(date) FROM days e WHERE e.factor_col = d.factor_col)"""
 _names = [*G5, "long_short"]
-SQL["view_pnl"] = f"""WITH {CURVES}, totals AS (SELECT factor_col, CAST(sum(n_ticks) AS BIGINT) AS total_ticks, max(date) AS date FROM days GROUP BY 1)
+SQL["view_pnl"] = f"""WITH {CURVES}, totals AS (SELECT factor_col, count(g5) AS total_ticks, max(date) AS date FROM buckets GROUP BY 1)
 SELECT d.factor_col, {r6s(*_names)}, total_ticks, {', '.join(r6(f'{c} / nullif(total_ticks, 0)', f'{c}_per_tick') for c in _names)} FROM days d JOIN totals t ON d.factor_col = t.factor_col AND d.date = t.date"""
 SQL["view_day_pnl"] = f"""WITH {CURVES}, lasts AS (SELECT *, count(*) OVER (PARTITION BY factor_col, date) AS n, row_number() OVER (PARTITION BY factor_col, date ORDER BY sample_time DESC) AS k FROM cum WHERE g5 IS NOT NULL)
 SELECT factor_col, date, {r6s(*_names)}, n, {', '.join(r6(f'{c} / n', f'{c}_per_tick') for c in _names)} FROM lasts WHERE k = 1"""
