@@ -9,7 +9,7 @@ from tickweave import cli
 from tickweave.config import Params
 from tickweave.operators.factors import FACTORS
 from tickweave.plans.stages import Run
-from tickweave.sources.readers import available_days, parse_raw, read_metadata, read_overrides, read_raw
+from tickweave.sources.readers import available_days, parse_raw, read_metadata, read_overrides, read_raw, read_table
 from tickweave.sources.sinks import export_csv
 from tickweave.streaming.days import bars, on_new_rows
 
@@ -105,7 +105,7 @@ def test_all_stages(spark, raw, tmp_path):
 
 def test_command_line(spark, raw, tmp_path):
     assert cli.main(["sample", "--root", str(tmp_path), "--raw", str(raw), "--date", "20240102"]) == 0
-    assert spark.read.parquet(str(tmp_path / "sampled")).count() == 6 * 4740
+    assert read_table(spark, str(tmp_path), "sampled").count() == 6 * 4740
     with pytest.raises(SystemExit):
         cli.main(["nothing", "--root", "x"])
     assert cli.parser().parse_args(["factors", "--root", "x"]).factor == "bap" and len(cli.STAGES) == 11 and "bap" in FACTORS

@@ -44,8 +44,8 @@ def reverse_mid() -> Column:
 
 
 def with_base(ticks: DataFrame) -> DataFrame:
-    """OP-29 to OP-36: add PriceType, Price and the masks; a tick without a known market raises."""
-    trade = F.coalesce(trade_like(F.col("market"), F.col("status")), F.raise_error(F.lit("status column missing")).cast("boolean"))
+    """OP-29 to OP-36: add PriceType, Price and the masks; a tick without a known market can't be used (base_status says so)."""
+    trade = flag(trade_like(F.col("market"), F.col("status")))
     has_bid, has_ask = side_exists(bid(1), bid_volume(1)), side_exists(ask(1), ask_volume(1))
     kind = F.when(
         F.col("_trade"),
@@ -63,6 +63,24 @@ def with_base(ticks: DataFrame) -> DataFrame:
     ).drop("_trade", "_double")
 
 
+def base_status(ticks: DataFrame, by: list[str], order: str = "tick_idx") -> DataFrame:
+    """(by, market, Status): a day's market - rows before its first tick have none - and OK, or FAIL and why: no status column, no column of the book.
+
+    Nothing raises: what fails has its status, everything else is computed.
+    """
+    own = F.first(F.when(F.col("market") != "UNK", F.col("market")), ignorenulls=True)
+    lacks = F.max("lacks") if "lacks" in ticks.columns else F.lit(None).cast("string")
+    found = ticks.groupBy(*by).agg(own.alias("market"), lacks.alias("_lacks"))
+    status = F.when(F.col("market").isNull(), "FAIL: no status column").when(F.col("_lacks").isNotNull(), F.concat(F.lit("FAIL: no column "), "_lacks")).otherwise("OK")
+    return found.withColumn("Status", status).drop("_lacks")
+
+
+def with_status(summary: DataFrame, statuses: DataFrame, by: list[str]) -> DataFrame:
+    """A summary's rows with the Status of each of by; those that failed have no counts."""
+    names = [c for c in summary.columns if c not in by]
+    return statuses.select(*by, "Status").join(summary, by, "left").select(*by, "Status", *names)
+
+
 def base_summary(base: DataFrame, by: list[str]) -> DataFrame:
     """OP-37."""
     of_type = lambda t: F.count_if(F.col("PriceType") == t)

@@ -374,6 +374,15 @@ def run_factor(base: DataFrame, name: str, by: By = ("date", "security_id"), ord
     return spec.build(base, spec.windows if windows is None else windows, by, order, **options)
 
 
-def factor_summary(df: DataFrame, name: str, by: By = ("date", "security_id")) -> DataFrame:
-    """OP-54: rows and numbers of values that are not missing."""
-    return df.groupBy(*by).agg(F.count("*").alias("Rows"), *[F.count(c).alias(f"nnz_{c}") for c in factor_columns(df, name)])
+def factor_summary(df: DataFrame, name: str, by: By = ("date", "security_id"), expected: DataFrame | None = None) -> DataFrame:
+    """OP-54: rows and numbers of values that are not missing.
+
+    expected (by, Rows), the ticks that base has, adds Status: OK, or FAIL where rows were lost or came twice; each of by that is expected has its row.
+    """
+    found = df.groupBy(*by).agg(F.count("*").alias("Rows"), *[F.count(c).alias(f"nnz_{c}") for c in factor_columns(df, name)])
+    if expected is None:
+        return found
+    joined = expected.select(*by, F.col("Rows").alias("_wanted")).join(found, list(by), "left")
+    rows = F.coalesce("Rows", F.lit(0))
+    status = F.when(rows == F.col("_wanted"), "OK").otherwise(F.concat(F.lit("FAIL: "), rows, F.lit(" of "), "_wanted", F.lit(" rows")))
+    return joined.select(*by, status.alias("Status"), *[c for c in found.columns if c not in by])

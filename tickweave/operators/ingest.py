@@ -12,9 +12,14 @@ from tickweave.functions.exprs import flag
 # ---- resampling
 
 
+def iso_day(day: Column) -> Column:
+    """yyyymmdd as yyyy-mm-dd."""
+    return F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))
+
+
 def parse_time(day: Column, time: Column) -> Column:
     """OP-15: yyyymmdd and HH:MM:SS[.f] as a timestamp without zone; NULL where the time is none."""
-    iso = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))
+    iso = iso_day(day)
     clean = F.trim(time)
     return F.when(F.contains(clean, F.lit(":")), F.concat_ws(" ", iso, clean).try_cast("timestamp_ntz"))
 
@@ -65,12 +70,37 @@ def sample_ticks(raw: DataFrame, sessions: tuple[tuple[str, str], ...], freq: st
     grid = session_grid(timed.select("day", "security_id").distinct(), sessions, freq)
     values = [c for c in ticks.columns if c not in ("Date", "file_line")]
     sampled = as_of(grid.withColumnRenamed("ts", "grid_ts"), ticks.select(values), ["day", "security_id"], "grid_ts", "ts")
-    date = F.concat_ws("-", F.substring("day", 1, 4), F.substring("day", 5, 2), F.substring("day", 7, 2))
-    return sampled.select(date.alias("date"), F.date_format("grid_ts", "HH:mm:ss").alias("sample_time"), "*").drop("grid_ts", "source_time")
+    return sampled.select(iso_day(F.col("day")).alias("date"), F.date_format("grid_ts", "HH:mm:ss").alias("sample_time"), "*").drop("grid_ts", "source_time")
+
+
+def raw_counts(raw: DataFrame) -> DataFrame:
+    """(day, security_id, RawRows, untimed): the distinct times of each raw file that has rows, and whether it lacks the column of times."""
+    times = raw.select("day", "security_id", parse_time(F.col("day"), F.col("UpdateTime")).alias("ts"), flag(F.col("lacks") == "UpdateTime").alias("untimed")).distinct()
+    return times.groupBy("day", "security_id").agg(F.count("ts").alias("RawRows"), F.bool_or("untimed").alias("untimed"))
+
+
+def file_status(listed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(day, security_id, RawRows, Failed): every listed file (day, security_id, bytes); Failed says why it gives no ticks, NULL where it does.
+
+    FAIL where reading it goes wrong: nothing in it, no column of times, a folder that is no day. NO_RAW_DATA: a header alone. NO_VALID_TIME: rows, but none with a time.
+    """
+    joined = listed.join(counts, ["day", "security_id"], "left")
+    rows = F.coalesce("RawRows", F.lit(0))
+    failed = (
+        F.when(F.col("bytes") == 0, "FAIL: empty file")
+        .when(F.col("RawRows").isNull(), "NO_RAW_DATA")
+        .when(F.col("untimed"), "FAIL: no column UpdateTime")
+        .when(iso_day(F.col("day")).try_cast("date").isNull(), "FAIL: no such day")
+        .when(rows == 0, "NO_VALID_TIME")
+    )
+    return joined.select("day", "security_id", F.when(~flag(F.startswith(failed, F.lit("FAIL"))), rows).alias("RawRows"), failed.alias("Failed"))
 
 
 def resample_summary(sampled: DataFrame, raw_rows: DataFrame, by: list[str], threshold: float = 60.0, gap: str = "gap_sec") -> DataFrame:
-    """OP-21: one row for each of by; raw_rows (by, RawRows) counts the ticks left after parsing and deduplication, and may be 0."""
+    """OP-21: one row for each of by; raw_rows (by, RawRows[, Failed]) counts the ticks left after parsing and deduplication, and may be 0.
+
+    With Failed (as from file_status) every file has its row and its status, those that gave no ticks too; without, no rows mean NO_VALID_TIME.
+    """
     agg = sampled.groupBy(*by).agg(
         F.count("*").alias("SampleRows"),
         F.bround(F.max(gap), 1).alias("MaxGapSec"),
@@ -78,9 +108,12 @@ def resample_summary(sampled: DataFrame, raw_rows: DataFrame, by: list[str], thr
         F.bround(F.avg(flag(F.col(gap) > threshold).cast("double")), 4).alias("PctGapGt60"),
         F.max(gap).alias("_max"),
     )
-    rows = F.coalesce("RawRows", F.lit(0))
-    status = F.when(rows == 0, "NO_VALID_TIME").when(F.col("_max") <= threshold, "OK").otherwise("LARGE_GAP")
-    return agg.join(raw_rows, by, "full").select(*by, rows.alias("RawRows"), F.coalesce("SampleRows", F.lit(0)).alias("SampleRows"), "MaxGapSec", "MeanGapSec", "PctGapGt60", status.alias("Status"))
+    told = "Failed" in raw_rows.columns
+    failed = F.col("Failed") if told else F.when(F.coalesce("RawRows", F.lit(0)) == 0, "NO_VALID_TIME")
+    rows = F.when(~flag(F.startswith(failed, F.lit("FAIL"))), F.coalesce("RawRows", F.lit(0)))
+    sampled_rows = F.when(rows.isNotNull(), F.coalesce("SampleRows", F.lit(0)))
+    status = F.coalesce(failed, F.when(F.col("_max") <= threshold, "OK").otherwise("LARGE_GAP"))
+    return agg.join(raw_rows, by, "full").select(*by, rows.alias("RawRows"), sampled_rows.alias("SampleRows"), "MaxGapSec", "MeanGapSec", "PctGapGt60", status.alias("Status"))
 
 
 # ---- screening
@@ -96,9 +129,26 @@ def tick_class(market: Column, status: Column) -> Column:
 
 
 def suspended_days(ticks: DataFrame, by: list[str], market: Column, status: Column) -> DataFrame:
-    """OP-23: (by, all_suspended): whether a day has nothing but suspended ticks; without a status column (market UNK) it has not."""
+    """OP-23: (by, all_suspended, rows[, failed]): whether a day has nothing but suspended ticks; without a status column (market UNK) it has not.
+
+    failed, where ticks have a tick_idx: its numbers are not 0, 1, ... once each, so rows were lost or came twice.
+    """
     quiet = (tick_class(market, status) == "SuspendLike") & ~flag(market == "UNK")
-    return ticks.groupBy(*by).agg(flag(F.bool_and(flag(quiet))).alias("all_suspended"), F.count("*").alias("rows"))
+    checked = [(~ticks_in_order()).alias("failed")] if "tick_idx" in ticks.columns else []
+    return ticks.groupBy(*by).agg(flag(F.bool_and(flag(quiet))).alias("all_suspended"), F.count("*").alias("rows"), *checked)
+
+
+def ticks_in_order(order: str = "tick_idx") -> Column:
+    """As an aggregate: whether the numbers of a day's ticks are 0, 1, ... once each, by their count, ends, sum and sum of squares."""
+    n, k = F.count("*"), F.col(order).cast("long")
+    return flag((F.count(k) == n) & (F.min(k) == 0) & (F.max(k) == n - 1) & (2 * F.sum(k) == n * (n - 1)) & (6 * F.sum(k * k) == n * (n - 1) * (2 * n - 1)))
+
+
+def with_listed(days: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
+    """OP-25: suspended days, and those that were sampled (by their status) but have no row: rows 0."""
+    sampled = summary.filter(F.col("Status").isin("OK", "LARGE_GAP")).select(*by, F.replace("date", F.lit("-"), F.lit("")).alias("_day"))
+    joined = days.join(sampled, by, "full")
+    return joined.withColumns({"day": F.coalesce("day", "_day"), "rows": F.coalesce("rows", F.lit(0)), "all_suspended": flag(F.col("all_suspended")), "failed": flag(F.col("failed"))}).drop("_day")
 
 
 def expand_overrides(days: DataFrame, overrides: DataFrame, all_dates: bool = True) -> DataFrame:
@@ -119,13 +169,13 @@ def expand_overrides(days: DataFrame, overrides: DataFrame, all_dates: bool = Tr
 
 
 def drop_decision(days: DataFrame) -> DataFrame:
-    """OP-25: drop_reason of days (overridden, rows, all_suspended[, failed]), NULL for those kept; the first that holds counts."""
+    """OP-25: drop_reason of days (overridden, rows, all_suspended[, failed]), NULL for those kept; the first that holds counts, but what can't be read right is an ERROR before it is suspended."""
     failed = flag(F.col("failed")) if "failed" in days.columns else F.lit(False)
     reason = (
         F.when(F.col("overridden"), "MANUAL_OVERRIDE")
         .when(F.coalesce("rows", F.lit(0)) == 0, "EMPTY_FILE")
+        .when(failed, "ERROR: ticks missing or repeated")
         .when(F.col("all_suspended"), "ALL_DAY_SUSPEND")
-        .when(failed, "ERROR")
     )
     return days.withColumn("drop_reason", reason)
 

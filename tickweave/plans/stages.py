@@ -1,7 +1,9 @@
 """The stages of a run (OP-89), each from tables to tables under one root.
 
-Tables are Parquet, by date where they have one; a stage replaces only the days it computes. A stage reads its inputs pruned to
-`days`; statistics and curves over days always read all.
+Tables are Parquet with a record of commits (sources.sinks), by date where they have one. A stage reads its inputs pruned to `days` and replaces exactly these days,
+those too that have no rows any more; without `days` it replaces the whole table. Statistics and curves over days always read all.
+
+What fails is data: every file, security and day that a stage was given has a row with a status in its summary, and whatever fails leaves the others as they are.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from tickweave.operators import evaluation as E
 from tickweave.operators import ingest as I
 from tickweave.operators import quantiles as Q
 from tickweave.operators import views as V
-from tickweave.operators.base import base_summary, with_base, with_forward_returns
+from tickweave.operators.base import base_status, base_summary, with_base, with_forward_returns, with_status
 from tickweave.operators.factors import FACTORS, factor_columns, factor_summary, run_factor
-from tickweave.sources.readers import read_factor_stats, read_overrides, read_raw, read_table
+from tickweave.sources.readers import list_raw, read_factor_stats, read_overrides, read_raw, read_table
 from tickweave.sources.sinks import write_table
 
 KEYS = ["date", "security_id"]
@@ -37,26 +39,23 @@ class Run:
         self.dates = [f"{d[:4]}-{d[4:6]}-{d[6:]}" for d in days] if days else None
 
     def read(self, name: str, all_days: bool = False) -> DataFrame:
-        df = read_table(self.spark, self.root, name, None if all_days else self.dates)
-        return df.withColumn("date", F.date_format("date", "yyyy-MM-dd")) if dict(df.dtypes).get("date") == "date" else df
+        return read_table(self.spark, self.root, name, None if all_days else self.dates)
 
-    def write(self, df: DataFrame, name: str, partition: list[str] | None = None) -> None:
-        write_table(df, self.root, name, partition)
+    def write(self, df: DataFrame, name: str, partition: list[str] | None = None, covers: list[str] | None = None) -> None:
+        write_table(df, self.root, name, partition, self.dates if partition is None else covers)
 
     # ---- ingest
 
     def sample(self, raw_root: str) -> None:
         raw = read_raw(self.spark, raw_root, self.days)
-        sampled = I.sample_ticks(raw, self.p.sessions, self.p.freq)
-        self.write(sampled, "sampled")
-        times = raw.select("day", "security_id", I.parse_time(F.col("day"), F.col("UpdateTime")).alias("ts")).distinct()
-        rows = times.groupBy("day", "security_id").agg(F.count("ts").alias("RawRows"))
-        rows = rows.withColumn("date", F.concat_ws("-", F.substring("day", 1, 4), F.substring("day", 5, 2), F.substring("day", 7, 2))).drop("day")
+        self.write(I.sample_ticks(raw, self.p.sessions, self.p.freq), "sampled")
+        files = I.file_status(list_raw(self.spark, raw_root, self.days), I.raw_counts(raw))
+        rows = files.withColumn("date", I.iso_day(F.col("day"))).drop("day")
         self.write(I.resample_summary(self.read("sampled"), rows, KEYS, self.p.gap_threshold), "sample_summary")
 
     def clean(self, overrides: str | None = None) -> None:
         sampled = self.read("sampled")
-        days = I.suspended_days(sampled, [*KEYS, "day"], F.col("market"), F.col("status"))
+        days = I.with_listed(I.suspended_days(sampled, [*KEYS, "day"], F.col("market"), F.col("status")), self.read("sample_summary"), KEYS)
         if overrides:
             days = I.expand_overrides(days, read_overrides(self.spark, overrides))
         else:
@@ -68,12 +67,11 @@ class Run:
 
     def base(self) -> None:
         cleaned = self.read("cleaned")
-        # grid rows before the first tick have no market; it is the same all day
-        own = F.first(F.when(F.col("market") != "UNK", F.col("market")), ignorenulls=True)
-        markets = cleaned.groupBy(*KEYS).agg(own.alias("market"))
-        base = with_base(cleaned.drop("market").join(markets, KEYS)).withColumnRenamed("volume", "CumVolume")
+        statuses = base_status(cleaned, KEYS)
+        good = statuses.filter("Status = 'OK'").select(*KEYS, "market")
+        base = with_base(cleaned.drop("market").join(good, KEYS)).drop("lacks").withColumnRenamed("volume", "CumVolume")
         self.write(base, "base")
-        self.write(base_summary(self.read("base"), KEYS), "base_summary")
+        self.write(with_status(base_summary(self.read("base"), KEYS), statuses, KEYS), "base_summary")
 
     # ---- factors
 
@@ -82,7 +80,8 @@ class Run:
         out = run_factor(base, self.factor, tuple(KEYS), self.p.order, self.windows)
         columns = [c for c in out.columns if c not in base.columns]
         self.write(out.select(*META, *[f"ret_fwd_{h}" for h in self.p.horizons], *columns), f"factor_{self.factor}")
-        self.write(factor_summary(self.read(f"factor_{self.factor}"), self.factor), f"factor_{self.factor}_summary")
+        expected = self.read("base_summary").filter("Status = 'OK'")
+        self.write(factor_summary(self.read(f"factor_{self.factor}"), self.factor, expected=expected), f"factor_{self.factor}_summary")
 
     def _pairs(self, df: DataFrame) -> list[tuple[str, str]]:
         return [(f, f"ret_fwd_{h}") for f in factor_columns(df, self.factor) for h in self.p.horizons]
@@ -101,8 +100,8 @@ class Run:
         keys = ["ret", "session", "factor_col"]
         number = E.window_number(F.col("factor_col"), self.factor)
         tag = lambda df: df.withColumns({"factor_window": number, "factor_name": F.lit(self.factor)})
-        self.write(tag(E.cs_stats(self.read(f"cs_daily_{self.factor}", True), keys)), "cs_ic_stats", ["factor_name"])
-        self.write(tag(E.ts_stats(self.read(f"ts_ic_{self.factor}", True), "date", "security_id", keys)), "ts_ic_stats", ["factor_name"])
+        self.write(tag(E.cs_stats(self.read(f"cs_daily_{self.factor}", True), keys)), "cs_ic_stats", ["factor_name"], [self.factor])
+        self.write(tag(E.ts_stats(self.read(f"ts_ic_{self.factor}", True), "date", "security_id", keys)), "ts_ic_stats", ["factor_name"], [self.factor])
 
     def ic_plot(self) -> DataFrame:
         """OP-91: what the plots show."""

@@ -6,13 +6,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.functions.exprs import number
-from tickweave.sources.schemas import BOOK, METADATA, RAW_COLUMNS
+from tickweave.sources.schemas import BOOK, METADATA, NEEDED, RAW_COLUMNS
+from tickweave.sources.sinks import read_committed
+
+
+def raw_paths(root: str, days: list[str] | None = None) -> list[str]:
+    return [f"{root}/{d}" for d in days] if days else [f"{root}/*"]
 
 
 def read_raw(spark: SparkSession, root: str, days: list[str] | None = None) -> DataFrame:
-    """Raw snapshots under root/yyyymmdd/secid.csv -> typed ticks of both markets."""
-    paths = [f"{root}/{d}" for d in days] if days else f"{root}/*"
-    return parse_raw(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    """Raw snapshots under root/yyyymmdd/secid.csv -> typed ticks of both markets. A file is one string on its way, so it has to fit one (2 GB)."""
+    files = spark.read.text(raw_paths(root, days), wholetext=True)
+    return parse_raw(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+
+
+def list_raw(spark: SparkSession, root: str, days: list[str] | None = None) -> DataFrame:
+    """(day, security_id, bytes) of the files there are: a listing, no content is read."""
+    return listed(spark.read.format("binaryFile").load(raw_paths(root, days)).select("path", F.col("length").alias("bytes")))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """files (path, bytes) -> (day, security_id, bytes) of those that are raw files."""
+    name, day = _placed()
+    return files.filter(_is_raw()).select(day.alias("day"), F.regexp_replace(name, r"\.csv$", "").alias("security_id"), "bytes")
+
+
+def _placed() -> tuple[Column, Column]:
+    """File name and folder of `path`."""
+    return F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
+
+
+def _is_raw() -> Column:
+    name, day = _placed()
+    return name.endswith(".csv") & ~name.startswith("_") & day.rlike(r"^\d{8}$")
 
 
 #: Commas that no quotes hold.
@@ -27,18 +53,20 @@ def _cells(line: Column) -> Column:
 def parse_raw(files: DataFrame) -> DataFrame:
     """files (path, content), a row for each stock and day -> typed ticks (OP-01 to OP-05, OP-20); other files and sidecars (`_...`) are left out.
 
-    Columns are found by name in each file's own header (its first line with UpdateTime), so files of both dialects and any order of
+    Columns are found by name in each file's own header (its first line with UpdateTime, or its first line), so files of both dialects and any order of
     columns can lie side by side, without a join: a file is one row until its lines are told apart. day and security_id come from the path, so ids
-    keep their zeros; file_line counts the file's lines.
+    keep their zeros; file_line counts the file's lines. lacks: the first column that the header has not and a later stage needs; nothing raises.
     """
-    name, day = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
-    named = files.select(name.alias("name"), day.alias("day"), F.split("content", r"\r?\n", -1).alias("lines"))
-    named = named.filter(F.col("name").endswith(".csv") & ~F.col("name").startswith("_") & F.col("day").rlike(r"^\d{8}$"))
-    head = F.regexp_replace(F.get(F.filter("lines", lambda x: F.contains(x, F.lit("UpdateTime"))), 0), "^\ufeff", "")
-    headed = named.withColumn("header", F.transform(_cells(head), lambda c: F.trim(c)))
+    name, day = _placed()
+    named = files.filter(_is_raw()).select(name.alias("name"), day.alias("day"), F.split("content", r"\r?\n", -1).alias("lines"))
+    of_time, filled = lambda x: F.contains(x, F.lit("UpdateTime")), lambda x: F.trim(x) != ""
+    head = F.coalesce(F.get(F.filter("lines", of_time), 0), F.get(F.filter("lines", filled), 0))
+    named = named.withColumn("head", head)
+    headed = named.withColumns({"header": F.transform(_cells(F.regexp_replace("head", "^\ufeff", "")), lambda c: F.trim(c)), "head_at": F.array_position("lines", F.col("head")) - 1})
     places = F.struct(*[(F.array_position("header", c).cast("int") - 1).alias(c) for c in RAW_COLUMNS])
-    each = headed.select("day", "name", places.alias("at"), F.posexplode("lines").alias("file_line", "line"))
-    rows = each.filter((F.trim("line") != "") & ~F.contains("line", F.lit("UpdateTime"))).withColumn("cells", _cells(F.col("line")))
+    lacks = F.get(F.filter(F.array(*map(F.lit, NEEDED)), lambda c: ~F.array_contains("header", c)), 0)
+    each = headed.select("day", "name", "head_at", lacks.alias("lacks"), places.alias("at"), F.posexplode("lines").alias("file_line", "line"))
+    rows = each.filter(filled(F.col("line")) & ~of_time(F.col("line")) & (F.col("file_line") != F.col("head_at"))).withColumn("cells", _cells(F.col("line")))
     text = lambda c: F.nullif(F.trim(F.get("cells", F.col(f"at.{c}"))), F.lit(""))
     there = lambda c: F.col(f"at.{c}") >= 0
     return rows.select(
@@ -47,14 +75,14 @@ def parse_raw(files: DataFrame) -> DataFrame:
         number(F.coalesce(text("TradVolume"), text("Volume"))).alias("volume"),
         F.coalesce(text("InstruStatus"), text("TradingPhaseCode")).alias("status"),
         F.when(there("InstruStatus"), "SH").when(there("TradingPhaseCode"), "SZ").otherwise("UNK").alias("market"),
-        *[number(text(c)).alias(c) for c in BOOK],
+        *[number(text(c)).alias(c) for c in BOOK], "lacks",
     )
 
 
 def read_table(spark: SparkSession, root: str, name: str, days: list[str] | None = None) -> DataFrame:
-    """A pipeline table, pruned to days if it is partitioned by date."""
-    df = spark.read.parquet(f"{root}/{name}")
-    return df.filter(F.col("date").cast("string").isin(days)) if days and "date" in df.columns else df
+    """A pipeline table as its last commit left it, pruned to days if it is partitioned by date."""
+    df = read_committed(spark, root, name)
+    return df.filter(F.col("date").isin(days)) if days and "date" in df.columns else df
 
 
 def available_days(df: DataFrame) -> DataFrame:
@@ -77,4 +105,4 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_factor_stats(spark: SparkSession, root: str) -> DataFrame:
     """OP-06: the statistics of all factors, with factor_name from the partition."""
-    return spark.read.parquet(f"{root}/cs_ic_stats")
+    return read_committed(spark, root, "cs_ic_stats")
