@@ -156,3 +156,50 @@ def test_all_horizons_and_kinds(spark, raw, tmp_path, monkeypatch):
     for ret in rets:
         assert run.read(f"composite_{ret}").count() == 100 and run.read(f"composite_{ret}").filter("n_valid > 0").count() == 0
         assert run.read(f"composite_{ret}_cum_daily", True).filter("n_ticks > 0").count() == 0
+
+
+def test_failures_are_data(spark, raw, tmp_path):
+    """Broken files among good ones: each has its status, all others are computed; a rerun with a longer list leaves nothing old."""
+    import shutil
+
+    files, root = tmp_path / "files", str(tmp_path / "root")
+    shutil.copytree(raw, files)
+    day = files / "20240102"
+    good = (day / "600004.csv").read_text()
+    (day / "600010.csv").write_text(good.split("\n")[0] + "\n")
+    (day / "600011.csv").write_text("")
+    (day / "600012.csv").write_text(good.replace("UpdateTime", "Clock"))
+    (day / "600013.csv").write_text(good.replace("InstruStatus", "State"))
+    (day / "600014.csv").write_text(good.replace(":", "-"))
+    (day / "600015.csv").write_text(good.replace("AskPrice3", "Ask3"))
+    (files / "20249999").mkdir()
+    (files / "20249999" / "600004.csv").write_text(good)
+    run = Run(spark, root, PARAMS, factor="bap", windows={"4t": 4})
+    run.sample(str(files))
+    status = {(r.date, r.security_id): (r.Status, r.RawRows, r.SampleRows) for r in run.read("sample_summary").collect()}
+    at = "2024-01-02"
+    assert status[at, "600010"] == ("NO_RAW_DATA", 0, 0) and status[at, "600014"] == ("NO_VALID_TIME", 0, 0)
+    assert status[at, "600011"] == ("FAIL: empty file", None, None) and status[at, "600012"] == ("FAIL: no column UpdateTime", None, None)
+    assert status["2024-99-99", "600004"][0] == "FAIL: no such day" and status[at, "600013"][0] == "OK" and len(status) == 2 * 6 + 7
+    assert {k for k, v in status.items() if v[0] == "OK"} == {(f"2024-01-0{d}", s) for d in (2, 3) for s in IDS} | {(at, "600013"), (at, "600015")}
+    run.clean()
+    run.base()
+    base = {(r.date, r.security_id): (r.Status, r.Rows) for r in run.read("base_summary").collect()}
+    assert base[at, "600013"] == ("FAIL: no status column", None) and base[at, "600015"] == ("FAIL: no column AskPrice3", None)
+    assert {v for k, v in base.items() if k[1] in ("000001", "600004")} == {("OK", 50)} and run.read("base").select("date", "security_id").distinct().count() == 10
+    run.factors()
+    assert {(r.Status, r.Rows) for r in run.read("factor_bap_summary").collect()} == {("OK", 50)}
+    # days that lost rows or have some twice since they were sampled
+    sampled = spark.createDataFrame(run.read("sampled").collect(), run.read("sampled").schema)
+    lost = sampled.filter(~((F.col("security_id") == "000001") & (F.col("date") == at)))
+    twice = sampled.filter((F.col("security_id") == "600005") & (F.col("date") == at) & (F.col("tick_idx") == 7))
+    run.write(lost.unionByName(twice), "sampled")
+    run.clean()
+    reasons = {(r.date, r.security_id): r.drop_reason for r in run.read("dropped").collect()}
+    assert reasons[at, "000001"] == "EMPTY_FILE" and reasons[at, "600005"].startswith("ERROR") and reasons[at, "300003"] == "ALL_DAY_SUSPEND" and len(reasons) == 4
+    (files / "drop.csv").write_text("20240102,ALL,gone\n")
+    again = Run(spark, root, PARAMS, days=["20240102"], factor="bap", windows={"4t": 4})
+    again.clean(str(files / "drop.csv"))
+    again.base()
+    assert {r.date for r in run.read("cleaned").select("date").distinct().collect()} == {"2024-01-03"} == {r.date for r in run.read("base").select("date").distinct().collect()}
+    assert again.read("cleaned").count() == 0 and {r.drop_reason for r in again.read("dropped").collect()} == {"MANUAL_OVERRIDE"}

@@ -64,7 +64,7 @@ def with_base(ticks: DataFrame) -> DataFrame:
 
 
 def base_status(ticks: DataFrame, by: list[str], order: str = "tick_idx") -> DataFrame:
-    """(by, market, Status): a day's market - rows before its first tick have none - and OK, or FAIL and why: no status column, no column of the book.
+    """(by, market, Status): a day's market, and OK, or FAIL and why: no status column, no column of the book.
 
     Nothing raises: what fails has its status, everything else is computed.
     """

@@ -64,11 +64,12 @@ def as_of(
 
 
 def sample_ticks(raw: DataFrame, sessions: tuple[tuple[str, str], ...], freq: str) -> DataFrame:
-    """OP-14 to OP-20: raw ticks (day, security_id, UpdateTime, file_line, values) on the grid of their day."""
+    """OP-14 to OP-20: raw ticks (day, security_id, UpdateTime, file_line, values) on the grid of their day; what a file says once (market, lacks) is on all its rows."""
     timed = raw.withColumn("ts", parse_time(F.col("day"), F.col("UpdateTime"))).filter("ts is not null")
     ticks = keep_last(timed, ["day", "security_id", "ts"], F.col("file_line"))
-    grid = session_grid(timed.select("day", "security_id").distinct(), sessions, freq)
-    values = [c for c in ticks.columns if c not in ("Date", "file_line")]
+    of_file = [c for c in ("market", "lacks") if c in timed.columns]
+    grid = session_grid(timed.select("day", "security_id", *of_file).distinct(), sessions, freq)
+    values = [c for c in ticks.columns if c not in ("Date", "file_line", *of_file)]
     sampled = as_of(grid.withColumnRenamed("ts", "grid_ts"), ticks.select(values), ["day", "security_id"], "grid_ts", "ts")
     return sampled.select(iso_day(F.col("day")).alias("date"), F.date_format("grid_ts", "HH:mm:ss").alias("sample_time"), "*").drop("grid_ts", "source_time")
 

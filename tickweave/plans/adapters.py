@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,6 +134,45 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.concat(F.lit("data/"), "day", F.lit("/"), "sec", F.lit(".csv")).alias("path"), F.concat(head, F.lit("\n"), F.concat_ws("\n", F.transform("ls", lambda x: x["line"])), F.lit("\n")).alias("content"))
 
 
+# ---- F: events as whole raw files, some of them broken
+
+
+FULL_HEADS = {
+    "SH": ["Date", "UpdateTime", "SecurityID", "PreCloPrice", "LastPrice", "Turnover", "TradVolume", "InstruStatus", *BOOK],
+    "SZ": ["SecurityID", *reversed(BOOK), "TradingPhaseCode", "Volume", "LastPrice", "PreCloPrice", "Turnover", "UpdateTime", "Date"],
+}
+BROKEN = 9  # by day of the month plus user: header alone, nothing, no column of times, no status, no time, no column of the book; the others are whole
+
+
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a file for each user and day of events with a whole book; six in nine are broken, each in its way."""
+    e = table(spark, sf_dir, "events")
+    sh, cents = F.col("user_id") % 2 == 1, (F.col("value") * 100).cast("long")
+    no_bid = flag((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0))
+    no_ask = flag((F.col("event_type") == "view") & (F.col("event_id") % 7 == 0))
+    halted = F.col("event_type") == "signup"
+    status = F.when(sh, F.when(halted, "HALT").otherwise("TRADE")).otherwise(F.when(halted, "H0").otherwise("T0"))
+    cell = {"Date": F.date_format("ts", "yyyyMMdd"), "UpdateTime": F.date_format("ts", "HH:mm:ss.SSSSSS"), "SecurityID": F.col("user_id").cast("string"), "PreCloPrice": F.lit("100"),
+            "LastPrice": cents.cast("string"), "Turnover": F.lit("1"), "TradVolume": F.col("event_id").cast("string"), "Volume": F.col("event_id").cast("string"),
+            "InstruStatus": status, "TradingPhaseCode": status}
+    for i in LEVELS:
+        cell |= {f"AskPrice{i}": (cents + i).cast("string"), f"BidPrice{i}": (cents - i).cast("string")}
+        cell[f"AskVolume{i}"] = F.when(no_ask, 0).otherwise(1 + (F.col("event_id") * 11 + i * 17) % 50).cast("string")
+        cell[f"BidVolume{i}"] = F.when(no_bid, 0).otherwise(1 + (F.col("event_id") * 7 + i * 13) % 50).cast("string")
+    line = F.when(sh, F.concat_ws(",", *[cell[c] for c in FULL_HEADS["SH"]])).otherwise(F.concat_ws(",", *[cell[c] for c in FULL_HEADS["SZ"]]))
+    lines = e.select(sh.alias("sh"), cell["Date"].alias("day"), F.lpad(cell["SecurityID"], 6, "0").alias("sec"), F.struct("ts", "event_id", line.alias("line")).alias("l"))
+    files = lines.groupBy("sh", "day", "sec").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    head = F.when(F.col("sh"), ",".join(FULL_HEADS["SH"])).otherwise(",".join(FULL_HEADS["SZ"]))
+    content = F.concat(head, F.lit("\n"), F.concat_ws("\n", F.transform("ls", lambda x: x["line"])), F.lit("\n"))
+    kind = (F.substring("day", 7, 2).cast("int") + F.col("sec").cast("int")) % BROKEN
+    renamed = lambda *pairs: reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, content)
+    content = (
+        F.when(kind == 0, F.concat(head, F.lit("\n"))).when(kind == 1, "").when(kind == 2, renamed(("UpdateTime", "Clock")))
+        .when(kind == 3, renamed(("InstruStatus", "State"), ("TradingPhaseCode", "State"))).when(kind == 4, renamed((":", "-"))).when(kind == 5, renamed(("AskPrice1", "Ask"))).otherwise(content)
+    )
+    return files.select(F.concat(F.lit("data/"), "day", F.lit("/"), "sec", F.lit(".csv")).alias("path"), content.alias("content"))
+
+
 # ---- P: a monthly panel of suppliers
 
 

@@ -333,13 +333,61 @@ SQL["raw_times"] = f"WITH {RAW} SELECT day, security_id, file_line, strftime(goo
 SQL["raw_days"] = f"WITH {RAW} SELECT DISTINCT day || ' ' || market AS date FROM raw"
 SQL["raw_sampled"] = f"""WITH {RAW}, kept AS (
   SELECT * FROM raw WHERE good IS NOT NULL QUALIFY row_number() OVER (PARTITION BY day, security_id, good ORDER BY file_line DESC) = 1
-), days AS (SELECT DISTINCT day, security_id FROM kept),
+), days AS (SELECT DISTINCT day, security_id, market FROM kept),
 times AS (SELECT unnest(generate_series(0, 7)) AS tick_idx),
-grid AS (SELECT day, security_id, CAST(tick_idx AS INT) AS tick_idx, strptime(day, '%Y%m%d') + to_minutes(CASE WHEN tick_idx < 4 THEN 570 + 30 * tick_idx ELSE 780 + 30 * (tick_idx - 4) END) AS slot FROM days, times)
-SELECT strftime(slot, '%Y-%m-%d') AS date, strftime(slot, '%H:%M:%S') AS sample_time, g.day, g.security_id, tick_idx, UpdateTime, {r6('LastPrice')}, {r6('volume')}, status, market,
+grid AS (SELECT day, security_id, market, CAST(tick_idx AS INT) AS tick_idx, strptime(day, '%Y%m%d') + to_minutes(CASE WHEN tick_idx < 4 THEN 570 + 30 * tick_idx ELSE 780 + 30 * (tick_idx - 4) END) AS slot FROM days, times)
+SELECT strftime(slot, '%Y-%m-%d') AS date, strftime(slot, '%H:%M:%S') AS sample_time, g.day, g.security_id, tick_idx, UpdateTime, {r6('LastPrice')}, {r6('volume')}, status, g.market,
   {r6("date_diff('microsecond', good, slot) / 1e6", 'gap_sec')}
 FROM grid g ASOF LEFT JOIN kept k ON g.day = k.day AND g.security_id = k.security_id AND g.slot >= k.good"""
 
+BROKEN = """
+cells AS (
+  SELECT strftime(ts, '%Y%m%d') AS day, strftime(ts, '%Y-%m-%d') AS date, lpad(CAST(user_id AS VARCHAR), 6, '0') AS security_id, ts, event_id, event_type = 'signup' AS halted,
+         CASE WHEN user_id % 2 = 1 THEN 'SH' ELSE 'SZ' END AS market, CAST(trunc(value * 100) AS BIGINT) AS cents, (day(ts) + user_id) % 9 AS kind,
+         CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN 0 ELSE 1 + (event_id * 11 + 17) % 50 END AS av1, CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 0 ELSE 1 + (event_id * 7 + 13) % 50 END AS bv1
+  FROM events
+), files AS (SELECT day, date, security_id, market, kind, count(DISTINCT ts) AS times FROM cells GROUP BY ALL),
+kept AS (SELECT * FROM cells WHERE kind IN (3, 5, 6, 7, 8) QUALIFY row_number() OVER (PARTITION BY day, security_id, ts ORDER BY event_id DESC) = 1),
+slots AS (SELECT f.*, CAST(k AS INT) AS tick_idx, strptime(day, '%Y%m%d') + to_minutes(CASE WHEN k < 4 THEN 570 + 30 * k ELSE 780 + 30 * (k - 4) END) AS slot FROM files f, generate_series(0, 7) t(k) WHERE kind IN (3, 5, 6, 7, 8)),
+sampled AS (
+  SELECT s.day, s.date, s.security_id, s.market, s.kind, s.tick_idx, strftime(slot, '%H:%M:%S') AS sample_time, k.cents, k.halted, k.av1, k.bv1, date_diff('microsecond', k.ts, slot) / 1e6 AS gap
+  FROM slots s ASOF LEFT JOIN kept k ON s.day = k.day AND s.security_id = k.security_id AND slot >= k.ts
+), seen AS (SELECT date, security_id, count(*) AS n, max(gap) AS top, avg(gap) AS mean, avg(CASE WHEN gap > 36000 THEN 1.0 ELSE 0.0 END) AS share FROM sampled GROUP BY ALL),
+report AS (
+  SELECT f.date, f.day, f.security_id, f.market, f.kind, CASE WHEN kind IN (1, 2) THEN NULL WHEN kind IN (0, 4) THEN 0 ELSE times END AS RawRows, CASE WHEN kind IN (1, 2) THEN NULL ELSE coalesce(n, 0) END AS SampleRows,
+         round_even(top, 1) AS MaxGapSec, round_even(mean, 1) AS MeanGapSec, round_even(share, 4) AS PctGapGt60,
+         CASE kind WHEN 0 THEN 'NO_RAW_DATA' WHEN 1 THEN 'FAIL: empty file' WHEN 2 THEN 'FAIL: no column UpdateTime' WHEN 4 THEN 'NO_VALID_TIME'
+                   ELSE CASE WHEN top <= 36000 THEN 'OK' ELSE 'LARGE_GAP' END END AS Status
+  FROM files f LEFT JOIN seen USING (date, security_id)
+), marked AS (
+  SELECT *, coalesce(NOT halted, false) AS trade, coalesce(bv1 > 0 AND cents - 1 > 0, false) AS has_bid, coalesce(av1 > 0 AND cents + 1 > 0, false) AS has_ask FROM sampled
+), based AS (
+  SELECT *, CASE WHEN trade AND has_bid AND has_ask THEN 'NORMAL_WMID' WHEN trade AND has_ask AND NOT has_bid THEN 'LIMIT_DOWN_ONE_SIDED' WHEN trade AND has_bid AND NOT has_ask THEN 'LIMIT_UP_ONE_SIDED' ELSE 'INVALID' END AS PriceType
+  FROM marked WHERE kind > 5
+), base AS (
+  SELECT *, CASE PriceType WHEN 'NORMAL_WMID' THEN (CAST(cents - 1 AS DOUBLE) * av1 + CAST(cents + 1 AS DOUBLE) * bv1) / (av1 + bv1) WHEN 'LIMIT_DOWN_ONE_SIDED' THEN cents + 1 WHEN 'LIMIT_UP_ONE_SIDED' THEN cents - 1 END AS Price FROM based
+), flags AS (
+  SELECT *, Price IS NOT NULL AS CanUsePrice, trade AND has_bid AND has_ask AS CanUseDoubleSideBook FROM base
+)"""
+SQL["raw_report"] = f"WITH {BROKEN} SELECT date, security_id, RawRows, SampleRows, {r6s('MaxGapSec', 'MeanGapSec', 'PctGapGt60')}, Status FROM report"
+SQL["raw_base"] = f"WITH {BROKEN} SELECT date, security_id, sample_time, market, PriceType, {r6('Price')}, CanUsePrice, CanUseDoubleSideBook, CanUseDoubleSideBook AS CanUseFiveLevelBook FROM flags"
+SQL["raw_base_report"] = f"""WITH {BROKEN} SELECT r.date, r.security_id, CASE WHEN kind = 3 THEN 'FAIL: no status column' WHEN kind = 5 THEN 'FAIL: no column AskPrice1' ELSE 'OK' END AS Status, Rows,
+  NormalWmidTicks, LimitDownTicks, LimitUpTicks, CanUsePriceTicks, CanUseDoubleTicks, CanUseDoubleTicks AS CanUseFiveTicks
+FROM report r LEFT JOIN (SELECT date, security_id, count(*) AS Rows, count(*) FILTER (PriceType = 'NORMAL_WMID') AS NormalWmidTicks, count(*) FILTER (PriceType = 'LIMIT_DOWN_ONE_SIDED') AS LimitDownTicks,
+  count(*) FILTER (PriceType = 'LIMIT_UP_ONE_SIDED') AS LimitUpTicks, count(*) FILTER (CanUsePrice) AS CanUsePriceTicks, count(*) FILTER (CanUseDoubleSideBook) AS CanUseDoubleTicks FROM flags GROUP BY ALL) s USING (date, security_id)
+WHERE r.kind IN (3, 5, 6, 7, 8)"""
+SQL["raw_screen_report"] = f"""WITH {BROKEN}, fates AS (SELECT *, (CAST(substr(day, 7, 2) AS INT) + 2 * CAST(security_id AS INT)) % 11 AS fate FROM report WHERE kind IN (3, 5, 6, 7, 8)),
+quiet AS (SELECT date, security_id, bool_and(coalesce(halted, true)) AS still FROM sampled GROUP BY ALL)
+SELECT date, security_id, day, CAST(CASE fate WHEN 0 THEN 0 WHEN 1 THEN 9 ELSE 8 END AS BIGINT) AS rows,
+  CASE fate WHEN 0 THEN 'EMPTY_FILE' WHEN 1 THEN 'ERROR: ticks missing or repeated' ELSE CASE WHEN still AND kind <> 3 THEN 'ALL_DAY_SUSPEND' END END AS drop_reason FROM fates JOIN quiet USING (date, security_id)"""
+SQL["table_rerun"] = f"""WITH days AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, user_id, value, strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-08' AND '2024-01-22' AS again, day(ts) % 5 AS k FROM events)
+SELECT date, event_id, CASE WHEN NOT again THEN user_id END AS user_id, {r6('value')} FROM days WHERE NOT again OR (value > 20 AND k <> 0)"""
+SQL["table_without_rows"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1"
+SQL["override_list"] = """SELECT '202401' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') AS day, CAST(n_nationkey AS VARCHAR) AS security, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS reason
+FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AND n_nationkey % 11 <> 0"""
+SQL["factor_metadata"] = """SELECT CAST(p_partkey AS VARCHAR) AS factor_name, p_name AS full_name, p_brand AS category, 'a "' || p_name || '",' || chr(10) || 'of ' || p_type AS description, '-' AS notes
+FROM part WHERE regexp_matches(p_brand, '(?i)brand#1.*|steel') OR regexp_matches(p_name || ' ' || p_type || ' ' || CAST(p_partkey AS VARCHAR), '(?i)brand#1.*|steel')"""
+
 
 # ---- evaluation
 
@@ -390,6 +438,11 @@ SQL["cs_ic"] = f"WITH {IC} SELECT date, sample_time, ret, factor_col, {r6s('ic',
 SQL["cs_ic_sessions"] = f"WITH {DAILY} SELECT date, sample_time, ret, factor_col, {r6s('ic', 'rankic')}, session FROM split"
 SQL["cs_daily_trend"] = f"WITH {DAILY} SELECT date, ret, session, factor_col, {r6s('ic', 'rankic')} FROM daily"
 SQL["cs_ic_stats"] = f"WITH {STATS} SELECT {STAT_COLUMNS} FROM stats"
+SQL["factor_stats"] = f"""WITH {STATS} SELECT 'alpha' AS factor_name, ret, session, factor_col, {r6('ic_mean')}, n_days FROM stats WHERE factor_col = 'alpha_1m'
+UNION ALL SELECT 'gamma', ret, session, factor_col, {r6('ic_mean')}, n_days FROM stats WHERE factor_col = 'alpha_3m'"""
+SQL["returns_source"] = f"""WITH {PANEL}, early AS (SELECT * FROM panel WHERE date < '1996'), late AS (SELECT * FROM panel WHERE date >= '1994')
+SELECT coalesce(e.date, l.date) AS date, coalesce(e.sample_time, l.sample_time) AS sample_time, coalesce(e.security_id, l.security_id) AS security_id, {r6('coalesce(e.ret_1, l.ret_1 + 1)', 'ret_1')}, {r6('e.alpha_1m', 'alpha_1m')}, {r6('l.alpha_2m', 'alpha_2m')}
+FROM early e FULL JOIN late l ON e.date = l.date AND e.sample_time = l.sample_time AND e.security_id = l.security_id"""
 SQL["cs_ic_stats_compat"] = f"WITH {_stats('stddev_pop', 1)} SELECT {STAT_COLUMNS} FROM stats"
 _pairs = " UNION ALL ".join(
     f"SELECT date, security_id, sample_time, '{r}' AS ret, '{f}' AS factor_col, {f} AS f, {r} AS r FROM panel WHERE {f} IS NOT NULL AND {r} IS NOT NULL AND NOT {f}_has_limit" for f in FACTORS for r in RETURNS

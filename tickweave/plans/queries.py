@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,12 @@ from tickweave.operators import evaluation as E
 from tickweave.operators import ingest as I
 from tickweave.operators import quantiles as Q
 from tickweave.operators import views as V
-from tickweave.operators.base import base_summary, with_forward_returns
+from tickweave.operators.base import base_status, base_summary, with_base, with_forward_returns, with_status
 from tickweave.operators.factors import FACTORS, factor_summary, run_factor, ticks
 from tickweave.plans import adapters as A
-from tickweave.sources.readers import available_days, parse_raw
+from tickweave.sources.readers import available_days, listed, parse_raw, read_factor_stats, read_metadata, read_overrides, read_table
+from tickweave.sources.schemas import METADATA
+from tickweave.sources.sinks import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +69,130 @@ def _(spark, d):
     return available_days(raw.select(F.concat_ws(" ", "day", "market").alias("date")))
 
 
+# ---- raw files some of which are broken
+
+SESSIONS = (("09:30:00", "11:30:00"), ("13:00:00", "15:00:00"))
+
+
+def _broken(spark, d):
+    """(ticks on the grid, summary): the sample stage over files of which six in nine are broken."""
+    files = A.broken_files(spark, d)
+    raw = parse_raw(files)
+    sampled = I.sample_ticks(raw, SESSIONS, "30 minutes")
+    status = I.file_status(listed(files.select("path", F.length("content").alias("bytes"))), I.raw_counts(raw))
+    rows = status.withColumn("date", I.iso_day(F.col("day"))).drop("day")
+    return sampled, I.resample_summary(sampled, rows, KEYS, 36000.0)
+
+
+KEYS = ["date", "security_id"]
+
+
+@query("raw_report")
+def _(spark, d):
+    """A status for every file, those that give no ticks too."""
+    return rounded(_broken(spark, d)[1])
+
+
+@query("raw_base")
+def _(spark, d):
+    """Prices and masks of both markets, from the files that have what it takes."""
+    sampled = _broken(spark, d)[0]
+    good = base_status(sampled, KEYS).filter("Status = 'OK'").select(*KEYS, "market")
+    base = with_base(sampled.drop("market").join(good, KEYS))
+    return rounded(base.select(*KEYS, "sample_time", "market", "PriceType", "Price", "CanUsePrice", "CanUseDoubleSideBook", "CanUseFiveLevelBook"))
+
+
+@query("raw_base_report")
+def _(spark, d):
+    """A status for every security and day with ticks, and the counts of those that don't fail."""
+    sampled = _broken(spark, d)[0]
+    statuses = base_status(sampled, KEYS)
+    base = with_base(sampled.drop("market").join(statuses.filter("Status = 'OK'").select(*KEYS, "market"), KEYS))
+    return with_status(base_summary(base, KEYS), statuses, KEYS)
+
+
+@query("raw_screen_report")
+def _(spark, d):
+    """Days that lost all their rows, or have some twice, since they were sampled."""
+    sampled, summary = _broken(spark, d)
+    fate = (F.substring("day", 7, 2).cast("int") + 2 * F.col("security_id").cast("int")) % 11
+    left = sampled.filter(fate != 0).withColumn("_", F.explode(F.when((fate == 1) & (F.col("tick_idx") == 3), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_")
+    days = I.suspended_days(left, [*KEYS, "day"], F.col("market"), F.col("status"))
+    decided = I.drop_decision(I.with_listed(days, summary, KEYS).withColumn("overridden", F.lit(False)))
+    return decided.select(*KEYS, "day", "rows", "drop_reason")
+
+
+# ---- sources and sinks, by way of files
+
+
+def _scratch(spark) -> str:
+    """A new folder where the session says that all can write; on one machine without such a setting, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/tables-{uuid.uuid4().hex}"
+
+
+@query("table_rerun")
+def _(spark, d):
+    """A table of events by day; then some days again, of which some have no rows any more: nothing old of these stays, and the others are whole."""
+    root, day = _scratch(spark), F.date_format("ts", "yyyy-MM-dd")
+    events = A.table(spark, d, "events").select(day.alias("date"), "event_id", "user_id", "value")
+    write_table(events, root, "t")
+    again = [f"2024-01-{k:02d}" for k in range(8, 23)]
+    fewer = events.filter((F.col("value") > 20) & (F.substring("date", 9, 2) % 5 != 0)).drop("user_id")
+    write_table(fewer, root, "t", covers=again)
+    return rounded(read_table(spark, root, "t"))
+
+
+@query("table_without_rows")
+def _(spark, d):
+    """An empty table has its columns, and takes rows afterwards."""
+    root, n = _scratch(spark), A.table(spark, d, "nation")
+    write_table(n.filter("n_nationkey < 0"), root, "t", ["n_name"])
+    none = read_table(spark, root, "t")
+    write_table(n.filter("n_regionkey = 1"), root, "t", ["n_name"], [r.n_name for r in n.select("n_name").collect()])
+    return read_table(spark, root, "t").unionByName(none).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("factor_stats")
+def _(spark, d):
+    """The statistics of two factors, each written by itself, read together; the first one twice."""
+    root, stats = _scratch(spark), _stats(spark, d)
+    for name, columns in (("alpha", ["alpha_1m", "alpha_2m"]), ("gamma", ["alpha_3m"]), ("alpha", ["alpha_1m"])):
+        write_table(stats.filter(F.col("factor_col").isin(columns)).withColumn("factor_name", F.lit(name)), root, "cs_ic_stats", ["factor_name"], [name])
+    return rounded(read_factor_stats(spark, root).select("factor_name", "ret", "session", "factor_col", "ic_mean", "n_days"))
+
+
+@query("override_list")
+def _(spark, d):
+    path, n = _scratch(spark), A.table(spark, d, "nation")
+    line = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("# "), "n_name")).when(F.col("n_nationkey") % 7 == 0, "").when(F.col("n_nationkey") % 11 == 0, "Date,SecurityID,Reason")
+    listed_days = F.concat_ws(",", F.concat(F.lit(" 202401"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0")), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")))
+    n.select(F.coalesce(line, listed_days)).write.text(path)
+    return read_overrides(spark, path)
+
+
+@query("factor_metadata")
+def _(spark, d):
+    """Descriptions with quotes, commas and lines of their own, by way of a file; then searched."""
+    path, p = _scratch(spark), A.table(spark, d, "part")
+    told = F.concat(F.lit('a "'), "p_name", F.lit('",\nof '), "p_type")
+    columns = {"factor_name": F.col("p_partkey").cast("string"), "full_name": F.col("p_name"), "category": F.col("p_brand"), "description": told}
+    names = METADATA.names
+    p.select(*[columns.get(c, F.lit("-")).alias(c) for c in names]).write.csv(path, header=True, quote='"', escape='"')
+    return V.search(read_metadata(spark, path), "brand#1.*|steel").select("factor_name", "full_name", "category", "description", "notes")
+
+
+@query("returns_source")
+def _(spark, d):
+    """Factor tables of different days side by side: returns from the first that has them."""
+    p = A.panel(spark, d)
+    early, late = p.filter("date < '1996'"), p.filter("date >= '1994'")
+    tables = [early.select(*AT, "security_id", "ret_1", "alpha_1m"), late.select(*AT, "security_id", (F.col("ret_1") + 1).alias("ret_1"), "alpha_2m")]
+    return rounded(Q.with_returns(tables, [*AT, "security_id"], ["ret_1"]))
+
+
 # ---- ingest, on events
 
 

@@ -21,8 +21,14 @@ def read_raw(spark: SparkSession, root: str, days: list[str] | None = None) -> D
 
 
 def list_raw(spark: SparkSession, root: str, days: list[str] | None = None) -> DataFrame:
-    """(day, security_id, bytes) of the files there are: a listing, no content is read."""
-    return listed(spark.read.format("binaryFile").load(raw_paths(root, days)).select("path", F.col("length").alias("bytes")))
+    """(day, security_id, bytes) of the files there are: a listing, no content is read.
+
+    Spark's scans leave out files of no bytes; the names of all files, which its listing has anyway, tell them.
+    """
+    found = spark.read.format("binaryFile").load(raw_paths(root, days))
+    there = listed(found.select("path", F.col("length").alias("bytes")))
+    every = listed(spark.createDataFrame([(n,) for n in found.inputFiles()], "path string").withColumn("bytes", F.lit(0).cast("long"))).drop("bytes")
+    return every.join(there, ["day", "security_id"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long")))
 
 
 def listed(files: DataFrame) -> DataFrame:
