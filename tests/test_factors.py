@@ -185,3 +185,21 @@ def test_rigidity_in_long_partitions_and_windows(spark, n, w):
         r2 = 1 - ((y - a - b * x - c * x * x) ** 2).sum() / ((y - y.mean()) ** 2).sum()
         want = b * r2 * math.log(1 / (abs(c) + 1e-8))
         assert abs(got[t] - want) < 1e-5 * max(1.0, abs(want))
+
+
+@pytest.mark.parametrize("name, windows, options", [("bap", {"20t": 20}, {}), ("ofd", {"20t": 20}, {}), ("rigidity", {"20t": 20, "60t": 60}, {}), ("neg_skew", {"20t": 20}, {"lag": 1}), ("pv_corr", {"5t": 5}, {}), ("rsrs", {"30t": 30}, {})])
+def test_one_huge_value_spoils_no_later_window(spark, name, windows, options):
+    """Windows that don't hold the value are what they are without it."""
+    p = make(220, gaps=0.01)
+    huge = p.copy()
+    for c in ["Price", *[f"{s}Price{k}" for s in ("Ask", "Bid") for k in range(1, 6)]]:
+        huge.loc[30, c] = p[c][30] * 1e11
+    huge.loc[30, [f"BidVolume{k}" for k in range(1, 6)]] *= 1e9
+    for q in (p, huge):
+        q.loc[30, ["CanUsePrice", "CanUseDoubleSideBook", "CanUseFiveLevelBook"]] = True
+    p.loc[30, "Price"] = huge.loc[30, "Price"] / 1e11 if pd.notna(huge.loc[30, "Price"]) else 10.0
+    huge.loc[30, "Price"] = p.loc[30, "Price"] * 1e11
+    one, other = run(spark, p, name, windows, **options), run(spark, huge, name, windows, **options)
+    for label in windows:
+        a, b = one[f"{name}_{label}"][140:], other[f"{name}_{label}"][140:]
+        assert a.notna().any() and a.isna().tolist() == b.isna().tolist() and np.allclose(a.dropna().astype(float), b.dropna().astype(float), rtol=1e-9, atol=1e-12)

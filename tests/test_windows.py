@@ -32,3 +32,45 @@ def test_gate(spark):
     # F-11: of ten, one invalid passes and two do not; the first nine rows never pass
     df = spark.createDataFrame([(9, 9), (9, 8), (8, 9)], "pos int, valid int")
     assert [r[0] for r in df.select(gate(F.col("valid"), 10, F.col("pos"))).collect()] == [True, False, False]
+
+
+def test_ladders():
+    from tickweave.functions.windows import ladder, rungs_of
+
+    assert ladder([300, 600, 2100]) == [1, 4, 12, 60, 300] and ladder([4, 6, 12]) == [1, 2] and ladder([1]) == [1] and ladder([2, 9]) == [1, 4]
+    for windows in ([300, 900, 1500], [200, 400, 2100], [37], [7, 101, 1999], [4099], [20, 60]):
+        lengths = ladder(windows)
+        assert all(b % a == 0 and b // a <= 64 for a, b in zip(lengths, lengths[1:]))
+        for w in windows:
+            rungs = rungs_of(w, lengths)
+            assert sum(n for n, _ in rungs) == w and [b for _, b in rungs] == [sum(n for n, _ in rungs[:k]) for k in range(len(rungs))] and len(rungs) <= 40
+
+
+def test_local_sums_and_moments(spark):
+    import numpy as np
+
+    from tickweave.functions.windows import local_moments, local_sums
+
+    r = np.random.default_rng(1)
+    rows = [("a" if i < 700 else "b", i, None if r.random() < 0.1 else float(r.normal()), None if r.random() < 0.1 else float(r.normal()) + 100) for i in range(900)]
+    rows[50] = ("a", 50, 1e11, 1e9)  # what one value does ends with its window
+    df = spark.createDataFrame(rows, "g string, t int, x double, y double")
+    windows = [12, 60, 90]
+    out = local_sums(df, ["g"], "t", {"s": F.col("x")}, windows)
+    out = local_moments(out, ["g"], "t", "_m", F.col("x"), windows)
+    out = local_moments(out, ["g"], "t", "_b", F.col("x"), windows, F.col("y"))
+    for row in out.collect():
+        own = [q for q in rows if q[0] == row.g and q[1] <= row.t]
+        for w in windows:
+            near = [q for q in own if q[1] > row.t - w]
+            v = np.array([q[2] for q in near if q[2] is not None])
+            b = np.array([q[2:] for q in near if None not in q]).reshape(-1, 2)
+            scale = max(1.0, np.abs(v).max(initial=0))
+            assert abs(row[f"s_{w}"] - v.sum()) <= 1e-12 * w * scale
+            m = row[f"_m_{w}"]
+            assert m.n == len(v) and (len(v) == 0 or abs(m.x - v.mean()) <= 1e-12 * scale)
+            assert abs(m.xx - ((v - v.mean()) ** 2).sum()) <= 1e-11 * w * scale**2 and abs(m.xxx - ((v - v.mean()) ** 3).sum()) <= 1e-10 * w * scale**3
+            t = row[f"_b_{w}"]
+            if len(b):
+                d = b - b.mean(0)
+                assert t.n == len(b) and abs(t.xy - (d[:, 0] * d[:, 1]).sum()) <= 1e-10 * w * scale * max(1.0, np.abs(b[:, 1]).max())

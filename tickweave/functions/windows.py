@@ -1,19 +1,22 @@
-"""Rolling windows by row count, from differences of running sums.
+"""Rolling windows by row count, without moving frames.
 
-A moving frame is evaluated anew for each row; a running sum is not. So a sum over the last w rows is the running sum less the
-running sum w rows ago: one exchange, one sort and two window steps for any number of windows and inputs.
+A moving frame is evaluated anew for each row. Counts, which are exact, are the running count less the running count w rows ago. Sums of floats would carry
+the rounding of everything before the window that way, so they are put together from the window's own rows alone: the state of the last 4 rows from
+four single rows, that of 20 from five of these and so on (a ladder of lengths), and a window from a few rungs, the later ones seen some rows back. A state is what two stretches
+can be merged by: sums, centred moments, or powers of places. All steps have one partition and order: one exchange and one sort for any number of windows and inputs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from tickweave.functions.exprs import div, flag
+from tickweave.functions.exprs import add_up, div, flag
 
 
 def rows_of(by: Iterable[str], order: str) -> WindowSpec:
@@ -30,7 +33,7 @@ def with_position(df: DataFrame, by: Iterable[str], order: str, name: str = "_po
 
 
 def rolling_sums(df: DataFrame, by: Iterable[str], order: str, inputs: Mapping[str, tuple[Column, Iterable[int]]]) -> DataFrame:
-    """For each name: (value, windows) the columns name_w, the sum over the last w rows (fewer at the start); NULL counts as 0."""
+    """For each name: (value, windows) the columns name_w, the sum of whole numbers over the last w rows (fewer at the start), as a difference of running sums; NULL counts as 0."""
     by = list(by)
     zero = lambda v: F.coalesce(v, F.lit(0))
     runs = df.withColumns({f"_run_{k}": F.sum(zero(v)).over(growing(by, order)) for k, (v, _) in inputs.items()})
@@ -39,6 +42,115 @@ def rolling_sums(df: DataFrame, by: Iterable[str], order: str, inputs: Mapping[s
     return runs.withColumns(sums).drop(*[f"_run_{k}" for k in inputs])
 
 
+#: A rung is at most that many times the one below it, and a window at most about that many of the top one.
+RUNGS = 8
+Parts = list[tuple[str, int]]  # (column of a stretch's state, how many rows back it ends)
+Merge = Callable[[DataFrame, Parts, str], DataFrame]  # adds the state of the stretches together
+
+
+def _primes(n: int) -> list[int]:
+    found, p = [], 2
+    while n > 1:
+        while n % p == 0:
+            found.append(p)
+            n //= p
+        p += 1
+    return found
+
+
+def ladder(windows: Iterable[int]) -> list[int]:
+    """Lengths from 1 up, each a small multiple of the one before, of which every window is made of few."""
+    windows = sorted(set(windows))
+    common = gcd(*windows)
+    primes = _primes(common)
+    if primes and primes[-1] > RUNGS * RUNGS:
+        common, primes = 1, []
+    steps, now = [], 1
+    for p in primes:
+        if now * p > RUNGS and now > 1:
+            steps.append(now)
+            now = 1
+        now *= p
+    steps += [now] if now > 1 else []
+    lengths = [1]
+    for k in steps:
+        lengths.append(lengths[-1] * k)
+    while windows[-1] // lengths[-1] > RUNGS:
+        lengths.append(lengths[-1] * (RUNGS // 2))
+    return lengths
+
+
+def rungs_of(w: int, lengths: list[int]) -> list[tuple[int, int]]:
+    """(length, rows back) of the stretches that make up the last w rows."""
+    out, back = [], 0
+    for length in reversed(lengths):
+        while w - back >= length:
+            out.append((length, back))
+            back += length
+    return out
+
+
+def rolling_states(df: DataFrame, by: Iterable[str], order: str, state: str, windows: Iterable[int], merge: Merge) -> DataFrame:
+    """Add {state}_{w} for each window: the state of the last w rows (fewer at the start), from `state`, that of each row. Only the rows of the window have a part in it."""
+    windows, rows, before = sorted(set(windows)), rows_of(by, order), df.columns
+    lengths = ladder(windows)
+    at = {1: state} | {length: f"_{state}_rung{length}" for length in lengths[1:]}
+
+    def seen(df: DataFrame, stretches: Iterable[tuple[int, int]]) -> tuple[DataFrame, dict[tuple[int, int], str]]:
+        names = {(n, back): f"_{state}_{n}_back{back}" if back else at[n] for n, back in stretches}
+        return df.withColumns({name: F.lag(at[n], back).over(rows) for (n, back), name in names.items() if back}), names
+
+    for short, long in zip(lengths, lengths[1:]):
+        df, names = seen(df, [(short, k * short) for k in range(long // short)])
+        df = merge(df, [(name, back) for (_, back), name in names.items()], at[long]).drop(*[n for n in names.values() if n != at[short]])
+    df, names = seen(df, sorted({s for w in windows for s in rungs_of(w, lengths)}))
+    for w in windows:
+        df = merge(df, [(names[s], s[1]) for s in rungs_of(w, lengths)], f"{state}_{w}")
+    return df.select(*before, *[f"{state}_{w}" for w in windows])
+
+
+def _there(part: str, field: str, none: float | int = 0.0) -> Column:
+    return F.coalesce(F.col(part)[field], F.lit(none))
+
+
+def local_sums(df: DataFrame, by: Iterable[str], order: str, values: Mapping[str, Column], windows: Iterable[int]) -> DataFrame:
+    """The columns {name}_{w}, the sums of the values over the last w rows, from these rows alone; NULL counts as 0."""
+    names, windows, before = list(values), list(dict.fromkeys(windows)), df.columns
+
+    def merge(df: DataFrame, parts: Parts, out: str) -> DataFrame:
+        return df.withColumn(out, F.struct(*[add_up(*[_there(p, k) for p, _ in parts]).alias(k) for k in names]))
+
+    df = df.withColumn("_sums", F.struct(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()]))
+    df = rolling_states(df, by, order, "_sums", windows, merge)
+    return df.select(*before, *[F.col(f"_sums_{w}")[k].alias(f"{k}_{w}") for w in windows for k in names])
+
+
+def local_moments(df: DataFrame, by: Iterable[str], order: str, name: str, x: Column, windows: Iterable[int], y: Column | None = None) -> DataFrame:
+    """The structs {name}_{w} of centred moments over the last w rows with a value: n, x, xx, xxx (count, mean, sums of squares and cubes about it); with y (where both are there) y and xy too."""
+    there = x.isNotNull() if y is None else x.isNotNull() & y.isNotNull()
+
+    def merge(df: DataFrame, parts: Parts, out: str) -> DataFrame:
+        n = add_up(*[_there(p, "n") for p, _ in parts])
+        mean = lambda c: div(add_up(*[_there(p, "n") * _there(p, c) for p, _ in parts]), F.col("_n"))
+        df = df.withColumn("_n", n)
+        df = df.withColumns({f"_{c}": F.coalesce(mean(c), F.lit(0.0)) for c in ("x", *(["y"] if y is not None else []))})
+        # how far each stretch's mean lies from the common one
+        df = df.withColumns({f"_d{c}{k}": _there(p, c) - F.col(f"_{c}") for c in ("x", *(["y"] if y is not None else [])) for k, (p, _) in enumerate(parts)})
+        d = lambda c, k: F.col(f"_d{c}{k}")
+        fields = {"n": F.col("_n"), "x": F.col("_x"), "xx": add_up(*[_there(p, "xx") + _there(p, "n") * d("x", k) * d("x", k) for k, (p, _) in enumerate(parts)])}
+        if y is None:
+            fields["xxx"] = add_up(*[_there(p, "xxx") + 3 * d("x", k) * _there(p, "xx") + _there(p, "n") * d("x", k) * d("x", k) * d("x", k) for k, (p, _) in enumerate(parts)])
+        else:
+            fields |= {"y": F.col("_y"), "xy": add_up(*[_there(p, "xy") + _there(p, "n") * d("x", k) * d("y", k) for k, (p, _) in enumerate(parts)])}
+        df = df.withColumn(out, F.struct(*[v.alias(k) for k, v in fields.items()]))
+        return df.drop("_n", "_x", "_y", *[f"_d{c}{k}" for c in "xy" for k in range(len(parts))])
+
+    zero = F.lit(0.0)
+    one = {"n": F.when(there, 1.0).otherwise(zero), "x": F.when(there, x.cast("double")).otherwise(zero), "xx": zero}
+    one |= {"xxx": zero} if y is None else {"y": F.when(there, y.cast("double")).otherwise(zero), "xy": zero}
+    return rolling_states(df.withColumn(name, F.struct(*[v.alias(k) for k, v in one.items()])), by, order, name, windows, merge).drop(name)
+
+
 def count_of(condition: Column) -> Column:
     """1 where the condition holds, as input of rolling_sums."""
     return flag(condition).cast("long")

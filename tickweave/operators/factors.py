@@ -1,8 +1,8 @@
 """The factor library (OP-44 to OP-54) and its registry.
 
 A factor adds, for each of its windows, a value column and a `_has_limit` column (whether a limit tick is among the ticks used).
-Rolling sums are differences of running sums (functions.windows), so a factor costs one exchange and one sort, and several factors run
-one after the other share them: all partition by `by` and order by `order`.
+Windows are made without moving frames (functions.windows): counts are differences of running counts, sums and moments are put together from the window's own rows. So a factor costs
+one exchange and one sort, and several factors run one after the other share them: all partition by `by` and order by `order`.
 
 Input: base ticks (operators.base) - Price, CanUsePrice, CanUseDoubleSideBook, CanUseFiveLevelBook and what the factor names in `needs`.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickweave.config import TICKS_PER_MINUTE
 from tickweave.functions.exprs import add_up, div, flag
-from tickweave.functions.windows import count_of, gate, growing, last_change, masked_mean, rolling_sums, rows_of, with_position
+from tickweave.functions.windows import Parts, count_of, gate, growing, last_change, local_moments, local_sums, masked_mean, rolling_states, rolling_sums, rows_of, with_position
 from tickweave.operators.base import ask, ask_volume, bid, bid_volume, limit_tick
 from tickweave.sources.schemas import LEVELS
 
@@ -51,7 +51,8 @@ def _done(df: DataFrame, before: list[str], out: dict[str, Column]) -> DataFrame
 def _mean_factor(df: DataFrame, name: str, raw: Column, windows: Windows, by: By, order: str) -> DataFrame:
     before, ws = df.columns, list(windows.values())
     df = _prepared(df, by, order, _raw=raw)
-    df = rolling_sums(df, by, order, {"_n": (count_of(F.col("_raw").isNotNull()), ws), "_s": (F.col("_raw"), ws), "_l": (count_of(F.col("_limit")), ws)})
+    df = rolling_sums(df, by, order, {"_n": (count_of(F.col("_raw").isNotNull()), ws), "_l": (count_of(F.col("_limit")), ws)})
+    df = local_sums(df, by, order, {"_s": F.col("_raw")}, ws)
     out = {}
     for label, w in windows.items():
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
@@ -155,63 +156,53 @@ def amp_slice(df: DataFrame, windows: Windows, by: By, order: str, group: int =
 # ---- shape of the price path (OP-48)
 
 
-def _block_sums(df: DataFrame, w: int, by: By, order: str) -> DataFrame:
-    """Add _place, the row in its block of w rows, and over the last w rows the sums _x0.._x4 of the powers of the valid rows' places and _z0.._z2, those times _z.
-
-    The last w rows are this block's so far and the end of the block before, whose places are less by w.
-    """
-    whole = "long" if w <= 4000 else "decimal(38,0)"
-    df = df.withColumns({"_block": F.col("_pos") - F.col("_pos") % w, "_place": (F.col("_pos") % w).cast(whole)})
-    power = [F.lit(1).cast(whole)]
-    for _ in range(4):
-        power.append(power[-1] * F.col("_place"))
-    values = {f"_x{k}": F.when(F.col("_z").isNotNull(), p).otherwise(F.lit(0).cast(whole)) for k, p in enumerate(power)}
-    values |= {f"_z{k}": F.coalesce(F.col("_z") * p, F.lit(0.0)) for k, p in enumerate(power[:3])}
-    block = [*by, "_block"]
-    df = df.withColumns({f"_so{k}": F.sum(v).over(growing(block, order)) for k, v in values.items()})
-    df = df.withColumns({f"_rest{k}": F.sum(v).over(W.partitionBy(*block)) - F.col(f"_so{k}") for k, v in values.items()})
-    df = df.withColumns({f"_end{k}": F.coalesce(F.lag(f"_rest{k}", w).over(rows_of(by, order)), F.lit(0)) for k in values})
-    back = F.lit(-w).cast(whole)
-    for c, most in (("x", 4), ("z", 2)):
-        for k in range(most + 1):
-            moved = add_up(*[F.lit(comb(k, i)) * _power(back, k - i) * F.col(f"_end_{c}{i}") for i in range(k + 1)])
-            df = df.withColumn(f"_{c}{k}", F.col(f"_so_{c}{k}") + moved)
-    return df
-
-
-def _power(value: Column, k: int) -> Column:
-    out = F.lit(1)
-    for _ in range(k):
-        out = out * value
-    return out
+def _powers(df: DataFrame, parts: Parts, out: str, whole: str) -> DataFrame:
+    """Merge stretches of rows: a (a price near, that others are taken less of), x0..x4 (sums of the valid rows' places, counted back from the end, to these powers), z0..z2 (those times
+    the price less a) and zz (its square). A stretch that ends some rows back has its places moved by so many, and its prices taken less the common a."""
+    near = F.coalesce(*[F.col(p)["a"] for p, _ in parts])
+    df = df.withColumn("_a", near)
+    df = df.withColumns({f"_by{k}": F.coalesce(F.col("_a") - F.col(p)["a"], F.lit(0.0)) for k, (p, _) in enumerate(parts)})
+    x = lambda p, k: F.coalesce(F.col(p)[f"x{k}"], F.lit(0).cast(whole))
+    z = lambda p, k: F.coalesce(F.col(p)[f"z{k}"], F.lit(0.0))
+    moved = lambda of, j, p, back, k: add_up(*[F.lit(comb(k, i) * back ** (k - i)).cast(whole if j is None else "double") * of(p, i) for i in range(k + 1) if back or i == k])
+    fields = {f"x{k}": add_up(*[moved(x, None, p, back, k) for p, back in parts]).cast(whole) for k in range(5)}
+    for k in range(3):
+        fields[f"z{k}"] = add_up(*[moved(lambda p, i, j=j: z(p, i) - F.col(f"_by{j}") * x(p, i).cast("double"), j, p, back, k) for j, (p, back) in enumerate(parts)])
+    by = lambda j: F.col(f"_by{j}")
+    fields["zz"] = add_up(*[F.coalesce(F.col(p)["zz"], F.lit(0.0)) - 2 * by(j) * z(p, 0) + by(j) * by(j) * x(p, 0).cast("double") for j, (p, _) in enumerate(parts)])
+    df = df.withColumn(out, F.struct(F.col("_a").alias("a"), *[v.alias(k) for k, v in fields.items()]))
+    return df.drop("_a", *[f"_by{k}" for k in range(len(parts))])
 
 
 def rigidity(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
     """OP-48: b R^2 ln(1 / (|c| + 1e-8)) of the fit P = a + b x + c x^2 over the valid ticks, x the row in the window.
 
-    Powers count rows from the start of a block of w rows, so their sums stay small in partitions of any length: whole numbers, exact as
-    longs for windows of up to 4,000 rows and as decimals beyond. Prices are taken less the first one.
+    Powers of places are whole numbers and exact: longs for windows of up to 4,000 rows, decimals beyond. Prices are taken less one of the window's own, so no row before the window has
+    a part in it.
     """
     before, ws = df.columns, list(windows.values())
+    whole = "long" if max(ws, default=0) <= 4000 else "decimal(38,0)"
     df = _prepared(df, by, order, _p=F.when(F.col("CanUsePrice"), F.col("Price")))
-    df = df.withColumn("_z", F.col("_p") - F.first("_p", ignorenulls=True).over(growing(by, order)))
-    df = rolling_sums(df, by, order, {"_zz": (F.col("_z") * F.col("_z"), ws), "_n": (count_of(F.col("CanUsePrice")), ws), "_l": (count_of(F.col("_limit")), ws)})
+    df = rolling_sums(df, by, order, {"_n": (count_of(F.col("CanUsePrice")), ws), "_l": (count_of(F.col("_limit")), ws)})
+    one, none = F.when(F.col("_p").isNotNull(), 1).otherwise(0).cast(whole), F.lit(0).cast(whole)
+    row = {"a": F.col("_p"), "x0": one, **{f"x{k}": none for k in range(1, 5)}, **{f"z{k}": F.lit(0.0) for k in range(3)}, "zz": F.lit(0.0)}
+    df = df.withColumn("_powers", F.struct(*[v.alias(k) for k, v in row.items()]))
+    df = rolling_states(df, by, order, "_powers", ws, lambda df, parts, out: _powers(df, parts, out, whole))
     out = {}
     for label, w in windows.items():
-        df = _block_sums(df, w, by, order)
-        s = F.col("_place") - (w - 1)
-        t = {k: F.col(f"_x{k}") for k in range(5)}
-        y = {k: F.col(f"_z{k}") for k in range(3)}
-        # powers of x = j - s
+        t = {k: F.col(f"_powers_{w}")[f"x{k}"] for k in range(5)}
+        y = {k: F.col(f"_powers_{w}")[f"z{k}"] for k in range(3)}
+        s = F.lit(w - 1).cast(whole)
+        # powers of x = s - j, j counted back from the last row
         n = t[0]
-        x1 = t[1] - s * t[0]
-        x2 = t[2] - 2 * s * t[1] + s * s * t[0]
-        x3 = t[3] - 3 * s * t[2] + 3 * s * s * t[1] - s * s * s * t[0]
-        x4 = t[4] - 4 * s * t[3] + 6 * s * s * t[2] - 4 * s * s * s * t[1] + s * s * s * s * t[0]
+        x1 = s * t[0] - t[1]
+        x2 = s * s * t[0] - 2 * s * t[1] + t[2]
+        x3 = s * s * s * t[0] - 3 * s * s * t[1] + 3 * s * t[2] - t[3]
+        x4 = s * s * s * s * t[0] - 4 * s * s * s * t[1] + 6 * s * s * t[2] - 4 * s * t[3] + t[4]
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
         moments = {"n": n, "x1": x1, "x2": x2, "x3": x3, "x4": x4}
         df = df.withColumns({f"_{k}_{w}": F.when(ok, v).cast("double") for k, v in moments.items()})
-        df = df.withColumns({f"_y0_{w}": y[0], f"_y1_{w}": y[1] - s * y[0], f"_y2_{w}": y[2] - 2 * s * y[1] + s * s * y[0]})
+        df = df.withColumns({f"_y0_{w}": y[0], f"_y1_{w}": s * y[0] - y[1], f"_y2_{w}": s * s * y[0] - 2 * s * y[1] + y[2], f"_zz_{w}": F.col(f"_powers_{w}")["zz"]})
         n, x1, x2, x3, x4 = (F.col(f"_{k}_{w}") for k in moments)
         y0, y1, y2 = (F.col(f"_y{k}_{w}") for k in range(3))
         # 2 x 2 minors of the normal equations
@@ -249,14 +240,12 @@ def neg_skew(df: DataFrame, windows: Windows, by: By, order: str, lag: int = TIC
     df = df.withColumn("_changed", changed)
     gates = [w + lag for w in ws]
     r = F.col("_r")
-    df = rolling_sums(df, by, order, {"_k": (count_of(r.isNotNull()), ws), "_r1": (r, ws), "_r2": (r * r, ws), "_r3": (r * r * r, ws),
-                                      "_n": (count_of(F.col("CanUsePrice")), gates), "_l": (count_of(F.col("_limit")), gates)})
+    df = rolling_sums(df, by, order, {"_k": (count_of(r.isNotNull()), ws), "_n": (count_of(F.col("CanUsePrice")), gates), "_l": (count_of(F.col("_limit")), gates)})
+    df = local_moments(df, by, order, "_m", r, ws)
     out = {}
     for label, w in windows.items():
         ok = gate(F.col(f"_n_{w + lag}"), w + lag, F.col("_pos"))
-        m1 = F.col(f"_r1_{w}") / w
-        m2 = F.col(f"_r2_{w}") / w - m1 * m1
-        m3 = F.col(f"_r3_{w}") / w - 3 * m1 * F.col(f"_r2_{w}") / w + 2 * m1 * m1 * m1
+        m2, m3 = F.col(f"_m_{w}")["xx"] / w, F.col(f"_m_{w}")["xxx"] / w
         constant = flag(F.coalesce("_changed", F.lit(-1)) <= F.col("_pos") - (w - 1))
         skew = F.lit((w * (w - 1)) ** 0.5 / (w - 2)) * div(m3, m2 * F.sqrt(m2))
         value = F.when(constant, F.lit(0.0)).when(m2 * w / (w - 1) > 1e-14, -skew)
@@ -278,17 +267,21 @@ def pv_corr(df: DataFrame, windows: Windows, by: By, order: str, volume: str = "
             x = F.col(f"_{k}{w}")
             df = df.withColumn("_previous", F.last(x, ignorenulls=True).over(rows.rowsBetween(W.unboundedPreceding, -1)))
             df = df.withColumn(f"_c{k}{w}", last_change(x, by, order)[1])
-            inputs |= {f"_{k}n{w}": (count_of(x.isNotNull()), [2 * w]), f"_{k}s{w}": (x, [2 * w]), f"_{k}q{w}": (x * x, [2 * w])}
+            inputs[f"_{k}n{w}"] = (count_of(x.isNotNull()), [2 * w])
     df = rolling_sums(df, by, order, inputs)
+    for w in ws:
+        for k in "pv":
+            df = local_moments(df, by, order, f"_{k}m{w}", F.col(f"_{k}{w}"), [2 * w])
     for w in ws:
         z = {}
         for k in "pv":
-            mean = F.col(f"_{k}s{w}_{2 * w}") / (2 * w)
-            spread = F.col(f"_{k}q{w}_{2 * w}") / (2 * w) - mean * mean
+            mean, spread = F.col(f"_{k}m{w}_{2 * w}")["x"], F.col(f"_{k}m{w}_{2 * w}")["xx"] / (2 * w)
             moves = (F.col(f"_{k}n{w}_{2 * w}") == 2 * w) & flag(F.col(f"_c{k}{w}") > F.col("_pos") - (2 * w - 1))
             z[k] = F.when(moves & (spread > 0), div(F.col(f"_{k}{w}") - mean, F.sqrt(F.greatest(spread, F.lit(0.0)))))
         df = df.withColumn(f"_raw{w}", F.when(F.col("CanUsePrice"), z["p"] * F.signum(z["v"])))
-    df = rolling_sums(df, by, order, {x: v for w in ws for x, v in ((f"_rs{w}", (F.col(f"_raw{w}"), [w])), (f"_rn{w}", (count_of(F.col(f"_raw{w}").isNotNull()), [w])))})
+    df = rolling_sums(df, by, order, {f"_rn{w}": (count_of(F.col(f"_raw{w}").isNotNull()), [w]) for w in ws})
+    for w in ws:
+        df = local_sums(df, by, order, {f"_rs{w}": F.col(f"_raw{w}")}, [w])
     out = {}
     for label, w in windows.items():
         ok = gate(F.col(f"_n_{4 * w}"), 4 * w, F.col("_pos"))
@@ -311,13 +304,10 @@ def rsrs(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
     df = _prepared(df, by, order, _bx=weighted(bid, bid_volume), _by=weighted(ask, ask_volume))
     both = F.col("CanUseFiveLevelBook") & F.col("_bx").isNotNull() & F.col("_by").isNotNull()
     df = df.withColumns({"_bx": F.when(both, F.col("_bx")), "_by": F.when(both, F.col("_by"))})
-    first = lambda c: F.first(c, ignorenulls=True).over(growing(by, order))
     df = df.withColumn("_previous", F.last("_bx", ignorenulls=True).over(rows_of(by, order).rowsBetween(W.unboundedPreceding, -1)))
-    df = df.withColumns({"_changed": last_change(F.col("_bx"), by, order)[1], "_x": F.col("_bx") - first("_bx"), "_y": F.col("_by") - first("_by")})
-    x, y = F.col("_x"), F.col("_y")
-    df = rolling_sums(df, by, order, {"_k": (count_of(x.isNotNull()), ws), "_sx": (x, ws), "_sy": (y, ws), "_sxy": (x * y, ws), "_sxx": (x * x, ws),
-                                      "_n": (count_of(F.col("CanUseFiveLevelBook")), ws), "_l": (count_of(F.col("_limit")), ws),
-                                      "_lead": (count_of(x.isNotNull()), ws)})
+    x, y = F.col("_bx"), F.col("_by")
+    df = rolling_sums(df, by, order, {"_k": (count_of(x.isNotNull()), ws), "_n": (count_of(F.col("CanUseFiveLevelBook")), ws), "_l": (count_of(F.col("_limit")), ws)})
+    df = local_moments(df, by, order, "_m", x, ws, y)
     # the first valid row of a window: the valid rows before it are as many as the running count less the window's
     df = df.withColumn("_ordinal", F.when(x.isNotNull(), F.sum(count_of(x.isNotNull())).over(growing(by, order))))
     df = df.withColumn("_change_ordinal", F.max(F.when(F.col("_previous").isNotNull() & x.isNotNull() & (F.col("_bx") != F.col("_previous")), F.col("_ordinal"))).over(growing(by, order)))
@@ -325,8 +315,7 @@ def rsrs(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
     out = {}
     for label, w in windows.items():
         n = F.col(f"_k_{w}")
-        under = n * F.col(f"_sxx_{w}") - F.col(f"_sx_{w}") * F.col(f"_sx_{w}")
-        over = n * F.col(f"_sxy_{w}") - F.col(f"_sx_{w}") * F.col(f"_sy_{w}")
+        under, over = n * F.col(f"_m_{w}")["xx"], n * F.col(f"_m_{w}")["xy"]
         varies = flag(F.col("_change_ordinal") > F.col("_count") - n + 1)
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
         out[f"rsrs_{label}"] = F.when(ok & (n >= 2) & varies & (F.abs(under) > TINY), div(over, under))
