@@ -49,16 +49,17 @@ def test_ladders():
 def test_local_sums_and_moments(spark):
     import numpy as np
 
-    from tickweave.functions.windows import local_moments, local_sums
+    from tickweave.functions.windows import local_comoments, local_moments, local_sums
 
     r = np.random.default_rng(1)
     rows = [("a" if i < 700 else "b", i, None if r.random() < 0.1 else float(r.normal()), None if r.random() < 0.1 else float(r.normal()) + 100) for i in range(900)]
     rows[50] = ("a", 50, 1e11, 1e9)  # what one value does ends with its window
     df = spark.createDataFrame(rows, "g string, t int, x double, y double")
     windows = [12, 60, 90]
-    out = local_sums(df, ["g"], "t", {"s": F.col("x")}, windows)
-    out = local_moments(out, ["g"], "t", "_m", F.col("x"), windows)
-    out = local_moments(out, ["g"], "t", "_b", F.col("x"), windows, F.col("y"))
+    out = local_sums(df, ["g"], "t", {"s": (F.col("x"), windows), "u": (F.col("y"), [60])})
+    out = local_moments(out, ["g"], "t", {"_m": (F.col("x"), windows), "_o": (F.col("y"), [12])}, cubes=True)
+    out = local_comoments(out, ["g"], "t", "_b", F.col("x"), F.col("y"), windows)
+    assert "u_60" in out.columns and "u_12" not in out.columns and "_o_12" in out.columns and "_o_60" not in out.columns
     for row in out.collect():
         own = [q for q in rows if q[0] == row.g and q[1] <= row.t]
         for w in windows:

@@ -90,8 +90,11 @@ def rungs_of(w: int, lengths: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def rolling_states(df: DataFrame, by: Iterable[str], order: str, state: str, windows: Iterable[int], merge: Merge) -> DataFrame:
-    """Add {state}_{w} for each window: the state of the last w rows (fewer at the start), from `state`, that of each row. Only the rows of the window have a part in it."""
+def rolling_states(df: DataFrame, by: Iterable[str], order: str, state: str, windows: Iterable[int], merge: Merge, last: Callable[[int], Merge] | None = None) -> DataFrame:
+    """Add {state}_{w} for each window: the state of the last w rows (fewer at the start), from `state`, that of each row. Only the rows of the window have a part in it.
+
+    last: how the stretches of a window are merged, if not everything of the state is wanted of each.
+    """
     windows, rows, before = sorted(set(windows)), rows_of(by, order), df.columns
     lengths = ladder(windows)
     at = {1: state} | {length: f"_{state}_rung{length}" for length in lengths[1:]}
@@ -105,7 +108,7 @@ def rolling_states(df: DataFrame, by: Iterable[str], order: str, state: str, win
         df = merge(df, [(name, back) for (_, back), name in names.items()], at[long]).drop(*[n for n in names.values() if n != at[short]])
     df, names = seen(df, sorted({s for w in windows for s in rungs_of(w, lengths)}))
     for w in windows:
-        df = merge(df, [(names[s], s[1]) for s in rungs_of(w, lengths)], f"{state}_{w}")
+        df = (last(w) if last else merge)(df, [(names[s], s[1]) for s in rungs_of(w, lengths)], f"{state}_{w}")
     return df.select(*before, *[f"{state}_{w}" for w in windows])
 
 
@@ -113,42 +116,68 @@ def _there(part: str, field: str, none: float | int = 0.0) -> Column:
     return F.coalesce(F.col(part)[field], F.lit(none))
 
 
-def local_sums(df: DataFrame, by: Iterable[str], order: str, values: Mapping[str, Column], windows: Iterable[int]) -> DataFrame:
-    """The columns {name}_{w}, the sums of the values over the last w rows, from these rows alone; NULL counts as 0."""
-    names, windows, before = list(values), list(dict.fromkeys(windows)), df.columns
-
-    def merge(df: DataFrame, parts: Parts, out: str) -> DataFrame:
-        return df.withColumn(out, F.struct(*[add_up(*[_there(p, k) for p, _ in parts]).alias(k) for k in names]))
-
-    df = df.withColumn("_sums", F.struct(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()]))
-    df = rolling_states(df, by, order, "_sums", windows, merge)
-    return df.select(*before, *[F.col(f"_sums_{w}")[k].alias(f"{k}_{w}") for w in windows for k in names])
-
-
-def local_moments(df: DataFrame, by: Iterable[str], order: str, name: str, x: Column, windows: Iterable[int], y: Column | None = None) -> DataFrame:
-    """The structs {name}_{w} of centred moments over the last w rows with a value: n, x, xx, xxx (count, mean, sums of squares and cubes about it); with y (where both are there) y and xy too."""
-    there = x.isNotNull() if y is None else x.isNotNull() & y.isNotNull()
+def local_sums(df: DataFrame, by: Iterable[str], order: str, values: Mapping[str, tuple[Column, Iterable[int]]]) -> DataFrame:
+    """For each name: (value, windows) the columns {name}_{w}, the sum over the last w rows, from these rows alone; NULL counts as 0."""
+    before, wanted = df.columns, {k: list(dict.fromkeys(ws)) for k, (_, ws) in values.items()}
+
+    def merged(names: list[str]) -> Merge:
+        return lambda df, parts, out: df.withColumn(out, F.struct(*[add_up(*[_there(p, k) for p, _ in parts]).alias(k) for k in names]))
+
+    df = df.withColumn("_sums", F.struct(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, (v, _) in values.items()]))
+    every = sorted({w for ws in wanted.values() for w in ws})
+    df = rolling_states(df, by, order, "_sums", every, merged(list(values)), lambda w: merged([k for k, ws in wanted.items() if w in ws]))
+    return df.select(*before, *[F.col(f"_sums_{w}")[k].alias(f"{k}_{w}") for k, ws in wanted.items() for w in ws])
+
+
+def local_moments(df: DataFrame, by: Iterable[str], order: str, values: Mapping[str, tuple[Column, Iterable[int]]], cubes: bool = False) -> DataFrame:
+    """For each name: (value, windows) the structs {name}_{w} of centred moments over the last w rows with a value: n, x, xx[, xxx] (count, mean, sums of squares and cubes about it)."""
+    wanted = {k: list(dict.fromkeys(ws)) for k, (_, ws) in values.items()}
+    fields = ("n", "x", "xx", *(["xxx"] if cubes else []))
+
+    def merged(names: list[str]) -> Merge:
+        def merge(df: DataFrame, parts: Parts, out: str) -> DataFrame:
+            of = lambda p, k, c: _there(p, f"{k}_{c}")
+            df = df.withColumns({f"_{k}_n": add_up(*[of(p, k, "n") for p, _ in parts]) for k in names})
+            df = df.withColumns({f"_{k}_x": F.coalesce(div(add_up(*[of(p, k, "n") * of(p, k, "x") for p, _ in parts]), F.col(f"_{k}_n")), F.lit(0.0)) for k in names})
+            # how far each stretch's mean lies from the common one
+            df = df.withColumns({f"_{k}_d{i}": of(p, k, "x") - F.col(f"_{k}_x") for k in names for i, (p, _) in enumerate(parts)})
+            found = []
+            for k in names:
+                d = [F.col(f"_{k}_d{i}") for i in range(len(parts))]
+                own = {"n": F.col(f"_{k}_n"), "x": F.col(f"_{k}_x"), "xx": add_up(*[of(p, k, "xx") + of(p, k, "n") * d[i] * d[i] for i, (p, _) in enumerate(parts)])}
+                if cubes:
+                    own["xxx"] = add_up(*[of(p, k, "xxx") + 3 * d[i] * of(p, k, "xx") + of(p, k, "n") * d[i] * d[i] * d[i] for i, (p, _) in enumerate(parts)])
+                found += [v.alias(f"{k}_{c}") for c, v in own.items()]
+            return df.withColumn(out, F.struct(*found)).drop(*[f"_{k}_{c}" for k in names for c in ("n", "x", *(f"d{i}" for i in range(len(parts))))])
+
+        return merge
+
+    before, zero = df.columns, F.lit(0.0)
+    one = []
+    for k, (x, _) in values.items():
+        there = x.isNotNull()
+        row = {"n": F.when(there, 1.0).otherwise(zero), "x": F.when(there, x.cast("double")).otherwise(zero), "xx": zero, "xxx": zero}
+        one += [row[c].alias(f"{k}_{c}") for c in fields]
+    every = sorted({w for ws in wanted.values() for w in ws})
+    df = rolling_states(df.withColumn("_moments", F.struct(*one)), by, order, "_moments", every, merged(list(values)), lambda w: merged([k for k, ws in wanted.items() if w in ws]))
+    out = {f"{k}_{w}": F.struct(*[F.col(f"_moments_{w}")[f"{k}_{c}"].alias(c) for c in fields]) for k, ws in wanted.items() for w in ws}
+    return df.select(*before, *[v.alias(k) for k, v in out.items()])
+
+
+def local_comoments(df: DataFrame, by: Iterable[str], order: str, name: str, x: Column, y: Column, windows: Iterable[int]) -> DataFrame:
+    """The structs {name}_{w} over the last w rows that have both: n, x, y (count and means), xx, xy (sums of squares and products about them)."""
+    there, zero = x.isNotNull() & y.isNotNull(), F.lit(0.0)
 
     def merge(df: DataFrame, parts: Parts, out: str) -> DataFrame:
-        n = add_up(*[_there(p, "n") for p, _ in parts])
-        mean = lambda c: div(add_up(*[_there(p, "n") * _there(p, c) for p, _ in parts]), F.col("_n"))
-        df = df.withColumn("_n", n)
-        df = df.withColumns({f"_{c}": F.coalesce(mean(c), F.lit(0.0)) for c in ("x", *(["y"] if y is not None else []))})
-        # how far each stretch's mean lies from the common one
-        df = df.withColumns({f"_d{c}{k}": _there(p, c) - F.col(f"_{c}") for c in ("x", *(["y"] if y is not None else [])) for k, (p, _) in enumerate(parts)})
-        d = lambda c, k: F.col(f"_d{c}{k}")
-        fields = {"n": F.col("_n"), "x": F.col("_x"), "xx": add_up(*[_there(p, "xx") + _there(p, "n") * d("x", k) * d("x", k) for k, (p, _) in enumerate(parts)])}
-        if y is None:
-            fields["xxx"] = add_up(*[_there(p, "xxx") + 3 * d("x", k) * _there(p, "xx") + _there(p, "n") * d("x", k) * d("x", k) * d("x", k) for k, (p, _) in enumerate(parts)])
-        else:
-            fields |= {"y": F.col("_y"), "xy": add_up(*[_there(p, "xy") + _there(p, "n") * d("x", k) * d("y", k) for k, (p, _) in enumerate(parts)])}
-        df = df.withColumn(out, F.struct(*[v.alias(k) for k, v in fields.items()]))
+        df = df.withColumn("_n", add_up(*[_there(p, "n") for p, _ in parts]))
+        df = df.withColumns({f"_{c}": F.coalesce(div(add_up(*[_there(p, "n") * _there(p, c) for p, _ in parts]), F.col("_n")), F.lit(0.0)) for c in "xy"})
+        df = df.withColumns({f"_d{c}{k}": _there(p, c) - F.col(f"_{c}") for c in "xy" for k, (p, _) in enumerate(parts)})
+        about = lambda c: add_up(*[_there(p, f"x{c}") + _there(p, "n") * F.col(f"_dx{k}") * F.col(f"_d{c}{k}") for k, (p, _) in enumerate(parts)])
+        df = df.withColumn(out, F.struct(F.col("_n").alias("n"), F.col("_x").alias("x"), F.col("_y").alias("y"), about("x").alias("xx"), about("y").alias("xy")))
         return df.drop("_n", "_x", "_y", *[f"_d{c}{k}" for c in "xy" for k in range(len(parts))])
 
-    zero = F.lit(0.0)
-    one = {"n": F.when(there, 1.0).otherwise(zero), "x": F.when(there, x.cast("double")).otherwise(zero), "xx": zero}
-    one |= {"xxx": zero} if y is None else {"y": F.when(there, y.cast("double")).otherwise(zero), "xy": zero}
-    return rolling_states(df.withColumn(name, F.struct(*[v.alias(k) for k, v in one.items()])), by, order, name, windows, merge).drop(name)
+    row = {"n": F.when(there, 1.0).otherwise(zero), "x": F.when(there, x.cast("double")).otherwise(zero), "y": F.when(there, y.cast("double")).otherwise(zero), "xx": zero, "xy": zero}
+    return rolling_states(df.withColumn(name, F.struct(*[v.alias(k) for k, v in row.items()])), by, order, name, windows, merge).drop(name)
 
 
 def count_of(condition: Column) -> Column:

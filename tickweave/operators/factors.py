@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickweave.config import TICKS_PER_MINUTE
 from tickweave.functions.exprs import add_up, div, flag
-from tickweave.functions.windows import Parts, count_of, gate, growing, last_change, local_moments, local_sums, masked_mean, rolling_states, rolling_sums, rows_of, with_position
+from tickweave.functions.windows import Parts, count_of, gate, growing, last_change, local_comoments, local_moments, local_sums, masked_mean, rolling_states, rolling_sums, rows_of, with_position
 from tickweave.operators.base import ask, ask_volume, bid, bid_volume, limit_tick
 from tickweave.sources.schemas import LEVELS
 
@@ -52,7 +52,7 @@ def _mean_factor(df: DataFrame, name: str, raw: Column, windows: Windows, by: By
     before, ws = df.columns, list(windows.values())
     df = _prepared(df, by, order, _raw=raw)
     df = rolling_sums(df, by, order, {"_n": (count_of(F.col("_raw").isNotNull()), ws), "_l": (count_of(F.col("_limit")), ws)})
-    df = local_sums(df, by, order, {"_s": F.col("_raw")}, ws)
+    df = local_sums(df, by, order, {"_s": (F.col("_raw"), ws)})
     out = {}
     for label, w in windows.items():
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
@@ -241,7 +241,7 @@ def neg_skew(df: DataFrame, windows: Windows, by: By, order: str, lag: int = TIC
     gates = [w + lag for w in ws]
     r = F.col("_r")
     df = rolling_sums(df, by, order, {"_k": (count_of(r.isNotNull()), ws), "_n": (count_of(F.col("CanUsePrice")), gates), "_l": (count_of(F.col("_limit")), gates)})
-    df = local_moments(df, by, order, "_m", r, ws)
+    df = local_moments(df, by, order, {"_m": (r, ws)}, cubes=True)
     out = {}
     for label, w in windows.items():
         ok = gate(F.col(f"_n_{w + lag}"), w + lag, F.col("_pos"))
@@ -269,9 +269,7 @@ def pv_corr(df: DataFrame, windows: Windows, by: By, order: str, volume: str = "
             df = df.withColumn(f"_c{k}{w}", last_change(x, by, order)[1])
             inputs[f"_{k}n{w}"] = (count_of(x.isNotNull()), [2 * w])
     df = rolling_sums(df, by, order, inputs)
-    for w in ws:
-        for k in "pv":
-            df = local_moments(df, by, order, f"_{k}m{w}", F.col(f"_{k}{w}"), [2 * w])
+    df = local_moments(df, by, order, {f"_{k}m{w}": (F.col(f"_{k}{w}"), [2 * w]) for w in ws for k in "pv"})
     for w in ws:
         z = {}
         for k in "pv":
@@ -280,8 +278,7 @@ def pv_corr(df: DataFrame, windows: Windows, by: By, order: str, volume: str = "
             z[k] = F.when(moves & (spread > 0), div(F.col(f"_{k}{w}") - mean, F.sqrt(F.greatest(spread, F.lit(0.0)))))
         df = df.withColumn(f"_raw{w}", F.when(F.col("CanUsePrice"), z["p"] * F.signum(z["v"])))
     df = rolling_sums(df, by, order, {f"_rn{w}": (count_of(F.col(f"_raw{w}").isNotNull()), [w]) for w in ws})
-    for w in ws:
-        df = local_sums(df, by, order, {f"_rs{w}": F.col(f"_raw{w}")}, [w])
+    df = local_sums(df, by, order, {f"_rs{w}": (F.col(f"_raw{w}"), [w]) for w in ws})
     out = {}
     for label, w in windows.items():
         ok = gate(F.col(f"_n_{4 * w}"), 4 * w, F.col("_pos"))
@@ -307,7 +304,7 @@ def rsrs(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
     df = df.withColumn("_previous", F.last("_bx", ignorenulls=True).over(rows_of(by, order).rowsBetween(W.unboundedPreceding, -1)))
     x, y = F.col("_bx"), F.col("_by")
     df = rolling_sums(df, by, order, {"_k": (count_of(x.isNotNull()), ws), "_n": (count_of(F.col("CanUseFiveLevelBook")), ws), "_l": (count_of(F.col("_limit")), ws)})
-    df = local_moments(df, by, order, "_m", x, ws, y)
+    df = local_comoments(df, by, order, "_m", x, y, ws)
     # the first valid row of a window: the valid rows before it are as many as the running count less the window's
     df = df.withColumn("_ordinal", F.when(x.isNotNull(), F.sum(count_of(x.isNotNull())).over(growing(by, order))))
     df = df.withColumn("_change_ordinal", F.max(F.when(F.col("_previous").isNotNull() & x.isNotNull() & (F.col("_bx") != F.col("_previous")), F.col("_ordinal"))).over(growing(by, order)))
