@@ -84,12 +84,17 @@ def stitched_ticks(cum_ticks: DataFrame, cum_days: DataFrame, date: str, time: s
 
 
 def chart_curve(stitched: DataFrame, date: str, time: str) -> DataFrame:
-    """OP-72, OP-92: the curve with its running tick number and a mark at each month's first day; date as yyyy-MM-dd."""
-    rows = W.partitionBy("factor_col").orderBy(date, time)
-    month = F.substring(F.col(date).cast("string"), 1, 7)
-    first_day = F.min(date).over(W.partitionBy("factor_col", month))
-    first_tick = F.min(time).over(W.partitionBy("factor_col", date))
-    return stitched.withColumns({"x": F.row_number().over(rows) - 1, "month_start": (F.col(date) == first_day) & (F.col(time) == first_tick)})
+    """OP-72, OP-92: the curve with its running tick number and a mark at each month's first day; date as yyyy-MM-dd.
+
+    Ticks are numbered within their day, on top of the counts of the days before: a row a day carries these, and no window holds more ticks than a day has.
+    """
+    days = stitched.groupBy("factor_col", F.col(date).alias("_day")).agg(F.count("*").alias("_ticks"))
+    earlier = W.partitionBy("factor_col").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    month = F.substring(F.col("_day").cast("string"), 1, 7)
+    days = days.select(F.col("factor_col").alias("_of"), "_day", F.coalesce(F.sum("_ticks").over(earlier), F.lit(0)).alias("_before"), (F.col("_day") == F.min("_day").over(W.partitionBy("factor_col", month))).alias("_first"))
+    numbered = stitched.withColumn("_place", F.row_number().over(W.partitionBy("factor_col", date).orderBy(time)) - 1)
+    joined = numbered.join(days, (F.col("factor_col") == F.col("_of")) & (F.col(date) == F.col("_day")))
+    return joined.select(*stitched.columns, (F.col("_before") + F.col("_place")).cast("int").alias("x"), (F.col("_first") & (F.col("_place") == 0)).alias("month_start"))
 
 
 # ---- composites

@@ -443,6 +443,7 @@ UNION ALL SELECT 'gamma', ret, session, factor_col, {r6('ic_mean')}, n_days FROM
 SQL["returns_source"] = f"""WITH {PANEL}, early AS (SELECT * FROM panel WHERE date < '1996'), late AS (SELECT * FROM panel WHERE date >= '1994')
 SELECT coalesce(e.date, l.date) AS date, coalesce(e.sample_time, l.sample_time) AS sample_time, coalesce(e.security_id, l.security_id) AS security_id, {r6('coalesce(e.ret_1, l.ret_1 + 1)', 'ret_1')}, {r6('e.alpha_1m', 'alpha_1m')}, {r6('l.alpha_2m', 'alpha_2m')}
 FROM early e FULL JOIN late l ON e.date = l.date AND e.sample_time = l.sample_time AND e.security_id = l.security_id"""
+SQL["cs_ic_stats_added"] = SQL["cs_ic_stats"]
 SQL["cs_ic_stats_compat"] = f"WITH {_stats('stddev_pop', 1)} SELECT {STAT_COLUMNS} FROM stats"
 _pairs = " UNION ALL ".join(
     f"SELECT date, security_id, sample_time, '{r}' AS ret, '{f}' AS factor_col, {f} AS f, {r} AS r FROM panel WHERE {f} IS NOT NULL AND {r} IS NOT NULL AND NOT {f}_has_limit" for f in FACTORS for r in RETURNS
@@ -460,6 +461,8 @@ SQL["ts_ic_stats"] = f"""WITH {TS}, each AS (
 SELECT ret, session, factor_col, {r6('avg(m)', 'ic_mean')}, {r6('avg(rm)', 'rankic_mean')}, {r6('avg(ir)', 'icir')}, {r6('avg(rir)', 'rankic_ir')}, any_value(n_days) AS n_days, count(*) AS n_stocks
 FROM each JOIN days USING (ret, session, factor_col) GROUP BY ret, session, factor_col"""
 
+SQL["ts_ic_stats_added"] = SQL["ts_ic_stats"]
+
 
 # ---- quantiles
 
@@ -496,6 +499,7 @@ SQL["quantile_daily"] = f"WITH {DAYS5} SELECT factor_col, date, {r6s(*G5)} FROM
 SQL["quantile_summary"] = f"WITH {DAYS5} SELECT factor_col, {', '.join(r6(f'avg({g})', g) for g in G5)} FROM means GROUP BY 1"
 SQL["quantile_cum_tick"] = f"WITH {CURVES} SELECT factor_col, date, sample_time, {r6s(*G5, 'long_short')} FROM cum"
 SQL["quantile_cum_daily"] = f"WITH {CURVES} SELECT factor_col, date, {r6s(*G5, 'long_short')}, n_ticks FROM days"
+SQL["quantile_cum_daily_added"] = SQL["quantile_cum_daily"]
 SQL["quantile_stitched"] = f"WITH {CURVES} SELECT factor_col, date, sample_time, {r6s(*G5, 'long_short')} FROM stitched"
 SQL["quantile_chart"] = f"""WITH {CURVES} SELECT factor_col, date, sample_time, CAST(row_number() OVER (PARTITION BY factor_col ORDER BY date, sample_time) - 1 AS INT) AS x,
   sample_time = min(sample_time) OVER (PARTITION BY factor_col, date) AS month_start, {r6('long_short')} FROM stitched"""

@@ -13,6 +13,7 @@ from tickweave.functions.exprs import tidy
 from tickweave.operators import evaluation as E
 from tickweave.operators import ingest as I
 from tickweave.operators import quantiles as Q
+from tickweave.operators import state as S
 from tickweave.operators import views as V
 from tickweave.operators.base import base_status, base_summary, with_base, with_forward_returns, with_status
 from tickweave.operators.factors import FACTORS, factor_summary, run_factor, ticks
@@ -410,6 +411,43 @@ def _(spark, d):
     return rounded(E.with_session(_ic(spark, d), "sample_time", A.AM_END, A.PM_START))
 
 
+# ---- a day added to what is known of those before
+
+
+STAT_KEYS = ["ret", "session", "factor_col"]
+LAST = "2001"  # the panel's days are years
+
+
+def _state(spark, df, keys, values, root, name):
+    """What days before the last ones leave behind, read back from its table, and the state of the last ones."""
+    write_table(S.state_of(df.filter(F.col("date") < LAST), keys, values, "date"), root, name, [])
+    return S.merged(read_table(spark, root, name), S.state_of(df.filter(F.col("date") >= LAST), keys, values, "date"), keys, values)
+
+
+@query("cs_ic_stats_added")
+def _(spark, d):
+    stats = S.cs_stats(_state(spark, _daily(spark, d), STAT_KEYS, ["ic", "rankic"], _scratch(spark), "cs"), STAT_KEYS)
+    return rounded(stats.withColumns({"factor_name": F.lit("alpha"), "factor_window": E.window_number(F.col("factor_col"), "alpha")}))
+
+
+@query("ts_ic_stats_added")
+def _(spark, d):
+    root, ic = _scratch(spark), _ts(spark, d)
+    each = _state(spark, ic, [*STAT_KEYS, "security_id"], ["ts_ic", "ts_rankic"], root, "ts")
+    days = _state(spark, ic, STAT_KEYS, [], root, "days")
+    return rounded(S.ts_stats(each, days, STAT_KEYS, "security_id"))
+
+
+@query("quantile_cum_daily_added")
+def _(spark, d):
+    """The curve of the days before, read back from its table, with the last day put on top of it."""
+    root, b = _scratch(spark), _buckets(spark, d)
+    write_table(Q.cumulative_days(b.filter(F.col("date") < LAST), "date"), root, "curve", [])
+    before = read_table(spark, root, "curve")
+    day = S.totals_of(b.filter(F.col("date") == LAST), ["factor_col"], Q.groups(5), "g5", "date")
+    return rounded(before.unionByName(S.continued(day, before, ["factor_col"], Q.groups(5), "date")))
+
+
 # ---- quantiles
 
 
