@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ def groups(q: int) -> list[str]:
     return [f"g{k}" for k in range(1, q + 1)]
 
 
+def keys_of(df: DataFrame) -> list[str]:
+    """What tells curves apart: the factor, and the return where a table holds several."""
+    return [c for c in ("ret", "factor_col") if c in df.columns]
+
+
 def bucket_of(factor: str, at: list[str], security: str, q: int) -> Column:
     """OP-65: 1 to q by ordinal rank among the cross-section's values, ties by security; NULL if there are fewer than q.
 
@@ -24,29 +31,28 @@ def bucket_of(factor: str, at: list[str], security: str, q: int) -> Column:
     return F.when(F.col(factor).isNotNull() & (n >= q), place)
 
 
-def bucket_returns(panel: DataFrame, factors: list[str], ret: str, at: list[str], security: str, q: int = 5) -> DataFrame:
-    """OP-66: (at, factor_col, g1..gq, n_valid) - mean return of each bucket in each cross-section."""
-    marked = panel.select(*at, security, ret, *factors).withColumns({f"_bucket_{f}": bucket_of(f, at, security, q) for f in factors})
-    aggs = []
+def bucket_returns(panel: DataFrame, factors: list[str], ret: str | list[str], at: list[str], security: str, q: int = 5) -> DataFrame:
+    """OP-66: (at, [ret,] factor_col, g1..gq, n_valid) - mean return of each bucket in each cross-section. Several returns share the buckets, and their rows are told apart by ret."""
+    rets = [ret] if isinstance(ret, str) else ret
+    marked = panel.select(*at, security, *rets, *factors).withColumns({f"_bucket_{f}": bucket_of(f, at, security, q) for f in factors})
+    aggs, rows = [], []
     for k, f in enumerate(factors):
-        aggs += [F.avg(F.when(F.col(f"_bucket_{f}") == g, F.col(ret))).alias(f"_{k}_{g}") for g in range(1, q + 1)]
         aggs.append(F.count(f).alias(f"_{k}_n"))
-    wide = marked.groupBy(*at).agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(f).alias("factor_col"), *[F.col(f"_{k}_{g}").alias(f"g{g}") for g in range(1, q + 1)], F.col(f"_{k}_n").alias("n_valid"))
-        for k, f in enumerate(factors)
-    ])
-    return wide.select(*at, F.inline(rows))
+        for j, r in enumerate(rets):
+            aggs += [F.avg(F.when(F.col(f"_bucket_{f}") == g, F.col(r))).alias(f"_{k}_{j}_{g}") for g in range(1, q + 1)]
+            told = [] if isinstance(ret, str) else [F.lit(r).alias("ret")]
+            rows.append(F.struct(*told, F.lit(f).alias("factor_col"), *[F.col(f"_{k}_{j}_{g}").alias(f"g{g}") for g in range(1, q + 1)], F.col(f"_{k}_n").alias("n_valid")))
+    return marked.groupBy(*at).agg(*aggs).select(*at, F.inline(F.array(*rows)))
 
 
 def daily_means(buckets: DataFrame, date: str, q: int = 5) -> DataFrame:
     """OP-67."""
-    return buckets.groupBy("factor_col", date).agg(*[F.avg(g).alias(g) for g in groups(q)])
+    return buckets.groupBy(*keys_of(buckets), date).agg(*[F.avg(g).alias(g) for g in groups(q)])
 
 
 def overall_means(daily: DataFrame, q: int = 5) -> DataFrame:
     """OP-68."""
-    return daily.groupBy("factor_col").agg(*[F.avg(g).alias(g) for g in groups(q)])
+    return daily.groupBy(*keys_of(daily)).agg(*[F.avg(g).alias(g) for g in groups(q)])
 
 
 def _running(columns: list[str], rows) -> dict[str, Column]:
@@ -56,9 +62,10 @@ def _running(columns: list[str], rows) -> dict[str, Column]:
 
 def cumulative_ticks(buckets: DataFrame, date: str, time: str, q: int = 5) -> DataFrame:
     """OP-69: sums within the day, and long_short of the last and first bucket."""
-    rows = W.partitionBy("factor_col", date).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+    keys = keys_of(buckets)
+    rows = W.partitionBy(*keys, date).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
     cum = buckets.withColumns(_running(groups(q), rows))
-    return cum.select("factor_col", date, time, *groups(q), (F.col(f"g{q}") - F.col("g1")).alias("long_short"))
+    return cum.select(*keys, date, time, *groups(q), (F.col(f"g{q}") - F.col("g1")).alias("long_short"))
 
 
 def cumulative_days(buckets: DataFrame, date: str, q: int = 5, count: str | None = None) -> DataFrame:
@@ -66,20 +73,20 @@ def cumulative_days(buckets: DataFrame, date: str, q: int = 5, count: str | None
 
     A day's sum is the last value of its cumulative curve that is there, so no curve is built.
     """
-    count = count or f"g{q}"
-    days = buckets.groupBy("factor_col", date).agg(*[F.sum(g).alias(g) for g in groups(q)], F.count(count).alias("n_ticks"))
-    rows = W.partitionBy("factor_col").orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
+    count, keys = count or f"g{q}", keys_of(buckets)
+    days = buckets.groupBy(*keys, date).agg(*[F.sum(g).alias(g) for g in groups(q)], F.count(count).alias("n_ticks"))
+    rows = W.partitionBy(*keys).orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
     cum = days.withColumns({**_running(groups(q), rows), "n_ticks": F.sum("n_ticks").over(rows)})
-    return cum.select("factor_col", date, *groups(q), (F.col(f"g{q}") - F.col("g1")).alias("long_short"), "n_ticks")
+    return cum.select(*keys, date, *groups(q), (F.col(f"g{q}") - F.col("g1")).alias("long_short"), "n_ticks")
 
 
 def stitched_ticks(cum_ticks: DataFrame, cum_days: DataFrame, date: str, time: str, q: int = 5) -> DataFrame:
     """OP-71: the intraday curves, each on top of the days before it (the last value that is there)."""
-    names = groups(q)
-    earlier = W.partitionBy("factor_col").orderBy(date).rowsBetween(W.unboundedPreceding, -1)
-    base = cum_days.select("factor_col", date, *[F.coalesce(F.last(g, ignorenulls=True).over(earlier), F.lit(0.0)).alias(f"_{g}") for g in names])
-    joined = cum_ticks.join(base, ["factor_col", date])
-    out = joined.select("factor_col", date, time, *[(F.col(g) + F.col(f"_{g}")).alias(g) for g in names])
+    names, keys = groups(q), keys_of(cum_ticks)
+    earlier = W.partitionBy(*keys).orderBy(date).rowsBetween(W.unboundedPreceding, -1)
+    base = cum_days.select(*keys, date, *[F.coalesce(F.last(g, ignorenulls=True).over(earlier), F.lit(0.0)).alias(f"_{g}") for g in names])
+    joined = cum_ticks.join(base, [*keys, date])
+    out = joined.select(*keys, date, time, *[(F.col(g) + F.col(f"_{g}")).alias(g) for g in names])
     return out.withColumn("long_short", F.col(f"g{q}") - F.col("g1"))
 
 
@@ -88,12 +95,13 @@ def chart_curve(stitched: DataFrame, date: str, time: str) -> DataFrame:
 
     Ticks are numbered within their day, on top of the counts of the days before: a row a day carries these, and no window holds more ticks than a day has.
     """
-    days = stitched.groupBy("factor_col", F.col(date).alias("_day")).agg(F.count("*").alias("_ticks"))
-    earlier = W.partitionBy("factor_col").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    keys = keys_of(stitched)
+    days = stitched.groupBy(*keys, F.col(date).alias("_day")).agg(F.count("*").alias("_ticks"))
+    earlier = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
     month = F.substring(F.col("_day").cast("string"), 1, 7)
-    days = days.select(F.col("factor_col").alias("_of"), "_day", F.coalesce(F.sum("_ticks").over(earlier), F.lit(0)).alias("_before"), (F.col("_day") == F.min("_day").over(W.partitionBy("factor_col", month))).alias("_first"))
-    numbered = stitched.withColumn("_place", F.row_number().over(W.partitionBy("factor_col", date).orderBy(time)) - 1)
-    joined = numbered.join(days, (F.col("factor_col") == F.col("_of")) & (F.col(date) == F.col("_day")))
+    days = days.select(*[F.col(k).alias(f"_{k}") for k in keys], "_day", F.coalesce(F.sum("_ticks").over(earlier), F.lit(0)).alias("_before"), (F.col("_day") == F.min("_day").over(W.partitionBy(*keys, month))).alias("_first"))
+    numbered = stitched.withColumn("_place", F.row_number().over(W.partitionBy(*keys, date).orderBy(time)) - 1)
+    joined = numbered.join(days, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys]) & (F.col(date) == F.col("_day")))
     return joined.select(*stitched.columns, (F.col("_before") + F.col("_place")).cast("int").alias("x"), (F.col("_first") & (F.col("_place") == 0)).alias("month_start"))
 
 

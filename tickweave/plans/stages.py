@@ -8,7 +8,6 @@ What fails is data: every file, security and day that a stage was given has a ro
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,37 +115,30 @@ class Run:
     # ---- quantiles and composites
 
     def _curves(self, buckets: DataFrame, name: str, q: int, count: str | None = None) -> None:
-        def each(of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-            if "ret" not in buckets.columns:
-                return of(buckets)
-            return self._each_ret(lambda ret: of(buckets.filter(F.col("ret") == ret).drop("ret")))
-
-        self.write(each(lambda b: Q.daily_means(b, "date", q)), f"{name}_daily", [])
-        self.write(each(lambda b: Q.overall_means(Q.daily_means(b, "date", q), q)), f"{name}_summary", [])
-        self.write(each(lambda b: Q.cumulative_ticks(b, "date", "sample_time", q)), f"{name}_cum_tick")
-        self.write(each(lambda b: Q.cumulative_days(b, "date", q, count)), f"{name}_cum_daily", [])
+        daily = Q.daily_means(buckets, "date", q)
+        self.write(daily, f"{name}_daily", [])
+        self.write(Q.overall_means(daily, q), f"{name}_summary", [])
+        self.write(Q.cumulative_ticks(buckets, "date", "sample_time", q), f"{name}_cum_tick")
+        self.write(Q.cumulative_days(buckets, "date", q, count), f"{name}_cum_daily", [])
 
     def cs_quantile(self) -> None:
-        """One table for all horizons, told apart by ret."""
+        """One table for all horizons, told apart by ret: they share the buckets, and every curve is grouped by ret."""
         df = self.read(f"factor_{self.factor}")
         name, factors = f"quantile_{self.factor}", factor_columns(df, self.factor)
-        self.write(self._each_ret(lambda ret: Q.bucket_returns(df, factors, ret, AT, "security_id", self.p.quantiles)), name)
+        self.write(Q.bucket_returns(df, factors, [f"ret_fwd_{h}" for h in self.p.horizons], AT, "security_id", self.p.quantiles), name)
         self._curves(self.read(name, True), name, self.p.quantiles)
 
     def cs_quantile_chart(self, q: int | None = None, ret: str | None = None) -> DataFrame:
         """OP-72, OP-92: what the charts of one horizon show, the first by default."""
         ret = ret or f"ret_fwd_{self.p.horizons[0]}"
-        return self._chart(f"quantile_{self.factor}", q or self.p.quantiles, ret)
+        return self._chart(f"quantile_{self.factor}", q or self.p.quantiles, ret).drop("ret")
 
     def cs_quantile_charts(self, q: int | None = None) -> DataFrame:
         """The charts of all horizons, told apart by ret."""
-        return self._each_ret(lambda ret: self.cs_quantile_chart(q, ret))
-
-    def _each_ret(self, of: Callable[[str], DataFrame]) -> DataFrame:
-        return union_all([of(ret).withColumn("ret", F.lit(ret)) for ret in (f"ret_fwd_{h}" for h in self.p.horizons)])
+        return self._chart(f"quantile_{self.factor}", q or self.p.quantiles)
 
     def _chart(self, name: str, q: int, ret: str | None = None) -> DataFrame:
-        of_ret = lambda df: df.filter(F.col("ret") == ret).drop("ret") if ret else df
+        of_ret = lambda df: df.filter(F.col("ret") == ret) if ret else df
         ticks, days = of_ret(self.read(f"{name}_cum_tick", True)), of_ret(self.read(f"{name}_cum_daily", True))
         return Q.chart_curve(Q.stitched_ticks(ticks, days, "date", "sample_time", q), "date", "sample_time")
 
