@@ -35,7 +35,7 @@ from tickweave.llm.common import checkpointed, partitions_for, table
 SCALE = 256
 QUERY_BLOCK = 8192  # queries in a block, about
 BAND = 16_384  # vectors in a band, about
-HEAD = 2048  # vectors the first thresholds come from
+HEAD = 128  # vectors the first thresholds come from: far fewer than a band, so these pairs, which the bands see again, are a small part of all
 SAMPLE = 4096  # vectors that the rotation is fitted on, about
 CHUNK = 512  # vectors at once
 STEPS = (0.125, 0.25, 0.5, 1.0)  # parts of the coordinates in the partial sums
@@ -141,7 +141,7 @@ class Block:
 def top_inner_products(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, report: Accumulator | None = None
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows where is_query holds, against all rows. report: an accumulator of PairCounts."""
+    """(query_id, rank, vec_id, score) for the rows where is_query holds, against all rows. report: an accumulator of PairCounts, of the first thresholds' pairs and of all bands'."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col), scale).alias("q"), is_query.alias("asks"))
     rows = rows.filter("vec_id is not null and q is not null")
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -173,6 +173,8 @@ def top_inner_products(
         for batch in batches:
             own = Block(batch.column(0).to_numpy(), matrix(batch.column(1)), rotation, k)
             own.scan(head_ids, head)
+            if report is not None:
+                report.add(own.counts)
             least = (own.threshold - 1e-6) / np.maximum(own.norm, 1e-300) * (1 - 1e-9)
             # a negative threshold (or none) can be reached with any vector
             last = np.where(own.threshold > 0, np.searchsorted(-reach, -least, side="right"), len(reach)) - 1
