@@ -44,7 +44,7 @@ def rolling_sums(df: DataFrame, by: Iterable[str], order: str, inputs: Mapping[s
 
 #: A rung is at most that many times the one below it, and a window at most about that many of the top one.
 RUNGS = 8
-Parts = list[tuple[str, int]]  # (column of a stretch's state, how many rows back it ends)
+Parts = list[tuple[str, int, int]]  # (column of a stretch's state, how many rows back it ends, its length)
 Merge = Callable[[DataFrame, Parts, str], DataFrame]  # adds the state of the stretches together
 
 
@@ -105,10 +105,10 @@ def rolling_states(df: DataFrame, by: Iterable[str], order: str, state: str, win
 
     for short, long in zip(lengths, lengths[1:]):
         df, names = seen(df, [(short, k * short) for k in range(long // short)])
-        df = merge(df, [(name, back) for (_, back), name in names.items()], at[long]).drop(*[n for n in names.values() if n != at[short]])
+        df = merge(df, [(name, back, n) for (n, back), name in names.items()], at[long]).drop(*[n for n in names.values() if n != at[short]])
     df, names = seen(df, sorted({s for w in windows for s in rungs_of(w, lengths)}))
     for w in windows:
-        df = (last(w) if last else merge)(df, [(names[s], s[1]) for s in rungs_of(w, lengths)], f"{state}_{w}")
+        df = (last(w) if last else merge)(df, [(names[s], s[1], s[0]) for s in rungs_of(w, lengths)], f"{state}_{w}")
     return df.select(*before, *[f"{state}_{w}" for w in windows])
 
 
@@ -121,7 +121,7 @@ def local_sums(df: DataFrame, by: Iterable[str], order: str, values: Mapping[str
     before, wanted = df.columns, {k: list(dict.fromkeys(ws)) for k, (_, ws) in values.items()}
 
     def merged(names: list[str]) -> Merge:
-        return lambda df, parts, out: df.withColumn(out, F.struct(*[add_up(*[_there(p, k) for p, _ in parts]).alias(k) for k in names]))
+        return lambda df, parts, out: df.withColumn(out, F.struct(*[add_up(*[_there(p, k) for p, *_ in parts]).alias(k) for k in names]))
 
     df = df.withColumn("_sums", F.struct(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, (v, _) in values.items()]))
     every = sorted({w for ws in wanted.values() for w in ws})
@@ -130,34 +130,31 @@ def local_sums(df: DataFrame, by: Iterable[str], order: str, values: Mapping[str
 
 
 def local_moments(df: DataFrame, by: Iterable[str], order: str, values: Mapping[str, tuple[Column, Iterable[int]]], cubes: bool = False) -> DataFrame:
-    """For each name: (value, windows) the structs {name}_{w} of centred moments over the last w rows with a value: n, x, xx[, xxx] (count, mean, sums of squares and cubes about it)."""
+    """For each name: (value, windows) the structs {name}_{w} of centred moments over the last w rows: x, xx[, xxx] (mean, sums of squares and cubes about it).
+
+    Only whole windows have them: a missing value, or too few rows, makes all NULL.
+    """
     wanted = {k: list(dict.fromkeys(ws)) for k, (_, ws) in values.items()}
-    fields = ("n", "x", "xx", *(["xxx"] if cubes else []))
+    fields = ("x", "xx", *(["xxx"] if cubes else []))
 
     def merged(names: list[str]) -> Merge:
         def merge(df: DataFrame, parts: Parts, out: str) -> DataFrame:
-            of = lambda p, k, c: _there(p, f"{k}_{c}")
-            df = df.withColumns({f"_{k}_n": add_up(*[of(p, k, "n") for p, _ in parts]) for k in names})
-            df = df.withColumns({f"_{k}_x": F.coalesce(div(add_up(*[of(p, k, "n") * of(p, k, "x") for p, _ in parts]), F.col(f"_{k}_n")), F.lit(0.0)) for k in names})
+            total = sum(n for *_, n in parts)
+            df = df.withColumns({f"_{k}_x": add_up(*[F.col(p)[f"{k}_x"] * F.lit(n / total) for p, _, n in parts]) for k in names})
             # how far each stretch's mean lies from the common one
-            df = df.withColumns({f"_{k}_d{i}": of(p, k, "x") - F.col(f"_{k}_x") for k in names for i, (p, _) in enumerate(parts)})
+            df = df.withColumns({f"_{k}_d{i}": F.col(p)[f"{k}_x"] - F.col(f"_{k}_x") for k in names for i, (p, *_) in enumerate(parts)})
             found = []
             for k in names:
-                d = [F.col(f"_{k}_d{i}") for i in range(len(parts))]
-                own = {"n": F.col(f"_{k}_n"), "x": F.col(f"_{k}_x"), "xx": add_up(*[of(p, k, "xx") + of(p, k, "n") * d[i] * d[i] for i, (p, _) in enumerate(parts)])}
+                d = lambda i: F.col(f"_{k}_d{i}")  # noqa: E731, B023
+                found += [F.col(f"_{k}_x").alias(f"{k}_x"), add_up(*[F.col(p)[f"{k}_xx"] + n * d(i) * d(i) for i, (p, _, n) in enumerate(parts)]).alias(f"{k}_xx")]
                 if cubes:
-                    own["xxx"] = add_up(*[of(p, k, "xxx") + 3 * d[i] * of(p, k, "xx") + of(p, k, "n") * d[i] * d[i] * d[i] for i, (p, _) in enumerate(parts)])
-                found += [v.alias(f"{k}_{c}") for c, v in own.items()]
-            return df.withColumn(out, F.struct(*found)).drop(*[f"_{k}_{c}" for k in names for c in ("n", "x", *(f"d{i}" for i in range(len(parts))))])
+                    found.append(add_up(*[F.col(p)[f"{k}_xxx"] + d(i) * (3 * F.col(p)[f"{k}_xx"] + n * d(i) * d(i)) for i, (p, _, n) in enumerate(parts)]).alias(f"{k}_xxx"))
+            return df.withColumn(out, F.struct(*found)).drop(*[f"_{k}_{c}" for k in names for c in ("x", *(f"d{i}" for i in range(len(parts))))])
 
         return merge
 
     before, zero = df.columns, F.lit(0.0)
-    one = []
-    for k, (x, _) in values.items():
-        there = x.isNotNull()
-        row = {"n": F.when(there, 1.0).otherwise(zero), "x": F.when(there, x.cast("double")).otherwise(zero), "xx": zero, "xxx": zero}
-        one += [row[c].alias(f"{k}_{c}") for c in fields]
+    one = [c.alias(f"{k}_{f}") for k, (x, _) in values.items() for f, c in zip(fields, (x.cast("double"), zero, zero))]
     every = sorted({w for ws in wanted.values() for w in ws})
     df = rolling_states(df.withColumn("_moments", F.struct(*one)), by, order, "_moments", every, merged(list(values)), lambda w: merged([k for k, ws in wanted.items() if w in ws]))
     out = {f"{k}_{w}": F.struct(*[F.col(f"_moments_{w}")[f"{k}_{c}"].alias(c) for c in fields]) for k, ws in wanted.items() for w in ws}
@@ -169,10 +166,10 @@ def local_comoments(df: DataFrame, by: Iterable[str], order: str, name: str, x:
     there, zero = x.isNotNull() & y.isNotNull(), F.lit(0.0)
 
     def merge(df: DataFrame, parts: Parts, out: str) -> DataFrame:
-        df = df.withColumn("_n", add_up(*[_there(p, "n") for p, _ in parts]))
-        df = df.withColumns({f"_{c}": F.coalesce(div(add_up(*[_there(p, "n") * _there(p, c) for p, _ in parts]), F.col("_n")), F.lit(0.0)) for c in "xy"})
-        df = df.withColumns({f"_d{c}{k}": _there(p, c) - F.col(f"_{c}") for c in "xy" for k, (p, _) in enumerate(parts)})
-        about = lambda c: add_up(*[_there(p, f"x{c}") + _there(p, "n") * F.col(f"_dx{k}") * F.col(f"_d{c}{k}") for k, (p, _) in enumerate(parts)])
+        df = df.withColumn("_n", add_up(*[_there(p, "n") for p, *_ in parts]))
+        df = df.withColumns({f"_{c}": F.coalesce(div(add_up(*[_there(p, "n") * _there(p, c) for p, *_ in parts]), F.col("_n")), F.lit(0.0)) for c in "xy"})
+        df = df.withColumns({f"_d{c}{k}": _there(p, c) - F.col(f"_{c}") for c in "xy" for k, (p, *_) in enumerate(parts)})
+        about = lambda c: add_up(*[_there(p, f"x{c}") + _there(p, "n") * F.col(f"_dx{k}") * F.col(f"_d{c}{k}") for k, (p, *_) in enumerate(parts)])
         df = df.withColumn(out, F.struct(F.col("_n").alias("n"), F.col("_x").alias("x"), F.col("_y").alias("y"), about("x").alias("xx"), about("y").alias("xy")))
         return df.drop("_n", "_x", "_y", *[f"_d{c}{k}" for c in "xy" for k in range(len(parts))])
 

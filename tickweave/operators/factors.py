@@ -159,17 +159,17 @@ def amp_slice(df: DataFrame, windows: Windows, by: By, order: str, group: int =
 def _powers(df: DataFrame, parts: Parts, out: str, whole: str) -> DataFrame:
     """Merge stretches of rows: a (a price near, that others are taken less of), x0..x4 (sums of the valid rows' places, counted back from the end, to these powers), z0..z2 (those times
     the price less a) and zz (its square). A stretch that ends some rows back has its places moved by so many, and its prices taken less the common a."""
-    near = F.coalesce(*[F.col(p)["a"] for p, _ in parts])
+    near = F.coalesce(*[F.col(p)["a"] for p, *_ in parts])
     df = df.withColumn("_a", near)
-    df = df.withColumns({f"_by{k}": F.coalesce(F.col("_a") - F.col(p)["a"], F.lit(0.0)) for k, (p, _) in enumerate(parts)})
+    df = df.withColumns({f"_by{k}": F.coalesce(F.col("_a") - F.col(p)["a"], F.lit(0.0)) for k, (p, *_) in enumerate(parts)})
     x = lambda p, k: F.coalesce(F.col(p)[f"x{k}"], F.lit(0).cast(whole))
     z = lambda p, k: F.coalesce(F.col(p)[f"z{k}"], F.lit(0.0))
     moved = lambda of, j, p, back, k: add_up(*[F.lit(comb(k, i) * back ** (k - i)).cast(whole if j is None else "double") * of(p, i) for i in range(k + 1) if back or i == k])
-    fields = {f"x{k}": add_up(*[moved(x, None, p, back, k) for p, back in parts]).cast(whole) for k in range(5)}
+    fields = {f"x{k}": add_up(*[moved(x, None, p, back, k) for p, back, _ in parts]).cast(whole) for k in range(5)}
     for k in range(3):
-        fields[f"z{k}"] = add_up(*[moved(lambda p, i, j=j: z(p, i) - F.col(f"_by{j}") * x(p, i).cast("double"), j, p, back, k) for j, (p, back) in enumerate(parts)])
+        fields[f"z{k}"] = add_up(*[moved(lambda p, i, j=j: z(p, i) - F.col(f"_by{j}") * x(p, i).cast("double"), j, p, back, k) for j, (p, back, _) in enumerate(parts)])
     by = lambda j: F.col(f"_by{j}")
-    fields["zz"] = add_up(*[F.coalesce(F.col(p)["zz"], F.lit(0.0)) - 2 * by(j) * z(p, 0) + by(j) * by(j) * x(p, 0).cast("double") for j, (p, _) in enumerate(parts)])
+    fields["zz"] = add_up(*[F.coalesce(F.col(p)["zz"], F.lit(0.0)) - 2 * by(j) * z(p, 0) + by(j) * by(j) * x(p, 0).cast("double") for j, (p, *_) in enumerate(parts)])
     df = df.withColumn(out, F.struct(F.col("_a").alias("a"), *[v.alias(k) for k, v in fields.items()]))
     return df.drop("_a", *[f"_by{k}" for k in range(len(parts))])
 
