@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -129,7 +130,7 @@ def _(spark, d):
 def _scratch(spark) -> str:
     """A new folder where the session says that all can write; on one machine without such a setting, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None and not spark.sparkContext.master.startswith("local"):
+    if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='spark-')}/tables-{uuid.uuid4().hex}"
 
