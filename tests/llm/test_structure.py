@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 from tickweave.llm.structure import (
-    INSERTS, LETTERS, NOTHING, START, Grammar, Rope, as_they_are, best_end, damaged, encode, learn_rules, op12_structure_repair, repair_plans, repaired_digests, repaired_turns, segments_of, step, thin_rows,
+    INSERTS, LETTERS, NOTHING, OP12_SQL, START, Grammar, Rope, as_they_are, best_end, damaged, encode, learn_rules, op12_structure_repair, repair_plans, repaired_digests, repaired_turns, segments_of, step, thin_rows,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -144,6 +144,17 @@ def test_query(spark):
         assert of(r) == want[r.conv_id], r.conv_id
 
 
+def test_sql():
+    """The SQL against the plain version, over tables of its own kind and odd ones."""
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    rows = duckdb.sql(f"select conv_id, turn, role, text from '{SF.replace('0.001', '0.01')}/conversations.parquet'").fetchall()
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows + [(1000 + c if c is not None else None, *x) for c, *x in odd_rows() if c not in (98, 99)])
+    want = {c: plain(v) for c, v in plain_damage(con.execute("from conversations").fetchall()).items()}
+    got = con.execute(OP12_SQL).fetchall()
+    assert len(got) == len(want) > 100 and [(g, want[g[0]]) for g in got if tuple(g[1:]) != want[g[0]]] == []
+
+
 def odd_rows():
     r = random.Random(5)
     texts = ["Yes.", "No!", "Who?", "so it", "", " \t\n", None, "a. ", "ß 漢字?", "x" * 5000]

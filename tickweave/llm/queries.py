@@ -11,7 +11,7 @@ from tickweave.llm.quality import op13_quality
 from tickweave.llm.secrets import op9_secret_scans
 from tickweave.llm.sharding import op3_sharding
 from tickweave.llm.simhash import op10_simhash_dedup
-from tickweave.llm.structure import op12_structure_repair
+from tickweave.llm.structure import OP12_SQL, op12_structure_repair
 from tickweave.llm.topk import OP8_SQL, op8_top_k
 from tickweave.llm.url_filters import OP1_SQL, op1_url_filters
 from tickweave.llm.whitening import op11_embedding_whitening
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_structure_repair": op12_structure_repair,
     "op13_quality": op13_quality,
 }
-SQL = {"op1_url_filters": OP1_SQL, "op8_top_k": OP8_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op8_top_k": OP8_SQL, "op12_structure_repair": OP12_SQL}

@@ -527,3 +527,54 @@ def repaired_digests(rows: DataFrame, plans: DataFrame) -> DataFrame:
 def op12_structure_repair(spark, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations"))
     return repaired_digests(rows, repair_plans(rows))
+
+
+#: The same as a walk over rows, a step at a time, without grammar or matrices.
+OP12_SQL = r"""
+WITH RECURSIVE
+crcs AS (
+  SELECT list(v ORDER BY b) AS t
+  FROM (SELECT b, list_reduce(list_prepend(CAST(b AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS v FROM range(256) r(b))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), hashed AS (
+  SELECT keyed.*, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda c, x: xor(c >> 8, t[CAST(xor(c & 255, x) AS INT) + 1])), CAST(4294967295 AS UBIGINT)) % 20 AS fault FROM keyed, crcs
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE fault <> 0
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending, left(role, 1) AS initial,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS wrong FROM numbered
+), told AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS kind FROM seen),
+rows AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(kind) ELSE kind END AS letter FROM told),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (wrong) AS illegal, max(i) AS n FROM rows GROUP BY 1
+), states(p, want, nxt) AS (VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(p, q, more, e) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')),
+letters AS (SELECT unnest(['s', 'S', 'u', 'U', 'a', 'A', 'o', 'O', 'd']) AS letter),
+edits AS (
+  SELECT letter, p AS src, p AS dst, 2 AS cost, 'D' AS e FROM letters, states
+  UNION ALL SELECT letter, p, nxt, CASE WHEN letter = upper(letter) THEN 5 ELSE 0 END + CASE WHEN lower(letter) = want THEN 0 ELSE 1 END, CASE WHEN lower(letter) = want THEN 'K' ELSE 'R' END FROM letters, states WHERE letter <> 'd'
+  UNION ALL SELECT letter, 0, 1, CASE WHEN letter = 'S' THEN 5 ELSE 0 END, 'K' FROM letters WHERE letter IN ('s', 'S')
+), moves AS (SELECT letter, src, q AS dst, cost + more AS cost, edits.e || inserts.e AS e FROM edits JOIN inserts ON dst = p),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, q AS state, {'cost': CAST(more AS BIGINT), 'audit': e} AS best FROM counts, inserts WHERE p = 0
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, m.dst, min({'cost': w.best.cost + m.cost, 'audit': w.best.audit || m.e})
+  FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN moves m ON m.letter = r.letter AND m.src = w.state GROUP BY w.conv_id, w.i + 1, m.dst
+), found AS (SELECT c.conv_id, min(best) AS best FROM counts c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n WHERE state IN (0, 3) GROUP BY 1),
+steps AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS e, generate_subscripts(string_split(best.audit, ''), 1) AS k FROM found),
+placed AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i FROM steps),
+kept AS (
+  SELECT p.conv_id, p.k, p.e, r.role, CASE WHEN p.e = 'I' THEN '' ELSE r.text END AS text, p.e = 'K' AND left(r.role, 1) = 's' AS first
+  FROM placed p LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i AND p.e <> 'I' WHERE p.e <> 'D'
+), spoken AS (SELECT *, count(*) FILTER (NOT first) OVER (PARTITION BY conv_id ORDER BY k) AS place FROM kept),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS text FROM spoken GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
