@@ -28,14 +28,16 @@ def _pearson(f: Column, r: Column, squared: bool = False) -> Column:
     return _correlation(F.count(f), F.stddev_pop(f), F.stddev_pop(r), F.covar_pop(f, r), squared)
 
 
-def cs_ic(panel: DataFrame, pairs: Pairs, at: list[str], security: str) -> DataFrame:
+def cs_ic(panel: DataFrame, pairs: Pairs, at: list[str], security: str, tasks: int | None = None) -> DataFrame:
     """OP-55, OP-56: (at, ret, factor_col, ic, rankic), a row for each cross-section and pair.
 
     Ranks are ordinal, ties by security; each of factor and return is ranked among its own values, before the pairs are matched.
+    tasks: how many the cross-sections are dealt to, if not as many as the session says.
     """
     columns = list(dict.fromkeys(c for p in pairs for c in p))
     rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(W.partitionBy(*at).orderBy(F.col(c).asc_nulls_last(), security)))
-    ranked = panel.select(*at, security, *columns).withColumns({f"_rank_{c}": rank(c) for c in columns})
+    narrow = panel.select(*at, security, *columns)
+    ranked = (narrow.repartition(tasks, *at) if tasks else narrow).withColumns({f"_rank_{c}": rank(c) for c in columns})
     aggs = []
     for k, (f, r) in enumerate(pairs):
         aggs += [_pearson(F.col(f), F.col(r)).alias(f"_ic{k}"), _pearson(F.col(f"_rank_{f}"), F.col(f"_rank_{r}")).alias(f"_rankic{k}")]
@@ -55,15 +57,15 @@ def cs_daily(ic: DataFrame, date: str, keys: list[str]) -> DataFrame:
     return ic.groupBy(date, *keys).agg(F.avg("ic").alias("ic"), F.avg("rankic").alias("rankic"))
 
 
-def ts_ic(panel: DataFrame, pairs: Pairs, by: list[str], time: str, sessions: tuple[str, str] | None = None) -> DataFrame:
+def ts_ic(panel: DataFrame, pairs: Pairs, by: list[str], time: str, sessions: tuple[str, str] | None = None, tasks: int | None = None) -> DataFrame:
     """OP-59, OP-60: (by, [session,] ret, factor_col, ts_ic, ts_rankic) over the rows of each of by. sessions: (end of am, start of pm), if wanted.
 
     Where a factor's {name}_has_limit holds its value doesn't count. Pairs are matched first, then ranked, ties by time; two rows are needed.
-    The panel is dealt out once, wide, by `by`; rows for each session and pair are made, sorted and summed where they are.
+    The panel is dealt out once, wide, by `by` (to so many tasks, if not as many as the session says); rows for each session and pair are made, sorted and summed where they are.
     """
     masked = lambda f: F.when(~flag(F.col(f"{f}_has_limit")), F.col(f)) if f"{f}_has_limit" in panel.columns else F.col(f)
     factors, returns = (list(dict.fromkeys(names)) for names in zip(*pairs))
-    wide = panel.select(*by, time, *[masked(f).cast("double").alias(f) for f in factors], *[F.col(r).cast("double").alias(r) for r in returns]).repartition(*by)
+    wide = panel.select(*by, time, *[masked(f).cast("double").alias(f) for f in factors], *[F.col(r).cast("double").alias(r) for r in returns]).repartition(*([tasks] if tasks else []), *by)
     if sessions:
         wide, by = with_session(wide, time, *sessions), [*by, "session"]
     rows = F.array(*[F.struct(F.lit(r).alias("ret"), F.lit(f).alias("factor_col"), F.col(f).alias("f"), F.col(r).alias("r")) for f, r in pairs])

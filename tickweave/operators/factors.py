@@ -1,8 +1,9 @@
 """The factor library (OP-44 to OP-54) and its registry.
 
 A factor adds, for each of its windows, a value column and a `_has_limit` column (whether a limit tick is among the ticks used).
-Windows are made without moving frames (functions.windows): counts are differences of running counts, sums and moments are put together from the window's own rows. So a factor costs
-one exchange and one sort, and several factors run one after the other share them: all partition by `by` and order by `order`.
+Windows are made without moving frames (functions.along): Spark deals and sorts the rows, numpy steps over them in batches; sums and moments are put together from the window's own rows,
+and everything before and after is plain columns. So a factor costs one exchange and one sort, which factors that run one after the other share if the rows are dealt before (`along.dealt`).
+Where `_pos`, the places in the group, is given, long groups are cut into stretches.
 
 Input: base ticks (operators.base) - Price, CanUsePrice, CanUseDoubleSideBook, CanUseFiveLevelBook and what the factor names in `needs`.
 """
@@ -13,13 +14,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import comb
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweave.config import TICKS_PER_MINUTE
 from tickweave.functions.exprs import add_up, div, flag
-from tickweave.functions.windows import Parts, count_of, gate, growing, last_change, local_comoments, local_moments, local_sums, masked_mean, rolling_states, rolling_sums, rows_of, with_position
+from tickweave.functions.along import Parts, Rows, State, along, dealt, stretch_rows
+from tickweave.functions.windows import gate, masked_mean
 from tickweave.operators.base import ask, ask_volume, bid, bid_volume, limit_tick
 from tickweave.sources.schemas import LEVELS
 
@@ -36,23 +38,37 @@ def ticks(*values: int) -> Windows:
     return {f"{v}t": v for v in values}
 
 
-def _prepared(df: DataFrame, by: By, order: str, **columns: Column) -> DataFrame:
-    df = df if "_pos" in df.columns else with_position(df, by, order)
-    return df.withColumns({"_limit": limit_tick(), **columns})
+def _along(df: DataFrame, by: By, order: str, back: int, columns: dict[str, Column], out: list[str], f: Callable[[Rows, State], dict], tasks: int | None = None, placed: bool = False, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """(rows with what f makes of `columns` and `_limit`, names of the columns they came with). keep: the columns wanted of df beside by and order; nothing else goes through the exchange."""
+    own = [c for c in (*by, order, "_pos", "_part") if c in df.columns]
+    before = df.columns if keep is None else list(dict.fromkeys([*own, *keep]))
+    inputs = {"_limit": flag(limit_tick()), **columns}
+    ready = dealt(df.withColumns(inputs).select(*before, *inputs), by, order, back, tasks, placed)
+    found = along(ready, by, list(inputs), ", ".join(out), f, back)
+    cut = "_pos" in df.columns and "_part" not in df.columns
+    return stretch_rows(found, back) if cut else found, before
 
 
 def _done(df: DataFrame, before: list[str], out: dict[str, Column]) -> DataFrame:
     return df.withColumns(out).select(*before, *out)
 
 
+def _fields(kind: str, *names: str) -> list[str]:
+    return [f"{name} {kind}" for name in names]
+
+
 # ---- means of a raw value (OP-44, OP-52, OP-53)
 
 
-def _mean_factor(df: DataFrame, name: str, raw: Column, windows: Windows, by: By, order: str) -> DataFrame:
-    before, ws = df.columns, list(windows.values())
-    df = _prepared(df, by, order, _raw=raw)
-    df = rolling_sums(df, by, order, {"_n": (count_of(F.col("_raw").isNotNull()), ws), "_l": (count_of(F.col("_limit")), ws)})
-    df = local_sums(df, by, order, {"_s": (F.col("_raw"), ws)})
+def _mean_factor(df: DataFrame, name: str, raw: Column, windows: Windows, by: By, order: str, **deal) -> DataFrame:
+    ws = list(dict.fromkeys(windows.values()))
+
+    def f(rows: Rows, v: State) -> dict:
+        there, sums = ~np.isnan(v["_raw"]), rows.sums(v["_raw"], ws)
+        return {f"_{k}_{w}": x for w in ws for k, x in (("n", rows.count(there, w)), ("l", rows.count(v["_limit"], w)), ("s", sums[w]))}
+
+    out = [x for w in ws for x in (*_fields("long", f"_n_{w}", f"_l_{w}"), f"_s_{w} double")]
+    df, before = _along(df, by, order, max(ws, default=1), {"_raw": raw}, out, f, **deal)
     out = {}
     for label, w in windows.items():
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
@@ -61,25 +77,25 @@ def _mean_factor(df: DataFrame, name: str, raw: Column, windows: Windows, by: By
     return _done(df, before, out)
 
 
-def bap(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
+def bap(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
     """OP-44: pressure of the first level's volumes, averaged."""
     total = bid_volume(1) + ask_volume(1)
     raw = F.when(F.col("CanUseDoubleSideBook") & (total > TINY), div(bid_volume(1) - ask_volume(1), total))
-    return _mean_factor(df, "bap", raw, windows, by, order)
+    return _mean_factor(df, "bap", raw, windows, by, order, **deal)
 
 
 OIR_WEIGHTS = (1.0, 0.8, 0.6, 0.4, 0.2)  # fixed values, by level
 
 
-def oir(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
+def oir(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
     """OP-52: weighted imbalance over five levels, averaged."""
     over = add_up(*[F.lit(w) * (bid_volume(i) - ask_volume(i)) for i, w in zip(LEVELS, OIR_WEIGHTS)])
     under = add_up(*[F.lit(w) * (bid_volume(i) + ask_volume(i)) for i, w in zip(LEVELS, OIR_WEIGHTS)])
     raw = F.when(F.col("CanUseFiveLevelBook") & (under > TINY), div(over, under))
-    return _mean_factor(df, "oir", raw, windows, by, order)
+    return _mean_factor(df, "oir", raw, windows, by, order, **deal)
 
 
-def ofd(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
+def ofd(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
     """OP-53: ratio of the sides' depth per average price step, averaged."""
 
     def density(price: Callable[[int], Column], volume: Callable[[int], Column], sign: int) -> Column:
@@ -88,67 +104,96 @@ def ofd(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
 
     asks = density(ask, ask_volume, -1)
     raw = F.when(F.col("CanUseFiveLevelBook") & (asks > TINY), div(density(bid, bid_volume, 1), asks))
-    return _mean_factor(df, "ofd", raw, windows, by, order)
+    return _mean_factor(df, "ofd", raw, windows, by, order, **deal)
 
 
 # ---- momentum (OP-45, OP-46)
 
 
-def mom(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
+def _ln_price() -> Column:
+    return F.when(F.col("CanUsePrice"), F.ln("Price"))
+
+
+def mom(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
     """OP-45: log price change over w rows."""
-    before, rows = df.columns, rows_of(by, order)
-    df = _prepared(df, by, order, _ln=F.when(F.col("CanUsePrice"), F.ln("Price")))
+    ws = list(dict.fromkeys(windows.values()))
+
+    def f(rows: Rows, v: State) -> dict:
+        ln, limit = v["_ln"], v["_limit"]
+        return {f"_d_{w}": ln - rows.lag(ln, w) for w in ws} | {f"_l_{w}": limit | rows.lag(limit, w, False) for w in ws}
+
+    out = _fields("double", *[f"_d_{w}" for w in ws]) + _fields("boolean", *[f"_l_{w}" for w in ws])
+    df, before = _along(df, by, order, max(ws, default=1), {"_ln": _ln_price()}, out, f, **deal)
     out = {}
     for label, w in windows.items():
-        value = F.col("_ln") - F.lag("_ln", w).over(rows)
-        touched = F.col("_limit") | flag(F.lag("_limit", w).over(rows))
-        out[f"mom_{label}"] = value
-        out[f"mom_{label}_has_limit"] = flag(value.isNotNull() & touched)
+        out[f"mom_{label}"] = F.col(f"_d_{w}")
+        out[f"mom_{label}_has_limit"] = F.col(f"_d_{w}").isNotNull() & F.col(f"_l_{w}")
     return _done(df, before, out)
 
 
-def acc_mom(df: DataFrame, windows: dict[str, tuple[int, int]], by: By, order: str) -> DataFrame:
+def acc_mom(df: DataFrame, windows: dict[str, tuple[int, int]], by: By, order: str, **deal) -> DataFrame:
     """OP-46: the last short stretch's log change less that of the stretch before it; windows are (short, long)."""
-    before, rows = df.columns, rows_of(by, order)
-    df = _prepared(df, by, order, _ln=F.when(F.col("CanUsePrice"), F.ln("Price")))
+    pairs = list(dict.fromkeys(windows.values()))
+
+    def f(rows: Rows, v: State) -> dict:
+        ln, limit, found = v["_ln"], v["_limit"], {}
+        for short, long in pairs:
+            near, far = rows.lag(ln, short), rows.lag(ln, long)
+            found[f"_d_{short}_{long}"] = (ln - near) - (near - far)
+            found[f"_l_{short}_{long}"] = limit | rows.lag(limit, short, False) | rows.lag(limit, long, False)
+        return found
+
+    out = _fields("double", *[f"_d_{s}_{n}" for s, n in pairs]) + _fields("boolean", *[f"_l_{s}_{n}" for s, n in pairs])
+    df, before = _along(df, by, order, max((max(p) for p in pairs), default=1), {"_ln": _ln_price()}, out, f, **deal)
     out = {}
     for label, (short, long) in windows.items():
-        near, far = F.lag("_ln", short).over(rows), F.lag("_ln", long).over(rows)
-        value = (F.col("_ln") - near) - (near - far)
-        touched = F.col("_limit") | flag(F.lag("_limit", short).over(rows)) | flag(F.lag("_limit", long).over(rows))
+        value = F.col(f"_d_{short}_{long}")
         out[f"acc_mom_{label}"] = value
-        out[f"acc_mom_{label}_has_limit"] = flag(value.isNotNull() & touched)
+        out[f"acc_mom_{label}_has_limit"] = value.isNotNull() & F.col(f"_l_{short}_{long}")
     return _done(df, before, out)
 
 
 # ---- amplitude by price level (OP-47)
 
 
-def amp_slice(df: DataFrame, windows: Windows, by: By, order: str, group: int = 10) -> DataFrame:
+def amp_slice(df: DataFrame, windows: Windows, by: By, order: str, group: int = 10, **deal) -> DataFrame:
     """OP-47: mean amplitude of the dearest fifth of the window's groups less that of the cheapest fifth.
 
-    The groups of a window are the `group`-row frames that end at its last row and every `group` rows before, so a window
-    over every group-th row collects them: work in proportion to groups, not to ticks.
+    The groups of a window are the `group`-row frames that end at its last row and every `group` rows before: work in proportion to groups, not to ticks. Of equal levels the
+    earlier group is the cheaper.
     """
-    before, ws = df.columns, list(windows.values())
-    df = _prepared(df, by, order, _p=F.when(F.col("CanUsePrice"), F.col("Price")))
-    df = rolling_sums(df, by, order, {"_n": (count_of(F.col("CanUsePrice")), ws), "_l": (count_of(F.col("_limit")), ws)})
-    frame = rows_of(by, order).rowsBetween(1 - group, W.currentRow)
-    low = F.min("_p").over(frame)
-    cell = F.struct(F.avg("_p").over(frame).alias("level"), F.col("_pos").alias("at"), (div(F.max("_p").over(frame), low) - 1).alias("amp"))
-    df = df.withColumn("_cell", F.when(low > 0, cell))
-    strided = W.partitionBy(*by, F.col("_pos") % group).orderBy(order)
+    ws = list(dict.fromkeys(windows.values()))
+
+    def f(rows: Rows, v: State) -> dict:
+        frame = np.stack([rows.lag(v["_p"], k) for k in reversed(range(group))])
+        there = ~np.isnan(frame)
+        # from the first to the last of a frame, so that frames of the same prices have the same level
+        level = np.add.accumulate(np.where(there, frame, 0.0))[-1] / there.sum(axis=0)
+        low, high = np.fmin.reduce(frame), np.fmax.reduce(frame)
+        level = np.where(low > 0, level, np.nan)
+        amp = np.where(low > 0, high / low - 1, np.nan)
+        found = {}
+        for w in ws:
+            n = w // group
+            k = max(1, n // 5)
+            there, full = rows.count(v["_use"], w), (rows.pos >= w - 1) & (rows.at >= (n - 1) * group)
+            ok = np.flatnonzero(full & (10 * (w - there) <= w)) if n else rows.at[:0]
+            value = np.full(len(level), np.nan)
+            for some in np.array_split(ok, len(ok) * n // 4_000_000 + 1):
+                cells = some[:, None] - group * np.arange(n - 1, -1, -1)
+                by_level = np.take_along_axis(amp[cells], np.argsort(level[cells], axis=1, kind="stable"), axis=1)
+                whole = ~np.isnan(level[cells]).any(axis=1)
+                value[some] = np.where(whole, by_level[:, n - k :].sum(axis=1) / k - by_level[:, :k].sum(axis=1) / k, np.nan)
+            found |= {f"_n_{w}": there, f"_l_{w}": rows.count(v["_limit"], w), f"_v_{w}": value}
+        return found
+
+    columns = {"_p": F.when(F.col("CanUsePrice"), F.col("Price")), "_use": flag(F.col("CanUsePrice"))}
+    out = [x for w in ws for x in (*_fields("long", f"_n_{w}", f"_l_{w}"), f"_v_{w} double")]
+    df, before = _along(df, by, order, max(ws, default=1) + group, columns, out, f, **deal)
     out = {}
     for label, w in windows.items():
-        groups = w // group
-        k = max(1, groups // 5)
-        cells = F.array_sort(F.collect_list("_cell").over(strided.rowsBetween(1 - groups, W.currentRow)))
-        mean = lambda part: F.aggregate(part, F.lit(0.0), lambda a, c: a + c["amp"]) / k  # noqa: E731, B023
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
-        df = df.withColumn(f"_cells_{w}", F.when(ok, cells))
-        whole = F.size(f"_cells_{w}") == groups
-        sorted_cells = F.col(f"_cells_{w}")
-        out[f"amp_slice_{label}"] = F.when(whole, mean(F.slice(sorted_cells, groups - k + 1, k)) - mean(F.slice(sorted_cells, 1, k)))
+        out[f"amp_slice_{label}"] = F.when(ok, F.col(f"_v_{w}"))
         out[f"amp_slice_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w}") > 0))
     return _done(df, before, out)
 
@@ -156,65 +201,64 @@ def amp_slice(df: DataFrame, windows: Windows, by: By, order: str, group: int =
 # ---- shape of the price path (OP-48)
 
 
-def _powers(df: DataFrame, parts: Parts, out: str, whole: str) -> DataFrame:
+def _powers(parts: Parts) -> State:
     """Merge stretches of rows: a (a price near, that others are taken less of), x0..x4 (sums of the valid rows' places, counted back from the end, to these powers), z0..z2 (those times
     the price less a) and zz (its square). A stretch that ends some rows back has its places moved by so many, and its prices taken less the common a."""
-    near = F.coalesce(*[F.col(p)["a"] for p, *_ in parts])
-    df = df.withColumn("_a", near)
-    df = df.withColumns({f"_by{k}": F.coalesce(F.col("_a") - F.col(p)["a"], F.lit(0.0)) for k, (p, *_) in enumerate(parts)})
-    x = lambda p, k: F.coalesce(F.col(p)[f"x{k}"], F.lit(0).cast(whole))
-    z = lambda p, k: F.coalesce(F.col(p)[f"z{k}"], F.lit(0.0))
-    moved = lambda of, j, p, back, k: add_up(*[F.lit(comb(k, i) * back ** (k - i)).cast(whole if j is None else "double") * of(p, i) for i in range(k + 1) if back or i == k])
-    fields = {f"x{k}": add_up(*[moved(x, None, p, back, k) for p, back, _ in parts]).cast(whole) for k in range(5)}
+    near = parts[0][0]["a"]
+    for p, *_ in parts[1:]:
+        near = np.where(np.isnan(near), p["a"], near)
+    by = [np.nan_to_num(near - p["a"]) for p, *_ in parts]
+    moved = lambda of, back, k: sum(comb(k, i) * back ** (k - i) * of(i) for i in range(k + 1) if back or i == k)
+    out = {"a": near} | {f"x{k}": sum(moved(lambda i: p[f"x{i}"], back, k) for p, back, _ in parts) for k in range(5)}  # noqa: B023
     for k in range(3):
-        fields[f"z{k}"] = add_up(*[moved(lambda p, i, j=j: z(p, i) - F.col(f"_by{j}") * x(p, i).cast("double"), j, p, back, k) for j, (p, back, _) in enumerate(parts)])
-    by = lambda j: F.col(f"_by{j}")
-    fields["zz"] = add_up(*[F.coalesce(F.col(p)["zz"], F.lit(0.0)) - 2 * by(j) * z(p, 0) + by(j) * by(j) * x(p, 0).cast("double") for j, (p, *_) in enumerate(parts)])
-    df = df.withColumn(out, F.struct(F.col("_a").alias("a"), *[v.alias(k) for k, v in fields.items()]))
-    return df.drop("_a", *[f"_by{k}" for k in range(len(parts))])
+        out[f"z{k}"] = sum(moved(lambda i: p[f"z{i}"] - d * p[f"x{i}"].astype(float), back, k) for d, (p, back, _) in zip(by, parts))  # noqa: B023
+    out["zz"] = sum(p["zz"] - 2 * d * p["z0"] + d * d * p["x0"].astype(float) for d, (p, *_) in zip(by, parts))
+    return out
 
 
-def rigidity(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
+def rigidity(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
     """OP-48: b R^2 ln(1 / (|c| + 1e-8)) of the fit P = a + b x + c x^2 over the valid ticks, x the row in the window.
 
-    Powers of places are whole numbers and exact: longs for windows of up to 4,000 rows, decimals beyond. Prices are taken less one of the window's own, so no row before the window has
+    Powers of places are whole numbers and exact: longs for windows of up to 4,000 rows, whole numbers of Python beyond. Prices are taken less one of the window's own, so no row before the window has
     a part in it.
     """
-    before, ws = df.columns, list(windows.values())
-    whole = "long" if max(ws, default=0) <= 4000 else "decimal(38,0)"
-    df = _prepared(df, by, order, _p=F.when(F.col("CanUsePrice"), F.col("Price")))
-    df = rolling_sums(df, by, order, {"_n": (count_of(F.col("CanUsePrice")), ws), "_l": (count_of(F.col("_limit")), ws)})
-    one, none = F.when(F.col("_p").isNotNull(), 1).otherwise(0).cast(whole), F.lit(0).cast(whole)
-    row = {"a": F.col("_p"), "x0": one, **{f"x{k}": none for k in range(1, 5)}, **{f"z{k}": F.lit(0.0) for k in range(3)}, "zz": F.lit(0.0)}
-    df = df.withColumn("_powers", F.struct(*[v.alias(k) for k, v in row.items()]))
-    df = rolling_states(df, by, order, "_powers", ws, lambda df, parts, out: _powers(df, parts, out, whole))
+    ws = list(dict.fromkeys(windows.values()))
+    exact = max(ws, default=0) <= 4000
+    xs, zs = [f"x{k}" for k in range(5)], ["z0", "z1", "z2", "zz"]
+
+    def f(rows: Rows, v: State) -> dict:
+        there, nothing = ~np.isnan(v["_p"]), np.zeros(len(rows.at))
+        none = nothing.astype(np.int64 if exact else object)
+        one = {"a": v["_p"], "x0": there.astype(np.int64).astype(none.dtype), **dict.fromkeys(xs[1:], none), **dict.fromkeys(zs, nothing)}
+        found = rows.states(one, ws, _powers, {"a": np.nan, **dict.fromkeys(xs, 0), **dict.fromkeys(zs, 0.0)})
+        out = {}
+        for w in ws:
+            t, s = [found[w][k] for k in xs], w - 1
+            # powers of x = s - j, j counted back from the last row; exact until they are floats
+            n, x1, x2 = t[0], s * t[0] - t[1], s**2 * t[0] - 2 * s * t[1] + t[2]
+            x3 = s**3 * t[0] - 3 * s**2 * t[1] + 3 * s * t[2] - t[3]
+            x4 = s**4 * t[0] - 4 * s**3 * t[1] + 6 * s**2 * t[2] - 4 * s * t[3] + t[4]
+            n, x1, x2, x3, x4 = (x.astype(float) for x in (n, x1, x2, x3, x4))
+            z0, z1, z2, zz = (found[w][k] for k in zs)
+            y0, y1, y2 = z0, s * z0 - z1, s * s * z0 - 2 * s * z1 + z2
+            # 2 x 2 minors of the normal equations
+            a, b, c = x2 * x4 - x3 * x3, x1 * x4 - x2 * x3, x1 * x3 - x2 * x2
+            d, e, g = n * x4 - x2 * x2, n * x3 - x1 * x2, n * x2 - x1 * x1
+            det = n * a - x1 * b + x2 * c
+            fa, fb, fc = (y0 * a - y1 * b + y2 * c) / det, (y1 * d - y0 * b - y2 * e) / det, (y0 * c - y1 * e + y2 * g) / det
+            total, left = zz - y0 * y0 / n, zz - fa * y0 - fb * y1 - fc * y2
+            fits = (n >= 3) & (det > 1e-20) & (total >= TINY)
+            out |= {f"_n_{w}": rows.count(v["_use"], w), f"_l_{w}": rows.count(v["_limit"], w)}
+            out[f"_v_{w}"] = np.where(fits, fb * (1 - left / total) * np.log(1 / (np.abs(fc) + 1e-8)), np.nan)
+        return out
+
+    columns = {"_p": F.when(F.col("CanUsePrice"), F.col("Price")), "_use": flag(F.col("CanUsePrice"))}
+    out = [x for w in ws for x in (*_fields("long", f"_n_{w}", f"_l_{w}"), f"_v_{w} double")]
+    df, before = _along(df, by, order, max(ws, default=1), columns, out, f, **deal)
     out = {}
     for label, w in windows.items():
-        t = {k: F.col(f"_powers_{w}")[f"x{k}"] for k in range(5)}
-        y = {k: F.col(f"_powers_{w}")[f"z{k}"] for k in range(3)}
-        s = F.lit(w - 1).cast(whole)
-        # powers of x = s - j, j counted back from the last row
-        n = t[0]
-        x1 = s * t[0] - t[1]
-        x2 = s * s * t[0] - 2 * s * t[1] + t[2]
-        x3 = s * s * s * t[0] - 3 * s * s * t[1] + 3 * s * t[2] - t[3]
-        x4 = s * s * s * s * t[0] - 4 * s * s * s * t[1] + 6 * s * s * t[2] - 4 * s * t[3] + t[4]
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
-        moments = {"n": n, "x1": x1, "x2": x2, "x3": x3, "x4": x4}
-        df = df.withColumns({f"_{k}_{w}": F.when(ok, v).cast("double") for k, v in moments.items()})
-        df = df.withColumns({f"_y0_{w}": y[0], f"_y1_{w}": s * y[0] - y[1], f"_y2_{w}": s * s * y[0] - 2 * s * y[1] + y[2], f"_zz_{w}": F.col(f"_powers_{w}")["zz"]})
-        n, x1, x2, x3, x4 = (F.col(f"_{k}_{w}") for k in moments)
-        y0, y1, y2 = (F.col(f"_y{k}_{w}") for k in range(3))
-        # 2 x 2 minors of the normal equations
-        a, b, c = x2 * x4 - x3 * x3, x1 * x4 - x2 * x3, x1 * x3 - x2 * x2
-        d, e, f = n * x4 - x2 * x2, n * x3 - x1 * x2, n * x2 - x1 * x1
-        det = n * a - x1 * b + x2 * c
-        df = df.withColumns({f"_fa_{w}": div(y0 * a - y1 * b + y2 * c, det), f"_fb_{w}": div(y1 * d - y0 * b - y2 * e, det), f"_fc_{w}": div(y0 * c - y1 * e + y2 * f, det)})
-        fa, fb, fc = (F.col(f"_f{k}_{w}") for k in "abc")
-        total = F.col(f"_zz_{w}") - div(y0 * y0, n)
-        left = F.col(f"_zz_{w}") - fa * y0 - fb * y1 - fc * y2
-        fits = ok & (n >= 3) & (det > 1e-20) & (total >= TINY)
-        out[f"rigidity_{label}"] = F.when(fits, fb * (1 - div(left, total)) * F.ln(1 / (F.abs(fc) + F.lit(1e-8))))
+        out[f"rigidity_{label}"] = F.when(ok, F.col(f"_v_{w}"))
         out[f"rigidity_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w}") > 0))
     return _done(df, before, out)
 
@@ -222,100 +266,98 @@ def rigidity(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
 # ---- moments of returns (OP-49, OP-50)
 
 
-def _change(value: str, usable: Column, lag: int, rows, floor: float | None = None) -> Column:
-    """value / value lag rows ago - 1, where both are usable."""
-    earlier = F.lag(value, lag).over(rows)
-    both = usable & flag(F.lag("_use", lag).over(rows))
-    return F.when(both if floor is None else both & (earlier > floor), div(F.col(value), earlier) - 1)
+def _change(rows: Rows, x: np.ndarray, usable: np.ndarray, lag: int, floor: float | None = None) -> np.ndarray:
+    """x / x lag rows ago - 1, where both are usable and the earlier one is not 0 (or above the floor)."""
+    earlier = rows.lag(x, lag)
+    both = usable & rows.lag(usable, lag, False)
+    return np.where(both & (earlier != 0 if floor is None else earlier > floor), x / earlier - 1, np.nan)
 
 
-def neg_skew(df: DataFrame, windows: Windows, by: By, order: str, lag: int = TICKS_PER_MINUTE) -> DataFrame:
+def neg_skew(df: DataFrame, windows: Windows, by: By, order: str, lag: int = TICKS_PER_MINUTE, **deal) -> DataFrame:
     """OP-49: minus the bias-corrected skew of the lag-row returns over w rows, none of them missing."""
-    before, ws = df.columns, list(windows.values())
-    df = _prepared(df, by, order, _use=F.col("CanUsePrice"))
-    df = df.withColumn("_r", _change("Price", F.col("_use"), lag, rows_of(by, order)))
-    previous, _ = last_change(F.col("_r"), by, order)
-    df = df.withColumn("_previous", previous)
-    _, changed = last_change(F.col("_r"), by, order)
-    df = df.withColumn("_changed", changed)
-    gates = [w + lag for w in ws]
-    r = F.col("_r")
-    df = rolling_sums(df, by, order, {"_k": (count_of(r.isNotNull()), ws), "_n": (count_of(F.col("CanUsePrice")), gates), "_l": (count_of(F.col("_limit")), gates)})
-    df = local_moments(df, by, order, {"_m": (r, ws)}, cubes=True)
+    ws = list(dict.fromkeys(windows.values()))
+
+    def f(rows: Rows, v: State) -> dict:
+        r = _change(rows, v["_price"], v["_use"], lag)
+        moments, found = rows.moments(r, ws), {}
+        for w in ws:
+            found |= {f"_k_{w}": rows.count(~np.isnan(r), w), f"_n_{w}": rows.count(v["_use"], w + lag), f"_l_{w}": rows.count(v["_limit"], w + lag)}
+            found |= {f"_flat_{w}": rows.constant(r, w), f"_xx_{w}": moments[w]["xx"], f"_xxx_{w}": moments[w]["xxx"]}
+        return found
+
+    out = [x for w in ws for x in (*_fields("long", f"_k_{w}", f"_n_{w}", f"_l_{w}"), f"_flat_{w} boolean", *_fields("double", f"_xx_{w}", f"_xxx_{w}"))]
+    columns = {"_price": F.col("Price"), "_use": flag(F.col("CanUsePrice"))}
+    df, before = _along(df, by, order, max(ws, default=1) + lag, columns, out, f, **deal)
     out = {}
     for label, w in windows.items():
-        ok = gate(F.col(f"_n_{w + lag}"), w + lag, F.col("_pos"))
-        m2, m3 = F.col(f"_m_{w}")["xx"] / w, F.col(f"_m_{w}")["xxx"] / w
-        constant = flag(F.coalesce("_changed", F.lit(-1)) <= F.col("_pos") - (w - 1))
+        ok = gate(F.col(f"_n_{w}"), w + lag, F.col("_pos"))
+        m2, m3 = F.col(f"_xx_{w}") / w, F.col(f"_xxx_{w}") / w
         skew = F.lit((w * (w - 1)) ** 0.5 / (w - 2)) * div(m3, m2 * F.sqrt(m2))
-        value = F.when(constant, F.lit(0.0)).when(m2 * w / (w - 1) > 1e-14, -skew)
+        value = F.when(F.col(f"_flat_{w}"), F.lit(0.0)).when(m2 * w / (w - 1) > 1e-14, -skew)
         out[f"neg_skew_{label}"] = F.when(ok & (F.col(f"_k_{w}") == w), value)
-        out[f"neg_skew_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w + lag}") > 0))
+        out[f"neg_skew_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w}") > 0))
     return _done(df, before, out)
 
 
-def pv_corr(df: DataFrame, windows: Windows, by: By, order: str, volume: str = "CumVolume") -> DataFrame:
+def pv_corr(df: DataFrame, windows: Windows, by: By, order: str, volume: str = "CumVolume", **deal) -> DataFrame:
     """OP-50: z-score of the price change times the sign of the volume change's, averaged over the usable rows of the last w."""
-    before, rows = df.columns, rows_of(by, order)
-    ws = list(windows.values())
-    df = _prepared(df, by, order, _use=F.col("CanUsePrice"))
-    for w in ws:
-        df = df.withColumns({f"_p{w}": _change("Price", F.col("_use"), w, rows, TINY), f"_v{w}": _change(volume, F.col("_use"), w, rows, TINY)})
-    inputs: dict = {"_n": (count_of(F.col("CanUsePrice")), [4 * w for w in ws]), "_l": (count_of(F.col("_limit")), [4 * w for w in ws])}
-    for w in ws:
-        for k in "pv":
-            x = F.col(f"_{k}{w}")
-            df = df.withColumn("_previous", F.last(x, ignorenulls=True).over(rows.rowsBetween(W.unboundedPreceding, -1)))
-            df = df.withColumn(f"_c{k}{w}", last_change(x, by, order)[1])
-            inputs[f"_{k}n{w}"] = (count_of(x.isNotNull()), [2 * w])
-    df = rolling_sums(df, by, order, inputs)
-    df = local_moments(df, by, order, {f"_{k}m{w}": (F.col(f"_{k}{w}"), [2 * w]) for w in ws for k in "pv"})
-    for w in ws:
-        z = {}
-        for k in "pv":
-            mean, spread = F.col(f"_{k}m{w}_{2 * w}")["x"], F.col(f"_{k}m{w}_{2 * w}")["xx"] / (2 * w)
-            moves = (F.col(f"_{k}n{w}_{2 * w}") == 2 * w) & flag(F.col(f"_c{k}{w}") > F.col("_pos") - (2 * w - 1))
-            z[k] = F.when(moves & (spread > 0), div(F.col(f"_{k}{w}") - mean, F.sqrt(F.greatest(spread, F.lit(0.0)))))
-        df = df.withColumn(f"_raw{w}", F.when(F.col("CanUsePrice"), z["p"] * F.signum(z["v"])))
-    df = rolling_sums(df, by, order, {f"_rn{w}": (count_of(F.col(f"_raw{w}").isNotNull()), [w]) for w in ws})
-    df = local_sums(df, by, order, {f"_rs{w}": (F.col(f"_raw{w}"), [w]) for w in ws})
+    ws = list(dict.fromkeys(windows.values()))
+
+    def f(rows: Rows, v: State) -> dict:
+        found = {}
+        for w in ws:
+            z = {}
+            for k in "pv":
+                x = _change(rows, v[f"_{k}"], v["_use"], w, TINY)
+                m = rows.moments(x, [2 * w])[2 * w]
+                spread = m["xx"] / (2 * w)
+                moves = (rows.count(~np.isnan(x), 2 * w) == 2 * w) & ~rows.constant(x, 2 * w)
+                z[k] = np.where(moves & (spread > 0), (x - m["x"]) / np.sqrt(np.maximum(spread, 0.0)), np.nan)
+            raw = np.where(v["_use"], z["p"] * np.sign(z["v"]), np.nan)
+            found |= {f"_n_{w}": rows.count(v["_use"], 4 * w), f"_l_{w}": rows.count(v["_limit"], 4 * w)}
+            found |= {f"_rn_{w}": rows.count(~np.isnan(raw), w), f"_rs_{w}": rows.sums(raw, [w])[w]}
+        return found
+
+    out = [x for w in ws for x in (*_fields("long", f"_n_{w}", f"_l_{w}", f"_rn_{w}"), f"_rs_{w} double")]
+    columns = {"_p": F.col("Price"), "_v": F.col(volume), "_use": flag(F.col("CanUsePrice"))}
+    df, before = _along(df, by, order, 4 * max(ws, default=1), columns, out, f, **deal)
     out = {}
     for label, w in windows.items():
-        ok = gate(F.col(f"_n_{4 * w}"), 4 * w, F.col("_pos"))
-        out[f"pv_corr_{label}"] = F.when(ok, masked_mean(F.col(f"_rs{w}_{w}"), F.col(f"_rn{w}_{w}")))
-        out[f"pv_corr_{label}_has_limit"] = flag(ok & (F.col(f"_l_{4 * w}") > 0))
+        ok = gate(F.col(f"_n_{w}"), 4 * w, F.col("_pos"))
+        out[f"pv_corr_{label}"] = F.when(ok, masked_mean(F.col(f"_rs_{w}"), F.col(f"_rn_{w}")))
+        out[f"pv_corr_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w}") > 0))
     return _done(df, before, out)
 
 
 # ---- book regression (OP-51)
 
 
-def rsrs(df: DataFrame, windows: Windows, by: By, order: str) -> DataFrame:
+def rsrs(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
     """OP-51: slope of the asks' volume-weighted price on the bids' over the five-level rows of the window."""
-    before, ws = df.columns, list(windows.values())
+    ws = list(dict.fromkeys(windows.values()))
 
     def weighted(price: Callable[[int], Column], volume: Callable[[int], Column]) -> Column:
         total = add_up(*[F.coalesce(volume(i), F.lit(0.0)) for i in LEVELS])
         return F.when(total > TINY, div(add_up(*[F.coalesce(price(i) * volume(i), F.lit(0.0)) for i in LEVELS]), total))
 
-    df = _prepared(df, by, order, _bx=weighted(bid, bid_volume), _by=weighted(ask, ask_volume))
-    both = F.col("CanUseFiveLevelBook") & F.col("_bx").isNotNull() & F.col("_by").isNotNull()
-    df = df.withColumns({"_bx": F.when(both, F.col("_bx")), "_by": F.when(both, F.col("_by"))})
-    df = df.withColumn("_previous", F.last("_bx", ignorenulls=True).over(rows_of(by, order).rowsBetween(W.unboundedPreceding, -1)))
-    x, y = F.col("_bx"), F.col("_by")
-    df = rolling_sums(df, by, order, {"_k": (count_of(x.isNotNull()), ws), "_n": (count_of(F.col("CanUseFiveLevelBook")), ws), "_l": (count_of(F.col("_limit")), ws)})
-    df = local_comoments(df, by, order, "_m", x, y, ws)
-    # the first valid row of a window: the valid rows before it are as many as the running count less the window's
-    df = df.withColumn("_ordinal", F.when(x.isNotNull(), F.sum(count_of(x.isNotNull())).over(growing(by, order))))
-    df = df.withColumn("_change_ordinal", F.max(F.when(F.col("_previous").isNotNull() & x.isNotNull() & (F.col("_bx") != F.col("_previous")), F.col("_ordinal"))).over(growing(by, order)))
-    df = df.withColumn("_count", F.max("_ordinal").over(growing(by, order)))
+    def f(rows: Rows, v: State) -> dict:
+        both = v["_five"] & ~np.isnan(v["_bx"]) & ~np.isnan(v["_by"])
+        x, y = (np.where(both, v[c], np.nan) for c in ("_bx", "_by"))
+        moments, found = rows.comoments(x, y, ws), {}
+        for w in ws:
+            found |= {f"_k_{w}": rows.count(both, w), f"_n_{w}": rows.count(v["_five"], w), f"_l_{w}": rows.count(v["_limit"], w)}
+            found |= {f"_varies_{w}": rows.varies(x, w), f"_xx_{w}": moments[w]["xx"], f"_xy_{w}": moments[w]["xy"]}
+        return found
+
+    out = [x for w in ws for x in (*_fields("long", f"_k_{w}", f"_n_{w}", f"_l_{w}"), f"_varies_{w} boolean", *_fields("double", f"_xx_{w}", f"_xy_{w}"))]
+    columns = {"_bx": weighted(bid, bid_volume), "_by": weighted(ask, ask_volume), "_five": flag(F.col("CanUseFiveLevelBook"))}
+    df, before = _along(df, by, order, max(ws, default=1), columns, out, f, **deal)
     out = {}
     for label, w in windows.items():
         n = F.col(f"_k_{w}")
-        under, over = n * F.col(f"_m_{w}")["xx"], n * F.col(f"_m_{w}")["xy"]
-        varies = flag(F.col("_change_ordinal") > F.col("_count") - n + 1)
+        under, over = n * F.col(f"_xx_{w}"), n * F.col(f"_xy_{w}")
         ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
-        out[f"rsrs_{label}"] = F.when(ok & (n >= 2) & varies & (F.abs(under) > TINY), div(over, under))
+        out[f"rsrs_{label}"] = F.when(ok & (n >= 2) & F.col(f"_varies_{w}") & (F.abs(under) > TINY), div(over, under))
         out[f"rsrs_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w}") > 0))
     return _done(df, before, out)
 
@@ -355,7 +397,10 @@ def factor_columns(df: DataFrame, name: str) -> list[str]:
 
 
 def run_factor(base: DataFrame, name: str, by: By = ("date", "security_id"), order: str = "tick_idx", windows: dict | None = None, **options) -> DataFrame:
-    """OP-54: the factor's columns beside all others."""
+    """OP-54: the factor's columns beside all others.
+
+    Options of the factors here: keep (the columns wanted of base beside by, order and the factor's own), tasks (how many the rows are dealt to), placed (each of by is in one task already).
+    """
     spec = FACTORS[name]
     return spec.build(base, spec.windows if windows is None else windows, by, order, **options)
 

@@ -40,13 +40,13 @@ def keep_last(ticks: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def as_of(
-    grid: DataFrame, ticks: DataFrame, by: list[str], grid_time: str = "ts", tick_time: str = "ts", gap: str = "gap_sec", columns: list[str] | None = None
+    grid: DataFrame, ticks: DataFrame, by: list[str], grid_time: str = "ts", tick_time: str = "ts", gap: str = "gap_sec", columns: list[str] | None = None, tasks: int | None = None
 ) -> DataFrame:
     """OP-17, OP-18: each grid row with the last tick at or before it (or NULLs), and the seconds since.
 
     Both sides are put in one row of times and each grid row takes the latest tick as a whole, so a missing value of that tick stays
     missing. One exchange and one sort; no pairs of grid and tick are made. by is the partition, at will. columns: what is wanted of the tick
-    (all by default); nothing else goes through the exchange, which no later projection could spare.
+    (all by default); nothing else goes through the exchange, which no later projection could spare. tasks: how many the exchange deals to, if not as many as the session says.
     """
     carried = [c for c in ticks.columns if c not in by and (columns is None or c in columns or c == tick_time)]
     clash = [c for c in carried if c in grid.columns and c != tick_time]
@@ -57,6 +57,7 @@ def as_of(
     right = ticks.select(*by, F.col(tick_time).alias("_at"), F.lit(0).alias("_side"), F.struct(*carried).alias("_tick"))
     so_far = W.partitionBy(*by).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     both = left.unionByName(right, allowMissingColumns=True)
+    both = both.repartition(tasks, *by) if tasks else both
     found = both.withColumn("_last", F.last("_tick", ignorenulls=True).over(so_far)).filter("_side = 1")
     since = (F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col(f"_last.{tick_time}").cast("timestamp"))) / F.lit(1e6)
     values = [F.col(f"_last.{c}").alias("source_time" if c == tick_time else c) for c in carried]

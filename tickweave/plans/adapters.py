@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickweave.functions.along import tasks_for
 from tickweave.functions.exprs import div, flag, tidy
 from tickweave.operators.base import with_base
 from tickweave.operators.ingest import as_of
@@ -53,10 +54,16 @@ def hourly_grid(ticks: DataFrame) -> DataFrame:
     return securities.select("security_id", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))).alias("grid_ts"))
 
 
+def event_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for every security's hours and its ticks."""
+    low, high, securities, n = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts"), F.approx_count_distinct("user_id"), F.count("*")).first()
+    return tasks_for(spark, n + (securities * 24 * ((high.date() - low.date()).days + 1) if n and low else 0))
+
+
 def sampled_events(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Each hour with the latest tick (or some columns of it); date, sample_time and tick_idx (the hour) as in a day of ticks."""
     ticks = event_ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    sampled = as_of(hourly_grid(ticks), ticks, ["security_id"], "grid_ts", "ts", columns=columns)
+    sampled = as_of(hourly_grid(ticks), ticks, ["security_id"], "grid_ts", "ts", columns=columns, tasks=event_tasks(spark, sf_dir))
     return sampled.select(
         F.date_format("grid_ts", "yyyy-MM-dd").alias("date"), F.date_format("grid_ts", "HH:mm:ss").alias("sample_time"), F.hour("grid_ts").alias("tick_idx"), "*"
     ).withColumn("market", F.lit("SH"))
@@ -71,6 +78,7 @@ def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
+    items = items.repartition(tasks_for(spark, items.count()), "l_suppkey")
     order = W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     usable = flag(F.col("l_quantity") > 2)
     numbered = items.select(
@@ -86,11 +94,23 @@ def item_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 2,500 rows there is a stretch of forty rows most of which cannot be used, else only single rows lack a side or a level of the book."""
-    security = F.col("l_suppkey") % 10
-    order = W.partitionBy("security_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
-    items = table(spark, sf_dir, "lineitem").withColumns({"security_id": security, "p": tidy(div(F.col("l_extendedprice"), F.col("l_quantity")))})
-    numbered = items.withColumns({"tick_idx": F.row_number().over(order) - 1, "CumVolume": F.sum("l_quantity").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    """Every 2,500 rows there is a stretch of forty rows most of which cannot be used, else only single rows lack a side or a level of the book.
+
+    Rows are numbered within a security's day and moved by what its days before hold, so that no task has a whole security.
+    """
+    items = table(spark, sf_dir, "lineitem")
+    tasks = tasks_for(spark, items.count())
+    items = items.select(
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity",
+        (F.col("l_suppkey") % 10).alias("security_id"), F.to_date("l_shipdate").alias("day"), tidy(div(F.col("l_extendedprice"), F.col("l_quantity"))).alias("p"),
+    )
+    earlier = W.partitionBy("of").orderBy("on").rowsBetween(W.unboundedPreceding, -1)
+    days = items.groupBy(F.col("security_id").alias("of"), F.col("day").alias("on")).agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity"))
+    days = days.select("of", "on", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"), F.sum("quantity").over(earlier).alias("before"))
+    order = W.partitionBy("security_id", "day").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    numbered = items.repartition(tasks, "security_id", "day").withColumns({"at": F.row_number().over(order) - 1, "so_far": F.sum("l_quantity").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    numbered = numbered.join(F.broadcast(days), F.col("security_id").eqNullSafe(F.col("of")) & F.col("day").eqNullSafe(F.col("on")))
+    numbered = numbered.withColumns({"tick_idx": (F.col("rows_before") + F.col("at")).cast("int"), "CumVolume": F.coalesce(F.col("before") + F.col("so_far"), "before", "so_far")})
     usable = ~((F.col("tick_idx") % 2500 < 40) & (F.col("l_partkey") % 3 != 0))
     both = usable & (F.col("l_partkey") % 40 != 0)
     book = {}
@@ -100,7 +120,7 @@ def long_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         book[f"AskVolume{i}"] = (1 + (F.col("l_orderkey") * 11 + i * 17) % 50).cast("double")
         book[f"BidVolume{i}"] = (1 + (F.col("l_partkey") * 7 + i * 13) % 50).cast("double")
     return numbered.select(
-        F.lit("all").alias("date"), "security_id", "tick_idx", "CumVolume", usable.alias("CanUsePrice"), both.alias("CanUseDoubleSideBook"),
+        F.lit("all").alias("date"), "security_id", "tick_idx", F.col("tick_idx").alias("_pos"), "CumVolume", usable.alias("CanUsePrice"), both.alias("CanUseDoubleSideBook"),
         (both & (F.col("l_orderkey") % 30 != 0)).alias("CanUseFiveLevelBook"), F.when(usable, F.col("p")).alias("Price"), *[c.alias(k) for k, c in book.items()],
     )
 

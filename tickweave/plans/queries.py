@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickweave.functions.along import dealt, tasks_for
 from tickweave.functions.exprs import tidy
 from tickweave.operators import evaluation as E
 from tickweave.operators import ingest as I
@@ -309,7 +310,7 @@ def _(spark, d):
 def _events_factor(name: str, windows: dict, **options) -> Query:
     def run(spark, d):
         base = A.event_base(spark, d)
-        out = run_factor(base, name, A.DAY, A.ORDER, windows, **options)
+        out = run_factor(base, name, A.DAY, A.ORDER, windows, keep=["sample_time"], placed=True, **options)
         return rounded(out.select("security_id", *AT, *[c for c in out.columns if c not in base.columns]))
 
     return run
@@ -318,7 +319,7 @@ def _events_factor(name: str, windows: dict, **options) -> Query:
 def _items_factor(name: str, windows: dict, digits: int = 6, **options) -> Query:
     def run(spark, d):
         base = A.item_base(spark, d)
-        out = run_factor(base, name, A.DAY, A.ORDER, windows, **options)
+        out = run_factor(base, name, A.DAY, A.ORDER, windows, keep=[], placed=True, **options)
         return rounded(out.select("security_id", "tick_idx", *[c for c in out.columns if c not in base.columns]), digits)
 
     return run
@@ -345,7 +346,8 @@ SHIPPED = {
 def _shipped_factor(name: str) -> Query:
     def run(spark, d):
         base = A.long_base(spark, d)
-        out = run_factor(base, name, A.DAY, A.ORDER, SHIPPED[name])
+        tasks = tasks_for(spark, A.table(spark, d, "lineitem").count())
+        out = run_factor(base, name, A.DAY, A.ORDER, SHIPPED[name], keep=[], tasks=tasks)
         return rounded(out.select("security_id", "tick_idx", *[c for c in out.columns if c not in base.columns]))
 
     return run
@@ -357,13 +359,13 @@ for _name in SHIPPED:
 
 @query("factor_summary")
 def _(spark, d):
-    return factor_summary(run_factor(A.event_base(spark, d), "bap", A.DAY, A.ORDER, T_WINDOWS), "bap")
+    return factor_summary(run_factor(A.event_base(spark, d), "bap", A.DAY, A.ORDER, T_WINDOWS, keep=[], placed=True), "bap")
 
 
 @query("factor_chain")
 def _(spark, d):
     """Several factors over one shuffle: how many values each has."""
-    df = A.event_base(spark, d)
+    df = dealt(A.event_base(spark, d), A.DAY, A.ORDER, 4, placed=True)
     for name in ("bap", "oir", "ofd"):
         df = run_factor(df, name, A.DAY, A.ORDER, {"4t": 4})
     return df.groupBy("security_id").agg(*[F.count(f"{n}_4t").alias(f"nnz_{n}") for n in ("bap", "oir", "ofd")], *[F.count_if(f"{n}_4t_has_limit").alias(f"limits_{n}") for n in ("bap", "oir", "ofd")])
@@ -373,8 +375,8 @@ def _(spark, d):
 def pressure_ic(spark, d):
     """Daily mean cross-sectional coefficient of book pressure against the next tick's return."""
     base = with_forward_returns(A.event_base(spark, d), (1,), list(A.DAY), A.ORDER)
-    out = run_factor(base, "bap", A.DAY, A.ORDER, {"4t": 4})
-    ic = E.cs_ic(out, [("bap_4t", "ret_fwd_1")], AT, "security_id")
+    out = run_factor(base, "bap", A.DAY, A.ORDER, {"4t": 4}, keep=["sample_time", "ret_fwd_1"], placed=True)
+    ic = E.cs_ic(out, [("bap_4t", "ret_fwd_1")], AT, "security_id", A.event_tasks(spark, d))
     daily = ic.groupBy("date").agg(F.avg("ic").alias("ic"), F.count("ic").alias("n"))
     return rounded(daily)
 
@@ -396,7 +398,8 @@ def _stats(spark, d, compat=False):
 
 
 def _ts(spark, d):
-    return E.ts_ic(A.panel(spark, d), PAIRS, ["date", "security_id"], "sample_time", (A.AM_END, A.PM_START))
+    items = A.table(spark, d, "lineitem").count()  # at least as many as the panel's rows
+    return E.ts_ic(A.panel(spark, d), PAIRS, ["date", "security_id"], "sample_time", (A.AM_END, A.PM_START), tasks_for(spark, items))
 
 
 QUERIES["cs_ic"] = lambda spark, d: rounded(_ic(spark, d))
