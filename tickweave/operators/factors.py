@@ -60,42 +60,56 @@ def _fields(kind: str, *names: str) -> list[str]:
 # ---- means of a raw value (OP-44, OP-52, OP-53)
 
 
-def _mean_factor(df: DataFrame, name: str, raw: Column, windows: Windows, by: By, order: str, **deal) -> DataFrame:
-    ws = list(dict.fromkeys(windows.values()))
+def mean_factors(df: DataFrame, raws: dict[str, Column], windows: Windows, by: By, order: str, **deal) -> DataFrame:
+    """Means of several raw values in one pass; what they are made of goes no further than that."""
+    names, ws = list(raws), list(dict.fromkeys(windows.values()))
 
     def f(rows: Rows, v: State) -> dict:
-        there, sums = ~np.isnan(v["_raw"]), rows.sums(v["_raw"], ws)
-        return {f"_{k}_{w}": x for w in ws for k, x in (("n", rows.count(there, w)), ("l", rows.count(v["_limit"], w)), ("s", sums[w]))}
+        found = {f"_l_{w}": rows.count(v["_limit"], w) for w in ws}
+        for name in names:
+            raw = v[f"_raw_{name}"]
+            sums = rows.sums(raw, ws)
+            found |= {f"_{k}_{name}_{w}": x for w in ws for k, x in (("n", rows.count(~np.isnan(raw), w)), ("s", sums[w]))}
+        return found
 
-    out = [x for w in ws for x in (*_fields("long", f"_n_{w}", f"_l_{w}"), f"_s_{w} double")]
-    df, before = _along(df, by, order, max(ws, default=1), {"_raw": raw}, out, f, **deal)
+    out = _fields("long", *[f"_l_{w}" for w in ws]) + [x for n in raws for w in ws for x in (f"_n_{n}_{w} long", f"_s_{n}_{w} double")]
+    df, before = _along(df, by, order, max(ws, default=1), {f"_raw_{name}": raw for name, raw in raws.items()}, out, f, **deal)
     out = {}
-    for label, w in windows.items():
-        ok = gate(F.col(f"_n_{w}"), w, F.col("_pos"))
-        out[f"{name}_{label}"] = F.when(ok, masked_mean(F.col(f"_s_{w}"), F.col(f"_n_{w}")))
-        out[f"{name}_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w}") > 0))
+    for name in raws:
+        for label, w in windows.items():
+            ok = gate(F.col(f"_n_{name}_{w}"), w, F.col("_pos"))
+            out[f"{name}_{label}"] = F.when(ok, masked_mean(F.col(f"_s_{name}_{w}"), F.col(f"_n_{name}_{w}")))
+            out[f"{name}_{label}_has_limit"] = flag(ok & (F.col(f"_l_{w}") > 0))
     return _done(df, before, out)
 
 
-def bap(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
+def bap_raw() -> Column:
     """OP-44: pressure of the first level's volumes, averaged."""
     total = bid_volume(1) + ask_volume(1)
     raw = F.when(F.col("CanUseDoubleSideBook") & (total > TINY), div(bid_volume(1) - ask_volume(1), total))
-    return _mean_factor(df, "bap", raw, windows, by, order, **deal)
+    return raw
+
+
+def bap(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
+    return mean_factors(df, {"bap": bap_raw()}, windows, by, order, **deal)
 
 
 OIR_WEIGHTS = (1.0, 0.8, 0.6, 0.4, 0.2)  # fixed values, by level
 
 
-def oir(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
+def oir_raw() -> Column:
     """OP-52: weighted imbalance over five levels, averaged."""
     over = add_up(*[F.lit(w) * (bid_volume(i) - ask_volume(i)) for i, w in zip(LEVELS, OIR_WEIGHTS)])
     under = add_up(*[F.lit(w) * (bid_volume(i) + ask_volume(i)) for i, w in zip(LEVELS, OIR_WEIGHTS)])
     raw = F.when(F.col("CanUseFiveLevelBook") & (under > TINY), div(over, under))
-    return _mean_factor(df, "oir", raw, windows, by, order, **deal)
+    return raw
 
 
-def ofd(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
+def oir(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
+    return mean_factors(df, {"oir": oir_raw()}, windows, by, order, **deal)
+
+
+def ofd_raw() -> Column:
     """OP-53: ratio of the sides' depth per average price step, averaged."""
 
     def density(price: Callable[[int], Column], volume: Callable[[int], Column], sign: int) -> Column:
@@ -104,7 +118,11 @@ def ofd(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFram
 
     asks = density(ask, ask_volume, -1)
     raw = F.when(F.col("CanUseFiveLevelBook") & (asks > TINY), div(density(bid, bid_volume, 1), asks))
-    return _mean_factor(df, "ofd", raw, windows, by, order, **deal)
+    return raw
+
+
+def ofd(df: DataFrame, windows: Windows, by: By, order: str, **deal) -> DataFrame:
+    return mean_factors(df, {"ofd": ofd_raw()}, windows, by, order, **deal)
 
 
 # ---- momentum (OP-45, OP-46)

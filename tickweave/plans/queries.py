@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.functions.along import dealt, tasks_for
+from tickweave.functions.along import tasks_for
 from tickweave.functions.exprs import tidy
 from tickweave.operators import evaluation as E
 from tickweave.operators import ingest as I
@@ -18,7 +18,7 @@ from tickweave.operators import quantiles as Q
 from tickweave.operators import state as S
 from tickweave.operators import views as V
 from tickweave.operators.base import base_status, base_summary, with_base, with_forward_returns, with_status
-from tickweave.operators.factors import FACTORS, factor_summary, run_factor, ticks
+from tickweave.operators.factors import FACTORS, bap_raw, factor_summary, mean_factors, ofd_raw, oir_raw, run_factor, ticks
 from tickweave.plans import adapters as A
 from tickweave.sources.readers import available_days, listed, parse_raw, read_factor_stats, read_metadata, read_overrides, read_table
 from tickweave.sources.schemas import METADATA
@@ -364,10 +364,9 @@ def _(spark, d):
 
 @query("factor_chain")
 def _(spark, d):
-    """Several factors over one shuffle: how many values each has."""
-    df = dealt(A.event_base(spark, d), A.DAY, A.ORDER, 4, placed=True)
-    for name in ("bap", "oir", "ofd"):
-        df = run_factor(df, name, A.DAY, A.ORDER, {"4t": 4})
+    """Several factors in one pass: how many values each has."""
+    raws = {"bap": bap_raw(), "oir": oir_raw(), "ofd": ofd_raw()}
+    df = mean_factors(A.event_base(spark, d), raws, {"4t": 4}, A.DAY, A.ORDER, keep=[], placed=True)
     return df.groupBy("security_id").agg(*[F.count(f"{n}_4t").alias(f"nnz_{n}") for n in ("bap", "oir", "ofd")], *[F.count_if(f"{n}_4t_has_limit").alias(f"limits_{n}") for n in ("bap", "oir", "ofd")])
 
 
