@@ -96,3 +96,31 @@ def test_parities_never_differ_more_than_their_sets():
         apart = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view(np.uint64))
         assert apart <= len(np.setxor1d(a, b)) and parities(a).dtype == np.int64 and len(parities(a)) == 8
         assert not (parities(a) ^ parities(a)).any()
+
+
+def test_the_stage_goes_through_the_trees(spark, monkeypatch):
+    """Every fingerprint goes to operator 10's trees; what they link alone are pairs that are similar, and the join has no more to do for such families."""
+    from tickweave.llm import similar as S
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for _ in range(8):
+        base = [word() for _ in range(400)]
+        texts += [" ".join([*base, *(word() for _ in range(k))]) for k in range(4)]
+    short = ["one two", "a b c d e f"]  # alike by no set
+    df = spark.createDataFrame(list(enumerate([*texts, *short])), "doc_id long, text string")
+    seen, plain = [], S.near_pairs
+
+    def watched(distinct, *args, **how):
+        seen.append({r.fp for r in distinct.collect()})
+        return plain(distinct, *args, **how)
+
+    monkeypatch.setattr(S, "near_pairs", watched)
+    prints = S._prints(df, 5, 80, S._order(df, 5, 100, 100)).cache()
+    links = S.tree_links(df, prints).collect()
+    assert seen == [{r.print for r in prints.collect()}]
+    doc = {r.fp: r.doc_id for r in prints.collect()}
+    assert len(links) >= 12 and all(doc[r.a] // 4 == doc[r.b] // 4 for r in links)
+    docs = df.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    assert sorted(r.doc_id for r in P.simhash_dedup(spark, docs, "").collect()) == [*range(0, 32, 4), 32, 33] and len(seen) == 2

@@ -43,6 +43,11 @@ def partitions_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
+def in_fewer(df: DataFrame, each: int) -> DataFrame:
+    """A checkpointed df in partitions of about `each` rows, if it has more than that takes: a small table is then grouped and joined without exchanges of nearly empty parts."""
+    return df.coalesce(partitions_for(df.count(), each))
+
+
 BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
 
 

@@ -24,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import checkpointed, small_batches, table, text_or_empty
+from tickweave.llm.common import checkpointed, in_fewer, small_batches, table, text_or_empty
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 SHARD_FINGERPRINTS = 16_384  # residents of a shard, about
 SAMPLE = 65_536  # fingerprints in the sample for the shards' tree, at most about
 LEAF = 128  # fingerprints in a leaf of a local tree
+EDGES_A_TASK = 250_000
 
 
 def digests(text: str, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -204,17 +205,18 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHAR
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, root): root is the least node of the component. Large-star and small-star by turns, until neither changes an edge."""
-    edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """edges (a, b) -> (node, root): root is the least node of the component. Large-star and small-star by turns, until neither changes an edge. Tasks follow the number of edges."""
+    edges = in_fewer(checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), EDGES_A_TASK)
+    edges = in_fewer(checkpointed(edges.distinct()), EDGES_A_TASK)
     while True:  # a chain of n edges takes about log(n) rounds
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("at")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         # small-star: every edge points from larger to smaller; a node hands its smaller neighbours the least of them
         lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), "m")
         small = large.join(lowest, F.col("a") == F.col("at")).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        after = checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct())
+        after = in_fewer(checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()), EDGES_A_TASK)
         same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
         edges = after
         if same:

@@ -11,8 +11,10 @@ and sets of similarity s or more differ in at most (1 - s) / (1 + s) of their si
 inside the join, and leaves few pairs of a family whose texts are only partly alike. Each shingle of a prefix also looks at the few before it (BEFORE): two sets that share
 one of these meet there already, so a pair of close copies is made about once and not once for each shingle they share.
 
-Links: pairs that can be similar by all this are compared exactly. First each with one pivot of the shingle's sets, so that a large group
-of copies is one component after comparisons in proportion to its size; then all pairs that are still apart.
+Links: operator 10 comes first. Fingerprints over the same shingles go through its vantage-point trees, and each class is compared with one of those that
+the trees put with it, so families of close copies are one component before any join. Fingerprints tell neither all similar pairs nor only those, so a link
+of the trees counts if the sets bear it out, and pairs that can be similar by prefixes and sketches and that the trees leave apart are compared exactly too:
+where they are very many first each with one pivot of the shingle's sets, so that comparisons stay in proportion to a group's size; then all that are still apart.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import checkpointed, small_batches, text_or_empty
-from tickweave.llm.simhash import SEED, components, digests
+from tickweave.llm.common import checkpointed, in_fewer, small_batches, text_or_empty
+from tickweave.llm.simhash import RADIUS, SEED, components, digests, majority, near_pairs
 
 SHINGLE = 5
 PERCENT = 80  # least similarity
@@ -39,6 +41,7 @@ FEW = 500_000  # ids that are sent to all executors
 PIVOT_ROUNDS = 1
 SKETCH, FINE = 512, 4096  # parities of a set, for the join and before sets are compared
 BEFORE = 4  # shingles that one of a prefix knows of those before it
+PAIRS_A_TASK = 100_000
 PAIRS_A_ROW = 32  # pairs to compare for each (shingle, set), from which another round of pivots is cheaper
 
 
@@ -102,14 +105,18 @@ def _class_of(values: np.ndarray) -> int:
 
 
 def _prints(docs: DataFrame, shingle: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, fp, n, prefix, sketch): class, size, first shingles and parities of each document's set."""
+    """(doc_id, fp, n, print, prefix, sketch): class, size, fingerprint (of operator 10, from the same shingles), first shingles and parities of each document's set."""
 
-    @F.pandas_udf("fp long, n int, prefix array<long>, sketch array<long>")
+    @F.pandas_udf("fp long, n int, print long, prefix array<long>, sketch array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, shingle) for t in texts]
+        found, prints = [], []
+        for t in texts:
+            runs = list(digests(t, shingle))
+            found.append(np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64))
+            prints.append(majority(runs))
         first = [prefix(s, *order, percent).view(np.int64) for s in found]
         sketch = pd.Series([parities(s) for s in found], dtype=object)
-        return pd.DataFrame({"fp": np.array([_class_of(s) for s in found], np.int64), "n": np.array([len(s) for s in found], np.int32), "prefix": pd.Series(first, dtype=object), "sketch": sketch})
+        return pd.DataFrame({"fp": np.array([_class_of(s) for s in found], np.int64), "n": np.array([len(s) for s in found], np.int32), "print": np.array(prints, np.uint64).view(np.int64), "prefix": pd.Series(first, dtype=object), "sketch": sketch})
 
     return checkpointed(small_batches(docs).select("doc_id", of("text").alias("of")).select("doc_id", "of.*"))
 
@@ -124,6 +131,7 @@ def _of_classes(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: i
             yield pd.DataFrame({"fp": np.array([_class_of(s) for s in found], np.int64), "n": np.array([len(s) for s in found], np.int64), "body": body})
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    needed = F.broadcast(needed) if pairs.count() <= FEW // 2 else needed
     classes = checkpointed(prints.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("least")))
     ids = classes.select(F.col("least").alias("doc_id")).filter("doc_id is not null")
     named = docs.join(F.broadcast(ids) if classes.count() <= FEW else ids, "doc_id", "left_semi")
@@ -132,6 +140,42 @@ def _of_classes(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: i
     return checkpointed(made.join(classes.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("body").alias("body")))
 
 
+def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, written already, those that are similar: by their finer sketches, then by their sets, which only pairs that are left need."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)], dtype=bool)
+
+    @F.pandas_udf("boolean")
+    def sketched(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        far = np.array([int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) for x, y in zip(a, b)], np.int64)
+        return pd.Series(far * (100 + percent) <= (n.to_numpy() + m.to_numpy()) * (100 - percent), dtype=bool)
+
+    def with_bodies(pairs: DataFrame, whole: bool) -> DataFrame:
+        bodies = _of_classes(docs, prints, pairs, shingle, whole)
+        for c in "ab":
+            pairs = pairs.join(bodies.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("body").alias(f"body_{c}")), c)
+        return small_batches(pairs)
+
+    left = in_fewer(checkpointed(with_bodies(pairs, False).filter(sketched("body_a", "body_b", "n_a", "n_b")).select("a", "b")), PAIRS_A_TASK)
+    return with_bodies(left, True).filter(alike("body_a", "body_b")).select("a", "b")
+
+
+def tree_links(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+    """(a, b): similar classes by operator 10. Its trees link the fingerprints; each class is compared exactly with the one of its component that has the least number."""
+    firsts = checkpointed(prints.groupBy("print").agg(F.min("fp").alias("first")))
+    roots = components(near_pairs(firsts.select(F.col("print").alias("fp")), radius))
+    rooted = firsts.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    least = rooted.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("b"))
+    pivots = rooted.join(least, F.col("root") == F.col("of")).select(F.col("print").alias("at"), "b")
+    classes = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("sketch").alias("sketch"))
+    pairs = checkpointed(classes.join(pivots, F.col("print") == F.col("at")).filter("fp <> b").select(F.col("fp").alias("a"), "n", F.col("sketch").alias("x"), "b"))
+    with_pivot = in_fewer(pairs, PAIRS_A_TASK).join(classes.select(F.col("fp").alias("of"), F.col("n").alias("m"), F.col("sketch").alias("y")), F.col("b") == F.col("of"))
+    can_be = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (apart("x", "y") * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    return _verified(docs, prints, in_fewer(checkpointed(with_pivot.filter(can_be).select("a", "b")), PAIRS_A_TASK), shingle, percent)
+
+
 def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """(node, root) of the components of all pairs of classes that are similar."""
 
@@ -147,10 +191,6 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, pe
     rows = prints.select("fp", "n", "prefix").mapInArrow(emit, "s long, fp long, n int").repartition("s").dropDuplicates(["s", "fp"])
     meets = checkpointed(rows.withColumn("k", F.count("*").over(W.partitionBy("s"))).filter("k > 1"))
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)], dtype=bool)
-
     drawn = prints.groupBy(F.col("fp").alias("drawn")).agg(F.first("sketch").alias("sketch"), F.first("prefix").alias("of_prefix"))
 
     def few(one: str, other: str) -> Column:
@@ -159,25 +199,11 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, pe
     def with_sketch(df: DataFrame, fp: str, name: str) -> DataFrame:
         return df.join(drawn.select("drawn", F.col("sketch").alias(name)), F.col(fp) == F.col("drawn")).drop("drawn")
 
-    @F.pandas_udf("boolean")
-    def sketched(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        far = np.array([int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) for x, y in zip(a, b)], np.int64)
-        return pd.Series(far * (100 + percent) <= (n.to_numpy() + m.to_numpy()) * (100 - percent), dtype=bool)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), written already, those that are similar: by their finer sketches, then by their sets, which only pairs that are left need."""
-
-        def with_bodies(pairs: DataFrame, whole: bool) -> DataFrame:
-            bodies = _of_classes(docs, prints, pairs, shingle, whole)
-            for c in "ab":
-                pairs = pairs.join(bodies.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("body").alias(f"body_{c}")), c)
-            return small_batches(pairs)
-
-        left = checkpointed(with_bodies(pairs, False).filter(sketched("body_a", "body_b", "n_a", "n_b")).select("a", "b"))
-        return with_bodies(left, True).filter(alike("body_a", "body_b")).select("a", "b")
+        return _verified(docs, prints, pairs, shingle, percent)
 
     def joined_with(edges: DataFrame | None, found: DataFrame) -> DataFrame:
-        return checkpointed(found if edges is None else edges.union(found))
+        return in_fewer(checkpointed(found if edges is None else edges.union(found)), PAIRS_A_TASK)
 
     def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
@@ -187,7 +213,8 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, pe
         return pairs.filter(F.coalesce("_of_a", "a") != F.coalesce("_of_b", "b")).select("a", "b")
 
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    edges = roots = None
+    edges = joined_with(None, tree_links(docs, prints, shingle, percent))
+    roots = None if edges.isEmpty() else components(edges)
     for k in range(pivot_rounds + 1):
         if roots is None:
             now = meets.withColumn("root", F.col("fp"))
@@ -222,13 +249,13 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, pe
         pairs = pairs.select(one.alias("one"), other.alias("other"), "far").select(F.col("one.fp").alias("a"), F.col("one.n").alias("n"), F.col("other.fp").alias("b"), F.col("other.n").alias("m"), "far").distinct()
         if not last:
             pairs = with_sketch(with_sketch(pairs, "a", "x"), "b", "y").filter(few("x", "y"))
-        pairs = checkpointed(pairs.select("a", "b", "far"))
+        pairs = in_fewer(checkpointed(pairs.select("a", "b", "far")), PAIRS_A_TASK)
         if last:
             # each set's nearest by the sketches first: most of the links then lie within a component
             nearest = pairs.select("a", "b", "far").union(pairs.select("b", "a", "far")).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
             first = checkpointed(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
             edges = joined_with(edges, verified(first))
-            pairs = checkpointed(across(pairs, components(edges)))
+            pairs = in_fewer(checkpointed(across(pairs, components(edges))), PAIRS_A_TASK)
         edges = joined_with(edges, verified(pairs.select("a", "b")))
         roots = components(edges)
         if last:
