@@ -79,3 +79,16 @@ def test_forward_returns(spark):
     df = spark.createDataFrame([("d", "s", i, p, p is not None) for i, p in enumerate([1.0, 2.0, None, 4.0])], "date string, security_id string, tick_idx int, Price double, CanUsePrice boolean")
     out = with_forward_returns(df, (1, 2), ["date", "security_id"], "tick_idx").orderBy("tick_idx").collect()
     assert [r.ret_fwd_1 for r in out] == [1.0, None, None, None] and [r.ret_fwd_2 for r in out] == [None, 1.0, None, None]
+
+
+def test_raw_ticks_are_read_and_dealt_once(spark):
+    """One scan and one exchange, whatever the grid; values that are not wanted are left out."""
+    raw = spark.createDataFrame(
+        [("20240102", "000001", t, n, p, "SZ", None) for n, (t, p) in enumerate([("09:30:05", 1.0), ("09:30:05", 2.0), ("09:30:09", None), ("nan", 9.0)])] + [("20240230", "000001", "09:30:00", 0, 1.0, "SZ", None)],
+        "day string, security_id string, UpdateTime string, file_line long, LastPrice double, market string, lacks string",
+    )
+    sampled = I.sample_ticks(raw, (("09:30:00", "09:30:12"),), "3 seconds", ["LastPrice"])
+    rows = sorted((r.tick_idx, r.sample_time, r.LastPrice, r.gap_sec, r.market) for r in sampled.collect())
+    assert rows == [(0, "09:30:00", None, None, "SZ"), (1, "09:30:03", None, None, "SZ"), (2, "09:30:06", 2.0, 1.0, "SZ"), (3, "09:30:09", None, 0.0, "SZ")]
+    plan = sampled._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan ExistingRDD") == 1, plan

@@ -24,13 +24,18 @@ def parse_time(day: Column, time: Column) -> Column:
     return F.when(F.contains(clean, F.lit(":")), F.concat_ws(" ", iso, clean).try_cast("timestamp_ntz"))
 
 
-def session_grid(days: DataFrame, sessions: tuple[tuple[str, str], ...], freq: str, day_col: str = "day") -> DataFrame:
-    """OP-14: for each row of days (day yyyymmdd, ...) its grid times, left-closed and right-open, numbered by tick_idx."""
+def session_times(sessions: tuple[tuple[str, str], ...], freq: str, day_col: str = "day") -> Column:
+    """OP-14: the grid times of a day (yyyymmdd), left-closed and right-open, in order."""
     parts = []
     for begin, end in sessions:
         last = parse_time(F.col(day_col), F.lit(end)) - F.expr(f"interval {freq}")
         parts.append(F.sequence(parse_time(F.col(day_col), F.lit(begin)), last, F.expr(f"interval {freq}")))
-    return days.select("*", F.posexplode(F.concat(*parts)).alias("tick_idx", "ts"))
+    return F.concat(*parts)
+
+
+def session_grid(days: DataFrame, sessions: tuple[tuple[str, str], ...], freq: str, day_col: str = "day") -> DataFrame:
+    """OP-14: for each row of days (day yyyymmdd, ...) its grid times, numbered by tick_idx."""
+    return days.select("*", F.posexplode(session_times(sessions, freq, day_col)).alias("tick_idx", "ts"))
 
 
 def keep_last(ticks: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -55,23 +60,40 @@ def as_of(
     own = [c for c in grid.columns if c not in by]
     left = grid.select(*by, F.col(grid_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_grid"))
     right = ticks.select(*by, F.col(tick_time).alias("_at"), F.lit(0).alias("_side"), F.struct(*carried).alias("_tick"))
-    so_far = W.partitionBy(*by).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     both = left.unionByName(right, allowMissingColumns=True)
-    both = both.repartition(tasks, *by) if tasks else both
+    return _latest(both.repartition(tasks, *by) if tasks else both, by, own, carried, tick_time, gap)
+
+
+def _latest(both: DataFrame, by: list[str], own: list[str], carried: list[str], tick_time: str, gap: str) -> DataFrame:
+    """Rows (by, _at, _side, _grid, _tick) of grid and ticks: each grid row (_side 1) with the last tick so far."""
+    so_far = W.partitionBy(*by).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     found = both.withColumn("_last", F.last("_tick", ignorenulls=True).over(so_far)).filter("_side = 1")
     since = (F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col(f"_last.{tick_time}").cast("timestamp"))) / F.lit(1e6)
     values = [F.col(f"_last.{c}").alias("source_time" if c == tick_time else c) for c in carried]
     return found.select(*by, *[F.col(f"_grid.{c}").alias(c) for c in own], *values, since.alias(gap))
 
 
-def sample_ticks(raw: DataFrame, sessions: tuple[tuple[str, str], ...], freq: str) -> DataFrame:
-    """OP-14 to OP-20: raw ticks (day, security_id, UpdateTime, file_line, values) on the grid of their day; what a file says once (market, lacks) is on all its rows."""
-    timed = raw.withColumn("ts", parse_time(F.col("day"), F.col("UpdateTime"))).filter("ts is not null")
-    ticks = keep_last(timed, ["day", "security_id", "ts"], F.col("file_line"))
-    of_file = [c for c in ("market", "lacks") if c in timed.columns]
-    grid = session_grid(timed.select("day", "security_id", *of_file).distinct(), sessions, freq)
-    values = [c for c in ticks.columns if c not in ("Date", "file_line", *of_file)]
-    sampled = as_of(grid.withColumnRenamed("ts", "grid_ts"), ticks.select(values), ["day", "security_id"], "grid_ts", "ts")
+def sample_ticks(raw: DataFrame, sessions: tuple[tuple[str, str], ...], freq: str, columns: list[str] | None = None) -> DataFrame:
+    """OP-14 to OP-20: raw ticks (day, security_id, UpdateTime, file_line, values) on the grid of their day; what a file says once (market, lacks) is on all its rows.
+
+    Raw files are parsed once and dealt once: a file's first tick brings its grid. columns: the values wanted (all by default); no others are parsed.
+    """
+    by = ["day", "security_id"]
+    of_file = [c for c in ("market", "lacks") if c in raw.columns]
+    values = [c for c in raw.columns if c not in (*by, "Date", "file_line", *of_file) and (columns is None or c in columns)]
+    timed = raw.withColumn("ts", parse_time(F.col("day"), F.col("UpdateTime"))).filter("ts is not null").select(*by, *of_file, *values, "ts", "file_line")
+    ticks = keep_last(timed.repartition(*by), [*by, "ts"], F.col("file_line"))
+    begins = F.row_number().over(W.partitionBy(*by, *of_file).orderBy("ts")) == 1
+    grid = F.when(F.col("_begins"), F.transform(session_times(sessions, freq), lambda t, k: F.struct(k.alias("k"), t.alias("at"))))
+    here = F.array(F.struct(F.lit(None).cast("int").alias("k"), F.col("ts").alias("at")))
+    each = ticks.withColumn("_begins", begins).withColumn("_e", F.explode(F.coalesce(F.concat(here, grid), here)))
+    of_grid = F.col("_e.k").isNotNull()
+    both = each.select(
+        *by, F.col("_e.at").alias("_at"), of_grid.cast("int").alias("_side"),
+        F.when(of_grid, F.struct(*of_file, F.col("_e.k").alias("tick_idx"), F.col("_e.at").alias("grid_ts"))).alias("_grid"),
+        F.when(~of_grid, F.struct(*values, "ts")).alias("_tick"),
+    )
+    sampled = _latest(both, by, [*of_file, "tick_idx", "grid_ts"], [*values, "ts"], "ts", "gap_sec")
     return sampled.select(iso_day(F.col("day")).alias("date"), F.date_format("grid_ts", "HH:mm:ss").alias("sample_time"), "*").drop("grid_ts", "source_time")
 
 

@@ -61,7 +61,7 @@ def _(spark, d):
 @query("raw_sampled")
 def _(spark, d):
     sessions = (("09:30:00", "11:30:00"), ("13:00:00", "15:00:00"))
-    sampled = I.sample_ticks(parse_raw(A.raw_files(spark, d)), sessions, "30 minutes")
+    sampled = I.sample_ticks(parse_raw(A.raw_files(spark, d)), sessions, "30 minutes", ["UpdateTime", "LastPrice", "volume", "status"])
     return rounded(sampled.select("date", "sample_time", "day", "security_id", "tick_idx", "UpdateTime", "LastPrice", "volume", "status", "market", "gap_sec"))
 
 
@@ -77,11 +77,15 @@ def _(spark, d):
 SESSIONS = (("09:30:00", "11:30:00"), ("13:00:00", "15:00:00"))
 
 
-def _broken(spark, d):
-    """(ticks on the grid, summary): the sample stage over files of which six in nine are broken."""
+def _broken(spark, d, columns=None, written=False):
+    """(ticks on the grid, summary): the sample stage over files of which six in nine are broken. columns: the values wanted of a tick. written: the ticks are written and read again, as the stage does."""
     files = A.broken_files(spark, d)
     raw = parse_raw(files)
-    sampled = I.sample_ticks(raw, SESSIONS, "30 minutes")
+    sampled = I.sample_ticks(raw, SESSIONS, "30 minutes", columns)
+    if written:
+        folder = f"{_scratch(spark)}/sampled"
+        sampled.write.parquet(folder)
+        sampled = spark.read.schema(sampled.schema).parquet(folder)
     status = I.file_status(listed(files.select("path", F.length("content").alias("bytes"))), I.raw_counts(raw))
     rows = status.withColumn("date", I.iso_day(F.col("day"))).drop("day")
     return sampled, I.resample_summary(sampled, rows, KEYS, 36000.0)
@@ -93,7 +97,7 @@ KEYS = ["date", "security_id"]
 @query("raw_report")
 def _(spark, d):
     """A status for every file, those that give no ticks too."""
-    return rounded(_broken(spark, d)[1])
+    return rounded(_broken(spark, d, [])[1])
 
 
 @query("raw_base")
@@ -117,7 +121,7 @@ def _(spark, d):
 @query("raw_screen_report")
 def _(spark, d):
     """Days that lost all their rows, or have some twice, since they were sampled."""
-    sampled, summary = _broken(spark, d)
+    sampled, summary = _broken(spark, d, ["status"], written=True)
     fate = (F.substring("day", 7, 2).cast("int") + 2 * F.col("security_id").cast("int")) % 11
     left = sampled.filter(fate != 0).withColumn("_", F.explode(F.when((fate == 1) & (F.col("tick_idx") == 3), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_")
     days = I.suspended_days(left, [*KEYS, "day"], F.col("market"), F.col("status"))
