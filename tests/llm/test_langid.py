@@ -104,3 +104,42 @@ def test_sample_gives_each_language_its_share(spark):
     assert model.languages == ["big", "rare"] and "^sel" in model.grams[4]
     small = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=1, grams=2)
     assert len(small.words) <= 2 and all(len(g) <= 4 for g in small.grams.values())
+
+
+def test_a_model_goes_with_its_memory_of_words(spark):
+    """A worker that drops a model has its memory back at once, not when Python looks for cycles."""
+    import gc
+    import weakref
+
+    from tickweave.llm.langid import Predictor
+
+    rows = [(k, text, lang) for k, (text, lang) in enumerate([("the house and the dog", "en"), ("das haus und der hund", "de")] * 5)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model.predictor = Predictor(model)
+    first = model.predictor.predict(model, "the doghouse")
+    assert first[0] == "en" and first == model.predictor.predict(model, "the doghouse")  # once made, once remembered
+    gone = weakref.ref(model)
+    gc.disable()
+    try:
+        del model
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_labelled_rows_without_letters_teach_nothing(spark):
+    df = spark.createDataFrame([(1, "12 34", "en"), (2, "word", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(df, train(df)).collect()}
+    assert got == {1: ("und", 0.0), 2: ("en", 1.0)}
+
+
+def test_texts_come_in_small_batches(spark):
+    from tickweave.llm.common import small_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(n=batch["text"].str.len().sum())[["n"]].head(1)
+
+    df = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 1000) as text")
+    found = [r.n for r in small_batches(df).mapInPandas(sizes, "n long").collect()]
+    assert sum(found) == 3_000_000 and max(found) <= 1_100_000

@@ -48,7 +48,7 @@ def in_fewer(df: DataFrame, each: int) -> DataFrame:
     return df.coalesce(partitions_for(df.count(), each))
 
 
-BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 1_000_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
